@@ -4,15 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import packing
+from orrery.llm import exact_dedup, minhash, mixing, packing, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, trained on the labels, does not reject."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.keep_one(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    return minhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The parts of documents that the mix takes, as often as it takes them."""
+    return mixing.mixed_texts(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
     return packing.digest(packing.pack_documents(docs))
 
 
-STAGES = [("packing", pack)]
-#: Tokenizing and classifying cannot be stated in SQL.
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", dedup_exact),
+    ("near dedup", dedup_near),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+#: The classifier and the tokenizer cannot be stated in SQL.
 ORACLE_SQL = None
 
 
