@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.llm.rows import ROW, with_row_key
 from orrery.staging import Stages
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,10 +91,11 @@ class Mix:
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED):
         self.seed = seed
         self.stages = Stages(docs.sparkSession, "mixing")
+        self.docs, _ = with_row_key(docs, doc_id, self.stages)
         size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
-        #: One row per document; ``row`` tells repeated rows apart.
-        self.rows = self.stages.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        rows = self.docs.select(F.col(ROW).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+        #: One row per document; ``row`` tells rows of one id apart.
+        self.rows = self.stages.save(rows, "rows")
         per_source = self.rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
         self.sources = self.stages.save(targets(per_source, seed), "sources")
         few = self.sources.count() <= 10_000
@@ -128,7 +130,7 @@ class Mix:
         cut = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK_WORDS).cast("long"), last)))
         start = F.greatest(F.col("block") * BLOCK_WORDS - F.col("first"), F.lit(0))
         end = F.least((F.col("block") + 1) * BLOCK_WORDS - F.col("first"), F.col("size"))
-        return cut.select("row", "doc_id", "rank", "block", start.alias("start"), (end - start).alias("words"))
+        return cut.select("row", "doc_id", "rank", "block", F.col("first").alias("at"), start.alias("start"), (end - start).alias("words"))
 
     def _numbered(self, table: DataFrame, count: str, keep: list[str]) -> DataFrame:
         """``count`` rows for each row of ``table``, numbered by ``i``: in chunks, dealt out before they expand."""
@@ -180,17 +182,23 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     ``text`` is the part's words with the white space between them, ``n_chars`` its code points.
     A document that one block holds is given with its whole text.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     mix = Mix(docs)
-    uses = mix.pieces().join(mix.slots(), ["rank", "block"]).select("row", "start", "words", "shard", "position")
-    uses = mix.stages.save(uses, "uses")
-    parts = numbered.join(uses, F.col("__row") == F.col("row"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    piece = F.regexp_replace(F.array_join(F.slice(words, F.col("start") + 1, F.col("words")), ""), r"^[\x20\x09-\x0D]+", "")
-    parts = parts.withColumn("text", piece)
+    # For every document, the slots of each of its parts, in the order of the parts.
+    slots = mix.slots().groupBy("rank", "block").agg(F.collect_list(F.struct("shard", "position")).alias("slots"))  # MAX_REPEATS at most
+    parts = mix.pieces().join(slots, ["rank", "block"], "left").withColumn("lead", F.when(F.col("start") == 0, F.col("at") % BLOCK_WORDS))
+    plan = parts.groupBy("row").agg(F.max("lead").alias("lead"), F.array_sort(F.collect_list(F.struct("block", "slots"))).alias("parts"))
+    plan = mix.stages.save(plan.where(F.exists("parts", lambda p: p["slots"].isNotNull())), "plan")
+    # Filler words before a text let one pattern cut it at its blocks' bounds; they are taken off again.
+    rows = mix.docs.join(plan, F.col(ROW) == F.col("row")).withColumn("__text", F.concat(F.expr("repeat('x ', int(lead))"), "text"))
+    chunks = F.regexp_extract_all("__text", F.lit(r"(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){1,%d}" % BLOCK_WORDS), F.lit(0))
+    rows = rows.select("*", F.posexplode(F.arrays_zip(chunks.alias("chunk"), F.col("parts.slots").alias("slots"))).alias("__part", "__cut"))
+    rows = rows.where(F.col("__cut.slots").isNotNull()).withColumn("__slot", F.explode("__cut.slots"))
+    piece = F.when(F.col("__part") == 0, F.expr("substring(__cut.chunk, 2 * int(lead) + 1)")).otherwise(F.col("__cut.chunk"))
+    whole = (F.size("parts") == 1) & F.col("text").isNotNull()
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.regexp_replace(piece, r"^[\x20\x09-\x0D]+", "")))
     if "n_chars" in docs.columns:
-        parts = parts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return parts.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def _oracle() -> str:
