@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, minhash, mixing, packing, toxicity
+from orrery.llm import exact_dedup, html_extract, minhash, mixing, packing, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +35,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_exact_dedup": op2_exact_dedup, "op6_mixing": op6_mixing, "op8_minhash": op8_minhash, "op10_toxicity": op10_toxicity}
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+#: The rules of the registered query; each a verdict, a host and the start of a path.
+URL_RULES = ("block com/en/", "allow example.com/en/7", "block net/de/", "allow example.net/de/8", "block org/es/")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urlfilter.train(urlfilter.LABELLED)
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), model, urlfilter.parse_rules(URL_RULES))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_exact_dedup": op2_exact_dedup, "op6_mixing": op6_mixing, "op5_html_extraction": op5_html_extraction, "op8_minhash": op8_minhash, "op9_url_filter": op9_url_filter, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_minhash": minhash.ORACLE_SQL}
