@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, html_extract, minhash, mixing, packing, toxicity, urlfilter
+from orrery.llm import exact_dedup, fingerprints, html_extract, minhash, mixing, packing, revisits, token_rollup, toxicity, urlfilter
+from orrery.staging import Stages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +49,37 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), model, urlfilter.parse_rules(URL_RULES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_exact_dedup": op2_exact_dedup, "op6_mixing": op6_mixing, "op5_html_extraction": op5_html_extraction, "op8_minhash": op8_minhash, "op9_url_filter": op9_url_filter, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_minhash": minhash.ORACLE_SQL}
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.as_rows(revisits.resolve(revisits.records_of(_table(spark, sf_dir, "pages"))))
+
+
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = Stages(spark, "rollup")
+    slim = stages.save(token_rollup.measured(_table(spark, sf_dir, "documents")), "counts")
+    return token_rollup.roll_up(token_rollup.RollupStore(spark, f"{stages.root}/store"), slim)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_revisits": op3_revisits,
+    "op4_token_rollup": op4_token_rollup,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_mixing": op6_mixing,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_minhash": op8_minhash,
+    "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
+}
+#: Results that SQL can state. Tokenizing, parsing, hashing and trained models are tested otherwise.
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_revisits": revisits.ORACLE_SQL,
+    "op4_token_rollup": token_rollup.ORACLE_SQL,
+    "op6_mixing": mixing.ORACLE_SQL,
+    "op8_minhash": minhash.ORACLE_SQL,
+}
