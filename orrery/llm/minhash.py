@@ -5,11 +5,17 @@ shifted circularly by k, gives coordinate k of the signature, so two permutation
 coordinates. Bands of coordinates name buckets, and what meets in a bucket is confirmed on the
 full shingle sets.
 
-Only components are asked for, so a bucket never expands into all its pairs. Documents with
-equal sets are one class at once. In the first round each bucket's members are compared with
-one centre. Later rounds take more and more centres of a bucket, but only pairs whose ends are
-still in different components; the last round takes every member as a centre. A pair that
-meets in a bucket is thus compared unless its ends are linked already, and no link is lost.
+Only components are asked for, so a bucket never expands into all its pairs:
+
+1. Documents with equal sets are one class at once, and each bucket's members are compared with
+   one centre. Most buckets are then inside one component and are done.
+2. Of small buckets that still hold several components, the pairs across components are
+   compared, a bounded number for each member.
+3. Large ones are joined up into families. A family's members are dealt into blocks of a bounded
+   number of shingles, and blocks are compared by counting common shingles, giving only links
+   that connect something new. This is the exact way for what the bound of step 2 leaves out.
+
+A pair that meets in a bucket is thus compared unless its ends are linked already.
 """
 
 from __future__ import annotations
@@ -32,8 +38,10 @@ from orrery.staging import Stages
 NEAR_ROWS = 100_000
 #: Members that one task compares with a centre before the group is split further.
 GROUP = 256
-#: A later round takes this many times the centres of the round before.
-GROWTH = 16
+#: Buckets up to this size are resolved pair by pair, larger ones by blocks.
+SMALL = 32
+#: Shingles of a block, on average.
+BLOCK = 1 << 20
 _U32 = np.uint32
 _CELLS = 1 << 16
 
@@ -148,6 +156,96 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent:
     return rows.mapInArrow(work, "a long, b long")
 
 
+def _block_links(ids: list[int], parts: list[int], sides: list[bool], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different parts, among all documents or, with two sides, between them.
+
+    Common shingles are counted by products of 0/1 matrices, some thousand shingles at a time;
+    shingles of a single document cannot be common and are left out.
+    """
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    owner, at = owner[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    side = np.array(sides)
+    left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() and not side.all() else (np.arange(len(ids)),) * 2
+    place = np.zeros(len(ids), dtype=np.int64)
+    parent = {p: p for p in parts}
+
+    def root(p: int) -> int:
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        return p
+
+    found = []
+    width = 4096
+    total = int(at[-1]) + 1 if len(at) else 0
+    for start in range(0, len(left), 512):
+        rows = left[start : start + 512]
+        common = np.zeros((len(rows), len(right)), dtype=np.float32)
+        for low in range(0, total, width):
+            cut = slice(*np.searchsorted(at, [low, low + width]))
+            one = np.zeros((len(ids), min(width, total - low)), dtype=np.float32)
+            one[owner[cut], at[cut] - low] = 1
+            common += one[rows] @ one[right].T
+        union = size[rows][:, None] + size[right][None, :] - common
+        for i, j in zip(*np.nonzero((100 * common >= percent * union) & (common > 0)), strict=True):
+            a, b = int(rows[i]), int(right[j])
+            if root(parts[a]) != root(parts[b]):
+                parent[root(parts[a])] = root(parts[b])
+                found.append((ids[a], ids[b]))
+    return found
+
+
+def _family_links(docs: DataFrame, state: DataFrame, key: str, text: str, percent: int, stages: Stages) -> DataFrame:
+    """Links between components inside the families that ``state`` (bucket, b, size, part) forms."""
+    heads = state.groupBy("bucket").agg(F.min("b").alias("head"))
+    ties = state.join(heads, "bucket").select("head", "b").distinct()
+    family = components(ties, "head", "b").select(F.col("node").alias("b"), F.col("component").alias("family"))
+    members = stages.save(state.select("b", "size", "part").distinct().join(family, "b"), "members")
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(blocks, "family").withColumn("block", F.abs(F.hash("b")) % F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = members.select(F.col("b").alias("key"), "family", "part", "block", other)
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    dealt = stages.save(dealt.select("key", "family", "part", low, high, (F.col("block") > F.col("other")).alias("side")), "dealt")
+    near = F.broadcast(dealt) if dealt.count() <= NEAR_ROWS else dealt
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(near, "key")
+    order = ["family", "low", "high", "key"]
+    rows = rows.repartition(*order[:3]).sortWithinPartitions(*order).select(*order, "part", "side", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, ([], [], [], [])
+
+        def links() -> Iterator[pa.RecordBatch]:
+            found = _block_links(*held, percent) if len(held[0]) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for *group, key_, part, side, shingles in zip(*columns, shingle_sets(batch.column(6)), strict=True):
+                if group != name:
+                    yield from links()
+                    name, held = group, ([], [], [], [])
+                for column, value in zip(held, (key_, part, side, shingles), strict=True):
+                    column.append(value)
+        yield from links()
+
+    return rows.mapInArrow(work, "a long, b long")
+
+
+def _torn(shared: DataFrame, label: DataFrame, stages: Stages) -> DataFrame:
+    """The members (bucket, b, size, part) of the buckets that hold several components."""
+    state = shared.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("part", F.coalesce("component", "b"))
+    torn = state.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
+    return stages.save(state.join(torn, "bucket", "left_semi").select("bucket", "b", "size", "part"), "torn")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, banding: Banding = Banding()
 ) -> DataFrame:
@@ -177,38 +275,27 @@ def _near_duplicates(keyed: DataFrame, unique: bool, doc_id: str, text: str, per
     sized = "100 * least(size, a_size) >= {0} * greatest(size, a_size)".format(percent)
     firsts = shared.where("b = first").select("bucket", F.col("b").alias("a"), F.col("size").alias("a_size"))
     pairs = stages.save(shared.where("b <> first").join(firsts, "bucket").where(sized).select("a", "b").distinct(), "pairs")
-    tested, links, label, centres = pairs, None, None, 1
-    while True:
-        if not pairs.isEmpty():
-            new = stages.save(_confirmed(keyed, pairs, ROW, text, percent, stages), "links")
-            links = new if links is None else links.unionByName(new)
+    links = stages.save(_confirmed(keyed, pairs, ROW, text, percent, stages), "links")
+    label = stages.save(components(links, "a", "b"), "labels")
+
+    state = _torn(shared.where(F.col("crowd") <= SMALL), label, stages)
+    other = state.select("bucket", F.col("b").alias("a"), F.col("size").alias("a_size"), F.col("part").alias("a_part"))
+    across = state.join(other, "bucket").where("a < b and part <> a_part").where(sized).select("a", "b").distinct()
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = stages.save(across.join(tested, ["a", "b"], "left_anti"), "across")
+    if not across.isEmpty():
+        links = links.unionByName(stages.save(_confirmed(keyed, across, ROW, text, percent, stages), "links"))
+        label = stages.save(components(links, "a", "b"), "labels")
+
+    if largest > SMALL:
+        state = _torn(shared.where(F.col("crowd") > SMALL), label, stages)
+        if not state.isEmpty():
+            links = links.unionByName(stages.save(_family_links(keyed, state, ROW, text, percent, stages), "links"))
             label = stages.save(components(links, "a", "b"), "labels")
-        if centres >= largest:
-            break
-        centres *= GROWTH
-        state = shared if label is None else shared.join(label.withColumnRenamed("node", "b"), "b", "left")
-        state = state.withColumn("part", F.coalesce("component", "b") if label is not None else F.col("b"))
-        torn = state.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-        state = stages.save(state.join(torn, "bucket", "left_semi").select("bucket", "b", "size", "crowd", "part"), "torn")
-        if state.isEmpty():
-            break
-        # The same documents are centres in all their buckets: those with the least hash.
-        draw = F.pmod(F.xxhash64(F.col("b")), F.lit(1 << 30)) * F.col("crowd") < F.lit(centres * (1 << 30))
-        chosen = state.where(draw).select("bucket", F.col("b").alias("a"), F.col("size").alias("a_size"), F.col("part").alias("a_part"))
-        pairs = state.join(chosen, "bucket").where("part <> a_part").where(sized)
-        # A pair of two centres is taken once; tested pairs are not taken again, either way round.
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stages.save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
 
     rows = marks.select("key", "n_shingles", "digest").join(classes, "digest", "left")
-    if label is not None:
-        rows = rows.join(label.withColumnRenamed("node", "class"), "class", "left")
-        low = F.coalesce("component", "class", "key")
-    else:
-        low = F.coalesce("class", "key")
-    rows = rows.select("key", "n_shingles", low.alias("low"))
+    rows = rows.join(label.withColumnRenamed("node", "class"), "class", "left")
+    rows = rows.select("key", "n_shingles", F.coalesce("component", "class", "key").alias("low"))
     if unique:
         return rows.select(F.col("key").alias("doc_id"), "n_shingles", F.col("low").alias("component_id"), (F.col("key") == F.col("low")).alias("kept"), F.col("key").alias(ROW), "low")
     names = keyed.select(F.col(ROW).alias("key"), F.col(doc_id).cast("long").alias("doc_id"))

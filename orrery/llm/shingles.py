@@ -12,6 +12,7 @@ _CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _LANES = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_SHORT = np.arange(64, dtype=np.uint64) * _U(0xA0761D6478BD642F)  # tells short sequences of different lengths apart
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -87,7 +88,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
             if b - a >= words:
                 yield np.unique(whole[a : b - words + 1])
             elif b > a:
-                yield mix64(np.array([(hashes[a:b] * lanes[: b - a]).sum() + _U(b - a) * _U(0xA0761D6478BD642F)], dtype=np.uint64))
+                yield mix64((hashes[a:b] * lanes[: b - a]).sum(keepdims=True) + _SHORT[b - a])
             else:
                 yield whole[:0]
         at = upto
