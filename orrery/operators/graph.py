@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from orrery.staging import Stages
 
 
-def _hooked(pairs: DataFrame, pick) -> DataFrame:
-    """One star step: every ``u`` links the neighbours that ``pick`` names to its smallest one.
-
-    The minimum is a map-side combinable aggregate; joining it back leaves the splitting of
-    hubs to the adaptive skew join.
-    """
-    low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return pairs.join(low, "u").select(*pick()).distinct()
-
-
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table.
 
@@ -37,9 +27,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     )
     seen = None
     for _ in range(max_rounds):
+        # Large star: the greater neighbours of a node link to the least of the node and its neighbours.
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hooked(both, lambda: [F.when(F.col("v") > F.col("u"), F.col("v")).alias("u"), F.col("m").alias("v")])
-        large = large.where("u is not null and u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Small star: a node and its smaller neighbours link to the least of those.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
@@ -56,3 +48,36 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
+
+
+def instance_clusters(members: DataFrame, instance: str, element: list[str]) -> DataFrame:
+    """Components of instances that share an element; instances alone are their own.
+
+    ``members`` may be eroded: it decides on the edges. Returns instance, component.
+    """
+    # Consecutive holders of an element link all of them, in place of every pair.
+    low = members.groupBy(*element).agg(F.min(instance).alias("low"))
+    edges = members.join(low, element).select(F.col(instance).alias("src"), F.col("low").alias("dst")).distinct()
+    return components(edges).withColumnRenamed("node", instance)
+
+
+def density_clusters(points: DataFrame, key: str, axes: tuple[str, ...], radius, on: tuple[str, ...] = ()) -> DataFrame:
+    """Density clustering with two points as the least: components of the radius graph.
+
+    Points without a neighbour are isolated and have no row. Returns node, component.
+    """
+    from orrery.operators.joins import radius_join
+
+    return components(radius_join(points, key, axes, radius, on), "a", "b")
+
+
+def face_clusters(faces: DataFrame, vertices: DataFrame, axes: tuple[str, ...], radius, on: tuple[str, ...] = ()) -> DataFrame:
+    """Faces (face_id, v0, v1, v2) linked when any of their vertices share a cluster.
+
+    Returns face_id, component, named by the smallest vertex. A face's own vertices link too.
+    """
+    corners = faces.select("face_id", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id"))
+    near = density_clusters(vertices, "vertex_id", axes, radius, on).select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    own = faces.select(F.explode(F.array(F.struct(F.col("v0").alias("src"), F.col("v1").alias("dst")), F.struct(F.col("v0").alias("src"), F.col("v2").alias("dst")))).alias("e"))
+    linked = components(near.unionByName(own.select("e.src", "e.dst"))).withColumnRenamed("node", "vertex_id")
+    return corners.join(linked, "vertex_id").groupBy("face_id").agg(F.min("component").alias("component"))
