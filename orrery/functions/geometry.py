@@ -188,24 +188,27 @@ def view_parameters(spark, fovs=(75, 90, 105), yaw_step: int = 15, pitches=(-15,
     return few("fov", fovs).crossJoin(yaws).crossJoin(few("phi", pitches)).crossJoin(few("size", sizes))
 
 
-def frame_pixels(views: DataFrame, pano_height: int, pano_width: int) -> DataFrame:
-    """The panorama pixel (pr, pc) that every frame pixel (fr, fc) shows.
+def frame_rays(views: DataFrame) -> DataFrame:
+    """Longitude and latitude, in degrees, of every frame pixel (fr, fc) of views (fov, theta, phi, size).
 
     A pixel's ray in the tangent plane is turned by theta about z and by -phi about the turned y
-    axis; longitude and latitude give the pixel, truncated.
+    axis.
     """
     rows = views.withColumn("fr", F.explode(F.sequence(F.lit(0), F.col("size") - 1))).withColumn("fc", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     half = F.tan(F.radians(F.col("fov") / 2))
-    span = F.when(F.col("size") > 1, F.col("size") - 1).otherwise(1)
+    span = F.greatest(F.col("size") - 1, F.lit(1))
     ray = (F.lit(1.0), (F.col("fc") / span * 2 - 1) * half, -(F.col("fr") / span * 2 - 1) * half)
-    theta, phi = F.radians("theta"), F.radians(-F.col("phi"))
-    turn = rotation("z", F.col("theta"))
-    tilt = axis_angle((-F.sin(theta), F.cos(theta), F.lit(0.0)), phi)
-    x, y, z = times(tilt, times(turn, ray))
-    longitude, latitude = F.degrees(F.atan2(y, x)), F.degrees(F.asin(z / norm((x, y, z))))
+    theta = F.radians("theta")
+    turned = times(rotation("z", F.col("theta")), ray)
+    x, y, z = times(axis_angle((-F.sin(theta), F.cos(theta), F.lit(0.0)), F.radians(-F.col("phi"))), turned)
+    return rows.select("*", F.degrees(F.atan2(y, x)).alias("longitude"), F.degrees(F.asin(z / norm((x, y, z)))).alias("latitude"))
+
+
+def frame_pixels(views: DataFrame, pano_height: int, pano_width: int) -> DataFrame:
+    """The panorama pixel (pr, pc) that every frame pixel (fr, fc) shows, truncated."""
     centre_x, centre_y = (pano_width - 1) / 2, (pano_height - 1) / 2
-    pc, pr = longitude / 180 * centre_x + centre_x, -latitude / 90 * centre_y + centre_y
-    return rows.withColumn("pr", pr.cast("int")).withColumn("pc", pc.cast("int"))
+    pc, pr = F.col("longitude") / 180 * centre_x + centre_x, -F.col("latitude") / 90 * centre_y + centre_y
+    return frame_rays(views).withColumn("pr", pr.cast("int")).withColumn("pc", pc.cast("int")).drop("longitude", "latitude")
 
 
 def midpoint(a: Vector, b: Vector, c: Vector) -> Vector:

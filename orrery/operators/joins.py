@@ -86,15 +86,16 @@ def knn(queries: DataFrame, targets: DataFrame, query: str, target: str, axes: t
     queries, so neither side is collected. Returns on..., query, target, distance, rank.
     """
     scope = list(on)
-    sizes = targets.groupBy(*scope).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
     t = targets.select(*scope, F.col(target).cast("bigint").alias("__t"), *axes)
     q = queries.select(*scope, F.col(query).cast("bigint").alias("__q"), *axes)
-    t = t.join(sizes, scope) if scope else t.crossJoin(sizes)
-    t = t.withColumn("__block", F.pmod(F.xxhash64("__t"), F.col("__blocks"))).drop("__blocks")
-    q = q.join(sizes, scope) if scope else q.crossJoin(sizes)
-    # A query block keeps a group of the cogroup bounded too.
-    q = q.withColumn("__part", F.pmod(F.xxhash64("__q", F.lit(1)), F.lit(64))).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).cast("bigint")).drop("__blocks")
-    t = t.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("bigint"))
+    counted = lambda df, name: df.groupBy(*scope).agg(F.ceil(F.count("*") / block).cast("bigint").alias(name))
+    meet = lambda df, sizes: df.join(sizes, scope) if scope else df.crossJoin(F.broadcast(sizes))
+    sizes = counted(t, "__blocks").join(counted(q, "__parts"), scope) if scope else counted(t, "__blocks").crossJoin(counted(q, "__parts"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col(n), F.lit(1)) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.greatest(F.col(n), F.lit(1)))
+    t = meet(t, sizes).withColumn("__block", own("__t", "__blocks")).withColumn("__part", numbers("__parts")).drop("__blocks", "__parts")
+    q = meet(q, sizes).withColumn("__part", own("__q", "__parts")).withColumn("__block", numbers("__blocks")).drop("__blocks", "__parts")
+    t, q = t.toDF(*t.columns), q.toDF(*q.columns)  # both sides may stem from one table
     keys = [*scope, "__block", "__part"]
     kinds = {f.name: f.dataType.simpleString() for f in q.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in scope), "__q bigint", "__t bigint", "__d double"])
@@ -104,13 +105,16 @@ def knn(queries: DataFrame, targets: DataFrame, query: str, target: str, axes: t
             return pd.DataFrame({c: pd.Series(dtype=left.dtypes.get(c, "float64")) for c in [*scope, "__q", "__t", "__d"]})
         a, b = left[list(axes)].to_numpy(float), right[list(axes)].to_numpy(float)
         ids = right["__t"].to_numpy()
-        out = []
+        order = np.argsort(ids, kind="stable")
+        b, ids = b[order], ids[order]
+        found = []
         for at in range(0, len(a), 256):
             d = np.sqrt(((a[at : at + 256, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-            for row in range(len(d)):
-                best = np.lexsort((ids, d[row]))[:k]
-                out.append(pd.DataFrame({"__q": left["__q"].iloc[at + row], "__t": ids[best], "__d": d[row][best]}))
-        found = pd.concat(out, ignore_index=True)
+            # A stable sort of distances keeps ties in the order of ids.
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            part = left["__q"].to_numpy()[at : at + 256]
+            found.append(pd.DataFrame({"__q": np.repeat(part, best.shape[1]), "__t": ids[best].ravel(), "__d": np.take_along_axis(d, best, axis=1).ravel()}))
+        found = pd.concat(found, ignore_index=True)
         for c in scope:
             found[c] = left[c].iloc[0]
         return found[[*scope, "__q", "__t", "__d"]]
