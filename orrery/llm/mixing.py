@@ -185,17 +185,17 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     mix = Mix(docs)
     # For every document, the slots of each of its parts, in the order of the parts.
     slots = mix.slots().groupBy("rank", "block").agg(F.collect_list(F.struct("shard", "position")).alias("slots"))  # MAX_REPEATS at most
-    parts = mix.pieces().join(slots, ["rank", "block"], "left").withColumn("lead", F.when(F.col("start") == 0, F.col("at") % BLOCK_WORDS))
-    plan = parts.groupBy("row").agg(F.max("lead").alias("lead"), F.array_sort(F.collect_list(F.struct("block", "slots"))).alias("parts"))
-    plan = mix.stages.save(plan.where(F.exists("parts", lambda p: p["slots"].isNotNull())), "plan")
+    parts = mix.pieces().join(slots, ["rank", "block"], "left").withColumn("lead", F.when(F.col("start") == 0, F.col("at") % BLOCK_WORDS).cast("int"))
+    plan = parts.groupBy(F.col("row").alias("__mix_row")).agg(F.max("lead").alias("__mix_lead"), F.array_sort(F.collect_list(F.struct("block", "slots"))).alias("__mix_parts"))
+    plan = mix.stages.save(plan.where(F.exists("__mix_parts", lambda p: p["slots"].isNotNull())), "plan")
     # Filler words before a text let one pattern cut it at its blocks' bounds; they are taken off again.
-    rows = mix.docs.join(plan, F.col(ROW) == F.col("row")).withColumn("__text", F.concat(F.expr("repeat('x ', int(lead))"), "text"))
-    chunks = F.regexp_extract_all("__text", F.lit(r"(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){1,%d}" % BLOCK_WORDS), F.lit(0))
-    rows = rows.select("*", F.posexplode(F.arrays_zip(chunks.alias("chunk"), F.col("parts.slots").alias("slots"))).alias("__part", "__cut"))
-    rows = rows.where(F.col("__cut.slots").isNotNull()).withColumn("__slot", F.explode("__cut.slots"))
-    piece = F.when(F.col("__part") == 0, F.expr("substring(__cut.chunk, 2 * int(lead) + 1)")).otherwise(F.col("__cut.chunk"))
-    whole = (F.size("parts") == 1) & F.col("text").isNotNull()
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.regexp_replace(piece, r"^[\x20\x09-\x0D]+", "")))
+    rows = mix.docs.join(plan, F.col(ROW) == F.col("__mix_row")).withColumn("__mix_text", F.concat(F.expr("repeat('x ', __mix_lead)"), "text"))
+    chunks = F.regexp_extract_all("__mix_text", F.lit(r"(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){1,%d}" % BLOCK_WORDS), F.lit(0))
+    rows = rows.select("*", F.posexplode(F.arrays_zip(chunks.alias("chunk"), F.col("__mix_parts.slots").alias("slots"))).alias("__mix_at", "__mix_cut"))
+    rows = rows.where(F.col("__mix_cut.slots").isNotNull()).withColumn("__mix_slot", F.explode("__mix_cut.slots"))
+    piece = F.when(F.col("__mix_at") == 0, F.expr("substring(__mix_cut.chunk, 2 * __mix_lead + 1)")).otherwise(F.col("__mix_cut.chunk"))
+    cut = F.regexp_replace(piece, r"^[\x20\x09-\x0D]+", "")
+    rows = rows.withColumn("text", F.when(F.size("__mix_parts") == 1, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from orrery.staging import Stages
 
-ROW = "__row"
+ROW = "__orrery_row"
 
 
 def with_row_key(docs: DataFrame, doc_id: str, stages: Stages) -> tuple[DataFrame, bool]:
-    """``docs`` with a long column ``__row`` that is unique and the same in every scan.
+    """``docs`` with a long column ``ROW`` that is unique and the same in every scan.
 
     That is the id itself where ids are unique and not null (second value: True). Otherwise the
     rows are numbered once, in the order (id, row), and written to a stage table, since a number
