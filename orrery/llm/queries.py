@@ -45,7 +45,7 @@ URL_RULES = ("block com/en/", "allow example.com/en/7", "block net/de/", "allow
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = urlfilter.train(urlfilter.LABELLED)
+    model = urlfilter.train(urlfilter.labelled_urls())
     return urlfilter.judge(_table(spark, sf_dir, "pages"), model, urlfilter.parse_rules(URL_RULES))
 
 
