@@ -61,9 +61,9 @@ def cluster_radius(name: Column, size_x: Column, size_y: Column) -> Column:
 
 def read_palette(spark: SparkSession, path: str) -> DataFrame:
     """idx, r, g, b from lines ``r,g,b``; the index is the line's number."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("idx", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("idx", "line")).where("trim(line) <> ''")
     part = F.split("line", ",")
-    return lines.select("idx", *(part[k].cast("int").alias(c) for k, c in enumerate("rgb")))
+    return lines.select("idx", *(F.try_element_at(part, F.lit(k + 1)).try_cast("int").alias(c) for k, c in enumerate("rgb")))
 
 
 def colour_index(number: Column, colours: int) -> Column:

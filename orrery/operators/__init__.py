@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Joins, aggregates, graph, raster, hull, ray and relation operators: DataFrame in, DataFrame out."""

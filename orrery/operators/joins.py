@@ -125,34 +125,40 @@ def knn(queries: DataFrame, targets: DataFrame, query: str, target: str, axes: t
     return best.select(*scope, F.col("__q").alias(query), F.col("__t").alias(target), F.col("__d").alias("distance"), "rank")
 
 
-def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r", column: str = "c", reach: int = 8) -> DataFrame:
+def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r", column: str = "c") -> DataFrame:
     """Every pixel without a value takes that of the nearest pixel with one; ties go to the
-    least (row, column).
+    least (row, column). A raster without any value keeps its nulls.
 
-    Pixels meet known ones in square cells of ``reach`` around them; cells double for what is still
-    open, until nothing is. A pixel is settled only if its nearest is within the searched radius.
+    Exact in two passes, as in separable distance transforms: windows along each column find the
+    nearest value above or below, then each row takes the best of its columns' candidates. Groups
+    are a column or a row of one raster, whose size is fixed.
     """
-    known = pixels.where(F.col(value).isNotNull()).select(*scope, F.col(row).alias("__r"), F.col(column).alias("__c"), F.col(value).alias("__v"))
-    filled = pixels.where(F.col(value).isNotNull()).select(*scope, row, column, value)
-    open_ = pixels.where(F.col(value).isNull()).select(*scope, row, column)
-    extent = pixels.agg(F.greatest(F.max(row) - F.min(row), F.max(column) - F.min(column)).alias("e")).first()["e"] or 0
-    while True:
-        cell = lambda c, size=reach: F.floor(F.col(c) / size).cast("bigint")
-        near = open_.withColumn("__s", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("__u", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-        near = near.withColumn("__cr", cell(row) + F.col("__s")).withColumn("__cc", cell(column) + F.col("__u")).drop("__s", "__u")
-        met = near.join(known.withColumn("__cr", cell("__r")).withColumn("__cc", cell("__c")), [*scope, "__cr", "__cc"])
-        square = (F.col(row) - F.col("__r")) ** 2 + (F.col(column) - F.col("__c")) ** 2
-        best = met.groupBy(*scope, row, column).agg(F.min_by(F.struct(square.alias("d"), F.col("__v").alias("v")), F.struct(square, "__r", "__c")).alias("b"))
-        last = reach > extent
-        sure = best if last else best.where(F.col("b.d") <= float(reach * reach))
-        sure = sure.select(*scope, row, column, F.col("b.v").alias(value))
-        filled = filled.unionByName(sure)
-        if last:
-            return filled
-        open_ = open_.join(sure.select(*scope, row, column), [*scope, row, column], "left_anti")
-        if open_.isEmpty():
-            return filled
-        reach *= 4
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(row).alias("row"), F.col(value).alias("value")))
+    line = Window.partitionBy(*scope, column).orderBy(row)
+    above = F.last(known, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first(known, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    found = pixels.select(*scope, row, column, value, above.alias("__a"), below.alias("__b"))
+    nearer_below = F.col("__a").isNull() | (F.col("__b.row") - F.col(row) < F.col(row) - F.col("__a.row"))
+    best = F.when(F.col("__b").isNotNull() & nearer_below, F.col("__b")).otherwise(F.col("__a"))
+    found = found.withColumn("__n", best).select(*scope, row, column, value, F.col("__n.row").cast("bigint").alias("__row"), F.col("__n.value").alias("__value"))
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        have = rows[rows["__row"].notna()]
+        open_ = rows.index[rows[value].isna()]
+        if len(have) and len(open_):
+            at_row, at_column = have["__row"].to_numpy(np.int64), have[column].to_numpy(np.int64)
+            here = int(rows[row].iloc[0])
+            down = (at_row - here) ** 2
+            # (distance, row, column) as one number; places count from the least ones.
+            tie = ((at_row - at_row.min()) << 20) + (at_column - at_column.min())
+            where = rows.loc[open_, column].to_numpy(np.int64)
+            pick = np.concatenate([((((where[k : k + 256, None] - at_column[None]) ** 2 + down[None]) << 40) + tie[None]).argmin(axis=1) for k in range(0, len(where), 256)])
+            rows.loc[open_, value] = have["__value"].to_numpy()[pick]
+        return rows[[*scope, row, column, value]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*scope, row, column, value])
+    return found.groupBy(*scope, row).applyInPandas(take, schema)
 
 
 def cooccurrence(members: DataFrame, instance: str, element: list[str]) -> DataFrame:

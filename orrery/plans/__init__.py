@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Stages composed of operators, and the catalogue of queries."""

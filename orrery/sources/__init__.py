@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Readers and writers: poses, attribute sheets, OBJ, NPZ and PNG files, the scene graph."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Nothing streams here: all inputs of this engine are finite (meshes, panoramas, poses, corpora)."""
