@@ -136,3 +136,26 @@ def arbitrate(members: DataFrame, neighbours: DataFrame, scope: list[str], eleme
     winner = claimants.groupBy(*scope, "region").agg(F.max_by(cluster, rank).alias(cluster))
     settled = regions.join(winner, [*scope, "region"]).select(*scope, element, cluster)
     return claims.join(contested.select(*scope, element), [*scope, element], "left_anti").unionByName(settled)
+
+
+def visible_points(points: DataFrame, cameras: DataFrame, triangles: DataFrame, height: int, width: int) -> DataFrame:
+    """Building, camera_id, point_id, face_id, px, py, visible: the points in each camera's frame, and
+    whether the first face that the ray towards a point hits is the point's own.
+
+    ``points`` (building, point_id, face_id, x, y, z), ``cameras`` (building, camera_id, x, y, z, rx, ry,
+    rz, fov), ``triangles`` (building, face_id, ax .. cz). Cameras without a pinhole image see nothing.
+    """
+    from orrery.operators.rays import cast_rays
+
+    cams = cameras.select("building", "camera_id", "fov", *[F.col(c).alias(f"cam_{c}") for c in ("x", "y", "z", "rx", "ry", "rz")])
+    cams = F.broadcast(cams) if cams.count() <= joins.BROADCAST_ROWS else cams
+    rows = points.join(cams, "building")
+    away = g.minus(g.vector("x", "y", "z"), g.vector("cam_x", "cam_y", "cam_z"))
+    local = g.row_times(away, g.euler_matrix(*g.vector("cam_rx", "cam_ry", "cam_rz")))
+    px, py, inside = g.pinhole_pixel(local, F.col("fov"), height, width)
+    seen = rows.select("*", px.alias("px"), py.alias("py"), inside.alias("inside")).where("inside")
+    ray = F.xxhash64("building", "camera_id", "point_id").alias("ray_id")
+    beams = seen.select("building", ray, *[F.col(f"cam_{a}").alias(f"o{a}") for a in "xyz"], *[d.alias(f"d{a}") for d, a in zip(away, "xyz", strict=True)])
+    first = cast_rays(beams, triangles, first_only=True).select("building", "ray_id", F.col("face_id").alias("hit"))
+    out = seen.select("building", "camera_id", "point_id", "face_id", "px", "py", ray).join(first, ["building", "ray_id"], "left")
+    return out.select("building", "camera_id", "point_id", "face_id", "px", "py", F.coalesce(F.col("hit") == F.col("face_id"), F.lit(False)).alias("visible"))

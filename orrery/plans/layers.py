@@ -34,7 +34,7 @@ def building_layer(points: DataFrame, attributes: DataFrame, voxel_size: float =
     out = _vectors(box).join(grid, "building").join(_swap(extent, compat), "building")
     out = out.withColumn("voxel", F.struct(F.lit(voxel_size).alias("size"), res.alias("resolution"), F.array(*[f"grid_{a}" for a in "xyz"]).alias("low")))
     out = out.drop(*[f"{n}_{a}" for n in ("res", "grid") for a in "xyz"])
-    named = attributes.select(F.col("model").alias("building"), F.col("gibson_split").alias("split"), F.col("bldg_function").alias("function"), F.col("floors").alias("num_floors"))
+    named = attributes.select(F.col("model").alias("building"), "split", F.col("bldg_function").alias("function"), F.col("floors").alias("num_floors"))
     return out.join(named, "building", "left").withColumn("reference_point", F.array(*[F.lit(0.0)] * 3))
 
 

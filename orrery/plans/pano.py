@@ -122,3 +122,63 @@ def upsample(pixels: DataFrame, options: PanoOptions = PanoOptions()) -> DataFra
     step = options.stride
     coarse = pixels.withColumn("r", (F.col("r") / step).cast("int")).withColumn("c", (F.col("c") / step).cast("int"))
     return raster.enlarge(coarse, step)
+
+
+def bicubic(image, rows, columns):
+    """Samples of an (h, w, channels) image at real places; columns wrap around, rows stop at the edge."""
+    import numpy as np
+
+    h, w = image.shape[:2]
+    top, left = np.floor(rows).astype(int), np.floor(columns).astype(int)
+
+    def weights(t):
+        a = -0.75
+        near, far = lambda x: (a + 2) * x**3 - (a + 3) * x**2 + 1, lambda x: a * x**3 - 5 * a * x**2 + 8 * a * x - 4 * a
+        return [far(t + 1), near(t), near(1 - t), far(2 - t)]
+
+    down, across = weights(rows - top), weights(columns - left)
+    total = np.zeros((*rows.shape, image.shape[2]))
+    for i in range(4):
+        r = np.clip(top + i - 1, 0, h - 1)
+        for j in range(4):
+            total += (down[i] * across[j])[..., None] * image[r, (left + j - 1) % w]
+    return np.clip(np.rint(total), 0, 255).astype(np.uint8)
+
+
+def frame_images(panoramas: DataFrame, views: DataFrame) -> DataFrame:
+    """Pano, frame, content: the PNG of each view (fov, theta, phi, size) of each panorama
+    (pano, content). A task holds one panorama and paints one frame at a time; the views are few."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    from orrery.sources import png
+
+    kind = panoramas.schema["pano"].dataType.simpleString()
+    jobs = panoramas.select("pano", "content").crossJoin(F.broadcast(views.select("fov", "theta", "phi", "size")))
+
+    def paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                image = png.decode(row.content)[..., :3]
+                h, w = image.shape[:2]
+                half, span = np.tan(np.radians(row.fov) / 2), max(row.size - 1, 1)
+                side = (np.arange(row.size) / span * 2 - 1) * half
+                y, z = np.meshgrid(side, -side)
+                x = np.ones_like(y)
+                t, p = np.radians(row.theta), np.radians(-row.phi)
+                x, y = np.cos(t) * x - np.sin(t) * y, np.sin(t) * x + np.cos(t) * y
+                ux, uy = -np.sin(t), np.cos(t)
+                along = (ux * x + uy * y) * (1 - np.cos(p))
+                x, y, z = (
+                    x * np.cos(p) + uy * z * np.sin(p) + ux * along, y * np.cos(p) - ux * z * np.sin(p) + uy * along,
+                    z * np.cos(p) + (ux * y - uy * x) * np.sin(p),
+                )
+                longitude, latitude = np.arctan2(y, x), np.arcsin(z / np.sqrt(x * x + y * y + z * z))
+                columns = longitude / np.pi * (w - 1) / 2 + (w - 1) / 2
+                lines = -latitude / (np.pi / 2) * (h - 1) / 2 + (h - 1) / 2
+                frame = f"{row.fov}_{row.theta}_{row.phi}"
+                yield pd.DataFrame({"pano": [row.pano], "frame": [frame], "content": [png.encode(bicubic(image, lines, columns))]})
+
+    return jobs.mapInPandas(paint, f"pano {kind}, frame string, content binary")

@@ -124,3 +124,13 @@ def coloured(labels: DataFrame, palette: DataFrame, index: str, blend: DataFrame
     under = blend.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("red", "green", "blue")])
     mixed = {c: F.floor((F.col(c) + F.coalesce(F.col(f"__{c}"), F.lit(0))) / 2).cast("int") for c in ("red", "green", "blue")}
     return painted.join(under, list(keys), "left").withColumns(mixed).drop(*[f"__{c}" for c in mixed])
+
+
+def mask_images(masks: DataFrame, name: str, height: int, width: int) -> DataFrame:
+    """Name, content: white-on-black PNGs of amodal masks (name, mask, r, c), named <name>_mask_<mask>.
+    Only objects with both a visible and an occluded part are given."""
+    both = masks.groupBy(name).agg(F.count_distinct("mask").alias("n")).where("n = 2").select(name)
+    rows = masks.join(both, name, "left_semi").where((F.col("r") >= 0) & (F.col("r") < height) & (F.col("c") >= 0) & (F.col("c") < width))
+    white = {c: F.lit(255) for c in ("red", "green", "blue")}
+    named = rows.select(F.concat_ws("_mask_", F.col(name).cast("string"), "mask").alias("name"), "r", "c").distinct().withColumns(white)
+    return images(named, "name", height, width)

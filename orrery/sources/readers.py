@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 POSE_CSV = "camera string, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
 POSE_JSON = "field_of_view_rads double, camera_rotation_final array<double>, camera_location array<double>"
-BUILDING_CSV = "model string, gibson_split string, bldg_function string, floors int"
 
 
 def _stem(column: str = "_metadata.file_name"):
@@ -41,9 +40,11 @@ def read_frame_poses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_buildings(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """S3: building attributes; uuid columns are dropped and empty fields are null."""
+    """S3: building attributes; uuid columns are dropped, empty fields are null, and the column that names
+    the data set's split is called ``split`` whatever its prefix."""
     rows = spark.read.option("header", True).csv(path)
-    rows = rows.select([F.col(f"`{c}`").alias("model" if k == 0 else c) for k, c in enumerate(rows.columns) if "uuid" not in c.lower()])
+    named = lambda k, c: "model" if k == 0 else "split" if c.endswith("_split") else c
+    rows = rows.select([F.col(f"`{c}`").alias(named(k, c)) for k, c in enumerate(rows.columns) if "uuid" not in c.lower()])
     if "floors" in rows.columns:
         rows = rows.withColumn("floors", F.expr("try_cast(floors as int)"))
     return rows if model is None else rows.where(F.col("model") == model)

@@ -42,7 +42,7 @@ def test_poses(spark, tmp_path):
 
 
 def test_attribute_sheets(spark, tmp_path):
-    (tmp_path / "b.csv").write_text(",gibson_split,bldg_function,floors,my_uuid\nAllen,tiny,residential,2,u\nBeech,medium,residential,,u\n")
+    (tmp_path / "b.csv").write_text(",data_split,bldg_function,floors,my_uuid\nAllen,tiny,residential,2,u\nBeech,medium,residential,,u\n")
     rows = {r["model"]: r["floors"] for r in readers.read_buildings(spark, str(tmp_path / "b.csv")).collect()}
     assert rows == {"Allen": 2, "Beech": None}
     assert readers.read_buildings(spark, str(tmp_path / "b.csv"), "Allen").count() == 1
@@ -126,7 +126,7 @@ def world(spark, tmp_path):
 
 def test_layers_end_to_end(spark, tmp_path):
     vertices, faces, cornered, points = world(spark, tmp_path)
-    attributes = spark.createDataFrame([("cube", "tiny", "residential", 1)], "model string, gibson_split string, bldg_function string, floors int")
+    attributes = spark.createDataFrame([("cube", "tiny", "residential", 1)], "model string, split string, bldg_function string, floors int")
     buildings = kept(layers.building_layer(points, attributes, 0.25))
     from orrery.operators import aggregate
 
@@ -218,3 +218,27 @@ def test_panorama_end_to_end(spark):
     chairs = {r["inst"] for r in objects.where("class = 57").collect()}
     assert len(chairs) == 1 and pano.upsample(objects, pano.PanoOptions(stride=4)).count() == 16 * objects.count()
     assert pano.frame_map(spark, pano.PanoOptions(height=64, width=128), sizes=(20,), fovs=(90,), yaw_step=90).count() > 0
+
+
+def test_frames_of_a_panorama(spark):
+    image = np.zeros((32, 64, 3), dtype=np.uint8)
+    image[:, 32:] = 200
+    panos = spark.createDataFrame([("p", png.encode(image))], "pano string, content binary")
+    views = spark.createDataFrame([(90, 0, 0, 9), (90, 90, 0, 9)], "fov int, theta int, phi int, size int")
+    frames = {r["frame"]: png.decode(r["content"]) for r in pano.frame_images(panos, views).collect()}
+    assert frames["90_0_0"].shape == (9, 9, 3) and frames["90_0_0"][4, 0, 0] == 0 and frames["90_0_0"][4, 8, 0] == 200
+    assert (frames["90_90_0"][2:7, 2:7] == 200).all()
+    assert (pano.bicubic(image, np.array([3.0]), np.array([40.0])) == 200).all()
+
+
+def test_visible_points_and_masks(spark):
+    from orrery.operators import relations
+
+    quad = lambda k, z: (("b", k, -1.0, -1.0, z, 1.0, -1.0, z, 0.0, 1.0, z))
+    triangles = spark.createDataFrame([quad(1, -2.0), quad(2, -4.0)], "building string, face_id long, " + ", ".join(f"{p}{x} double" for p in "abc" for x in "xyz"))
+    points = spark.createDataFrame([("b", 10, 1, 0.0, 0.0, -2.0), ("b", 20, 2, 0.0, 0.0, -4.0), ("b", 30, 2, 0.9, -0.9, -4.0), ("b", 40, 1, 0.0, 0.0, 2.0)], "building string, point_id long, face_id long, x double, y double, z double")
+    cameras = spark.createDataFrame([("b", 1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.5), ("b", 2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 6.3)], "building string, camera_id long, x double, y double, z double, rx double, ry double, rz double, fov double")
+    seen = relations.visible_points(points, cameras, triangles, 100, 100).collect()
+    assert {(r["camera_id"], r["point_id"]): r["visible"] for r in seen} == {(1, 10): True, (1, 20): False, (1, 30): False}
+    masks = spark.createDataFrame([("k", "viz", 0, 0), ("k", "occ", 1, 1), ("m", "viz", 0, 0)], "obj string, mask string, r int, c int")
+    assert {r["name"] for r in png.mask_images(masks, "obj", 4, 4).collect()} == {"k_mask_viz", "k_mask_occ"}
