@@ -7,8 +7,9 @@ full shingle sets.
 
 Only components are asked for, so a bucket never expands into all its pairs:
 
-1. Documents with equal sets are one class at once, and each bucket's members are compared with
-   one centre. Most buckets are then inside one component and are done.
+1. Documents with equal sets are one class at once. Each bucket has a centre, and each document is
+   compared with the centres it meets most often. Most buckets are then inside one component and
+   are done.
 2. Of small buckets that still hold several components, the pairs across components are
    compared, a bounded number for each member.
 3. Large ones are joined up into families. A family's members are dealt into blocks of a bounded
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.rows import ROW, with_row_key
@@ -38,6 +39,8 @@ from orrery.staging import Stages
 NEAR_ROWS = 100_000
 #: Members that one task compares with a centre before the group is split further.
 GROUP = 256
+#: Centres that a member is compared with in the first round.
+CENTRES = 2
 #: Buckets up to this size are resolved pair by pair, larger ones by blocks.
 SMALL = 32
 #: Shingles of a block, on average.
@@ -274,7 +277,10 @@ def _near_duplicates(keyed: DataFrame, unique: bool, doc_id: str, text: str, per
 
     sized = "100 * least(size, a_size) >= {0} * greatest(size, a_size)".format(percent)
     firsts = shared.where("b = first").select("bucket", F.col("b").alias("a"), F.col("size").alias("a_size"))
-    pairs = stages.save(shared.where("b <> first").join(firsts, "bucket").where(sized).select("a", "b").distinct(), "pairs")
+    meetings = shared.where("b <> first").join(firsts, "bucket").where(sized).groupBy("a", "b").agg(F.count("*").alias("n"))
+    # Of the centres that a member meets, at most one a band, those it meets most often.
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
+    pairs = stages.save(meetings.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("a", "b"), "pairs")
     links = stages.save(_confirmed(keyed, pairs, ROW, text, percent, stages), "links")
     label = stages.save(components(links, "a", "b"), "labels")
 
