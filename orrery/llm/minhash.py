@@ -271,8 +271,11 @@ def _near_duplicates(keyed: DataFrame, unique: bool, doc_id: str, text: str, per
     classes = stages.save(marks.where("n_shingles > 0").groupBy("digest").agg(F.min("key").alias("class")), "classes")
     heads = marks.join(classes.select(F.col("class").alias("key")), "key", "left_semi")
     met = heads.select(F.col("key").alias("b"), F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
-    crowds = met.groupBy("bucket").agg(F.min("b").alias("first"), F.count("*").alias("crowd")).where("crowd > 1")
-    shared = stages.save(met.join(crowds, "bucket"), "shared")
+    # Dealt once: the buckets' counts and the join back both read this exchange, as both need all its
+    # columns. A bucket holds a row per member, of one band, so none is a large part of all rows.
+    met = met.repartition("bucket")
+    crowds = met.groupBy("bucket").agg(F.min("b").alias("first"), F.count("*").alias("crowd"), F.max("size").alias("longest"))
+    shared = stages.save(met.join(crowds.where("crowd > 1"), "bucket"), "shared")
     largest = shared.agg(F.max("crowd")).first()[0] or 0
 
     sized = "100 * least(size, a_size) >= {0} * greatest(size, a_size)".format(percent)
