@@ -43,8 +43,8 @@ GROUP = 256
 CENTRES = 2
 #: Buckets up to this size are resolved pair by pair, larger ones by blocks.
 SMALL = 32
-#: Shingles of a block, on average.
-BLOCK = 1 << 20
+#: Shingles and documents of a block at most, on average.
+BLOCK, BLOCK_DOCS = 1 << 20, 1 << 13
 _U32 = np.uint32
 _CELLS = 1 << 16
 
@@ -175,7 +175,6 @@ def _block_links(ids: list[int], parts: list[int], sides: list[bool], sets: list
     owner, at = owner[order], at[order]
     side = np.array(sides)
     left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() and not side.all() else (np.arange(len(ids)),) * 2
-    place = np.zeros(len(ids), dtype=np.int64)
     parent = {p: p for p in parts}
 
     def root(p: int) -> int:
@@ -184,18 +183,22 @@ def _block_links(ids: list[int], parts: list[int], sides: list[bool], sets: list
         return p
 
     found = []
-    width = 4096
+    # Both the matrix of a range of shingles and the counts of a range of rows stay at some 30 MB.
+    width, height = max(64, (1 << 23) // len(ids)), max(16, (1 << 23) // len(right))
     total = int(at[-1]) + 1 if len(at) else 0
-    for start in range(0, len(left), 512):
-        rows = left[start : start + 512]
+    for start in range(0, len(left), height):
+        rows = left[start : start + height]
         common = np.zeros((len(rows), len(right)), dtype=np.float32)
         for low in range(0, total, width):
             cut = slice(*np.searchsorted(at, [low, low + width]))
             one = np.zeros((len(ids), min(width, total - low)), dtype=np.float32)
             one[owner[cut], at[cut] - low] = 1
             common += one[rows] @ one[right].T
-        union = size[rows][:, None] + size[right][None, :] - common
-        for i, j in zip(*np.nonzero((100 * common >= percent * union) & (common > 0)), strict=True):
+        shared = common.astype(np.int64)
+        union = size[rows][:, None] + size[right][None, :] - shared
+        label = np.array([root(p) for p in parts])
+        linked = (100 * shared >= percent * union) & (shared > 0) & (label[rows][:, None] != label[right][None, :])
+        for i, j in zip(*np.nonzero(linked), strict=True):
             a, b = int(rows[i]), int(right[j])
             if root(parts[a]) != root(parts[b]):
                 parent[root(parts[a])] = root(parts[b])
@@ -209,7 +212,8 @@ def _family_links(docs: DataFrame, state: DataFrame, key: str, text: str, percen
     ties = state.join(heads, "bucket").select("head", "b").distinct()
     family = components(ties, "head", "b").select(F.col("node").alias("b"), F.col("component").alias("family"))
     members = stages.save(state.select("b", "size", "part").distinct().join(family, "b"), "members")
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    need = F.greatest(F.sum("size") / BLOCK, F.count("*") / BLOCK_DOCS)
+    blocks = members.groupBy("family").agg(F.ceil(need).cast("int").alias("blocks"))
     members = members.join(blocks, "family").withColumn("block", F.abs(F.hash("b")) % F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = members.select(F.col("b").alias("key"), "family", "part", "block", other)
