@@ -47,8 +47,9 @@ def permuted(slot: str, size: str, key: str) -> Column:
     """
     k = _mix("r * 7919", f"{key} + 1")
     partner = f"(({k}) % s.size + s.size - s.x) % s.size"
-    bit = f"({_mix(f'greatest(s.x, {partner})', f'{key} + r * 104729 + 11')} div 65536) % 2"
-    step = f"CASE WHEN {bit} = 1 THEN {partner} ELSE s.x END"
+    bit = f"({_mix('greatest(s.x, p)', f'{key} + r * 104729 + 11')} div 65536) % 2"
+    # The one-element array gives the partner a name, so that it is computed once.
+    step = f"transform(array({partner}), p -> CASE WHEN {bit} = 1 THEN p ELSE s.x END)[0]"
     start = f"named_struct('x', cast({slot} AS bigint), 'size', cast({size} AS bigint))"
     rounds = f"sequence(1L, {ROUNDS}L)"
     return F.expr(f"aggregate({rounds}, {start}, (s, r) -> named_struct('x', {step}, 'size', s.size), s -> s.x)")
@@ -135,7 +136,9 @@ class Mix:
     def _numbered(self, table: DataFrame, count: str, keep: list[str]) -> DataFrame:
         """``count`` rows for each row of ``table``, numbered by ``i``: in chunks, dealt out before they expand."""
         chunks = table.where(F.col(count) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / CHUNK).cast("long"))))
-        dealt = chunks.repartition(*[F.col(c) for c in [*keep, "chunk"]])
+        # A given number of partitions: by their bytes these few rows would be put together again.
+        ways = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = chunks.repartition(ways, *[F.col(c) for c in [*keep, "chunk"]])
         last = F.least((F.col("chunk") + 1) * CHUNK, F.col(count)) - 1
         return dealt.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk")
 
