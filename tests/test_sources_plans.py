@@ -42,13 +42,13 @@ def test_poses(spark, tmp_path):
 
 
 def test_attribute_sheets(spark, tmp_path):
-    (tmp_path / "b.csv").write_text(",data_split,bldg_function,floors,my_uuid\nAllen,tiny,residential,2,u\nBeech,medium,residential,,u\n")
+    (tmp_path / "b.csv").write_text(",data_split,bldg_function,floors,my_uuid\nnorth,small,residential,2,u\nsouth,medium,residential,,u\n")
     rows = {r["model"]: r["floors"] for r in readers.read_buildings(spark, str(tmp_path / "b.csv")).collect()}
-    assert rows == {"Allen": 2, "Beech": None}
-    assert readers.read_buildings(spark, str(tmp_path / "b.csv"), "Allen").count() == 1
-    (tmp_path / "o.csv").write_text("Allen,,,,,,Beech,,,,,\ni,c,t,v,m1,m2,i,c,t,v,m1,m2\n1,chair,soft,,wood,,11,bed,,lined,,\n21,cup,,,glass,metal,,,,,,\n")
+    assert rows == {"north": 2, "south": None}
+    assert readers.read_buildings(spark, str(tmp_path / "b.csv"), "north").count() == 1
+    (tmp_path / "o.csv").write_text("north,,,,,,south,,,,,\ni,c,t,v,m1,m2,i,c,t,v,m1,m2\n1,chair,soft,,wood,,11,bed,,lined,,\n21,cup,,,glass,metal,,,,,,\n")
     got = {(r["model"], r["instance"]): (r["class"], r["tactile_texture"], r["visual_texture"], r["material"]) for r in readers.read_object_attributes(spark, str(tmp_path / "o.csv")).collect()}
-    assert got == {("Allen", 1): ("chair", "soft", None, ["wood"]), ("Allen", 21): ("cup", None, None, ["glass", "metal"]), ("Beech", 11): ("bed", None, "lined", [])}
+    assert got == {("north", 1): ("chair", "soft", None, ["wood"]), ("north", 21): ("cup", None, None, ["glass", "metal"]), ("south", 11): ("bed", None, "lined", [])}
     (tmp_path / "a.csv").write_text("class,actions\nchair,sit on,move,\nbed,lie on\n")
     assert {r["class"]: r["actions"] for r in readers.read_affordances(spark, str(tmp_path / "a.csv")).collect()} == {"chair": ["sit on", "move"], "bed": ["lie on"]}
     (tmp_path / "p.txt").write_text("154,154,154\n1,2,3\n")
