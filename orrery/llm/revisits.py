@@ -128,9 +128,9 @@ def records_of(pages: DataFrame) -> DataFrame:
 
 
 def as_rows(resolved: DataFrame) -> DataFrame:
-    """Headers as sorted ``name: value`` lines, a form that any engine can compare."""
+    """A form that any engine can compare: headers as sorted ``name: value`` lines, and -1 for no response."""
     lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
-    return resolved.withColumn("headers", lines)
+    return resolved.withColumn("headers", lines).withColumn("refers_to", F.coalesce("refers_to", F.lit(-1).cast("long")))
 
 
 ORACLE_SQL = r"""
@@ -165,7 +165,7 @@ judged AS (
                  WHEN modified IS NOT NULL THEN CASE WHEN modified IS NOT DISTINCT FROM f.modified THEN 'resolved' ELSE 'validator_mismatch' END
                  ELSE 'no_validator' END AS verdict
   FROM joined)
-SELECT record_id, canonical, date, status, verdict, CASE WHEN status = 304 AND canonical IS NOT NULL AND date IS NOT NULL THEN f.id END AS refers_to,
+SELECT record_id, canonical, date, status, verdict, coalesce(CASE WHEN status = 304 AND canonical IS NOT NULL AND date IS NOT NULL THEN f.id END, -1) AS refers_to,
        concat_ws(chr(10),
          CASE WHEN status = 200 THEN 'cache-control: max-age=60' ELSE 'cache-control: max-age=600' END,
          CASE WHEN status = 200 OR verdict = 'resolved' THEN 'content-type: text/html' END,
