@@ -252,6 +252,15 @@ def _meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").where("l_quantity >= 47").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("face"))
 
 
+@query("""SELECT a.l_partkey AS a, b.l_partkey AS b, count(DISTINCT a.l_orderkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL""")
+def cooccurrence_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.cooccurrence(_meeting_all(spark, sf_dir), "part", ["face"])
+
+
+def _meeting_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("face"))
+
+
 @query("""SELECT p_partkey, p_size FROM part WHERE p_size IN (SELECT 1 UNION SELECT unnest(range(40, 51)))""")
 def class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([(1,), *((k,) for k in range(40, 51))], "p_size int")
@@ -280,6 +289,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.instance_clusters(_meeting(spark, sf_dir), "part", ["face"])
 
 
+# Recursive SQL reaches every pair of the one large component; tests compare with a union-find.
+@query()
+def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.instance_clusters(_meeting_all(spark, sf_dir), "part", ["face"])
+
+
 @query(f"""WITH RECURSIVE {P}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.05 * 0.05),
 reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
@@ -567,12 +582,26 @@ def densify_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.densify(members, length, [], "position", "id", F.col("id"))
 
 
+@query("""WITH n AS (SELECT CAST(max(l_partkey) + 1 AS BIGINT) AS n FROM lineitem), last AS (SELECT l_partkey AS position, max(l_suppkey) AS id FROM lineitem GROUP BY ALL)
+SELECT position, coalesce(id, 0) AS id FROM (SELECT unnest(range(n)) AS position FROM n) LEFT JOIN last USING (position)""")
+def densify_faces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem")
+    length = lines.agg((F.max("l_partkey") + 1).alias("n"))
+    return aggregate.densify(lines.select(F.col("l_partkey").alias("position"), F.col("l_suppkey").alias("id")), length, [], "position", "id", F.col("id"))
+
+
 @query("""SELECT l_suppkey, array_to_string(list_sort(list(l_partkey)), ',') AS faces FROM lineitem WHERE l_quantity >= 47 GROUP BY l_suppkey""")
 def group_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = aggregate.listed(_read(spark, sf_dir, "lineitem").where("l_quantity >= 47"), ["l_suppkey"], "l_partkey")
     return lists.select("l_suppkey", F.array_join(F.transform("l_partkey", lambda p: p.cast("string")), ",").alias("faces"))
 
 
+@query("""SELECT l_suppkey, array_to_string(list_sort(list(l_partkey)), ',') AS faces FROM lineitem GROUP BY l_suppkey""")
+def group_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = aggregate.listed(_read(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_partkey")
+    return lists.select("l_suppkey", F.array_join(F.transform("l_partkey", lambda p: p.cast("string")), ",").alias("faces"))
+
+
 @query("""SELECT model, CAST(p_partkey AS INTEGER) AS instance, class, tactile, CAST(NULL AS VARCHAR) AS visual, material FROM (
 SELECT 'm1' AS model, p_partkey, p_brand AS class, p_type AS tactile, p_brand || '/' || p_size AS material FROM part UNION ALL
 SELECT 'm2', p_partkey + 1, p_type, p_brand, CAST(p_size AS VARCHAR) FROM part)""")
