@@ -99,8 +99,8 @@ def decide(
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`decide` keeps; one row of each group.
 
-    Where rows repeat an id, those of one text with that id are told apart by all their columns,
-    and of wholly identical rows one stays.
+    Where rows repeat an id or have none, those of one text with that id are told apart by all
+    their columns, and of wholly identical rows one stays. A null id orders last.
     """
     verdict = decide(docs, doc_id, text).where("kept")
     stages = Stages(docs.sparkSession, "dedup")
@@ -108,18 +108,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     kept = docs.join(verdict.select(F.col("doc_id").alias("__keep"), F.col("rows").alias("__rows")), docs[doc_id].cast("long") == F.col("__keep"))
     if verdict.where("rows > 1").isEmpty() and not _repeats(docs, doc_id):
         return kept.select(*[docs[c] for c in docs.columns])
-    # An id that several rows carry: of its rows whose id won their content's group, one stays a content.
+    # An id that several rows carry, or none: of its rows whose id won their content's group, one stays a content.
     raw = F.coalesce(F.col(text), F.lit(""))
     marked = docs.withColumns({"__content": F.regexp_replace(raw, SPACE, ""), "__size": F.length(raw)})
     order = F.struct("__size", F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in docs.columns]))
     best = marked.groupBy("__content").agg(
-        F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("__size"), -F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)), order)).alias("row")
+        F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("__size"), F.bitwise_not(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))), order)).alias("row")
     )
     return best.select("row.*")
 
 
 def _repeats(docs: DataFrame, doc_id: str) -> bool:
-    return not docs.groupBy(doc_id).count().where("count > 1").isEmpty()
+    """Whether an id does not name one row: it occurs twice, or is null."""
+    ids = docs.select(F.col(doc_id).cast("long").alias("id"))
+    return not ids.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty()
 
 
 def as_contract(decided: DataFrame) -> DataFrame:

@@ -50,6 +50,16 @@ def test_keep_one_keeps_one_row_of_each_text(spark):
     assert got == [(-1, "z"), (1, "a"), (2, "b "), (3, "q")]
 
 
+def test_keep_one_with_one_null_id(spark):
+    kept = lambda rows: sorted((r["doc_id"] or -1, r["text"]) for r in exact_dedup.keep_one(docs_of(spark, rows)).collect())
+    rows = [(1, "a"), (2, "b"), (3, "b  ")]
+    assert kept([*rows, (None, "z")]) == [(-1, "z"), (1, "a"), (3, "b  ")]
+    assert kept([*rows, (None, "b   ")]) == [(-1, "b   "), (1, "a")]
+    assert kept([*rows, (None, "b  ")]) == [(1, "a"), (3, "b  ")]
+    assert kept([*rows, (None, "b   "), (None, "z")]) == [(-1, "b   "), (-1, "z"), (1, "a")]
+    assert kept([(-(2**63), "a"), (None, "a"), (5, "a")]) == [(-(2**63), "a")]
+
+
 def test_empty_table(spark):
     empty = docs_of(spark, [(1, "a")]).limit(0)
     assert exact_dedup.decide(empty).count() == 0
