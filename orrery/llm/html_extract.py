@@ -2,9 +2,10 @@
 
 The standard library's streaming parser turns a page into lines, one for each block of text.
 A line's ratio of characters to tags, smoothed by a Gaussian along the page, and a threshold on
-it cluster lines into content and the rest. Content lines vote for the element that holds the
+it cluster lines into content and the rest. The element that holds all content lines is the
 article, and that element's lines, short ones too, are the text. Elements whose tag, role or
-class says that they are navigation, notices and the like never become lines.
+class says that they are navigation, notices and the like never become lines; inside an article
+or main element, a class alone says so only of what has a low ratio.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ NAMES = frozenset(
     "comment comments commentlist discussion disqus replies reply respond login toolbar skip disclaimer".split()
 )
 HEADERS = frozenset({"header", "masthead"})
+#: Texts by readers, which no ratio tells from the article's.
+READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
 HOLDERS = frozenset("article main section div td body".split())
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -55,6 +58,7 @@ class Line:
     text: str
     tags: int
     path: tuple[int, ...]  # the open holders, outermost first
+    doubts: tuple[int, ...] = ()  # the open elements inside an article that only a name speaks against
 
 
 @dataclass
@@ -62,6 +66,7 @@ class _Open:
     tag: str
     skipped: bool
     holder: int | None
+    doubt: int | None = None
 
 
 @dataclass
@@ -76,19 +81,22 @@ class LineParser(HTMLParser):
         self.chunks: list[str] = []
         self.tags = 0
         self.holders = 0
+        self.doubts = 0
         self.named: list[int] = []  # holders that are an article or main element
 
     def _break(self) -> None:
         text = _SPACE.sub(" ", "".join(self.chunks)).strip()
         if text:
-            self.lines.append(Line(text, self.tags, tuple(e.holder for e in self.stack if e.holder is not None)))
+            path = tuple(e.holder for e in self.stack if e.holder is not None)
+            self.lines.append(Line(text, self.tags, path, tuple(e.doubt for e in self.stack if e.doubt is not None)))
             self.tags = 0
         self.chunks = []
 
     def _skipping(self) -> bool:
         return bool(self.stack) and self.stack[-1].skipped
 
-    def _unwanted(self, tag: str, attrs: dict[str, str]) -> bool:
+    def _unwanted(self, tag: str, attrs: dict[str, str]) -> bool | None:
+        """Whether the element goes; None where the ratio has to say."""
         if tag in NEVER:
             return True
         if tag in ("html", "body", "main"):
@@ -104,7 +112,9 @@ class LineParser(HTMLParser):
         if tag == "article":
             return bool({"comment", "comments", "ad", "advert", "promo"} & set(names.split()))
         words = set(_WORD.findall(names)) & NAMES
-        return bool(words - HEADERS if inside else words)
+        if inside and tag in BLOCKS and words and not words & READERS:
+            return None if words - HEADERS else False
+        return bool(words)
 
     def _close(self, k: int) -> None:
         self._break()
@@ -131,7 +141,11 @@ class LineParser(HTMLParser):
             self._break()
         if tag in VOID:
             return
-        skipped = self._skipping() or self._unwanted(tag, {k: v or "" for k, v in attrs})
+        unwanted = self._skipping() or self._unwanted(tag, {k: v or "" for k, v in attrs})
+        skipped, doubt = bool(unwanted), None
+        if unwanted is None:
+            doubt = self.doubts
+            self.doubts += 1
         if skipped and not self._skipping():
             self._break() if tag in BLOCKS else None
         holder = None
@@ -140,7 +154,7 @@ class LineParser(HTMLParser):
             self.holders += 1
             if tag in ("article", "main"):
                 self.named.append(holder)
-        self.stack.append(_Open(tag, skipped, holder))
+        self.stack.append(_Open(tag, skipped, holder, doubt))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -178,37 +192,44 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, kernel)[radius:-radius] / np.convolve(np.ones_like(ratios), kernel)[radius:-radius]
 
 
-def main_lines(parser: LineParser, share: float = 0.5) -> list[Line]:
+def sure_lines(lines: list[Line]) -> list[Line]:
+    """Without the lines of named elements whose characters to tags are below half the mean ratio of the other lines."""
+    least = min((len(line.doubts) for line in lines), default=0)
+    plain = [line for line in lines if len(line.doubts) == least]  # where a name is around all, those with no more than that
+    if len(plain) == len(lines):
+        return lines
+    others = [len(line.text) / max(1, line.tags) for line in plain]
+    around = {k for line in plain for k in line.doubts}
+    chars: dict[int, int] = {}
+    tags: dict[int, int] = {}
+    for line in lines:
+        for k in line.doubts:
+            chars[k] = chars.get(k, 0) + len(line.text)
+            tags[k] = tags.get(k, 0) + line.tags
+    low = {k for k in chars.keys() - around if chars[k] / max(1, tags[k]) < np.mean(others) / 2}
+    return [line for line in lines if not low.intersection(line.doubts)]
+
+
+def main_lines(parser: LineParser) -> list[Line]:
     """The lines of the element that holds the content.
 
-    Lines whose smoothed ratio reaches the threshold are content. From the outermost element
-    inwards, the one that holds more than ``share`` of the content characters is entered as
-    long as there is one; an article or main element ends the descent.
+    Lines whose smoothed ratio reaches the threshold are content. An element is left for one
+    inside it only where no content line lies outside that: the outermost article or main element
+    that holds all content lines is taken, or else the innermost other element that does.
     """
-    lines = parser.lines
+    lines = sure_lines(parser.lines)
     if not lines:
         return []
     ratios = np.array([len(line.text) / max(1, line.tags) for line in lines])
     ratio = smoothed(ratios)
     content = ratio >= min(ratio.mean(), ratio.std()) if ratio.std() > 0 else np.ones(len(lines), bool)
-    weight = np.where(content, [len(line.text) for line in lines], 0)
-    if not weight.sum():
-        weight = np.array([len(line.text) for line in lines])
-    total = weight.sum()
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for line, w in zip(lines, weight, strict=True):
-        for d, h in enumerate(line.path):
-            held[h] = held.get(h, 0) + int(w)
-            depth[h] = d
-    named = [h for h in parser.named if held.get(h, 0) > share * total]
-    if named:
-        best = min(named, key=lambda h: depth[h]) if any(depth[h] >= 0 for h in named) else named[0]
-        inner = [h for h in named if depth[h] > depth[best]]
-        best = max(inner, key=lambda h: depth[h], default=best)
-    else:
-        strong = [h for h in held if held[h] >= 0.9 * total]
-        best = max(strong, key=lambda h: depth[h], default=None)
+    if not content.any():
+        content = np.ones(len(lines), bool)
+    paths = [line.path for line, c in zip(lines, content, strict=True) if c]
+    shared = set(paths[0]).intersection(*paths[1:])
+    around = [h for h in paths[0] if h in shared]
+    named = [h for h in around if h in set(parser.named)]
+    best = named[0] if named else around[-1] if around else None
     return [line for line in lines if best is None or best in line.path]
 
 

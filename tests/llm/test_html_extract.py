@@ -27,6 +27,23 @@ def test_pages(html):
     assert hx.extract(html) == CASES[html].strip()
 
 
+BODY = "w" * 50 + " "
+WHOLE = {
+    f"<body><div id=page><h1>Title</h1><p>lead</p><div class=text>{BODY * 40}</div></div>": "Title lead " + BODY * 40,
+    f"<div><p>intro</p><section>{BODY * 60}</section><section>{BODY}</section></div>": "intro " + BODY * 61,
+    f"<main><h1>Title</h1><p>by A</p><p>today</p><article><p>on</p><p>{BODY * 40}</p></article></main>": "Title by A today on " + BODY * 40,
+    f"<body><article><p>{BODY * 5}</p></article><article><p>{BODY * 4}</p></article></body>": BODY * 9,
+    f"<article><p>{BODY * 3}</p><div class=notice><p>{BODY * 3}</p></div><div class='share'><a>x</a> <a>y</a></div></article>": BODY * 6,
+    f"<article><div class='with-sidebar'><p>{BODY * 3}</p><p>{BODY * 3}</p><div class=ad>buy</div></div></article>": BODY * 6,
+    f"<article><h1>T</h1><section id=discussion><p>{BODY * 3}</p><p>{BODY * 3}</p></section><div id=comments><p>{BODY * 3}</p></div></article>": "T " + BODY * 6,
+}
+
+
+@pytest.mark.parametrize("html", WHOLE)
+def test_whole_texts(html):
+    assert hx.extract(html) == WHOLE[html].strip()
+
+
 def test_smoothing_is_normalised():
     assert np.allclose(hx.smoothed(np.ones(7)), 1)
     peak = hx.smoothed(np.array([0.0, 0, 0, 9, 0, 0, 0]))
