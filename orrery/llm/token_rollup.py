@@ -85,9 +85,11 @@ class RollupStore:
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
 
-def roll_up(store: RollupStore, slim: DataFrame) -> DataFrame:
+def roll_up(store: RollupStore, slim: DataFrame, restore: bool = False) -> DataFrame:
     """Three batches over a corpus, given by its :func:`measured` rows, one batch delivered twice: all
-    documents under ``words-1``; English ones revised to ``words-2``; documents of fewer than 20 words deleted."""
+    documents under ``words-1``; English ones revised to ``words-2``; documents of fewer than 20 words deleted.
+    With ``restore`` a fourth batch has the deleted ones again, and inserts each document under the other
+    version too, so the totals are those of the whole corpus by version."""
     one = slim.select("source", "lang", F.lit("words-1").alias("tokenizer"), F.col("words_1").alias("tokens"), "words_1")
     two = slim.select("source", "lang", F.lit("words-2").alias("tokenizer"), F.col("words_2").alias("tokens"), "words_1")
     english = F.col("lang").eqNullSafe("en")
@@ -96,6 +98,8 @@ def roll_up(store: RollupStore, slim: DataFrame) -> DataFrame:
         store.commit("0002-english", revised(one.where(english), two.where(english)))
     short = F.col("words_1") < 20
     store.commit("0003-short", signed(one.where(short & ~english), -1).unionByName(signed(two.where(short & english), -1)))
+    if restore:
+        store.commit("0004-whole", signed(one.where(short | english), 1).unionByName(signed(two.where(short | ~english), 1)))
     return store.totals()
 
 
@@ -117,3 +121,12 @@ SELECT source, lang, CASE WHEN lang = 'en' THEN 'words-2' ELSE 'words-1' END AS
        CAST(sum(CASE WHEN lang = 'en' THEN words_2 ELSE words_1 END) AS BIGINT) AS n_tokens
 FROM counted WHERE words_1 >= 20 GROUP BY 1, 2, 3
 """
+
+#: With ``restore``.
+WHOLE_SQL = rf"""
+WITH counted AS (
+  SELECT source, lang, unnest(['words-1', 'words-2']) AS tokenizer,
+         unnest([coalesce(len(regexp_extract_all(text, '{PATTERNS["words-1"]}')), 0), coalesce(len(regexp_extract_all(text, '{PATTERNS["words-2"]}')), 0)]) AS words
+  FROM documents)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM counted GROUP BY 1, 2, 3
+"""

@@ -50,3 +50,18 @@ def test_counts(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "text string, source string, lang string, tokens long")
     assert tr.roll_up(store_of(spark), tr.measured(empty)).count() == 0
+
+
+def test_restored_totals_are_those_of_the_whole_table(spark, tmp_path):
+    import duckdb
+
+    from orrery.llm import queries, token_rollup
+
+    rows = [(k, text, lang, source) for k, (text, lang, source) in enumerate([("a b, c", "en", "s"), ("w " * 30, "en", "s"), ("x y", "de", "s"), ("z. " * 25, "de", None), (None, None, "t")])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["source", "lang", "tokenizer", "n_docs", "n_tokens"]
+    got = queries.QUERIES["op4_token_rollup_all"](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.sql(token_rollup.WHOLE_SQL).fetchall(), key=str)
+    assert sum(r["n_docs"] for r in got) == 2 * len(rows)
