@@ -2,11 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.staging import Stages
 
+#: Up to this many edges (16 bytes each) one task joins them up; more are joined up by rounds over all tasks.
+FEW_EDGES = 50_000
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a[i], b[i]), ascending, and each one's smallest reachable node.
+
+    Every node's label falls to the least among its neighbours' until nothing changes; labels of
+    labels are followed in between, so long chains need few turns.
+    """
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, left, right = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while True:
+        low = np.minimum(label[left], label[right])
+        fresh = label.copy()
+        for ends in (left, right, label[left], label[right]):
+            np.minimum.at(fresh, ends, low)
+        while not np.array_equal(fresh, fresh[fresh]):
+            fresh = fresh[fresh]
+        if np.array_equal(fresh, label):
+            return nodes, nodes[label]
+        label = fresh
+
+
+def _joined_up(edges: DataFrame) -> DataFrame:
+    """Components of a small edge table (a, b) in one task."""
+    schema = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if held:
+            found = least_reachable(*(np.concatenate(side) for side in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in found], schema=schema)
+
+    return edges.coalesce(1).mapInArrow(work, "node long, component long")
+
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table.
@@ -14,40 +54,42 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     Returns one row per node that occurs in an edge: ``node``, ``component`` (its smallest
     reachable node). Rows with a null end are ignored, a self-loop is a component of its own,
     repeated edges count once, and an empty table gives an empty result. Other columns are
-    ignored. Alternating large-star and small-star steps need a number of rounds that is
-    logarithmic in practice; every round is cut into a stage table, so a lost executor costs
-    one round at most.
+    ignored. A table of at most ``FEW_EDGES`` edges is joined up by one task. Larger ones alternate
+    large-star and small-star steps, whose number is logarithmic in practice; every step's minima
+    and every round are cut into stage tables, so a lost executor costs one round at most, and a
+    hub's edges meet its minimum in a join whose skewed side Spark can split.
     """
     spark = edges.sparkSession
     stages = Stages(spark, "components")
     pairs = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).na.drop()
-    nodes = stages.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    links = stages.save(
-        pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
-    )
+    pairs, edges_ = stages.save_counted(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "pairs")
+    if edges_ <= FEW_EDGES:
+        return _joined_up(pairs)
+    links = stages.save(pairs.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         # Large star: the greater neighbours of a node link to the least of the node and its neighbours.
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stages.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stages.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # Small star: a node and its smaller neighbours link to the least of those.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        least_small = stages.save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least_small, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         )
         small = small.select("e.u", "e.v").where("u <> v").distinct()
         before, links = links, stages.save(small, "links")
-        stages.drop(before)
+        stages.drop(before, least, large, least_small)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
         seen = tuple(state)
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-    return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component")
-    )
+    # Every node but a component's least one is now linked to that one alone.
+    loops = pairs.where("a = b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rows = links.union(loops).union(links.select(F.col("v").alias("u"), "v"))
+    return rows.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
 def instance_clusters(members: DataFrame, instance: str, element: list[str]) -> DataFrame:

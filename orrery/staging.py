@@ -6,7 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -43,10 +44,18 @@ class Stages:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        if self._n == 1:  # what no caller drops goes when the session ends
+            root, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root), self.spark.sparkContext._jsc.hadoopConfiguration()
+            root.getFileSystem(conf).deleteOnExit(root)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._orrery_stage = path
         return back
 
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Like :meth:`save`, with the number of rows written, which takes no further job."""
+        rows = Observation()
+        return self.save(df.observe(rows, F.count(F.lit(1)).alias("n")), name), int(rows.get["n"])
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete stage tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
