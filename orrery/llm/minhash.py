@@ -5,18 +5,19 @@ shifted circularly by k, gives coordinate k of the signature, so two permutation
 coordinates. Bands of coordinates name buckets, and what meets in a bucket is confirmed on the
 full shingle sets.
 
-Only components are asked for, so a bucket never expands into all its pairs:
+Only components are asked for, so a large bucket never expands into its pairs:
 
 1. Documents with equal sets are one class at once. Each bucket has a centre, and each document is
    compared with the centres it meets most often. Most buckets are then inside one component and
    are done.
-2. Of small buckets that still hold several components, the pairs across components are
-   compared, a bounded number for each member.
-3. Large ones are joined up into families. A family's members are dealt into blocks of a bounded
+2. Of buckets of up to ``SMALL`` members that still hold several components, the pairs across
+   components are compared, a number for each member that ``SMALL`` bounds.
+3. Larger ones are joined up into families. A family's members are dealt into blocks of a bounded
    number of shingles, and blocks are compared by counting common shingles, giving only links
-   that connect something new. This is the exact way for what the bound of step 2 leaves out.
+   that connect something new.
 
-A pair that meets in a bucket is thus compared unless its ends are linked already.
+A pair that meets in a bucket is thus compared unless its ends are linked already. Links found in
+steps 2 and 3 join up the components of step 1, not the documents anew.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ CENTRES = 2
 SMALL = 32
 #: Shingles and documents of a block at most, on average.
 BLOCK, BLOCK_DOCS = 1 << 20, 1 << 13
+#: Cells of a matrix of a block comparison.
+CELLS = 1 << 20
 _U32 = np.uint32
 _CELLS = 1 << 16
 
@@ -121,8 +124,8 @@ def signatures(docs: DataFrame, key: str, text: str, banding: Banding) -> DataFr
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, ddl)
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: int, stages: Stages) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union.
+def _confirmed(docs: DataFrame, pairs: DataFrame, n_pairs: int, key: str, text: str, percent: int) -> DataFrame:
+    """Those (a, b) of the ``n_pairs`` ``pairs`` whose full sets have 100 * intersection >= percent * union.
 
     Every text travels once for each centre ``a`` it is compared with, and a hot centre's
     members are split over groups that each get a copy of the centre.
@@ -130,8 +133,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent:
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     members = pairs.join(sizes, "a").select(F.col("b").alias("key"), "a", (F.abs(F.hash("b")) % F.col("parts")).alias("part"), F.lit(True).alias("member"))
     centres = sizes.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
-    wanted = stages.save(members.unionByName(centres), "wanted")
-    near = F.broadcast(wanted) if wanted.count() <= NEAR_ROWS else wanted
+    wanted = members.unionByName(centres)  # a row for each pair, and no more than that for the centres
+    near = F.broadcast(wanted) if 2 * n_pairs <= NEAR_ROWS else wanted
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(near, "key")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "key").select("a", "key", "member", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -159,51 +162,110 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent:
     return rows.mapInArrow(work, "a long, b long")
 
 
+def _promising(owner: np.ndarray, column: np.ndarray, size: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of documents that may have a link: those of whose shingles enough occur in another
+    document (of the other side). What this leaves out may have made others promising, so it is repeated."""
+    while len(owner):
+        width = int(column.max()) + 1
+        if side is None:
+            common = np.bincount(column, minlength=width)[column] > 1
+        else:
+            here = side[owner]
+            common = np.where(here, np.bincount(column[~here], minlength=width)[column], np.bincount(column[here], minlength=width)[column]) > 0
+        able = 100 * np.bincount(owner[common], minlength=len(size)) >= percent * size
+        keep = able[owner] & common
+        if keep.all():
+            break
+        owner, column = owner[keep], column[keep]
+    return owner, column
+
+
 def _block_links(ids: list[int], parts: list[int], sides: list[bool], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join different parts, among all documents or, with two sides, between them.
 
-    Common shingles are counted by products of 0/1 matrices, some thousand shingles at a time;
-    shingles of a single document cannot be common and are left out.
+    Documents that cannot have a link are left out by the counts of their shingles. Common
+    shingles of the others are counted for some rows at a time: frequent ones by products of 0/1
+    matrices, the rest by their pairs of places. Of the links of those rows, each part that has
+    one gives one until all are inside a part, so links and steps grow with the documents and
+    not with their pairs. No array has more than ``CELLS`` cells or some entries for each shingle.
     """
     size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(count > 1) - 1
-    keep = count[at] > 1
-    owner, at = owner[keep], column[at[keep]]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
     side = np.array(sides)
-    left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() and not side.all() else (np.arange(len(ids)),) * 2
-    parent = {p: p for p in parts}
+    side = side if side.any() and not side.all() else None
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, column = _promising(np.repeat(np.arange(len(sets), dtype=np.int32), size), column.astype(np.int32), size, side, percent)
+    found: list[tuple[int, int]] = []
+    if not len(owner):
+        return found
+    docs, owner = np.unique(owner, return_inverse=True)  # those left, renumbered from here on
+    _, label = np.unique(np.array(parts)[docs], return_inverse=True)
+    left, right = (np.flatnonzero(~side[docs]), np.flatnonzero(side[docs])) if side is not None else (np.arange(len(docs)),) * 2
+    left_at, right_at = np.full(len(docs), -1), np.full(len(docs), -1)
+    left_at[left], right_at[right] = np.arange(len(left)), np.arange(len(right))
+    size = size[docs].astype(np.float32)
+
+    _, column, count = np.unique(column, return_inverse=True, return_counts=True)
+    frequent = count >= max(8, len(docs) // 64)
+    place = np.cumsum(frequent) - 1
+    dense = frequent[column]
+    order = np.argsort(place[column[dense]], kind="stable")
+    dense_owner, dense_column = owner[dense][order], place[column[dense]][order].astype(np.int32)
+    order = np.argsort(column[~dense], kind="stable")
+    rare_owner, rare_column = owner[~dense][order], column[~dense][order]
+    starts, ends = np.searchsorted(rare_column, rare_column), np.searchsorted(rare_column, rare_column, side="right")
+    of_row = np.argsort(left_at[rare_owner], kind="stable")  # places of rare shingles, by row
+    rows_sorted = left_at[rare_owner][of_row]
+
+    height = max(1, CELLS // len(right))
+    width = max(64, 4 * CELLS // len(docs))
+    for start in range(0, len(left), height):
+        rows = left[start : start + height]
+        if not (label[rows][:, None] != (label[right].min(), label[right].max())).any():
+            continue  # all of one part
+        common = np.zeros((len(rows), len(right)), dtype=np.float32)
+        for low in range(0, int(frequent.sum()), width):
+            cut = slice(*np.searchsorted(dense_column, [low, low + width]))
+            one = np.zeros((len(docs), width), dtype=np.float32)
+            one[dense_owner[cut], dense_column[cut] - low] = 1
+            common += one[rows] @ (one if len(right) == len(docs) else one[right]).T
+        places = of_row[slice(*np.searchsorted(rows_sorted, [start, start + len(rows)]))]
+        for at in range(0, len(places), 1 << 12):
+            some = places[at : at + (1 << 12)]
+            many = ends[some] - starts[some]
+            other = right_at[rare_owner[np.repeat(starts[some] - np.cumsum(many) + many, many) + np.arange(many.sum())]]
+            cell = (np.repeat(left_at[rare_owner[some]] - start, many) * len(right) + other)[other >= 0]
+            common += np.bincount(cell, minlength=common.size).reshape(common.shape)
+        # 100 * common >= percent * (size + size - common); whole numbers that are exact in 32-bit floats
+        linked = common * np.float32(100 + percent) >= np.float32(percent) * (size[rows][:, None] + size[right][None, :])
+        linked &= common > 0
+        while True:
+            open_ = linked & (label[rows][:, None] != label[right][None, :])
+            i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if not len(i):
+                break
+            a = np.concatenate([rows[i], rows[open_[:, j].argmax(axis=0)]])
+            b = np.concatenate([right[open_[i].argmax(axis=1)], right[j]])
+            label, used = _joined(label, a, b)
+            found += [(ids[x], ids[y]) for x, y in zip(docs[a[used]].tolist(), docs[b[used]].tolist(), strict=True)]
+    return found
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labels once the links (a[i], b[i]) are drawn, and which of the links it took."""
+    parent = np.arange(int(label.max()) + 1).tolist()
 
     def root(p: int) -> int:
         while parent[p] != p:
             parent[p] = p = parent[parent[p]]
         return p
 
-    found = []
-    # Both the matrix of a range of shingles and the counts of a range of rows stay at some 30 MB.
-    width, height = max(64, (1 << 23) // len(ids)), max(16, (1 << 23) // len(right))
-    total = int(at[-1]) + 1 if len(at) else 0
-    for start in range(0, len(left), height):
-        rows = left[start : start + height]
-        common = np.zeros((len(rows), len(right)), dtype=np.float32)
-        for low in range(0, total, width):
-            cut = slice(*np.searchsorted(at, [low, low + width]))
-            one = np.zeros((len(ids), min(width, total - low)), dtype=np.float32)
-            one[owner[cut], at[cut] - low] = 1
-            common += one[rows] @ one[right].T
-        shared = common.astype(np.int64)
-        union = size[rows][:, None] + size[right][None, :] - shared
-        label = np.array([root(p) for p in parts])
-        linked = (100 * shared >= percent * union) & (shared > 0) & (label[rows][:, None] != label[right][None, :])
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            a, b = int(rows[i]), int(right[j])
-            if root(parts[a]) != root(parts[b]):
-                parent[root(parts[a])] = root(parts[b])
-                found.append((ids[a], ids[b]))
-    return found
+    used = np.zeros(len(a), dtype=bool)
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[y] = x
+            used[k] = True
+    return np.array([root(p) for p in range(len(parent))])[label], used
 
 
 def _family_links(docs: DataFrame, state: DataFrame, key: str, text: str, percent: int, stages: Stages) -> DataFrame:
@@ -218,8 +280,8 @@ def _family_links(docs: DataFrame, state: DataFrame, key: str, text: str, percen
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = members.select(F.col("b").alias("key"), "family", "part", "block", other)
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    dealt = stages.save(dealt.select("key", "family", "part", low, high, (F.col("block") > F.col("other")).alias("side")), "dealt")
-    near = F.broadcast(dealt) if dealt.count() <= NEAR_ROWS else dealt
+    dealt, n = stages.save_counted(dealt.select("key", "family", "part", low, high, (F.col("block") > F.col("other")).alias("side")), "dealt")
+    near = F.broadcast(dealt) if n <= NEAR_ROWS else dealt
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(near, "key")
     order = ["family", "low", "high", "key"]
     rows = rows.repartition(*order[:3]).sortWithinPartitions(*order).select(*order, "part", "side", "text")
@@ -246,11 +308,11 @@ def _family_links(docs: DataFrame, state: DataFrame, key: str, text: str, percen
     return rows.mapInArrow(work, "a long, b long")
 
 
-def _torn(shared: DataFrame, label: DataFrame, stages: Stages) -> DataFrame:
-    """The members (bucket, b, size, part) of the buckets that hold several components."""
+def _torn(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """The members (bucket, b, size, crowd, part) of the buckets that hold several components."""
     state = shared.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("part", F.coalesce("component", "b"))
     torn = state.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-    return stages.save(state.join(torn, "bucket", "left_semi").select("bucket", "b", "size", "part"), "torn")
+    return state.join(torn, "bucket", "left_semi").select("bucket", "b", "size", "crowd", "part")
 
 
 def near_duplicates(
@@ -280,35 +342,37 @@ def _near_duplicates(keyed: DataFrame, unique: bool, doc_id: str, text: str, per
     met = met.repartition("bucket")
     crowds = met.groupBy("bucket").agg(F.min("b").alias("first"), F.count("*").alias("crowd"), F.max("size").alias("longest"))
     shared = stages.save(met.join(crowds.where("crowd > 1"), "bucket"), "shared")
-    largest = shared.agg(F.max("crowd")).first()[0] or 0
 
     sized = "100 * least(size, a_size) >= {0} * greatest(size, a_size)".format(percent)
     firsts = shared.where("b = first").select("bucket", F.col("b").alias("a"), F.col("size").alias("a_size"))
     meetings = shared.where("b <> first").join(firsts, "bucket").where(sized).groupBy("a", "b").agg(F.count("*").alias("n"))
     # Of the centres that a member meets, at most one a band, those it meets most often.
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
-    pairs = stages.save(meetings.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("a", "b"), "pairs")
-    links = stages.save(_confirmed(keyed, pairs, ROW, text, percent, stages), "links")
+    pairs, n = stages.save_counted(meetings.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("a", "b"), "pairs")
+    links = _confirmed(keyed, pairs, n, ROW, text, percent)
     label = stages.save(components(links, "a", "b"), "labels")
 
-    state = _torn(shared.where(F.col("crowd") <= SMALL), label, stages)
+    torn = stages.save(_torn(shared, label), "torn")
+    state = torn.where(F.col("crowd") <= SMALL)
     other = state.select("bucket", F.col("b").alias("a"), F.col("size").alias("a_size"), F.col("part").alias("a_part"))
     across = state.join(other, "bucket").where("a < b and part <> a_part").where(sized).select("a", "b").distinct()
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = stages.save(across.join(tested, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        links = links.unionByName(stages.save(_confirmed(keyed, across, ROW, text, percent, stages), "links"))
-        label = stages.save(components(links, "a", "b"), "labels")
-
-    if largest > SMALL:
-        state = _torn(shared.where(F.col("crowd") > SMALL), label, stages)
-        if not state.isEmpty():
-            links = links.unionByName(stages.save(_family_links(keyed, state, ROW, text, percent, stages), "links"))
-            label = stages.save(components(links, "a", "b"), "labels")
+    across, n = stages.save_counted(across.join(tested, ["a", "b"], "left_anti"), "across")
+    more, n_more = stages.save_counted(_confirmed(keyed, across, n, ROW, text, percent), "links") if n else (None, 0)
+    state = torn.where(F.col("crowd") > SMALL)
+    if not state.isEmpty():
+        wide, n_wide = stages.save_counted(_family_links(keyed, state, ROW, text, percent, stages), "links")
+        more, n_more = (more.unionByName(wide) if more else wide), n_more + n_wide
 
     rows = marks.select("key", "n_shingles", "digest").join(classes, "digest", "left")
     rows = rows.join(label.withColumnRenamed("node", "class"), "class", "left")
     rows = rows.select("key", "n_shingles", F.coalesce("component", "class", "key").alias("low"))
+    if n_more:
+        # The links between components join those up; a document's component then has one too.
+        ends = more.select(F.col("a").alias("node"), F.col("b").alias("other")).join(label, "node", "left").select(F.coalesce("component", "node").alias("src"), F.col("other").alias("node"))
+        ends = ends.join(label, "node", "left").select("src", F.coalesce("component", "node").alias("dst"))
+        above = stages.save(components(ends).select(F.col("node").alias("low"), "component"), "labels")
+        rows = rows.join(above, "low", "left").select("key", "n_shingles", F.coalesce("component", "low").alias("low"))
     if unique:
         return rows.select(F.col("key").alias("doc_id"), "n_shingles", F.col("low").alias("component_id"), (F.col("key") == F.col("low")).alias("kept"), F.col("key").alias(ROW), "low")
     names = keyed.select(F.col(ROW).alias("key"), F.col(doc_id).cast("long").alias("doc_id"))
@@ -321,8 +385,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     stages = Stages(docs.sparkSession, "minhash")
     keyed, unique = with_row_key(docs, doc_id, stages)
     found = _near_duplicates(keyed, unique, doc_id, text, 75, Banding(), stages)
-    dropped = stages.save(found.where(F.col(ROW) != F.col("low")).select(F.col(ROW).alias("__gone")), "dropped")
-    near = F.broadcast(dropped) if dropped.count() <= NEAR_ROWS else dropped
+    dropped, n = stages.save_counted(found.where(F.col(ROW) != F.col("low")).select(F.col(ROW).alias("__gone")), "dropped")
+    near = F.broadcast(dropped) if n <= NEAR_ROWS else dropped
     return keyed.join(near, F.col(ROW) == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
