@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.rows import ROW, with_row_key
 from orrery.staging import Stages
 
 #: Code points that a comparison ignores.
@@ -52,76 +53,67 @@ def _combine(rows: DataFrame, *keys: str) -> DataFrame:
 def decide(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``digest``, ``size``.
+    """One row per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``digest``, ``size``, row key.
 
     Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``; of equal texts the row with
-    the most code points, then the smallest id stays. A null text equals an empty one. Repeated
-    rows of one id count each and share their decision. A null id orders last and gives a
-    null ``kept``. Empty tables give no rows; other columns are ignored. ``digest`` may be any
-    function of the content: a weak one only makes more rows compare by content.
+    the most code points, then the smallest id stays, and no other: of rows that repeat an id, or
+    have none, one stays. A null text equals an empty one. A null id orders last, is never a
+    reason to drop a row, and ``keep_id`` is null where such a row stays. Empty tables give no
+    rows; other columns are ignored. ``digest`` may be any function of the content: a weak one
+    only makes more rows compare by content.
     """
     stages = Stages(docs.sparkSession, "dedup")
+    keyed, unique = with_row_key(docs, doc_id, stages)
+    return _decide(keyed, unique, doc_id, text, digest, stages)
+
+
+def _decide(docs: DataFrame, unique: bool, doc_id: str, text: str, digest: Callable[[Column], Column], stages: Stages) -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("id"), F.regexp_replace(raw, SPACE, "").alias("content"), F.length(raw).alias("size")
-    ).withColumn("digest", digest(F.col("content")))
-    slim = stages.save(rows.select("id", "digest", "size"), "rows")
+    rows = docs.select(F.col(ROW).alias("row"), F.regexp_replace(raw, SPACE, "").alias("content"), F.length(raw).alias("size"))
+    rows = rows.withColumn("digest", digest(F.col("content")))
+    slim, total = stages.save_counted(rows.select("row", "digest", "size"), "rows")
 
-    total = slim.count()
     heavy = slim.groupBy("digest").count().where(F.col("count") >= max(HEAVY_ROWS, int(total * HEAVY_SHARE))).select("digest")
     heavy = stages.save(heavy, "heavy")  # at most min(1 / HEAVY_SHARE, total / HEAVY_ROWS) rows
 
-    keyed = rows.select("digest", "content", _best(F.col("size"), F.coalesce("id", F.lit(2**63 - 1))).alias("best"), F.lit(1).cast("long").alias("n"))
-    keyed = keyed.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), "digest", "left").withColumn(
+    best = _best(F.col("size"), F.col("row")).alias("best")
+    counted = rows.select("digest", "content", best, F.lit(1).cast("long").alias("n"))
+    counted = counted.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), "digest", "left").withColumn(
         "salt", F.when(F.col("hot"), F.spark_partition_id() % SALTS).otherwise(F.lit(-1))
     )
-    salted = _combine(keyed, "digest", "salt", "content").withColumn("content", F.when(F.col("salt") >= 0, F.col("content")))
+    salted = _combine(counted, "digest", "salt", "content").withColumn("content", F.when(F.col("salt") >= 0, F.col("content")))
     salted = stages.save(salted, "salted")
 
-    winners = salted.where("salt < 0").select("digest", "best", "n")
-    winners = winners.unionByName(_combine(salted.where("salt >= 0"), "digest", "content").select("digest", "best", "n"))
+    hot = _combine(salted.where("salt >= 0"), "digest", "content").select("digest", "best", "n")
+    winners = salted.where("salt < 0").select("digest", "best", "n").unionByName(hot)
     winners = stages.save(winners, "winners")
+    stages.drop(salted)
     mixed = winners.groupBy("digest").count().where("count > 1").select("digest")
+    # A heavy digest's rows stay where they are and meet its winner, one row, by broadcast.
+    few = winners.join(F.broadcast(heavy), "digest", "left_semi")
     if mixed.isEmpty():
-        merged = slim.join(winners, "digest")
+        merged = slim.join(F.broadcast(few), "digest").unionByName(slim.join(F.broadcast(heavy), "digest", "left_anti").join(winners, "digest"))
     else:
         mixed = stages.save(mixed, "mixed")
         plain = slim.join(mixed, "digest", "left_anti").join(winners, "digest")
         shared = rows.join(mixed, "digest", "left_semi")
-        by_content = _combine(shared.select("content", _best(F.col("size"), F.coalesce("id", F.lit(2**63 - 1))).alias("best"), F.lit(1).alias("n")), "content")
+        by_content = _combine(shared.select("content", best, F.lit(1).alias("n")), "content")
         merged = plain.unionByName(shared.join(by_content, "content").select(plain.columns))
-    keep = _key_of(F.col("best"))
-    return merged.select(
-        F.col("id").alias("doc_id"), keep.alias("keep_id"), F.col("n").alias("group_size"), (F.col("id") == keep).alias("kept"), "digest", "size"
-    )
+    merged = merged.select("row", _key_of(F.col("best")).alias("winner"), F.col("n").alias("group_size"), "digest", "size")
+    kept = (F.col("row") == F.col("winner")).alias("kept")
+    if unique:
+        return merged.select(F.col("row").alias("doc_id"), F.col("winner").alias("keep_id"), "group_size", kept, "digest", "size", F.col("row").alias(ROW))
+    names = docs.select(F.col(ROW).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
+    named = merged.join(names, "row").join(names.select(F.col("row").alias("winner"), F.col("doc_id").alias("keep_id")), "winner")
+    return named.select("doc_id", "keep_id", "group_size", kept, "digest", "size", F.col("row").alias(ROW))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`decide` keeps; one row of each group.
-
-    Where rows repeat an id or have none, those of one text with that id are told apart by all
-    their columns, and of wholly identical rows one stays. A null id orders last.
-    """
-    verdict = decide(docs, doc_id, text).where("kept")
+    """The rows of ``docs``, all columns, that :func:`decide` keeps: one row of each group, whatever its id."""
     stages = Stages(docs.sparkSession, "dedup")
-    verdict = stages.save(verdict.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    kept = docs.join(verdict.select(F.col("doc_id").alias("__keep"), F.col("rows").alias("__rows")), docs[doc_id].cast("long") == F.col("__keep"))
-    if verdict.where("rows > 1").isEmpty() and not _repeats(docs, doc_id):
-        return kept.select(*[docs[c] for c in docs.columns])
-    # An id that several rows carry, or none: of its rows whose id won their content's group, one stays a content.
-    raw = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumns({"__content": F.regexp_replace(raw, SPACE, ""), "__size": F.length(raw)})
-    order = F.struct("__size", F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in docs.columns]))
-    best = marked.groupBy("__content").agg(
-        F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("__size"), F.bitwise_not(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))), order)).alias("row")
-    )
-    return best.select("row.*")
-
-
-def _repeats(docs: DataFrame, doc_id: str) -> bool:
-    """Whether an id does not name one row: it occurs twice, or is null."""
-    ids = docs.select(F.col(doc_id).cast("long").alias("id"))
-    return not ids.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty()
+    keyed, unique = with_row_key(docs, doc_id, stages)
+    gone = _decide(keyed, unique, doc_id, text, sha256, stages).where("not kept").select(F.col(ROW).alias("__gone"))
+    return keyed.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def as_contract(decided: DataFrame) -> DataFrame:

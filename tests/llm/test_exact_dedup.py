@@ -64,3 +64,21 @@ def test_empty_table(spark):
     empty = docs_of(spark, [(1, "a")]).limit(0)
     assert exact_dedup.decide(empty).count() == 0
     assert exact_dedup.keep_one(empty).count() == 0
+
+
+def test_null_and_repeated_ids_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY_ROWS", 2)
+    for rows in ([(None, "z"), (1, "a"), (2, "a ")], [(None, "a  "), (1, "a"), (None, "a"), (2, "b")], [(1, "a"), (1, "a"), (1, "b "), (2, "b"), (None, None), (None, "")], [(None, "hot")] * 5 + [(3, "hot")]):
+        groups = {}
+        for at, (key, text) in enumerate(rows):
+            groups.setdefault(re.sub("[\x20\x09-\x0d]", "", text or ""), []).append((-len(text or ""), key is None, key or 0, at))
+        want = []
+        for at, (key, text) in enumerate(rows):
+            group = groups[re.sub("[\x20\x09-\x0d]", "", text or "")]
+            best = min(group)
+            want.append((key, None if best[1] else best[2], len(group)))
+        decided = exact_dedup.decide(docs_of(spark, rows))
+        got = decided.select("doc_id", "keep_id", "group_size", "kept").collect()
+        assert sorted(map(str, (tuple(r)[:3] for r in got))) == sorted(map(str, want))
+        assert all(r["kept"] is not None for r in got) and sum(r["kept"] for r in got) == len(groups)
+        assert exact_dedup.keep_one(docs_of(spark, rows)).count() == len(groups)
