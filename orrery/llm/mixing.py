@@ -1,12 +1,14 @@
 """Mixing sources to target weights (operator 6), in DataFrame functions only.
 
 The words of a source, its documents laid end to end, are packed into blocks of a fixed number
-of words. The mix is a list of block slots: every slot of a source draws its output shard, so
-the shards' counts of a source are one multinomial draw whose total is the source's target.
-The slots of a source, numbered through shard by shard, go through pseudorandom permutations
-of its block indices, one permutation for each pass over the source, and the blocks are joined
-by index. All randomness is integer arithmetic on (seed, source rank, number), so reruns agree
-on any cluster.
+of words. The mix is a list of block slots in output shards of a fixed number of slots. Every
+shard draws its sources' counts: a source gets the whole part of its expected count, and the
+slots that are left are a multinomial draw by the fractions, so each count's mean is exact and
+sums over shards stray from the target by about the root of the number of shards. A source's
+slots, numbered through shard by shard, go through pseudorandom permutations of its block
+indices, one permutation for each pass over the source, and the blocks are joined by index.
+All randomness is integer arithmetic on (seed, source rank, number), so reruns agree on any
+cluster.
 
 Sums along a source are never one window: documents lie in small buckets, buckets in
 superbuckets, and each level is summed by itself.
@@ -22,14 +24,16 @@ from orrery.staging import Stages
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
-SHARD_SLOTS = 1 << 18
+SHARD_SLOTS = 1 << 10
 MAX_REPEATS = 3
 SEED = 17
 ROUNDS = 16
 #: Documents of a bucket, and buckets of a superbucket, on average.
 BUCKET_DOCS, BUCKETS = 64, 1024
-#: Slots that one exploded row makes.
-CHUNK = 1 << 12
+#: Slots that one exploded row makes, and shards whose counts are summed as one.
+CHUNK = SHARDS = 1 << 12
+#: Equal cells that the range of a multinomial draw is cut into, to find a draw's source by an equi-join.
+CELLS = 1 << 12
 P31 = 2147483647  # 2^31 - 1, the modulus of all hashing here
 
 
@@ -39,20 +43,22 @@ def _mix(value: str, key: str) -> str:
     return f"((({inner}) * (({inner}) + 69621)) % {P31})"
 
 
-def permuted(slot: str, size: str, key: str) -> Column:
-    """A pseudorandom bijection of [0, size): the swap-or-not shuffle.
+def with_permuted(rows: DataFrame, name: str, slot: str, size: str, key: str) -> DataFrame:
+    """``rows`` and a column ``name``: a pseudorandom bijection of [0, size), the swap-or-not shuffle.
 
     Each round pairs x with (k - x) mod size and swaps by one bit of a hash of the pair, which
-    permutes any size exactly and needs no table.
+    permutes any size exactly and needs no table. A round is two projections, so that its terms are
+    computed once and in generated code.
     """
-    k = _mix("r * 7919", f"{key} + 1")
-    partner = f"(({k}) % s.size + s.size - s.x) % s.size"
-    bit = f"({_mix('greatest(s.x, p)', f'{key} + r * 104729 + 11')} div 65536) % 2"
-    # The one-element array gives the partner a name, so that it is computed once.
-    step = f"transform(array({partner}), p -> CASE WHEN {bit} = 1 THEN p ELSE s.x END)[0]"
-    start = f"named_struct('x', cast({slot} AS bigint), 'size', cast({size} AS bigint))"
-    rounds = f"sequence(1L, {ROUNDS}L)"
-    return F.expr(f"aggregate({rounds}, {start}, (s, r) -> named_struct('x', {step}, 'size', s.size), s -> s.x)")
+    kept = [f"`{c}`" for c in rows.columns]
+    rows = rows.selectExpr(*kept, f"CAST({slot} AS BIGINT) AS __x", f"CAST({size} AS BIGINT) AS __size", f"CAST({key} AS BIGINT) AS __key")
+    for r in range(1, ROUNDS + 1):
+        k = _mix(f"{r * 7919}L", "__key + 1")
+        rows = rows.selectExpr(*kept, "__x", "__size", "__key", f"(({k}) % __size + __size - __x) % __size AS __partner")
+        bit = f"({_mix('greatest(__x, __partner)', f'__key + {r * 104729 + 11}L')} div 65536) % 2"
+        rows = rows.selectExpr(*kept, f"CASE WHEN {bit} = 1 THEN __partner ELSE __x END AS __x", "__size", "__key")
+    # The optimizer traces a join key to its origin by writing all projections out as one term; it stops at a generator.
+    return rows.selectExpr(*kept, f"explode(array(__x)) AS {name}")
 
 
 def targets(sizes: DataFrame, seed: int = SEED) -> DataFrame:
@@ -143,22 +149,46 @@ class Mix:
         return dealt.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk")
 
     def shard_counts(self) -> DataFrame:
-        """(rank, shard, n): the multinomial draw of each source's slots over the output shards."""
-        shards = self.sources.agg(F.greatest(F.ceil(F.sum("slots") / SHARD_SLOTS), F.lit(1)).cast("long").alias("shards"))
-        draws = self._numbered(self.sources.select("rank", "key", "slots").crossJoin(F.broadcast(shards)), "slots", ["rank"])
-        shard = F.expr(_mix("i", "key + 5")) % F.col("shards")
-        return draws.select("rank", shard.alias("shard")).groupBy("rank", "shard").agg(F.count("*").alias("n"))
+        """(rank, shard, n, from, key, blocks): how many slots of each source every output shard has, and how many are before them."""
+        known = self.sources.select("rank", "key", "slots", "blocks")
+        total = F.sum("slots").over(Window.partitionBy(F.lit(1)))
+        # Two kinds of shards: full ones, and one with the slots that are left.
+        kinds = F.array(
+            F.struct(F.lit(0).alias("kind"), F.lit(SHARD_SLOTS).cast("long").alias("size"), F.expr(f"total div {SHARD_SLOTS}").alias("shards"), F.lit(0).cast("long").alias("first")),
+            F.struct(F.lit(1).alias("kind"), F.expr(f"total % {SHARD_SLOTS}").alias("size"), F.lit(1).cast("long").alias("shards"), F.expr(f"total div {SHARD_SLOTS}").alias("first")),
+        )
+        parts = known.withColumn("total", total).where("total > 0").select("*", F.explode(kinds).alias("k")).select("*", "k.*").where("size * shards > 0")
+        parts = parts.withColumn("whole", F.expr("size * slots div total")).withColumn("rest", F.expr("size * slots % total"))
+        up_to = Window.partitionBy("kind").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        parts = parts.withColumn("high", F.sum("rest").over(up_to)).withColumn("span", F.sum("rest").over(Window.partitionBy("kind")))
+        parts = self.stages.save(parts.withColumn("draws", F.expr("span div total")).withColumn("width", F.expr(f"(span + {CELLS - 1}) div {CELLS}")), "parts")
+
+        of_kind = parts.groupBy("kind").agg(*[F.first(c).alias(c) for c in ("shards", "first", "draws", "span", "width")])
+        number = "(shard * draws + j)"
+        spot = f"({_mix(number, str(self.seed * 2 + 101))} * {P31} + {_mix(number, str(self.seed * 3 + 65537))}) % span"
+        drawn = self._numbered(of_kind.where("draws > 0"), "shards", ["kind"]).withColumn("shard", F.expr("first + i"))
+        drawn = drawn.withColumn("j", F.explode(F.expr("sequence(0L, draws - 1)"))).withColumn("u", F.expr(spot)).withColumn("cell", F.expr("u div width"))
+        low = F.col("high") - F.col("rest")
+        cells = parts.where("rest > 0").select("kind", "rank", low.alias("low"), "high", F.explode(F.expr("sequence((high - rest) div width, (high - 1) div width)")).alias("cell"))
+        drawn = drawn.join(self.near(cells), ["kind", "cell"]).where("low <= u and u < high").select("rank", "shard", F.lit(1).cast("long").alias("n"))
+        sure = self._numbered(parts.where("whole > 0").select("kind", "rank", "whole", "shards", "first"), "shards", ["kind", "rank"]).select("rank", F.expr("first + i").alias("shard"), F.col("whole").alias("n"))
+        counts = self.stages.save(sure.unionByName(drawn).groupBy("rank", "shard").agg(F.sum("n").alias("n")).withColumn("super", F.expr(f"shard div {SHARDS}")), "counts")
+
+        def before(column: str, order: str, *keys: str) -> Column:
+            return F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+        per_super = counts.groupBy("rank", "super").agg(F.sum("n").alias("words")).withColumn("at", before("words", "super", "rank")).drop("words")
+        counts = counts.withColumn("inside", before("n", "shard", "rank", "super")).join(per_super, ["rank", "super"])
+        counts = counts.join(self.near(known.drop("slots")), "rank").withColumn("from", F.col("at") + F.col("inside"))
+        # No block is taken more than MAX_REPEATS times, whatever was drawn.
+        counts = counts.withColumn("n", F.least("n", F.col("blocks") * MAX_REPEATS - F.col("from"))).where("n > 0")
+        return counts.select("rank", "shard", "n", "from", "key", "blocks")
 
     def slots(self) -> DataFrame:
-        """(rank, shard, position, block): what every output shard takes, in order."""
-        counts = self.shard_counts()
-        before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        each = self._numbered(counts, "n", ["rank", "shard"]).join(self.near(self.sources.select("rank", "key", "blocks")), "rank")
-        number = F.col("from") + F.col("i")
-        each = each.withColumn("number", number).withColumn("lap", F.floor(F.col("number") / F.col("blocks")).cast("long"))
-        block = permuted("number % blocks", "blocks", "key + lap * 31337")
-        return each.select("rank", "shard", F.col("i").alias("position"), "lap", block.alias("block"))
+        """(rank, shard, position, lap, block): what every output shard takes, in order."""
+        each = self._numbered(self.shard_counts(), "n", ["rank", "shard"]).withColumn("number", F.col("from") + F.col("i"))
+        each = each.select("rank", "shard", F.col("i").alias("position"), F.expr("number div blocks").alias("lap"), F.expr("number % blocks").alias("at"), "blocks", "key")
+        return with_permuted(each, "block", "at", "blocks", "key + lap * 31337").select("rank", "shard", "position", "lap", "block")
 
     def taken(self) -> DataFrame:
         """One row per document: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken``."""
@@ -174,7 +204,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     One row per row of ``docs``. A null text has size 0, a null source is a source of its own,
     a null id is kept, repeated rows are separate documents, an empty table gives no rows and
     other columns are ignored. No document is taken more than ``MAX_REPEATS`` times; a source's
-    words miss its target by fewer than two blocks.
+    words miss its target by two blocks and what the draws stray, which is less than a block
+    for each shard and about the root of their number.
     """
     return Mix(docs).taken()
 
@@ -205,7 +236,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same mix for DuckDB: the shuffle's rounds become nested selects; shards do not matter for the totals."""
+    """The same mix for DuckDB: the shuffle's rounds become nested selects, and a draw finds its source by its range."""
 
     def sql(text: str) -> str:
         return text.replace(" div ", " // ")
@@ -246,8 +277,23 @@ cut AS (
   SELECT *, unnest(range(pos // {BLOCK_WORDS}, (pos + size - 1) // {BLOCK_WORDS} + 1)) AS block FROM spans),
 pieces AS (
   SELECT doc_id, rank, block, least((block + 1) * {BLOCK_WORDS} - pos, size) - greatest(block * {BLOCK_WORDS} - pos, 0) AS words FROM cut),
+kinds AS (
+  SELECT 0 AS kind, CAST({SHARD_SLOTS} AS BIGINT) AS size, CAST(sum(slots) AS BIGINT) // {SHARD_SLOTS} AS shards, CAST(0 AS BIGINT) AS first, CAST(sum(slots) AS BIGINT) AS total FROM sources
+  UNION ALL SELECT 1, CAST(sum(slots) AS BIGINT) % {SHARD_SLOTS}, 1, CAST(sum(slots) AS BIGINT) // {SHARD_SLOTS}, CAST(sum(slots) AS BIGINT) FROM sources),
+parts AS (
+  SELECT kind, rank, shards, first, total, size * slots // total AS whole, size * slots % total AS rest FROM sources, kinds WHERE size * shards > 0),
+ranged AS (
+  SELECT *, CAST(sum(rest) OVER (PARTITION BY kind ORDER BY rank) AS BIGINT) AS high, CAST(sum(rest) OVER (PARTITION BY kind) AS BIGINT) AS span FROM parts),
+tries AS (
+  SELECT kind, span, shard * (span // total) + unnest(range(span // total)) AS g
+  FROM (SELECT kind, span, total, unnest(range(first, first + shards)) AS shard FROM (SELECT DISTINCT kind, shards, first, total, span FROM ranged))),
+spots AS (
+  SELECT kind, ({_mix('g', str(SEED * 2 + 101))} * {P31} + {_mix('g', str(SEED * 3 + 65537))}) % span AS u FROM tries),
+drawn AS (
+  SELECT rank, count(*) AS n FROM spots JOIN ranged USING (kind) WHERE high - rest <= u AND u < high GROUP BY rank),
 numbered AS (
-  SELECT rank, blocks, key, unnest(range(0, CAST(slots AS BIGINT))) AS number FROM sources),
+  SELECT rank, blocks, key, unnest(range(0, least(blocks * {MAX_REPEATS}, sure + coalesce(n, 0)))) AS number
+  FROM sources JOIN (SELECT rank, CAST(sum(whole * shards) AS BIGINT) AS sure FROM parts GROUP BY rank) USING (rank) LEFT JOIN drawn USING (rank)),
 draws AS (
   SELECT rank, x AS block, count(*) AS times FROM ({rounds}) GROUP BY rank, x),
 used AS (

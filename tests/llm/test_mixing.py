@@ -10,7 +10,7 @@ from orrery.llm import mixing
 def test_permutation_is_a_bijection(spark):
     for size in (1, 2, 3, 10, 97, 1000):
         rows = spark.range(size).withColumn("size", F.lit(size).cast("long")).withColumn("key", F.lit(12345).cast("long"))
-        got = [r[0] for r in rows.select(mixing.permuted("id", "size", "key")).collect()]
+        got = [r["x"] for r in mixing.with_permuted(rows, "x", "id", "size", "key").collect()]
         assert sorted(got) == list(range(size))
         if size > 90:
             assert got != sorted(got)
@@ -87,6 +87,54 @@ def test_shards_follow_the_draw(spark, monkeypatch):
     assert mix.slots().groupBy("rank", "lap", "block").count().where("count > 1").count() == 0
 
 
+def drawn_by_hand(slots, size, seed):
+    """Counts by (rank, shard): whole parts, and the rest slot by slot."""
+    total, counts = sum(slots), {}
+    for shard in range(-(-total // size)):
+        n = min(size, total - shard * size)
+        rest = [n * s % total for s in slots]
+        for rank, s in enumerate(slots):
+            counts[rank, shard] = n * s // total
+        span = sum(rest)
+        for j in range(span // total):
+            g = shard * (span // total) + j
+            h = [((x := (g % mixing.P31 * 48271 + key) % mixing.P31) * (x + 69621)) % mixing.P31 for key in (seed * 2 + 101, seed * 3 + 65537)]
+            u = (h[0] * mixing.P31 + h[1]) % span
+            rank = next(k for k in range(len(slots)) if sum(rest[: k + 1]) > u)
+            counts[rank, shard] += 1
+    return {k: n for k, n in counts.items() if n}
+
+
+def test_counts_are_the_multinomial_draw_and_decide_what_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    monkeypatch.setattr(mixing, "SHARDS", 4)
+    _, docs = corpus(spark)
+    found, totals = [], []
+    for seed in (17, 18):
+        mix = mixing.Mix(docs, seed=seed)
+        sources = sorted(mix.sources.collect(), key=lambda r: r["rank"])
+        counts = {(r["rank"], r["shard"]): r["n"] for r in mix.shard_counts().collect()}
+        want = drawn_by_hand([r["slots"] for r in sources], 16, seed)
+        open_ = {r["rank"] for r in sources if r["slots"] < 3 * r["blocks"]}
+        assert {k: n for k, n in counts.items() if k[0] in open_} == {k: n for k, n in want.items() if k[0] in open_}
+        shards = len({s for _, s in counts})
+        for r in sources:
+            total = sum(n for (rank, _), n in counts.items() if rank == r["rank"])
+            assert total <= 3 * r["blocks"] and abs(total - r["slots"]) <= 4 * shards**0.5
+        # Each shard's sources come in the proportions of the targets.
+        full = {s: [counts.get((r["rank"], s), 0) for r in sources] for _, s in counts}
+        for s in range(shards - 1):
+            for r, n in zip(sources, full[s], strict=True):
+                assert abs(n - 16 * r["slots"] / sum(x["slots"] for x in sources)) <= len(sources)
+        found.append(counts)
+        totals.append(sorted(map(str, mix.taken().collect())))
+    assert found[0] != found[1] and totals[0] != totals[1]
+    # The draws alone decide: with the same permutations, other counts take other words.
+    same = mixing.Mix(docs, seed=17)
+    same.seed = 18
+    assert sorted(map(str, same.taken().collect())) != totals[0]
+
+
 def test_empty_table(spark):
     empty = corpus(spark)[1].limit(0)
     assert mixing.mix_documents(empty).count() == 0
