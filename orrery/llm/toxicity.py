@@ -66,7 +66,7 @@ class OrdinalModel:
 class Scorer:
     """Scores texts with a model; remembers which words carry features, within a bound."""
 
-    def __init__(self, model: OrdinalModel, most_words: int = 500_000):
+    def __init__(self, model: OrdinalModel, most_words: int = 50_000):
         self.model, self.most, self.known = model, most_words, {}
 
     def __call__(self, text: str | None) -> list[float]:
@@ -131,43 +131,65 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(toxic).cast("int").alias("toxic")).na.drop()
     chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("words", pa.int64()), ("feature", pa.string()), ("n", pa.int64())])
+    rows = stages.save(rows, "sample")
+    dealt = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism, "id")  # small files would be read by few tasks
+    counted = pa.schema([("feature", pa.string()), ("docs", pa.int64()), ("toxic", pa.int64())])
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents, and toxic ones, have each feature; a table of bounded size is given up at a time."""
+        seen: dict[str, list[int]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                counts, words = feature_counts(row["text"])
-                counts[""] = 1  # holds a document without words
-                m = len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["id"]] * m, pa.int64()), pa.array([row["toxic"]] * m, pa.int32()), pa.array([words] * m, pa.int64()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                    schema=schema,
-                )
-
-    found = stages.save(rows.mapInArrow(extract, "id long, toxic int, words long, feature string, n long"), "features")
-    heads = {r["id"]: r for r in found.where("feature = ''").groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("words").alias("words")).collect()}
-    bad = sum(r["toxic"] for r in heads.values())
-    if not 0 < bad < len(heads):
-        stages.drop(found)
+            for body, bad in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for feature in feature_counts(body.as_py())[0]:
+                    cell = seen.setdefault(feature, [0, 0])
+                    cell[0] += 1
+                    cell[1] += bad
+                if len(seen) >= 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array([c[k] for c in seen.values()], pa.int64()) for k in (0, 1))], schema=counted)
+                    seen = {}
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array([c[k] for c in seen.values()], pa.int64()) for k in (0, 1))], schema=counted)
+
+    total, bad = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not 0 < (bad or 0) < total:
+        stages.drop(rows)
         return OrdinalModel()
-    share = bad / len(heads)
-    z = (F.sum("toxic") - F.count("*") * share) / F.sqrt(F.count("*") * share * (1 - share))
-    marks = found.where("feature <> ''").groupBy("feature").agg(F.count("*").alias("docs"), z.alias("z")).where((F.col("docs") >= MIN_DOCS) & (F.col("z") >= MIN_Z))
+    share = bad / total
+    marks = dealt.select("text", "toxic").mapInArrow(count, "feature string, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    z = (F.col("toxic") - F.col("docs") * share) / F.sqrt(F.col("docs") * share * (1 - share))
+    marks = marks.select("feature", "docs", z.alias("z")).where((F.col("docs") >= MIN_DOCS) & (F.col("z") >= MIN_Z))
     names = [r["feature"] for r in marks.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()]
     place = {name: k for k, name in enumerate(names)}
-    table = docs.sparkSession.createDataFrame([(name,) for name in names], "feature string")
-    cells = found.join(F.broadcast(table), "feature").groupBy("id", "feature").agg(F.max("n").alias("n")).collect()
-    stages.drop(found)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, with its counts of the features that carry a weight."""
+        for batch in batches:
+            found, words = [], []
+            for body in batch.column(2):
+                counts, n = feature_counts(body.as_py())
+                found.append([(place[f], k) for f, k in counts.items() if f in place])
+                words.append(n)
+            cells = [pa.array([[c[k] for c in row] for row in found], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.int64()), *cells], names=["id", "toxic", "words", "feature", "n"])
+
+    taken = dealt.select("id", "toxic", "text").mapInArrow(cut, "id long, toxic int, words long, feature array<long>, n array<long>").collect()
+    stages.drop(rows)
+    heads: dict[int, list] = {}  # repeated rows of an id count once, with the most of each
+    for r in sorted(taken):
+        head = heads.setdefault(r["id"], [r["toxic"], 0, {}])
+        head[1] = max(head[1], r["words"])
+        for k, n in zip(r["feature"], r["n"], strict=True):
+            head[2][k] = max(head[2].get(k, 0), n)
+    cells = [(key, k, n) for key in sorted(heads) for k, n in sorted(heads[key][2].items(), key=lambda c: names[c[0]])]
 
     ids = {key: k for k, key in enumerate(sorted(heads))}
-    cells.sort()
-    at = np.array([ids[c["id"]] for c in cells] + list(ids.values()), dtype=np.int64)
-    feature = np.array([place[c["feature"]] for c in cells] + [len(names)] * len(ids), dtype=np.int64)
-    counts = np.array([c["n"] for c in cells], dtype=float)
-    words = np.array([heads[key]["words"] for key in ids], dtype=float)
+    at = np.array([ids[c[0]] for c in cells] + list(ids.values()), dtype=np.int64)
+    feature = np.array([c[1] for c in cells] + [len(names)] * len(ids), dtype=np.int64)
+    counts = np.array([c[2] for c in cells], dtype=float)
+    words = np.array([heads[key][1] for key in ids], dtype=float)
     value = np.log1p(np.concatenate([counts, words]))
     marked = np.bincount(at[: len(cells)], weights=counts, minlength=len(ids))
-    is_toxic = np.array([heads[key]["toxic"] for key in ids], dtype=int)
+    is_toxic = np.array([heads[key][0] for key in ids], dtype=int)
     grades = is_toxic * (1 + (marked > np.median(marked[is_toxic == 1])))
     weights, cuts = fit_ordinal((at, feature, value), len(names) + 1, grades)
     return OrdinalModel(dict(zip(names, weights[:-1].tolist(), strict=True)), float(weights[-1]), tuple(cuts.tolist()))
