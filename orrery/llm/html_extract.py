@@ -2,15 +2,18 @@
 
 The standard library's streaming parser turns a page into lines, one for each block of text.
 A line's ratio of characters to tags, smoothed by a Gaussian along the page, and a threshold on
-it cluster lines into content and the rest. The element that holds all content lines is the
-article, and that element's lines, short ones too, are the text. Elements whose tag, role or
-class says that they are navigation, notices and the like never become lines; inside an article
-or main element, a class alone says so only of what has a low ratio.
+it cluster lines into content and the rest. The regions that hold the content lines are the
+text, their short lines too: the page's outermost articles where no content lies outside them,
+else the innermost element that holds all content lines. Runs of links below the threshold are
+menus and go. Elements that by tag or role are navigation and the like never become lines. A class
+or id is evidence only: outside an article it removes an element if it says nothing else or if
+the ratio rejects the element too, inside one only if both speak against it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -44,6 +47,11 @@ NAMES = frozenset(
     "share sharing social nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager header masthead topbar footer copyright colophon "
     "comment comments commentlist discussion disqus replies reply respond login toolbar skip disclaimer".split()
 )
+#: Words that say nothing about an element's kind, so that ``site-footer`` is a footer and ``related-work`` is not what is related.
+PLAIN = frozenset(
+    "site page main top bottom left right global box bar wrap wrapper container block area section inner outer text list item items link links row col column unit slot "
+    "button buttons panel group holder module region icon icons form area zone message popover js id the and".split()
+)
 HEADERS = frozenset({"header", "masthead"})
 #: Texts by readers, which no ratio tells from the article's.
 READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
@@ -57,40 +65,46 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Line:
     text: str
     tags: int
-    path: tuple[int, ...]  # the open holders, outermost first
-    doubts: tuple[int, ...] = ()  # the open elements inside an article that only a name speaks against
+    holder: int  # the innermost open holder, -1 for none
+    doubt: int = -1  # the innermost open element that a name speaks against
+    linked: bool = False  # all of its text is in links
 
 
 @dataclass
 class _Open:
     tag: str
     skipped: bool
-    holder: int | None
-    doubt: int | None = None
+    holder: int
+    doubt: int
 
 
 @dataclass
 class LineParser(HTMLParser):
-    """Collects the lines of a page from parser events; keeps a stack of open elements only."""
+    """Collects the lines of a page from parser events; keeps a stack of open elements only.
+
+    Elements that matter later are numbered in the order they open, and know their parents by number.
+    """
 
     lines: list[Line] = field(default_factory=list)
 
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[_Open] = []
+        self.open: Counter = Counter()  # how many elements of each tag are open
         self.chunks: list[str] = []
-        self.tags = 0
-        self.holders = 0
-        self.doubts = 0
-        self.named: list[int] = []  # holders that are an article or main element
+        self.tags = self.letters = self.link_letters = 0
+        self.holders: list[int] = []  # parent of each holder
+        self.top: list[int] = []  # the outermost article or main element around each holder, -1 for none
+        self.doubts: list[int] = []  # parent of each doubtful element
 
     def _break(self) -> None:
         text = _SPACE.sub(" ", "".join(self.chunks)).strip()
         if text:
-            path = tuple(e.holder for e in self.stack if e.holder is not None)
-            self.lines.append(Line(text, self.tags, path, tuple(e.doubt for e in self.stack if e.doubt is not None)))
+            last = self.stack[-1] if self.stack else None
+            linked = self.letters > 0 and self.letters == self.link_letters
+            self.lines.append(Line(text, self.tags, last.holder if last else -1, last.doubt if last else -1, linked))
             self.tags = 0
-        self.chunks = []
+        self.chunks, self.letters, self.link_letters = [], 0, 0
 
     def _skipping(self) -> bool:
         return bool(self.stack) and self.stack[-1].skipped
@@ -101,7 +115,7 @@ class LineParser(HTMLParser):
             return True
         if tag in ("html", "body", "main"):
             return False
-        inside = any(e.tag in ("article", "main") for e in self.stack)
+        inside = self.open["article"] + self.open["main"] > 0
         if tag == "header":
             return not inside
         if "hidden" in attrs or _HIDDEN.search(attrs.get("style", "").lower()) or attrs.get("role", "").lower() in ROLES:
@@ -111,25 +125,36 @@ class LineParser(HTMLParser):
         names = (attrs.get("class", "") + " " + attrs.get("id", "")).lower()
         if tag == "article":
             return bool({"comment", "comments", "ad", "advert", "promo"} & set(names.split()))
-        words = set(_WORD.findall(names)) & NAMES
-        if inside and tag in BLOCKS and words and not words & READERS:
-            return None if words - HEADERS else False
-        return bool(words)
+        sure = unsure = False
+        for token in names.split():
+            words = set(_WORD.findall(token))
+            named = words & NAMES - (HEADERS if inside else frozenset())
+            if named and words <= NAMES | PLAIN:
+                if not inside or named & READERS:
+                    return True
+                sure = True
+            unsure = unsure or bool(named)
+        return None if sure or (unsure and not inside) else False
 
     def _close(self, k: int) -> None:
         self._break()
+        self._pop(k)
+
+    def _pop(self, k: int) -> None:
+        for e in self.stack[k:]:
+            self.open[e.tag] -= 1
         del self.stack[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag in CLOSES_P and not (self._skipping() and tag in NEVER):
+        if tag in CLOSES_P and self.open["p"] and not (self._skipping() and tag in NEVER):
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k].tag == "p":
                     self._close(k)
                     break
                 if self.stack[k].tag in BARRIER:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(self.open[t] for t in CLOSES[tag]):
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k].tag in CLOSES[tag]:
                     self._close(k)
@@ -142,19 +167,18 @@ class LineParser(HTMLParser):
         if tag in VOID:
             return
         unwanted = self._skipping() or self._unwanted(tag, {k: v or "" for k, v in attrs})
-        skipped, doubt = bool(unwanted), None
+        skipped = bool(unwanted)
+        holder, doubt = (self.stack[-1].holder, self.stack[-1].doubt) if self.stack else (-1, -1)
         if unwanted is None:
-            doubt = self.doubts
-            self.doubts += 1
-        if skipped and not self._skipping():
-            self._break() if tag in BLOCKS else None
-        holder = None
+            self.doubts.append(doubt)
+            doubt = len(self.doubts) - 1
         if tag in HOLDERS and not skipped:
-            holder = self.holders
-            self.holders += 1
-            if tag in ("article", "main"):
-                self.named.append(holder)
+            self.holders.append(holder)
+            above = self.top[holder] if holder >= 0 else -1
+            holder = len(self.holders) - 1
+            self.top.append(above if above >= 0 or tag not in ("article", "main") else holder)
         self.stack.append(_Open(tag, skipped, holder, doubt))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -163,12 +187,12 @@ class LineParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
+        for k in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
             if self.stack[k].tag == tag:
                 if tag in BLOCKS:
                     self._close(k)
                 else:
-                    del self.stack[k:]
+                    self._pop(k)
                 return
             # An inline end tag does not reach out of its block.
             if tag not in BLOCKS and self.stack[k].tag in BLOCKS:
@@ -179,6 +203,9 @@ class LineParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._skipping():
             self.chunks.append(data)
+            letters = sum(map(str.isalnum, data))
+            self.letters += letters
+            self.link_letters += letters if self.open["a"] else 0
 
     def finish(self) -> None:
         self.close()
@@ -192,45 +219,95 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, kernel)[radius:-radius] / np.convolve(np.ones_like(ratios), kernel)[radius:-radius]
 
 
-def sure_lines(lines: list[Line]) -> list[Line]:
-    """Without the lines of named elements whose characters to tags are below half the mean ratio of the other lines."""
-    least = min((len(line.doubts) for line in lines), default=0)
-    plain = [line for line in lines if len(line.doubts) == least]  # where a name is around all, those with no more than that
+def sure_lines(lines: list[Line], doubts: list[int]) -> list[Line]:
+    """Without the lines of doubtful elements whose characters to tags are below half the mean ratio of the
+    other lines. ``doubts`` has the parent of each such element."""
+    depth = [0] * len(doubts)
+    for k, parent in enumerate(doubts):
+        depth[k] = 1 + (depth[parent] if parent >= 0 else 0)
+    deep = lambda line: depth[line.doubt] if line.doubt >= 0 else 0
+    least = min(map(deep, lines), default=0)
+    plain = [line for line in lines if deep(line) == least]  # where a name is around all, those with no more than that
     if len(plain) == len(lines):
         return lines
     others = [len(line.text) / max(1, line.tags) for line in plain]
-    around = {k for line in plain for k in line.doubts}
-    chars: dict[int, int] = {}
-    tags: dict[int, int] = {}
+    around = {line.doubt for line in plain}
+    chars, tags = [0] * len(doubts), [0] * len(doubts)
     for line in lines:
-        for k in line.doubts:
-            chars[k] = chars.get(k, 0) + len(line.text)
-            tags[k] = tags.get(k, 0) + line.tags
-    low = {k for k in chars.keys() - around if chars[k] / max(1, tags[k]) < np.mean(others) / 2}
-    return [line for line in lines if not low.intersection(line.doubts)]
+        if line.doubt >= 0:
+            chars[line.doubt] += len(line.text)
+            tags[line.doubt] += line.tags
+    for k in range(len(doubts) - 1, -1, -1):  # an element's parent opens before it
+        if doubts[k] >= 0:
+            chars[doubts[k]] += chars[k]
+            tags[doubts[k]] += tags[k]
+    low = [False] * len(doubts)
+    for k, parent in enumerate(doubts):
+        rejected = chars[k] > 0 and depth[k] > least and k not in around and chars[k] / max(1, tags[k]) < np.mean(others) / 2
+        low[k] = rejected or (parent >= 0 and low[parent])
+    return [line for line in lines if line.doubt < 0 or not low[line.doubt]]
+
+
+def content_lines(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines' smoothed ratio of characters to tags reaches the threshold that parts the page's lines
+    in two, and which do so by their own ratio."""
+    ratios = np.array([len(line.text) / max(1, line.tags) for line in lines])
+    ratio = smoothed(ratios)
+    threshold = min(ratio.mean(), ratio.std()) if ratio.std() > 0 else 0.0
+    content = ratio >= threshold
+    return content if content.any() else np.ones(len(lines), bool), ratios >= threshold
+
+
+def without_menus(lines: list[Line], content: np.ndarray) -> list[bool]:
+    """Which lines are no part of a menu: a run of three or more lines that are links and nothing else, none of them content by itself."""
+    keep, at = [True] * len(lines), 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and lines[end].linked and not content[end]:
+            end += 1
+        if end - at >= 3:
+            keep[at:end] = [False] * (end - at)
+        at = max(end, at + 1)
+    return keep
 
 
 def main_lines(parser: LineParser) -> list[Line]:
-    """The lines of the element that holds the content.
+    """The lines of the regions that hold the content.
 
-    Lines whose smoothed ratio reaches the threshold are content. An element is left for one
-    inside it only where no content line lies outside that: the outermost article or main element
-    that holds all content lines is taken, or else the innermost other element that does.
+    Lines whose smoothed ratio reaches the threshold are content. Where none of them lies outside
+    the page's outermost articles and main elements, all of those are the text. Else it is the
+    innermost element that holds all content lines. Menus inside are left out.
     """
-    lines = sure_lines(parser.lines)
+    lines = sure_lines(parser.lines, parser.doubts)
     if not lines:
         return []
-    ratios = np.array([len(line.text) / max(1, line.tags) for line in lines])
-    ratio = smoothed(ratios)
-    content = ratio >= min(ratio.mean(), ratio.std()) if ratio.std() > 0 else np.ones(len(lines), bool)
-    if not content.any():
-        content = np.ones(len(lines), bool)
-    paths = [line.path for line, c in zip(lines, content, strict=True) if c]
-    shared = set(paths[0]).intersection(*paths[1:])
-    around = [h for h in paths[0] if h in shared]
-    named = [h for h in around if h in set(parser.named)]
-    best = named[0] if named else around[-1] if around else None
-    return [line for line in lines if best is None or best in line.path]
+    content, alone = content_lines(lines)
+    top = [parser.top[line.holder] if line.holder >= 0 else -1 for line in lines]
+    keep = without_menus(lines, alone)
+    if all(t >= 0 for t, c in zip(top, content, strict=True) if c):
+        chosen = [t >= 0 for t in top]
+    else:
+        around = _common(parser.holders, [line.holder for line, c in zip(lines, content, strict=True) if c])
+        within = [k == around for k in range(len(parser.holders))]
+        for k, parent in enumerate(parser.holders):
+            within[k] = within[k] or (parent >= 0 and within[parent])
+        chosen = [around < 0 or (line.holder >= 0 and within[line.holder]) for line in lines]
+    return [line for line, c, k in zip(lines, chosen, keep, strict=True) if c and k]
+
+
+def _common(parents: list[int], holders: list[int]) -> int:
+    """The innermost holder around all of ``holders``, -1 for none."""
+    if min(holders) < 0:
+        return -1
+    inside = [0] * len(parents)
+    for holder in holders:
+        inside[holder] += 1
+    for k in range(len(parents) - 1, -1, -1):
+        if inside[k] == len(holders):
+            return k
+        if parents[k] >= 0:
+            inside[parents[k]] += inside[k]
+    return -1
 
 
 def extract(html: str | None) -> str:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import numpy as np
 import pytest
 
@@ -57,6 +60,78 @@ def test_query(spark):
     assert hx.extract_pages(pages.limit(0)).count() == 0
 
 
+def article(inside):
+    return f"<body><article><p>{LONG * 3}</p>{inside}<p>{LONG * 2}</p></article></body>"
+
+
+KEPT = {
+    article("<div class='related-work'><p>Short note.</p></div>"): LONG * 3 + "Short note. " + LONG * 2,
+    article("<p id='social-history'>Born here.</p>"): LONG * 3 + "Born here. " + LONG * 2,
+    article("<p class='alert-levels'>Three.</p>"): LONG * 3 + "Three. " + LONG * 2,
+    article("<ul class='share-buttons'><li><a>x</a><li><a>y</a><li><a>z</a></ul>"): LONG * 5,
+    article("<ul><li><a>Home</a><li><a>News</a><li><a>Map</a><li><a>Mail</a></ul>"): LONG * 5,
+    article("<p>See <a>one</a>.</p><ul><li><a>x</a> by y<li><a>z</a></ul>"): LONG * 3 + "See one. x by y z " + LONG * 2,
+    f"<body><article><p>{LONG * 9}</p></article><article><h2>T</h2><p>short</p></article></body>": LONG * 9 + "T short",
+    f"<body><p>Site</p><div class='widget-post'><p>{LONG * 4}</p></div></body>": "Site " + LONG * 4,
+    f"<body><div id='content-header-wrap' class='post'><p>{LONG * 4}</p><p>tail</p></div><div class='site-footer'>c</div></body>": LONG * 4 + "tail",
+    f"<div class='share-this-page'><a>a</a> <a>b</a></div><div><p>{LONG * 4}</p><p>end</p></div>": LONG * 4 + "end",
+}
+
+
+@pytest.mark.parametrize("html", KEPT)
+def test_names_do_not_decide_alone(html):
+    assert hx.extract(html) == KEPT[html].strip()
+
+
+def plain_main_text(html):
+    """The regions again without numpy, indices or counters: each line has all elements around it."""
+    parser = hx.LineParser()
+    parser.feed(html)
+    parser.finish()
+    lines = hx.sure_lines(parser.lines, parser.doubts)
+
+    def around(holder):
+        return [] if holder < 0 else [*around(parser.holders[holder]), holder]
+
+    if not lines:
+        return ""
+    ratio = [len(x.text) / max(1, x.tags) for x in lines]
+    kernel = {d: np.exp(-d * d / 2) for d in range(-2, 3)}
+    smooth = [sum(kernel[j - i] * ratio[j] for j in range(max(0, i - 2), min(len(ratio), i + 3))) / sum(kernel[j - i] for j in range(max(0, i - 2), min(len(ratio), i + 3))) for i in range(len(ratio))]
+    mean = sum(smooth) / len(smooth)
+    spread = (sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5
+    content = [spread <= 1e-12 or x >= min(mean, spread) - 1e-12 for x in smooth]
+    menu = [False] * len(lines)
+    for i in range(len(lines)):
+        for j in range(i + 3, len(lines) + 1):
+            if all(x.linked and r < min(mean, spread) - 1e-12 and spread > 1e-12 for x, r in zip(lines[i:j], ratio[i:j], strict=True)):
+                menu[i:j] = [True] * (j - i)
+    paths = [around(x.holder) for x in lines]
+    named = [any(parser.top[h] == h for h in path) for path in paths]
+    if all(n for n, c in zip(named, content, strict=True) if c):
+        chosen = named
+    else:
+        shared = set.intersection(*(set(p) for p, c in zip(paths, content, strict=True) if c))
+        chosen = [not shared or max(shared) in p for p in paths]
+    return " ".join(x.text for x, c, m in zip(lines, chosen, menu, strict=True) if c and not m)
+
+
+def test_regions_against_a_plain_version():
+    pick = random.Random(3)
+    parts = ["<div>", "</div>", "<article>", "</article>", "<main>", "</main>", "<section class=related>", "</section>", "<div class='side-note widget'>", "</div>", "<p>", "<a>link</a>", "<li><a>go</a>", "<h2>", "</h2>", "<td>", "</td>", LONG, "word ", "few words here ", LONG * 3, "<br>", "<aside>x</aside>"]
+    for _ in range(500):
+        html = "<body>" + "".join(pick.choice(parts) for _ in range(pick.randint(1, 60)))
+        assert hx.extract(html) == plain_main_text(html), html
+
+
+def test_deep_pages_take_time_in_proportion():
+    began = time.process_time()
+    assert hx.extract("<div>" * 20_000 + "deep") == "deep"
+    assert hx.extract("<div class='a-nav'><p>x" * 20_000) != ""
+    assert hx.extract("<b>" * 20_000 + "</i>" * 20_000 + "t") == "t"
+    assert time.process_time() - began < 3
+
+
 def test_broken_pages_do_not_fail():
     for html in ("<", "<p", "<!-- open", "<a b='", "</div></p>", "&#xffffffff;", "<script>", "<![CDATA[x]]>", "<table><p></td>", "\x00<p>a", "<p>" * 3000 + "deep"):
         assert isinstance(hx.extract(html), str)

@@ -46,3 +46,39 @@ def test_held_out_accuracy():
 def test_small_tables():
     assert urlfilter.train([]).probability("a", "/b") < 0.5
     assert urlfilter.train([(None, 1), ("http://a/b", 1)]).probability("a", "/b") > 0.5
+
+
+def test_unwanted_sites_that_the_table_does_not_have():
+    table = urlfilter.labelled_urls()
+    model = urlfilter.train(table)
+    block = ["http://m.casino-win.example.com/en/4033.html", "https://free-bets.example.com/en/5462#top", "https://www.cheap-pills.example.com/de/6652.html", "https://m.ads-track.example.com/en/9823"]
+    allow = ["http://tiontion.example.net/en/7817?utm_source=feed", "https://www.ththst.example.com/en/1837/", "https://blog.theror.example.com/de/1373#top", "https://winter-tracks.example.org/en/12", "http://bettina.example.net/en/77", ""]
+    assert not any(urlfilter.site(urlfilter.split_url(u)[0]) == urlfilter.site(urlfilter.split_url(t)[0]) for u in block for t, _ in table)
+    assert all(model.probability(*urlfilter.split_url(u)) >= 0.5 for u in block)
+    assert all(model.probability(*urlfilter.split_url(u)) < 0.5 for u in allow)
+
+
+def test_held_out_sites():
+    scores, y = urlfilter.held_out_scores(urlfilter.labelled_urls())
+    shift = max(0, sorted(scores[y == 0])[int(len(scores[y == 0]) * 0.99)])
+    assert (scores[y == 0] > shift).mean() <= 0.01 and (scores[y == 1] > shift).mean() >= 0.4
+
+
+def test_score_by_hand():
+    import math
+    import zlib
+
+    model = urlfilter.train(urlfilter.labelled_urls())
+    for url in ("https://lucky-x.example.com/Promo/1?x", "http://a", "http://" + "long-" * 20_000 + "/" + "p/" * 20_000, None):
+        host, path = urlfilter.split_url(url)
+        grams = set()
+        for kind, part in (("h", host), ("p", path)):
+            word = ""
+            for c in part + ".":
+                if c.isascii() and not c.isalnum():
+                    word, whole = "", f"^{word}$"
+                    grams |= {kind + whole[i : i + n] for n in (3, 4, 5) for i in range(len(whole) - n + 1)}
+                else:
+                    word += c
+        score = model.bias + sum(model.weights[b] for b in {zlib.crc32(g.encode()) % len(model.weights) for g in grams})
+        assert abs(model.probability(host, path) - 1 / (1 + math.exp(-score))) < 1e-9
