@@ -147,7 +147,7 @@ class Packer:
         left, taken = np.ones(3), []
         while self.pieces:
             demand = self.demand[: len(self.pieces)]
-            score = demand @ left
+            score = demand[:, 0] * left[0] + demand[:, 1] * left[1] + demand[:, 2] * left[2]  # by row, so that equal demands tie
             fits = (demand <= left + 1e-9).all(axis=1)
             if fits.any():
                 k = int(np.where(fits, score, -1.0).argmax())

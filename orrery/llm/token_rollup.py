@@ -2,17 +2,24 @@
 
 Totals by source, language and tokenizer version are sums of signed deltas: an insert adds a
 document and its tokens, a delete takes them back, a revision does both. Batches of deltas are
-committed once: a batch's rows are reduced to one per key, written to a folder of its own, and
-become visible by a marker that is written last; committing a batch again changes nothing.
+committed once: a batch's rows are reduced to one per key, written to a folder of their own, and
+become visible by a marker that is written last; committing a batch again changes nothing. A
+commit also folds what is new into a compacted total, so reading totals does not depend on how
+many batches there have been.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.llm.packing import load_tokenizer
+
 KEYS = ("source", "lang", "tokenizer")
 #: Tokenizer versions that are counted in place: code points of ``pattern`` matches.
 PATTERNS = {
@@ -42,7 +49,15 @@ def reduced(deltas: DataFrame) -> DataFrame:
 
 
 class RollupStore:
-    """Committed batches in one folder of a file system that all executors share."""
+    """Committed batches in one folder of a file system that all executors share.
+
+    ``deltas/<batch>/<attempt>`` hold rows, ``commits/<batch>/<attempt>`` are the markers, and
+    ``totals/<number>-<attempt>`` are compacted totals with the names of the batches in them. No file
+    is ever written twice, so writers need no lock: of several attempts at one batch, which all
+    have the same deltas, one counts, and of several compacted totals any is right with the
+    batches that it does not name. A run that stopped half-way left files without a marker, which
+    nobody reads.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -53,43 +68,116 @@ class RollupStore:
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self._conf), path
 
-    def batches(self) -> list[str]:
-        """Committed batches, oldest name first."""
-        fs, path = self._at("commits")
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._at(folder)
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
-    def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Apply a batch once. False if it was committed before, in which case nothing is read.
+    def _put(self, name: str, text: str = "") -> None:
+        fs, path = self._at(name)
+        out = fs.create(path, False)
+        out.write(text.encode())
+        out.close()
 
-        A run that stopped half-way left rows without a marker; they are overwritten.
-        """
+    def batches(self) -> list[str]:
+        """Committed batches, least name first."""
+        return [batch for batch in self._names("commits") if self._names(f"commits/{batch}")]
+
+    def commit(self, batch: str, deltas: DataFrame) -> bool:
+        """Apply a batch once. False if it was committed before, in which case nothing is read."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch):
             raise ValueError(f"a batch is named by letters, digits, '.', '_' and '-', not {batch!r}")
-        fs, marker = self._at(f"commits/{batch}")
-        if fs.exists(marker):
+        if self._names(f"commits/{batch}"):
             return False
-        reduced(deltas).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
-        fs.create(marker, False).close()
+        attempt = uuid.uuid4().hex
+        reduced(deltas).write.parquet(f"{self.path}/deltas/{batch}/{attempt}")
+        self._put(f"commits/{batch}/{attempt}")
+        self.compact()
         return True
 
+    def _latest(self) -> tuple[str | None, set[str]]:
+        """The newest compacted total that is whole, and the batches in it."""
+        for name in reversed(self._names("totals")):
+            fs, done = self._at(f"totals/{name}/_DONE")
+            if fs.exists(done):
+                _, listed = self._at(f"totals/{name}/batches.txt")
+                stream = fs.open(listed)
+                try:
+                    return name, set(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split())
+                finally:
+                    stream.close()
+        return None, set()
+
+    def _sums(self) -> tuple[DataFrame, str | None, set[str], list[str]]:
+        name, inside = self._latest()
+        fresh = [batch for batch in self.batches() if batch not in inside]
+        paths = [f"{self.path}/deltas/{batch}/{self._names(f'commits/{batch}')[0]}" for batch in fresh]
+        paths += [f"{self.path}/totals/{name}/rows"] if name else []
+        schema = "source string, lang string, tokenizer string, docs long, tokens long"
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return reduced(rows), name, inside, fresh
+
+    def compact(self) -> None:
+        """Fold the batches that no compacted total has into a new one, and drop those before the last two."""
+        sums, name, inside, fresh = self._sums()
+        if not fresh:
+            return
+        number = int(name.split("-")[0]) + 1 if name else 1
+        folder = f"totals/{number:012d}-{uuid.uuid4().hex}"
+        sums.where("docs <> 0 or tokens <> 0").write.parquet(f"{self.path}/{folder}/rows")
+        self._put(f"{folder}/batches.txt", "\n".join(sorted(inside.union(fresh))))
+        self._put(f"{folder}/_DONE")
+        for old in self._names("totals"):
+            if int(old.split("-")[0]) < number - 1:
+                fs, path = self._at(f"totals/{old}")
+                fs.delete(path, True)
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches.
 
         Null sources and languages are keys of their own. A key whose documents are all gone, with
         no tokens left, has no row.
         """
-        schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        paths = [f"{self.path}/deltas/{b}" for b in self.batches()]
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+        sums = self._sums()[0].where("docs <> 0 or tokens <> 0")
+        return sums.select(*KEYS, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 
 
-def roll_up(store: RollupStore, slim: DataFrame, restore: bool = False) -> DataFrame:
-    """Three batches over a corpus, given by its :func:`measured` rows, one batch delivered twice: all
-    documents under ``words-1``; English ones revised to ``words-2``; documents of fewer than 20 words deleted.
-    With ``restore`` a fourth batch has the deleted ones again, and inserts each document under the other
-    version too, so the totals are those of the whole corpus by version."""
+def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """source, lang, words (``words-1``) and bpe (ids that ``tokenizer`` gives the whole text), one row per
+    document. A null text has none of either; ids and other columns do not matter."""
+    schema = pa.schema([("source", pa.string()), ("lang", pa.string()), ("words", pa.int64()), ("bpe", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load_tokenizer(tokenizer)
+        for batch in batches:
+            counts = [len(encode(text)) if (text := body.as_py()) else 0 for body in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64())], schema=schema)
+
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), count_tokens(F.col("text"), "words-1").alias("words"), F.col("text").alias("text"))
+    return rows.mapInArrow(work, "source string, lang string, words long, bpe long")
+
+
+def roll_up_tokenized(store: RollupStore, slim: DataFrame, version: str) -> DataFrame:
+    """Five batches over a corpus, given by its :func:`tokenized` rows: all documents by words; all of them
+    under ``version``, delivered twice; the short ones deleted; those inserted again, as they were; and
+    counts that were one too high, revised. The totals are those of the whole corpus by both versions."""
+    words = slim.select("source", "lang", F.lit("words-1").alias("tokenizer"), F.col("words").alias("tokens"), "words")
+    ids = slim.select("source", "lang", F.lit(version).alias("tokenizer"), F.col("bpe").alias("tokens"), "words")
+    short = F.col("words") < 20
+    store.commit("0001-words", signed(words.withColumn("tokens", F.when(short, F.col("tokens")).otherwise(F.col("tokens") + 1)), 1))
+    for _ in range(2):
+        store.commit("0002-ids", signed(ids, 1))
+    gone = words.where(short).unionByName(ids.where(short))
+    store.commit("0003-short-out", signed(gone, -1))
+    store.commit("0004-short-back", signed(gone, 1))
+    store.commit("0005-revised", revised(words.where(~short).withColumn("tokens", F.col("tokens") + 1), words.where(~short)))
+    return store.totals()
+
+
+def roll_up(store: RollupStore, slim: DataFrame) -> DataFrame:
+    """Four batches over a corpus, given by its :func:`measured` rows, one batch delivered twice: all
+    documents under ``words-1``; English ones revised to ``words-2``; documents of fewer than 20 words
+    deleted; those again, and each document under the other version too, so that the totals are those of
+    the whole corpus by version."""
     one = slim.select("source", "lang", F.lit("words-1").alias("tokenizer"), F.col("words_1").alias("tokens"), "words_1")
     two = slim.select("source", "lang", F.lit("words-2").alias("tokenizer"), F.col("words_2").alias("tokens"), "words_1")
     english = F.col("lang").eqNullSafe("en")
@@ -98,8 +186,7 @@ def roll_up(store: RollupStore, slim: DataFrame, restore: bool = False) -> DataF
         store.commit("0002-english", revised(one.where(english), two.where(english)))
     short = F.col("words_1") < 20
     store.commit("0003-short", signed(one.where(short & ~english), -1).unionByName(signed(two.where(short & english), -1)))
-    if restore:
-        store.commit("0004-whole", signed(one.where(short | english), 1).unionByName(signed(two.where(short | ~english), 1)))
+    store.commit("0004-whole", signed(one.where(short | english), 1).unionByName(signed(two.where(short | ~english), 1)))
     return store.totals()
 
 
@@ -111,19 +198,8 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-ORACLE_SQL = rf"""
-WITH counted AS (
-  SELECT source, lang,
-         coalesce(len(regexp_extract_all(text, '{PATTERNS["words-1"]}')), 0) AS words_1,
-         coalesce(len(regexp_extract_all(text, '{PATTERNS["words-2"]}')), 0) AS words_2
-  FROM documents)
-SELECT source, lang, CASE WHEN lang = 'en' THEN 'words-2' ELSE 'words-1' END AS tokenizer, count(*) AS n_docs,
-       CAST(sum(CASE WHEN lang = 'en' THEN words_2 ELSE words_1 END) AS BIGINT) AS n_tokens
-FROM counted WHERE words_1 >= 20 GROUP BY 1, 2, 3
-"""
-
-#: With ``restore``.
-WHOLE_SQL = rf"""
+#: Of :func:`roll_up`.
+WORDS_SQL = rf"""
 WITH counted AS (
   SELECT source, lang, unnest(['words-1', 'words-2']) AS tokenizer,
          unnest([coalesce(len(regexp_extract_all(text, '{PATTERNS["words-1"]}')), 0), coalesce(len(regexp_extract_all(text, '{PATTERNS["words-2"]}')), 0)]) AS words

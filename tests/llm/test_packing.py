@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -89,3 +90,75 @@ def test_examples_stay_whole_without_cut(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_packer(items, limits, pool):
+    """The heuristic in lists: of the pieces that fit under all limits the one with the largest dot product of
+    demand and room; where none fits, the one with the largest dot product is cut to what there is room for."""
+    room, waiting, out = (limits.tokens, limits.segments, limits.loss), [], []
+    need = lambda p: (p[2], 1, max(0, p[1] + p[2] - max(p[1], p[3])))
+
+    def fill():
+        left, taken = [1.0, 1.0, 1.0], []
+        while waiting:
+            demand = [[a / b for a, b in zip(need(p), room)] for p in waiting]
+            score = [sum(a * b for a, b in zip(d, left)) for d in demand]
+            fits = [all(a <= b + 1e-9 for a, b in zip(d, left)) for d in demand]
+            if any(fits):
+                k = max(range(len(waiting)), key=lambda i: (fits[i], score[i], -i))
+                left = [a - b for a, b in zip(left, demand[k])]
+                taken.append(pop(k))
+                continue
+            gap = round(left[0] * room[0])
+            if gap < 1 or left[1] * room[1] < 1 - 1e-6:
+                break
+            k = max(range(len(waiting)), key=lambda i: (score[i], -i))
+            item, start, length, loss_from = waiting[k]
+            size = min(gap, round(left[2] * room[2]) + max(0, loss_from - start), length)
+            if size < 1:
+                break
+            pop(k)
+            taken.append((item, start, size, loss_from))
+            left = [a - b / c for a, b, c in zip(left, need(taken[-1]), room)]
+            if size < length:
+                waiting.append((item, start + size, length - size, loss_from))
+        return taken
+
+    def pop(k):
+        piece, last = waiting[k], waiting.pop()
+        if k < len(waiting):
+            waiting[k] = last
+        return piece
+
+    for item, total, loss_from in items:
+        start, step = 0, min(limits.tokens, limits.loss)
+        while total - start >= step:
+            if step == limits.tokens:
+                out.append([(item, start, step, loss_from)])
+            else:
+                waiting.append((item, start, step, loss_from))
+            start += step
+            if len(waiting) >= pool:
+                out.append(fill())
+        if start < total:
+            waiting.append((item, start, total - start, loss_from))
+        while len(waiting) >= pool:
+            out.append(fill())
+    return out
+
+
+def test_placement_against_a_plain_packer():
+    pick = random.Random(5)
+    for limits in (packing.Limits(64, 4, 40), packing.Limits(64, 3, 64), packing.Limits(100, 16, 30)):
+        bound = set()
+        for _ in range(20):
+            items = [(k, n := pick.choice([1, 2, 5, 17, 30, 63, 64, 150]), pick.randint(0, n)) for k in range(120)]
+            packer, got = packing.Packer(limits, cut=True, pool=12), []
+            for item, total, loss_from in items:
+                got += [[(i, start, len(ids), first) for i, start, ids, first, _ in sequence] for sequence, _ in packer.add(item, np.arange(total, dtype=np.uint32), loss_from)]
+            assert got == plain_packer(items, limits, 12)
+            for sequence in got:
+                sums = (sum(p[2] for p in sequence), len(sequence), sum(max(0, p[1] + p[2] - max(p[1], p[3])) for p in sequence))
+                assert all(a <= b for a, b in zip(sums, (limits.tokens, limits.segments, limits.loss)))
+                bound |= {k for k, (a, b) in enumerate(zip(sums, (limits.tokens, limits.segments, limits.loss))) if a == b}
+        assert {0, 1} <= bound or {1, 2} <= bound  # more limits than one bind

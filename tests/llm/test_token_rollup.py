@@ -62,6 +62,51 @@ def test_restored_totals_are_those_of_the_whole_table(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     columns = ["source", "lang", "tokenizer", "n_docs", "n_tokens"]
-    got = queries.QUERIES["op4_token_rollup_all"](spark, str(tmp_path)).select(columns).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(con.sql(token_rollup.WHOLE_SQL).fetchall(), key=str)
+    got = queries.QUERIES["op4_token_rollup_words"](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.sql(token_rollup.WORDS_SQL).fetchall(), key=str)
     assert sum(r["n_docs"] for r in got) == 2 * len(rows)
+
+
+def test_ids_are_those_of_the_tokenizer(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from orrery.llm import queries
+
+    texts = ["a b, c", "w " * 30, "Größe naïve \u4e2d\u6587 \U0001f600", "z. " * 25, None, "", " \n" * 40, "long word" * 50_000]
+    rows = [(k, text, "en" if k % 2 else None, "s", 7) for k, text in enumerate(texts)] + [(0, "a b, c", "de", None, 7)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int").write.parquet(f"{tmp_path}/documents.parquet")
+    slow, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for _, text, lang, source, _ in rows:
+        counts = {"words-1": len((text or "").split()), "byte_bpe_50k": len(slow.encode(text or "", add_special_tokens=False).ids)}
+        for version, n in counts.items():
+            docs, tokens = want.get((source, lang, version), (0, 0))
+            want[source, lang, version] = (docs + 1, tokens + n)
+    got = queries.QUERIES["op4_token_rollup"](spark, str(tmp_path)).collect()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == want
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    assert tr.roll_up_tokenized(store_of(spark), tr.tokenized(empty, public_tokenizers.path("byte_bpe_50k.json")), "v").count() == 0
+
+
+def test_commits_fold_into_a_total_and_writers_do_not_disturb_each_other(spark):
+    store = store_of(spark)
+    row = lambda n: tr.signed(spark.createDataFrame([("a", "en", "v1", n)], SCHEMA), 1)
+    for k in range(4):
+        store.commit(f"b{k}", row(10**k))
+    assert totals(store) == {("a", "en", "v1"): (4, 1111)}
+    assert len(store._names("totals")) <= 2 and store._latest()[1] == {"b0", "b1", "b2", "b3"}
+    # Two attempts at one batch, and a total that another writer wrote at the same time without it.
+    for attempt in ("x", "y"):
+        tr.reduced(row(5)).write.parquet(f"{store.path}/deltas/c/{attempt}")
+        store._put(f"commits/c/{attempt}")
+    assert totals(store) == {("a", "en", "v1"): (5, 1116)} and not store.commit("c", row(5))
+    name = store._latest()[0]
+    store.compact()
+    late = f"totals/{int(name.split('-')[0]) + 1:012d}-zzz"
+    spark.read.parquet(f"{store.path}/totals/{name}/rows").write.parquet(f"{store.path}/{late}/rows")
+    store._put(f"{late}/batches.txt", "b0\nb1\nb2\nb3")
+    store._put(f"{late}/_DONE")
+    assert totals(store) == {("a", "en", "v1"): (5, 1116)}
+    # One that is not whole is not read.
+    store._put("totals/999999999999-half/batches.txt", "b0")
+    assert totals(store) == {("a", "en", "v1"): (5, 1116)}
