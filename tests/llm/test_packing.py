@@ -102,7 +102,7 @@ def plain_packer(items, limits, pool):
         left, taken = [1.0, 1.0, 1.0], []
         while waiting:
             demand = [[a / b for a, b in zip(need(p), room)] for p in waiting]
-            score = [sum(a * b for a, b in zip(d, left)) for d in demand]
+            score = [d[0] * left[0] + d[1] * left[1] + d[2] * left[2] for d in demand]
             fits = [all(a <= b + 1e-9 for a, b in zip(d, left)) for d in demand]
             if any(fits):
                 k = max(range(len(waiting)), key=lambda i: (fits[i], score[i], -i))
