@@ -16,7 +16,8 @@ Only components are asked for, so a large bucket never expands into its pairs:
    number of shingles, and blocks are compared by counting common shingles, giving only links
    that connect something new.
 
-A pair that meets in a bucket is thus compared unless its ends are linked already. Links found in
+A pair that meets in a bucket is thus compared unless its ends are linked already. Before texts are
+sent for a comparison, two bits of each coordinate tell pairs that are far from the threshold. Links found in
 steps 2 and 3 join up the components of step 1, not the documents anew.
 """
 
@@ -63,6 +64,17 @@ class Banding:
     def coordinates(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def words(self) -> int:
+        """Of 64 bits, for a bit of each coordinate."""
+        return -(-self.coordinates // 64)
+
+    def most_unlike(self, percent: int) -> float:
+        """Coordinates that differ in their last two bits: six standard deviations above what a pair at
+        the threshold has on average, which it exceeds once in 10^9 times."""
+        p = (1 - percent / 100) * 0.75
+        return self.coordinates * p + 6 * (self.coordinates * p * (1 - p)) ** 0.5
+
 
 def _sigma(x: np.ndarray) -> np.ndarray:
     """The first permutation, of 32-bit integers."""
@@ -103,27 +115,52 @@ def band_keys(least: np.ndarray, banding: Banding) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(least: np.ndarray) -> list[int]:
+    """The last two bits of every coordinate: words of last bits, then words of the bits before them."""
+    planes = []
+    for bit in (0, 1):
+        bits = np.zeros(-(-len(least) // 64) * 64, dtype=np.uint8)
+        bits[: len(least)] = (least >> _U32(bit)) & _U32(1)
+        planes += np.packbits(bits).view(np.int64).tolist()
+    return planes
+
+
 def signatures(docs: DataFrame, key: str, text: str, banding: Banding) -> DataFrame:
-    """key, n_shingles, digest of the set, bands (empty for an empty set)."""
-    schema = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """key, n_shingles, digest of the set, bands (empty for an empty set), and the words of the sketch."""
+    names = [f"s{k}" for k in range(2 * banding.words)]
+    schema = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((s, pa.int64()) for s in names)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                sizes, digests, bands = [], [], []
+                sizes, digests, bands, sketches = [], [], [], []
                 for shingles in shingle_sets(part.column(1)):
                     sizes.append(len(shingles))
                     digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(signature(shingles, banding.coordinates), banding) if len(shingles) else np.zeros(0, np.int64))
+                    least = signature(shingles, banding.coordinates)
+                    bands.append(band_keys(least, banding) if len(shingles) else np.zeros(0, np.int64))
+                    sketches.append(sketch(least))
                 ends = np.cumsum([0, *map(len, bands)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], schema=schema)
+                words = [pa.array(w, pa.int64()) for w in zip(*sketches, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, *words], schema=schema)
 
-    ddl = "key long, n_shingles long, digest binary, bands array<long>"
+    ddl = "key long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in names)
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, ddl)
 
 
+def _plausible(pairs: DataFrame, n_pairs: int, marks: DataFrame, percent: int, banding: Banding) -> DataFrame:
+    """Those (a, b) whose sketches are not too unlike for the threshold; only their texts are sent."""
+    words = [f"s{k}" for k in range(2 * banding.words)]
+    near = F.broadcast if n_pairs <= NEAR_ROWS else (lambda df: df)
+    half = marks.select(F.col("key").alias("a"), *words).join(near(pairs), "a").select("a", "b", *[F.col(w).alias(f"a_{w}") for w in words])
+    both = marks.select(F.col("key").alias("b"), *words).join(near(half), "b")
+    unlike = [F.col(w).bitwiseXOR(F.col(f"a_{w}")) for w in words]
+    differ = sum((F.bit_count(unlike[k].bitwiseOR(unlike[k + banding.words])) for k in range(banding.words)), F.lit(0))
+    return both.where(differ <= banding.most_unlike(percent)).select("a", "b")
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, n_pairs: int, key: str, text: str, percent: int) -> DataFrame:
     """Those (a, b) of the ``n_pairs`` ``pairs`` whose full sets have 100 * intersection >= percent * union.
 
@@ -134,7 +171,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, n_pairs: int, key: str, text:
     members = pairs.join(sizes, "a").select(F.col("b").alias("key"), "a", (F.abs(F.hash("b")) % F.col("parts")).alias("part"), F.lit(True).alias("member"))
     centres = sizes.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
     wanted = members.unionByName(centres)  # a row for each pair, and no more than that for the centres
-    near = F.broadcast(wanted) if 2 * n_pairs <= NEAR_ROWS else wanted
+    near = F.broadcast(wanted) if n_pairs <= NEAR_ROWS else wanted
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(near, "key")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "key").select("a", "key", "member", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -349,7 +386,8 @@ def _near_duplicates(keyed: DataFrame, unique: bool, doc_id: str, text: str, per
     # Of the centres that a member meets, at most one a band, those it meets most often.
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
     pairs, n = stages.save_counted(meetings.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("a", "b"), "pairs")
-    links = _confirmed(keyed, pairs, n, ROW, text, percent)
+    likely, n = stages.save_counted(_plausible(pairs, n, marks, percent, banding), "likely")
+    links = _confirmed(keyed, likely, n, ROW, text, percent)
     label = stages.save(components(links, "a", "b"), "labels")
 
     torn = stages.save(_torn(shared, label), "torn")
@@ -358,6 +396,7 @@ def _near_duplicates(keyed: DataFrame, unique: bool, doc_id: str, text: str, per
     across = state.join(other, "bucket").where("a < b and part <> a_part").where(sized).select("a", "b").distinct()
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across, n = stages.save_counted(across.join(tested, ["a", "b"], "left_anti"), "across")
+    across, n = stages.save_counted(_plausible(across, n, marks, percent, banding), "likely") if n else (across, 0)
     more, n_more = stages.save_counted(_confirmed(keyed, across, n, ROW, text, percent), "links") if n else (None, 0)
     state = torn.where(F.col("crowd") > SMALL)
     if not state.isEmpty():
