@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
+from orrery.staging import Stages
 
 
 def bounding_box(points: DataFrame, keys: list[str], axes: tuple[str, ...] = ("x", "y", "z"), origin: tuple[float, ...] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -59,6 +60,16 @@ def numbered(rows: DataFrame, scope: list[str], order: list[str], name: str = "i
     return rows.withColumn(name, (rank - 1) * step + first)
 
 
+def identified(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys..., name: a number for each distinct key, from 1 up in the order of the keys, with gaps.
+
+    Two keys never share one, as they could with a hash. The table is written once, so a number
+    is the same wherever it is read.
+    """
+    ordered = rows.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return Stages(rows.sparkSession, "ids").save(ordered.withColumn(name, F.monotonically_increasing_id() + 1), "ids")
+
+
 def instance_names(rows: DataFrame, scope: list[str], class_name: str, order: list[str]) -> DataFrame:
     """The names class_1, class_2, ... of a scope's instances."""
     rank = F.row_number().over(Window.partitionBy(*scope, class_name).orderBy(*order))

@@ -36,15 +36,17 @@ def overlap_argmax(left: DataFrame, right: DataFrame, item: str, group: str, ele
     return left.select(item).distinct().join(best, item, "left").select(item, F.col(f"best.{group}").alias(group), F.col("best.overlap").alias("overlap"))
 
 
-def nearest_group(items: DataFrame, targets: DataFrame, item: str, group: str, distance: Column, last_wins: bool = True) -> DataFrame:
-    """For each item (few rows, such as cameras) the group that has the nearest target.
+def nearest_group(items: DataFrame, targets: DataFrame, item: str, group: str, distance: Column, on: tuple[str, ...] = (), last_wins: bool = True) -> DataFrame:
+    """For each item (few rows, such as cameras) the group of its scope ``on`` that has the nearest target.
 
     Only (item, group) minima leave a task. Ties go to the greatest group, as in a scan with <=.
+    Returns on..., item, group, distance.
     """
-    pairs = targets.join(_near(items), F.lit(True)).select(item, group, distance.alias("d"))
-    least = pairs.groupBy(item, group).agg(F.min("d").alias("d"))
+    pairs = _paired(targets, items, on).select(*on, item, group, distance.alias("d"))
+    least = pairs.groupBy(*on, item, group).agg(F.min("d").alias("d"))
     tie = -F.col(group) if last_wins else F.col(group)
-    return least.groupBy(item).agg(F.min_by(F.struct(group, "d"), F.struct(F.col("d"), tie)).alias("b")).select(item, F.col(f"b.{group}").alias(group), F.col("b.d").alias("distance"))
+    best = least.groupBy(*on, item).agg(F.min_by(F.struct(group, "d"), F.struct(F.col("d"), tie)).alias("b"))
+    return best.select(*on, item, F.col(f"b.{group}").alias(group), F.col("b.d").alias("distance"))
 
 
 #: A side of a nested join is broadcast up to this many rows; a larger one is dealt by key blocks.
@@ -55,9 +57,18 @@ def _near(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
-def all_distances(items: DataFrame, cameras: DataFrame, distance: Column, keep: list[str]) -> DataFrame:
-    """The distance of every item to every camera; cameras of a building are few."""
-    return items.join(_near(cameras), F.lit(True)).select(*keep, distance.alias("distance"))
+def _paired(rows: DataFrame, items: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """Each row with each item of its scope. Without a scope the items must be few."""
+    if on:
+        return rows.join(_near(items), list(on))
+    if items.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} items need a scope, such as their building")
+    return rows.join(F.broadcast(items), F.lit(True))
+
+
+def all_distances(items: DataFrame, cameras: DataFrame, distance: Column, keep: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+    """The distance of every item to every camera of its scope ``on``; cameras of a building are few."""
+    return _paired(items, cameras, on).select(*keep, distance.alias("distance"))
 
 
 def radius_join(points: DataFrame, key: str, axes: tuple[str, ...], radius: float | Column, on: tuple[str, ...] = ()) -> DataFrame:
@@ -149,10 +160,11 @@ def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r"
             at_row, at_column = have["__row"].to_numpy(np.int64), have[column].to_numpy(np.int64)
             here = int(rows[row].iloc[0])
             down = (at_row - here) ** 2
-            # (distance, row, column) as one number; places count from the least ones.
-            tie = ((at_row - at_row.min()) << 20) + (at_column - at_column.min())
+            # Candidates in the order of their place, so that the first of the nearest is the least (row, column).
+            order = np.lexsort((at_column, at_row))
+            at_column, down, have = at_column[order], down[order], have.iloc[order]
             where = rows.loc[open_, column].to_numpy(np.int64)
-            pick = np.concatenate([((((where[k : k + 256, None] - at_column[None]) ** 2 + down[None]) << 40) + tie[None]).argmin(axis=1) for k in range(0, len(where), 256)])
+            pick = np.concatenate([((where[k : k + 256, None] - at_column[None]) ** 2 + down[None]).argmin(axis=1) for k in range(0, len(where), 256)])
             rows.loc[open_, value] = have["__value"].to_numpy()[pick]
         return rows[[*scope, row, column, value]]
 
@@ -168,20 +180,22 @@ def cooccurrence(members: DataFrame, instance: str, element: list[str]) -> DataF
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def common_rays(hits: DataFrame, ray: str, item: str, order: Column) -> DataFrame:
-    """For rays that hit two items, which was hit first: ray, a, b, a_first (both directions)."""
-    first = hits.groupBy(ray, item).agg(F.min(order).alias("at"))
-    other = first.select(ray, F.col(item).alias("b"), F.col("at").alias("b_at"))
-    pairs = first.withColumnRenamed(item, "a").join(other, ray).where("a <> b")
-    return pairs.select(ray, "a", "b", (F.col("at") < F.col("b_at")).alias("a_first"))
+def common_rays(hits: DataFrame, ray: str, item: str, order: Column, scope: list[str] | None = None) -> DataFrame:
+    """For rays that hit two items, which was hit first: scope..., ray, a, b, a_first (both directions)."""
+    keys = [*(scope or []), ray]
+    first = hits.groupBy(*keys, item).agg(F.min(order).alias("at"))
+    other = first.select(*keys, F.col(item).alias("b"), F.col("at").alias("b_at"))
+    pairs = first.withColumnRenamed(item, "a").join(other, keys).where("a <> b")
+    return pairs.select(*keys, "a", "b", (F.col("at") < F.col("b_at")).alias("a_first"))
 
 
 def ordered_pairs(items: DataFrame, item: str, scope: list[str], keep: list[str]) -> DataFrame:
-    """All ordered pairs of different items of a scope, which the pair queries ask for."""
+    """All ordered pairs of different items of a scope (such as a building), which the pair queries ask for."""
+    if not scope:
+        items, scope = items.withColumn("__all", F.lit(0)), ["__all"]
     a = items.select(*scope, *[F.col(c).alias(f"a_{c}") for c in [item, *keep]])
     b = items.select(*scope, *[F.col(c).alias(f"b_{c}") for c in [item, *keep]])
-    pairs = a.join(b, scope) if scope else a.crossJoin(b)
-    return pairs.where(F.col(f"a_{item}") != F.col(f"b_{item}"))
+    return a.join(b, scope).where(F.col(f"a_{item}") != F.col(f"b_{item}")).drop("__all")
 
 
 def with_defaults(rows: DataFrame, attributes: DataFrame, on: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
-from orrery.operators import joins
+from orrery.operators import aggregate, joins
 
 
 def object_room(object_faces: DataFrame, room_faces: DataFrame) -> DataFrame:
@@ -14,10 +14,10 @@ def object_room(object_faces: DataFrame, room_faces: DataFrame) -> DataFrame:
     return joins.overlap_argmax(object_faces, room_faces, "object_id", "room_id", "face_id")
 
 
-def camera_room(cameras: DataFrame, room_voxels: DataFrame) -> DataFrame:
-    """R2: the room with the closest occupied voxel centre (cx, cy, cz) to a camera (x, y, z)."""
+def camera_room(cameras: DataFrame, room_voxels: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """R2: the room, of the camera's scope ``on``, with the closest occupied voxel centre (cx, cy, cz) to a camera (x, y, z)."""
     d = g.norm(g.minus(g.vector("cx", "cy", "cz"), g.vector("x", "y", "z")))
-    return joins.nearest_group(cameras, room_voxels, "camera_id", "room_id", d)
+    return joins.nearest_group(cameras, room_voxels, "camera_id", "room_id", d, on)
 
 
 def same_space(pairs: DataFrame, a: str, b: str, name: str = "same_space") -> DataFrame:
@@ -49,27 +49,27 @@ def plane_distance(plane: tuple[Column, ...], point: g.Vector) -> Column:
     return F.abs(g.dot(plane[:3], point) + plane[3]) / g.norm(plane[:3])
 
 
-def spatial_order(points: DataFrame, objects: DataFrame, cameras: DataFrame, gap: float = 0.1, mode: str = "plane") -> DataFrame:
+def spatial_order(points: DataFrame, objects: DataFrame, cameras: DataFrame, gap: float = 0.1, mode: str = "plane", on: tuple[str, ...] = ()) -> DataFrame:
     """For each camera and ordered pair of objects, where the second is relative to the first.
 
     ``points`` (object_id, x, y, z) are an object's sample, ``objects`` have location_x.., ``cameras``
     camera_id, x.. and rx... The order is null where the points nearest to the camera's plane are
     closer than ``gap`` on any axis. ``mode='camera_depth'`` measures depth along the camera's axis
-    instead of the distance to the plane. Returns camera_id, a, b, numeric differences, depth,
+    instead of the distance to the plane. ``on`` names the scope, such as the building, in which ids
+    are unique; all three tables have it. Returns on..., camera_id, a, b, numeric differences, depth,
     vertical, lateral.
     """
-    cams = cameras.select("camera_id", *[F.col(c).alias(f"cam_{c}") for c in ("x", "y", "z", "rx", "ry", "rz")])
-    cams = F.broadcast(cams) if cams.count() <= joins.BROADCAST_ROWS else cams
+    cams = cameras.select(*on, "camera_id", *[F.col(c).alias(f"cam_{c}") for c in ("x", "y", "z", "rx", "ry", "rz")])
     loc, rot = g.vector("cam_x", "cam_y", "cam_z"), g.vector("cam_rx", "cam_ry", "cam_rz")
     world = g.vector("x", "y", "z")
     if mode == "camera_depth":
         distance = F.abs(g.row_times(g.minus(world, loc), g.euler_matrix(*rot))[1])
     else:
         distance = plane_distance(camera_plane(loc, rot), world)
-    seen = points.join(cams, F.lit(True)).select("camera_id", "object_id", "x", "y", "z", distance.alias("d"))
-    near = seen.groupBy("camera_id", "object_id").agg(F.min_by(F.struct("d", "x", "y", "z"), F.struct("d", "x", "y", "z")).alias("near"), F.min("z").alias("low"))
-    whole = near.join(objects.select("object_id", "location_x", "location_y", "location_z"), "object_id")
-    pairs = joins.ordered_pairs(whole, "object_id", ["camera_id"], ["near", "low", "location_x", "location_y", "location_z"]).join(cams, "camera_id")
+    seen = joins._paired(points, cams, on).select(*on, "camera_id", "object_id", "x", "y", "z", distance.alias("d"))
+    near = seen.groupBy(*on, "camera_id", "object_id").agg(F.min_by(F.struct("d", "x", "y", "z"), F.struct("d", "x", "y", "z")).alias("near"), F.min("z").alias("low"))
+    whole = near.join(objects.select(*on, "object_id", "location_x", "location_y", "location_z"), [*on, "object_id"])
+    pairs = joins.ordered_pairs(whole, "object_id", [*on, "camera_id"], ["near", "low", "location_x", "location_y", "location_z"]).join(cams, [*on, "camera_id"])
     close = F.lit(False)
     for axis in "xyz":
         close = close | (F.abs(F.col(f"a_near.{axis}") - F.col(f"b_near.{axis}")) < gap)
@@ -79,7 +79,7 @@ def spatial_order(points: DataFrame, objects: DataFrame, cameras: DataFrame, gap
     )
     told = lambda c: F.when(~close, c)
     return pairs.select(
-        "camera_id", F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"),
+        *on, "camera_id", F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"),
         *[told(F.col(f"a_location_{x}") - F.col(f"b_location_{x}")).alias(f"diff_{x}") for x in "xyz"],
         told(F.when(F.col("a_near.d") < F.col("b_near.d"), "behind").otherwise("in front")).alias("depth"),
         told(F.when(F.col("b_low") < F.col("a_low"), "bottom").otherwise("top")).alias("vertical"),
@@ -87,13 +87,14 @@ def spatial_order(points: DataFrame, objects: DataFrame, cameras: DataFrame, gap
     )
 
 
-def occlusion(hits: DataFrame, ray: str, item: str, order: Column) -> DataFrame:
-    """A, b, relation: ``occluding`` if a is hit before b on more common rays than after, else
-    ``occluded``; pairs without a common ray have no row."""
-    votes = joins.common_rays(hits, ray, item, order)
+def occlusion(hits: DataFrame, ray: str, item: str, order: Column, scope: list[str] | None = None) -> DataFrame:
+    """Scope..., a, b, relation: ``occluding`` if a is hit before b on more common rays than after, else
+    ``occluded``; pairs without a common ray have no row. ``scope`` names the building and the
+    camera whose rays are asked about, such as ``["building", "camera_id"]``."""
+    votes = joins.common_rays(hits, ray, item, order, scope)
     first = F.sum(F.col("a_first").cast("int"))
-    return votes.groupBy("a", "b").agg(first.alias("n_first"), F.count("*").alias("n_rays")).select(
-        "a", "b", F.when(F.col("n_first") * 2 > F.col("n_rays"), "occluding").otherwise("occluded").alias("relation")
+    return votes.groupBy(*(scope or []), "a", "b").agg(first.alias("n_first"), F.count("*").alias("n_rays")).select(
+        *(scope or []), "a", "b", F.when(F.col("n_first") * 2 > F.col("n_rays"), "occluding").otherwise("occluded").alias("relation")
     )
 
 
@@ -154,8 +155,10 @@ def visible_points(points: DataFrame, cameras: DataFrame, triangles: DataFrame,
     local = g.row_times(away, g.euler_matrix(*g.vector("cam_rx", "cam_ry", "cam_rz")))
     px, py, inside = g.pinhole_pixel(local, F.col("fov"), height, width)
     seen = rows.select("*", px.alias("px"), py.alias("py"), inside.alias("inside")).where("inside")
-    ray = F.xxhash64("building", "camera_id", "point_id").alias("ray_id")
-    beams = seen.select("building", ray, *[F.col(f"cam_{a}").alias(f"o{a}") for a in "xyz"], *[d.alias(f"d{a}") for d, a in zip(away, "xyz", strict=True)])
+    names = aggregate.identified(seen, ["building", "camera_id", "point_id"], "ray_id")
+    seen = seen.join(names, ["building", "camera_id", "point_id"])
+    away = g.minus(g.vector("x", "y", "z"), g.vector("cam_x", "cam_y", "cam_z"))
+    beams = seen.select("building", "ray_id", *[F.col(f"cam_{a}").alias(f"o{a}") for a in "xyz"], *[d.alias(f"d{a}") for d, a in zip(away, "xyz", strict=True)])
     first = cast_rays(beams, triangles, first_only=True).select("building", "ray_id", F.col("face_id").alias("hit"))
-    out = seen.select("building", "camera_id", "point_id", "face_id", "px", "py", ray).join(first, ["building", "ray_id"], "left")
+    out = seen.select("building", "camera_id", "point_id", "face_id", "px", "py", "ray_id").join(first, ["building", "ray_id"], "left")
     return out.select("building", "camera_id", "point_id", "face_id", "px", "py", F.coalesce(F.col("hit") == F.col("face_id"), F.lit(False)).alias("visible"))

@@ -52,12 +52,11 @@ def face_classes(face_votes: DataFrame, distances: DataFrame, share: float = 0.6
     """Building, face_id, class by the three-round vote with inverse-distance weights."""
     keys = ["building", "face_id"]
     weighed = distances.withColumn("w", vote.inverse_distance(distances, keys, "distance"))
-    rows = face_votes.join(weighed, [*keys, "pano"])
-    face = F.xxhash64(*keys)
-    instance = F.xxhash64("building", "pano", "inst")
-    rows = rows.select(*keys, "class", "w", face.alias("face"), instance.alias("i"))
-    final = vote.three_rounds(rows, "face", "i", "class", "w", share)
-    return rows.select(*keys, "face").distinct().join(final, "face").select(*keys, "class")
+    faces = aggregate.identified(face_votes, keys, "face")
+    instances = aggregate.identified(face_votes, ["building", "pano", "inst"], "i")
+    rows = face_votes.join(weighed, [*keys, "pano"]).join(faces, keys).join(instances, ["building", "pano", "inst"])
+    final = vote.three_rounds(rows.select("face", "i", "class", "w"), "face", "i", "class", "w", share)
+    return faces.join(final, "face").select(*keys, "class")
 
 
 def face_distances(faces: DataFrame, poses: DataFrame) -> DataFrame:
@@ -73,7 +72,9 @@ def discover(face_votes: DataFrame, eroded_votes: DataFrame, classes: DataFrame,
     eroded labels, are one object; its extent is by the full labels. Objects need more faces than
     their class's least number, unless no other instance takes part. Contested faces are arbitrated.
     """
-    of = lambda votes: votes.where("inst <> 0 and class > 0").select("building", "face_id", "class", F.xxhash64("building", "pano", "inst").alias("node"))
+    seen = ["building", "pano", "inst"]
+    names = aggregate.identified(face_votes.select(*seen).unionByName(eroded_votes.select(*seen)), seen, "node")
+    of = lambda votes: votes.where("inst <> 0 and class > 0").join(names, seen).select("building", "face_id", "class", "node")
     final = classes.where("class > 0")
     joined = lambda votes: of(votes).join(final, ["building", "face_id", "class"])
     nodes = graph.instance_clusters(joined(eroded_votes), "node", ["building", "class", "face_id"])
@@ -104,8 +105,8 @@ def refine(instances: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataF
     box = aggregate.bounding_box(points, ["building", "inst"]).select("building", "inst", "size_x", "size_y")
     radius = box.join(instances.select("building", "inst", "class").distinct(), ["building", "inst"]).join(F.broadcast(names), "class")
     radius = radius.select("building", "inst", vocabulary.cluster_radius(F.col("name"), F.col("size_x"), F.col("size_y")).alias("eps"))
-    node = F.xxhash64("building", "inst", "vertex_id")
-    spots = points.select("building", "inst", node.alias("node"), "face_id", "x", "y", "z").join(radius, ["building", "inst"])
+    node = ["building", "inst", "vertex_id"]
+    spots = points.join(aggregate.identified(points, node, "node"), node).select("building", "inst", "node", "face_id", "x", "y", "z").join(radius, ["building", "inst"])
     near = joins.radius_join(spots.dropDuplicates(["node"]), "node", ("x", "y", "z"), F.col("eps"), on=("building", "inst"))
     own = spots.groupBy("building", "inst", "face_id").agg(F.min("node").alias("head"))
     ties = spots.join(own, ["building", "inst", "face_id"]).select(F.col("head").alias("a"), F.col("node").alias("b"))

@@ -129,16 +129,15 @@ def edges(layers: dict[str, DataFrame]) -> DataFrame:
 
 
 def relationships(points: DataFrame, objects: DataFrame, cameras: DataFrame, hits: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables rel_spatial, rel_magnitude and, where ray hits are given, rel_occlusion."""
-    flat = objects.select(F.col("id").alias("object_id"), *[F.col("location")[k].alias(f"location_{a}") for k, a in enumerate("xyz")], *[F.col("size")[k].alias(f"size_{a}") for k, a in enumerate("xyz")], "volume", "floor_area")
-    cams = cameras.select(F.col("id").alias("camera_id"), *[F.col("location")[k].alias(a) for k, a in enumerate("xyz")], *[F.col("rotation")[k].alias(f"r{a}") for k, a in enumerate("xyz")])
+    """The tables rel_spatial, rel_magnitude and, where ray hits (building, camera_id, ray_id, object_id,
+    t, face_id) are given, rel_occlusion, all within a building. ``points`` are (building, object_id, x, y, z)."""
+    flat = objects.select("building", F.col("id").alias("object_id"), *[F.col("location")[k].alias(f"location_{a}") for k, a in enumerate("xyz")], *[F.col("size")[k].alias(f"size_{a}") for k, a in enumerate("xyz")], "volume", "floor_area")
+    cams = cameras.select("building", F.col("id").alias("camera_id"), *[F.col("location")[k].alias(a) for k, a in enumerate("xyz")], *[F.col("rotation")[k].alias(f"r{a}") for k, a in enumerate("xyz")])
     measures = ["volume", "floor_area", "size_x", "size_y", "size_z"]
     out = {
-        "rel_spatial": relations.spatial_order(points, flat, cams),
-        "rel_magnitude": relations.relative_magnitude(joins.ordered_pairs(flat, "object_id", [], measures), measures),
+        "rel_spatial": relations.spatial_order(points, flat, cams, on=("building",)),
+        "rel_magnitude": relations.relative_magnitude(joins.ordered_pairs(flat, "object_id", ["building"], measures), measures),
     }
     if hits is not None:
-        out["rel_occlusion"] = relations.occlusion(hits, "ray_id", "object_id", F.struct("t", "face_id"))
+        out["rel_occlusion"] = relations.occlusion(hits, "ray_id", "object_id", F.struct("t", "face_id"), ["building", "camera_id"])
     return out
-
-

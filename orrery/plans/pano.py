@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
 from orrery.functions import vocabulary
+from orrery.operators import aggregate as table
 from orrery.operators import graph, joins, raster, vote
 
 
@@ -47,13 +48,16 @@ def mask_pixels(detections: DataFrame) -> DataFrame:
     return runs.where(F.col("__run.len") > 0).withColumn("fc", column).withColumn("fr", F.col("__run.r")).drop("mask", "__run")
 
 
-def transfer(detections: DataFrame, frames: DataFrame, panos: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cover, hits): the panorama pixels each frame shows, and those each instance hits. Of several
-    frame pixels on one panorama pixel the last counts."""
+def transfer(detections: DataFrame, frames: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cover, hits): the panorama pixels that each used frame (pano, frame) shows, and those each
+    instance hits. Of several frame pixels on one panorama pixel the last counts. Where ``used``
+    names panoramas only, all frames, whose names are few, are used of each."""
+    if "frame" not in used.columns:
+        used = used.distinct().crossJoin(F.broadcast(frames.select("frame").distinct()))
     number = F.col("fr") * 1_000_000 + F.col("fc")
     last = frames.groupBy("frame", F.col("pr").alias("r"), F.col("pc").alias("c")).agg(F.max_by(F.struct("fr", "fc"), number).alias("p"))
     last = last.select("frame", "r", "c", F.col("p.fr").alias("fr"), F.col("p.fc").alias("fc"))
-    cover = panos.select("pano").distinct().crossJoin(F.broadcast(last.select("frame", "r", "c"))) if panos is not None else last
+    cover = used.select("pano", "frame").distinct().join(last.select("frame", "r", "c"), "frame")
     hits = mask_pixels(detections).join(last, ["frame", "fr", "fc"])
     return cover, hits.select("pano", "frame", "r", "c", "instance_id", "class", "score")
 
@@ -68,7 +72,6 @@ def aggregate(detections: DataFrame, frames: DataFrame, options: PanoOptions = P
     instances = globalise(detections)
     used = detections.select("pano", "frame").distinct()
     cover, hits = transfer(instances, frames, used)
-    cover = cover.join(used, ["pano", "frame"], "left_semi")
     background = vote.background_scores(cover, hits, detections, options.ratio).withColumn("class", F.lit(0))
     scores = vote.scores(hits, ["pano", "r", "c"], "class", F.col("score"))
     scores = scores.unionByName(background.select(*scores.columns))
@@ -95,9 +98,9 @@ def cluster(hits: DataFrame, pixels: DataFrame, options: PanoOptions = PanoOptio
     scope = ["pano", "class", "instance_id"]
     eroded = raster.erode(mask, [*scope, "erode"], F.coalesce("erode", F.lit(1))).select(*scope, "r", "c") if options.erosion else own
     # Instance ids are unique in a panorama; one number names them over all panoramas.
-    key = F.xxhash64("pano", "instance_id")
-    nodes = graph.instance_clusters(eroded.select(key.alias("node"), "pano", "class", "r", "c"), "node", ["pano", "class", "r", "c"])
-    members = own.withColumn("node", key).join(nodes, "node")
+    names = table.identified(own, ["pano", "instance_id"], "node")
+    nodes = graph.instance_clusters(eroded.join(names, ["pano", "instance_id"]).select("node", "pano", "class", "r", "c"), "node", ["pano", "class", "r", "c"])
+    members = own.join(names, ["pano", "instance_id"]).join(nodes, "node")
     objects = members.groupBy("pano", "class", "component").agg(F.min("instance_id").alias("first"))
     objects = objects.withColumn("inst", F.row_number().over(Window.partitionBy("pano").orderBy("class", "first")).cast("bigint") * 10)
     claims = members.join(objects, ["pano", "class", "component"]).select("pano", "class", "r", "c", "inst").distinct()

@@ -98,3 +98,10 @@ def room_attributes(names: DataFrame, name: str = "file_name") -> DataFrame:
 def pano_bundle(pixels: DataFrame) -> DataFrame:
     """Per panorama the classes present; panoramas without labelled pixels are absent."""
     return pixels.where("class <> 0").groupBy("pano").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+
+
+def pano_objects(pixels: DataFrame) -> DataFrame:
+    """Pano, class, inst, n_pixels and the sorted pixels (r, c) of each labelled instance (pano, r, c,
+    class, inst). Panoramas without clusters, and background pixels, are absent."""
+    rows = pixels.where("class <> 0 and inst <> 0").groupBy("pano", "class", "inst")
+    return rows.agg(F.count("*").alias("n_pixels"), F.array_sort(F.collect_list(F.struct("r", "c"))).alias("pixels"))

@@ -157,7 +157,7 @@ def test_layers_end_to_end(spark, tmp_path):
     top = graph["building"].first()
     assert (top["num_rooms"], top["num_objects"], top["num_cameras"], top["num_floors"]) == (1, 1, 1, 1)
     assert {r["kind"] for r in layers.edges(graph).collect()} == {"room-building", "object-room", "camera-room"}
-    own = points.where("face_id < 3").select(F.lit(1).cast("long").alias("object_id"), "x", "y", "z")
+    own = points.where("face_id < 3").select("building", F.lit(1).cast("long").alias("object_id"), "x", "y", "z")
     found = layers.relationships(own, objects, cameras)
     assert found["rel_spatial"].count() == 0 and found["rel_magnitude"].count() == 0
     nested = export.nested_graph(
