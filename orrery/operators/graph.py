@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from orrery.staging import Stages
 
 #: Up to this many edges (16 bytes each) one task joins them up; more are joined up by rounds over all tasks.
-FEW_EDGES = 50_000
+FEW_EDGES = 200_000
+#: Edges that a task holds when it joins up its own.
+CHUNK_EDGES = 1 << 20
 
 
 def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,17 +37,27 @@ def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
         label = fresh
 
 
-def _joined_up(edges: DataFrame) -> DataFrame:
-    """Components of a small edge table (a, b) in one task."""
-    schema = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+def _joined_up(edges: DataFrame, at_once: int) -> DataFrame:
+    """Every node of some edges (a, b), and its least reachable one, for ``at_once`` edges of a task at a time.
+    Taken as edges again, the rows have the same components and are no more than nodes in each task."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
-        if held:
-            found = least_reachable(*(np.concatenate(side) for side in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in found], schema=schema)
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= at_once:
+                yield joined(held)
+                held, n = [], 0
+        if n:
+            yield joined(held)
 
-    return edges.coalesce(1).mapInArrow(work, "node long, component long")
+    def joined(held: list) -> pa.RecordBatch:
+        found = least_reachable(*(np.concatenate(side) for side in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in found], schema=schema)
+
+    return edges.mapInArrow(work, "a long, b long")
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -54,17 +66,17 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     Returns one row per node that occurs in an edge: ``node``, ``component`` (its smallest
     reachable node). Rows with a null end are ignored, a self-loop is a component of its own,
     repeated edges count once, and an empty table gives an empty result. Other columns are
-    ignored. A table of at most ``FEW_EDGES`` edges is joined up by one task. Larger ones alternate
-    large-star and small-star steps, whose number is logarithmic in practice; every step's minima
+    ignored. Tasks join up their own edges first. If at most ``FEW_EDGES`` are left, one task joins
+    those up. More alternate large-star and small-star steps, whose number is logarithmic in practice; every step's minima
     and every round are cut into stage tables, so a lost executor costs one round at most, and a
     hub's edges meet its minimum in a join whose skewed side Spark can split.
     """
     spark = edges.sparkSession
     stages = Stages(spark, "components")
     pairs = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).na.drop()
-    pairs, edges_ = stages.save_counted(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "pairs")
-    if edges_ <= FEW_EDGES:
-        return _joined_up(pairs)
+    pairs, left = stages.save_counted(_joined_up(pairs, CHUNK_EDGES), "pairs")
+    if left <= FEW_EDGES:
+        return _joined_up(pairs.coalesce(1), FEW_EDGES + 1).toDF("node", "component")
     links = stages.save(pairs.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
     seen = None
     for _ in range(max_rounds):

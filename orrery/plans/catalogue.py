@@ -242,22 +242,12 @@ def _strip(points: DataFrame) -> DataFrame:
     return points.join(F.broadcast(last), F.col("vec_id") + 2 <= F.col("m")).select(F.col("vec_id").alias("face_id"), *[(F.col("vec_id") + k).alias(f"v{k}") for k in range(3)])
 
 
-@query("""SELECT a.l_partkey AS a, b.l_partkey AS b, count(DISTINCT a.l_orderkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-WHERE a.l_quantity >= 47 AND b.l_quantity >= 47 GROUP BY ALL""")
+@query("""SELECT a.l_partkey AS a, b.l_partkey AS b, count(DISTINCT a.l_orderkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL""")
 def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.cooccurrence(_meeting(spark, sf_dir), "part", ["face"])
 
 
 def _meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem").where("l_quantity >= 47").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("face"))
-
-
-@query("""SELECT a.l_partkey AS a, b.l_partkey AS b, count(DISTINCT a.l_orderkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL""")
-def cooccurrence_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.cooccurrence(_meeting_all(spark, sf_dir), "part", ["face"])
-
-
-def _meeting_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("face"))
 
 
@@ -281,20 +271,16 @@ def id_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graph -------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE n AS (SELECT l_partkey AS part, l_orderkey AS face FROM lineitem WHERE l_quantity >= 47),
-e AS (SELECT DISTINCT a.part AS a, b.part AS b FROM n a JOIN n b USING (face)),
-reach AS (SELECT DISTINCT part AS a, part AS b FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
-SELECT a AS part, min(b) AS component FROM reach GROUP BY a""")
+# Labels fall along edges, a row for each part: a recursion over pairs would reach every pair of the one large component.
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT l_partkey AS part, l_orderkey AS face FROM lineitem), low AS (SELECT face, min(part) AS m FROM n GROUP BY face),
+e AS (SELECT part AS a, m AS b FROM n JOIN low USING (face) UNION SELECT m, part FROM n JOIN low USING (face)),
+cc(part, component) USING KEY (part) AS (SELECT DISTINCT part, part AS component FROM n UNION
+  (SELECT e.b AS part, min(c.component) AS component FROM cc c JOIN e ON e.a = c.part JOIN recurring.cc r ON r.part = e.b WHERE c.component < r.component GROUP BY e.b))
+SELECT part, component FROM cc""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.instance_clusters(_meeting(spark, sf_dir), "part", ["face"])
 
 
-# Recursive SQL reaches every pair of the one large component; tests compare with a union-find.
-@query()
-def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.instance_clusters(_meeting_all(spark, sf_dir), "part", ["face"])
-
-
 @query(f"""WITH RECURSIVE {P}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.05 * 0.05),
 reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
@@ -366,11 +352,6 @@ def hull2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", _round(F.col("floor_area")).alias("floor_area"), _round(F.col("floor_perimeter")).alias("floor_perimeter"))
 
 
-@query()
-def hull3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hull.hulls(_points(spark, sf_dir), "label").select("label", _round(F.col("volume")).alias("volume"))
-
-
 @query("""SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > CASE l_returnflag WHEN 'A' THEN 50 WHEN 'N' THEN 100 ELSE 0 END""")
 def class_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = spark.createDataFrame([("A", 50), ("N", 100)], "class string, min_faces int")
@@ -443,11 +424,6 @@ def occlusion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.occlusion(_hits(spark, sf_dir), "ray", "obj", F.col("at"))
 
 
-@query(f"""WITH {HITS.replace('l_linenumber *', 'CAST(l_linenumber AS BIGINT) *')} SELECT ray, obj AS object_id FROM h QUALIFY row_number() OVER (PARTITION BY ray ORDER BY at_) = 1""")
-def visible_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).groupBy("ray").agg(F.min_by("obj", "at").alias("object_id"))
-
-
 # --- raster ------------------------------------------------------------------------------------
 
 
@@ -573,31 +549,16 @@ def instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.instance_names(ids, ["p_size"], "p_brand", ["p_partkey"]).select("p_partkey", "p_brand", "id", "name")
 
 
-@query("""WITH n AS (SELECT CAST(max(l_partkey) + 1 AS BIGINT) AS n FROM lineitem), last AS (SELECT l_partkey AS position, max(l_suppkey) AS id FROM lineitem WHERE l_quantity > 45 GROUP BY ALL)
-SELECT position, coalesce(id, 0) AS id FROM (SELECT unnest(range(n)) AS position FROM n) LEFT JOIN last USING (position)""")
-def densify_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "lineitem")
-    length = lines.agg((F.max("l_partkey") + 1).alias("n"))
-    members = lines.where("l_quantity > 45").select(F.col("l_partkey").alias("position"), F.col("l_suppkey").alias("id"))
-    return aggregate.densify(members, length, [], "position", "id", F.col("id"))
-
-
 @query("""WITH n AS (SELECT CAST(max(l_partkey) + 1 AS BIGINT) AS n FROM lineitem), last AS (SELECT l_partkey AS position, max(l_suppkey) AS id FROM lineitem GROUP BY ALL)
 SELECT position, coalesce(id, 0) AS id FROM (SELECT unnest(range(n)) AS position FROM n) LEFT JOIN last USING (position)""")
-def densify_faces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def densify_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _read(spark, sf_dir, "lineitem")
     length = lines.agg((F.max("l_partkey") + 1).alias("n"))
     return aggregate.densify(lines.select(F.col("l_partkey").alias("position"), F.col("l_suppkey").alias("id")), length, [], "position", "id", F.col("id"))
 
 
-@query("""SELECT l_suppkey, array_to_string(list_sort(list(l_partkey)), ',') AS faces FROM lineitem WHERE l_quantity >= 47 GROUP BY l_suppkey""")
-def group_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = aggregate.listed(_read(spark, sf_dir, "lineitem").where("l_quantity >= 47"), ["l_suppkey"], "l_partkey")
-    return lists.select("l_suppkey", F.array_join(F.transform("l_partkey", lambda p: p.cast("string")), ",").alias("faces"))
-
-
 @query("""SELECT l_suppkey, array_to_string(list_sort(list(l_partkey)), ',') AS faces FROM lineitem GROUP BY l_suppkey""")
-def group_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def group_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = aggregate.listed(_read(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_partkey")
     return lists.select("l_suppkey", F.array_join(F.transform("l_partkey", lambda p: p.cast("string")), ",").alias("faces"))
 
@@ -663,14 +624,6 @@ def fill_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.where("inst <> -1").select("vec_id", "inst")
 
 
-@query()
-def overlap_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    claims = points.select("vec_id", F.col("label").alias("cluster")).unionByName(points.where("vec_id % 5 = 0").select("vec_id", ((F.col("label") + 1) % 10).alias("cluster")))
-    near = joins.knn(points.where("vec_id % 5 = 0"), points.withColumnRenamed("vec_id", "neighbour"), "vec_id", "neighbour", ("x", "y", "z"), 20)
-    return relations.arbitrate(claims, near.select("vec_id", "neighbour"), [], "vec_id", "cluster")
-
-
 @query("""SELECT c_nationkey AS room_id, c_custkey AS object_id, c_mktsegment AS class FROM customer WHERE c_custkey % 2 = 0""")
 def graph_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.staging import Stages

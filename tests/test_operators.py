@@ -273,3 +273,30 @@ def test_densify(spark):
     length = spark.createDataFrame([("b", 5)], "s string, n long")
     out = [r["v"] for r in aggregate.densify(members, length, ["s"], "at", "v", F.col("o")).orderBy("at").collect()]
     assert out == [0, 3, 0, 9, 0]
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    monkeypatch.setattr(graph, "CHUNK_EDGES", 7)
+    pick = random.Random(few)
+    edges = [(pick.randrange(60), pick.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(900, 900)]
+    above = {}
+
+    def top(k):
+        while above.setdefault(k, k) != k:
+            k = above[k]
+        return k
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        above[b] = a
+    rows = spark.createDataFrame([*edges, (1000, None), (None, 1001)], "src long, dst long").repartition(3)
+    assert {r["node"]: r["component"] for r in graph.components(rows).collect()} == {k: top(k) for k in list(above)}
+    assert graph.components(rows.limit(0)).count() == 0
+
+
+def test_nearest_fill_far_apart(spark):
+    rows = spark.createDataFrame([(0, 0, None), (0, 9_000, 1), (9_500, 0, 2), (9_500, 9_000, None)], "r int, c int, v int")
+    got = {(r["r"], r["c"]): r["v"] for r in joins.nearest_fill(rows, "v", []).collect()}
+    assert got == {(0, 0): 1, (0, 9_000): 1, (9_500, 0): 2, (9_500, 9_000): 2}

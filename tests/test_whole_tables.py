@@ -40,7 +40,7 @@ def test_components(spark, tables):
         above[b] = a
     want = sorted((p, top(p)) for p in list(above))
     assert Counter(c for _, c in want).most_common(1)[0][1] > 60
-    assert found(spark, tables, "components_all") == want
+    assert found(spark, tables, "components") == want
 
 
 def test_edges_lists_and_positions(spark, tables):
@@ -50,6 +50,6 @@ def test_edges_lists_and_positions(spark, tables):
         lists[s].append(p)
         last[p] = max(s, last.get(p, s))
     edges = Counter(pair for parts in orders.values() for pair in combinations(sorted(parts), 2))
-    assert found(spark, tables, "cooccurrence_edges_all") == sorted((*pair, n) for pair, n in edges.items())
-    assert found(spark, tables, "group_lists_all") == sorted((s, ",".join(map(str, sorted(parts)))) for s, parts in lists.items())
-    assert found(spark, tables, "densify_faces_all") == [(p, last.get(p, 0)) for p in range(max(last) + 1)]
+    assert found(spark, tables, "cooccurrence_edges") == sorted((*pair, n) for pair, n in edges.items())
+    assert found(spark, tables, "group_lists") == sorted((s, ",".join(map(str, sorted(parts)))) for s, parts in lists.items())
+    assert found(spark, tables, "densify_faces") == [(p, last.get(p, 0)) for p in range(max(last) + 1)]
