@@ -300,3 +300,35 @@ def test_nearest_fill_far_apart(spark):
     rows = spark.createDataFrame([(0, 0, None), (0, 9_000, 1), (9_500, 0, 2), (9_500, 9_000, None)], "r int, c int, v int")
     got = {(r["r"], r["c"]): r["v"] for r in joins.nearest_fill(rows, "v", []).collect()}
     assert got == {(0, 0): 1, (0, 9_000): 1, (9_500, 0): 2, (9_500, 9_000): 2}
+
+
+@pytest.mark.parametrize("few", [4096, 0])
+def test_rays_against_all_triangles(spark, monkeypatch, few):
+    """Meshes of small and large triangles of two buildings, in cells and whole, against every pair."""
+    monkeypatch.setattr(rays, "FEW_TRIANGLES", few)
+    pick = np.random.default_rng(7)
+    tri, beams = [], []
+    for building in ("a", "b"):
+        centre, size = pick.uniform(-5, 5, (400, 1, 3)), pick.choice([0.05, 0.4, 6.0], (400, 1, 1), p=[0.6, 0.35, 0.05])
+        tri += [(building, k, *map(float, c.ravel())) for k, c in enumerate(centre + size * pick.normal(size=(400, 3, 3)))]
+        origin, way = pick.uniform(-9, 9, (150, 3)), pick.normal(size=(150, 3))
+        way[:20] = np.eye(3)[pick.integers(0, 3, 20)] * pick.choice([-2.0, 1.0], 20)[:, None]  # along an axis
+        beams += [(building, k, *map(float, r)) for k, r in enumerate(np.hstack([origin, way]))]
+    beams.append(("none", 1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0))
+    corners, ends = [f"{p}{x}" for p in "abc" for x in "xyz"], [f"{p}{x}" for p in "od" for x in "xyz"]
+    mesh_rows = spark.createDataFrame(tri, "building string, face_id long, " + ", ".join(f"{c} double" for c in corners))
+    beam_rows = spark.createDataFrame(beams, "building string, ray_id long, " + ", ".join(f"{c} double" for c in ends))
+    want = {}
+    for name, key, *r in beams:
+        o, d = np.array(r[:3]), np.array(r[3:])
+        for other, face, *t in tri:
+            a, b, c = np.array(t).reshape(3, 3)
+            m = np.stack([b - a, c - a, -d], axis=1)
+            if other == name and abs(np.linalg.det(m)) > 1e-12:
+                u, v, far = np.linalg.solve(m, o - a)
+                if u >= 0 and v >= 0 and u + v <= 1 and far > 1e-9:
+                    want[name, key, face] = round(far, 6)
+    got = {(r["building"], r["ray_id"], r["face_id"]): round(r["t"], 6) for r in rays.cast_rays(beam_rows, mesh_rows).collect()}
+    assert len(want) > 100 and got == want
+    first = rays.cast_rays(beam_rows, mesh_rows, first_only=True).collect()
+    assert {(r["building"], r["ray_id"]): r["face_id"] for r in first} == {k[:2]: min((t, f) for (*n, f), t in want.items() if tuple(n) == k[:2])[1] for k in want}
