@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.rows import ROW, with_row_key
+from orrery.llm.rows import ROW, trimmed, with_row_key
 from orrery.staging import Stages
 
 PRIME = (1 << 31) - 1
@@ -217,7 +217,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), out, strict=True)], schema=out)
 
     rows = keyed.select(F.col(ROW).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.mapInArrow(deal, "range int, ahead boolean, row long, doc_id long, text string")
+    rows = rows.mapInArrow(trimmed(deal), "range int, ahead boolean, row long, doc_id long, text string")
     rows = rows.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "ahead", "row")
     ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_prefix long"
-    return rows.mapInArrow(work, ddl)
+    return rows.mapInArrow(trimmed(work), ddl)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.rows import ROW, with_row_key
+from orrery.llm.rows import ROW, trimmed, with_row_key
 from orrery.llm.shingles import WORDS, mix64, shingle_sets
 from orrery.operators.graph import components
 from orrery.staging import Stages
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame, key: str, text: str, banding: Banding) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, *words], schema=schema)
 
     ddl = "key long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in names)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, ddl)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(work), ddl)
 
 
 def _plausible(pairs: DataFrame, n_pairs: int, marks: DataFrame, percent: int, banding: Banding) -> DataFrame:
@@ -196,7 +196,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, n_pairs: int, key: str, text:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
 
-    return rows.mapInArrow(work, "a long, b long")
+    return rows.mapInArrow(trimmed(work), "a long, b long")
 
 
 def _promising(owner: np.ndarray, column: np.ndarray, size: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +342,7 @@ def _family_links(docs: DataFrame, state: DataFrame, key: str, text: str, percen
                     column.append(value)
         yield from links()
 
-    return rows.mapInArrow(work, "a long, b long")
+    return rows.mapInArrow(trimmed(work), "a long, b long")
 
 
 def _torn(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def _near_duplicates(keyed: DataFrame, unique: bool, doc_id: str, text: str, per
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
     pairs, n = stages.save_counted(meetings.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("a", "b"), "pairs")
     likely, n = stages.save_counted(_plausible(pairs, n, marks, percent, banding), "likely")
-    links = _confirmed(keyed, likely, n, ROW, text, percent)
+    links = stages.save(_confirmed(keyed, likely, n, ROW, text, percent), "links")  # one Python stage in a task at a time
     label = stages.save(components(links, "a", "b"), "labels")
 
     torn = stages.save(_torn(shared, label), "torn")

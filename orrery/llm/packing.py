@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.rows import trimmed
+
 EOS_ID = 0
 #: Beyond Latin letters the two tokenizer libraries may hold different Unicode versions; the
 #: rank encoder's pattern matcher may also run out of stack on huge runs of white space.
@@ -249,7 +251,7 @@ def pack_texts(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         (F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(1).cast("long")).alias("loss_from"),
     )
-    return rows.mapInArrow(work, PIECES_DDL)
+    return rows.mapInArrow(trimmed(work), PIECES_DDL)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +27,19 @@ def with_row_key(docs: DataFrame, doc_id: str, stages: Stages) -> tuple[DataFram
         return docs.withColumn(ROW, F.col(doc_id).cast("long")), True
     ordered = docs.repartitionByRange(F.col(doc_id).cast("long").asc_nulls_last()).sortWithinPartitions(F.col(doc_id).cast("long").asc_nulls_last())
     return stages.save(ordered.withColumn(ROW, F.monotonically_increasing_id()), "numbered"), False
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``, giving back at a task's end what the allocators keep: workers live on, and
+    several of them share an executor's memory."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+
+    return run

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.packing import load_tokenizer
+from orrery.llm.rows import trimmed
 
 KEYS = ("source", "lang", "tokenizer")
 #: Tokenizer versions that are counted in place: code points of ``pattern`` matches.
@@ -153,7 +154,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64())], schema=schema)
 
     rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), count_tokens(F.col("text"), "words-1").alias("words"), F.col("text").alias("text"))
-    return rows.mapInArrow(work, "source string, lang string, words long, bpe long")
+    return rows.mapInArrow(trimmed(work), "source string, lang string, words long, bpe long")
 
 
 def roll_up_tokenized(store: RollupStore, slim: DataFrame, version: str) -> DataFrame:

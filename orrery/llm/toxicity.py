@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.rows import trimmed
 from orrery.staging import Stages
 
 #: At most this many labelled documents train the model, those whose ids hash lowest.
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     cell = seen.setdefault(feature, [0, 0])
                     cell[0] += 1
                     cell[1] += bad
-                if len(seen) >= 200_000:
+                if len(seen) >= 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array([c[k] for c in seen.values()], pa.int64()) for k in (0, 1))], schema=counted)
                     seen = {}
         if seen:
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         stages.drop(rows)
         return OrdinalModel()
     share = bad / total
-    marks = dealt.select("text", "toxic").mapInArrow(count, "feature string, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    marks = dealt.select("text", "toxic").mapInArrow(trimmed(count), "feature string, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     z = (F.col("toxic") - F.col("docs") * share) / F.sqrt(F.col("docs") * share * (1 - share))
     marks = marks.select("feature", "docs", z.alias("z")).where((F.col("docs") >= MIN_DOCS) & (F.col("z") >= MIN_Z))
     names = [r["feature"] for r in marks.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()]
@@ -172,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             cells = [pa.array([[c[k] for c in row] for row in found], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.int64()), *cells], names=["id", "toxic", "words", "feature", "n"])
 
-    taken = dealt.select("id", "toxic", "text").mapInArrow(cut, "id long, toxic int, words long, feature array<long>, n array<long>").collect()
+    taken = dealt.select("id", "toxic", "text").mapInArrow(trimmed(cut), "id long, toxic int, words long, feature array<long>, n array<long>").collect()
     stages.drop(rows)
     heads: dict[int, list] = {}  # repeated rows of an id count once, with the most of each
     for r in sorted(taken):
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t.type) for c, t in zip(columns, list(out)[1:], strict=True))], schema=out)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, severity double, grade int, p_toxic double, toxic boolean, kept boolean")
+    return rows.mapInArrow(trimmed(work), "doc_id long, severity double, grade int, p_toxic double, toxic boolean, kept boolean")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", reject: float = 0.5) -> DataFrame:
@@ -233,4 +234,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
             keep = [scorer(body.as_py())[0] < reject for body in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(trimmed(work), schema)

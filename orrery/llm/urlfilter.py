@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.rows import trimmed
+
 BUCKETS = 1 << 14
 GRAMS = (3, 4, 5)
 _CUT = re.compile(r"[^A-Za-z0-9\u0080-\U0010ffff]+")
@@ -185,6 +187,6 @@ def judge(pages: DataFrame, model: UrlModel, rules: Sequence[Rule] = (), page_id
             p = [model.probability(h, q) for h, q in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], schema=out)
 
-    judged = rows.mapInArrow(work, "page_id long, host string, path string, p_block double").withColumn("found", rule_for(rules))
+    judged = rows.mapInArrow(trimmed(work), "page_id long, host string, path string, p_block double").withColumn("found", rule_for(rules))
     verdict = F.coalesce("found.verdict", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))
     return judged.select(F.col("page_id").alias(page_id), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "p_block")
