@@ -129,3 +129,76 @@ def test_shingle_sets_match_words():
     for column in (pa.array([t for _, t in rows]), pa.array([t for _, t in rows], pa.large_string()).slice(3)):
         expected = [len(s) for s in sets_of(rows)][-len(column) :]
         assert [len(s) for s in shingle_sets(column)] == expected
+
+
+def test_one_family_of_thousands_at_real_sizes():
+    import time
+
+    pick = np.random.default_rng(2)
+    core = pick.integers(0, 1 << 62, 200).astype(np.uint64)
+    linked, apart = [], []
+    for _ in range(8000):
+        for found, changed in ((linked, 10), (apart, 60)):
+            row = core.copy()
+            row[pick.choice(200, changed, replace=False)] = pick.integers(0, 1 << 62, changed)
+            found.append(np.unique(row))
+    began = time.process_time()
+    ids = list(range(8000))
+    assert len(minhash._block_links(ids, ids, [False] * 8000, linked, 75)) == 7999
+    assert minhash._block_links(ids, ids, [False] * 8000, apart, 75) == []
+    assert time.process_time() - began < 30
+
+
+def test_block_links_against_all_pairs(monkeypatch):
+    pick = np.random.default_rng(1)
+    for turn in range(60):
+        monkeypatch.setattr(minhash, "CELLS", (1 << 20, 64, 300)[turn % 3])
+        n = int(pick.integers(2, 40))
+        cores = [np.sort(pick.choice(200, pick.integers(3, 40), replace=False)) for _ in range(3)]
+        sets = []
+        for _ in range(n):
+            core = cores[pick.integers(3)]
+            kept = np.delete(core, pick.choice(len(core), pick.integers(0, 1 + len(core) // 3), replace=False))
+            sets.append(np.unique(np.concatenate([kept, pick.choice(200, pick.integers(0, 4)), [201]])).astype(np.uint64))
+        ids, parts = list(range(100, 100 + n)), [int(x) for x in pick.integers(0, n, n)]
+        sides = [bool(x) for x in (pick.integers(0, 2, n) if turn % 2 else np.zeros(n))]
+
+        def joined(links):
+            above = {p: p for p in parts}
+
+            def top(p):
+                while above[p] != p:
+                    p = above[p]
+                return p
+
+            for a, b in links:
+                x, y = top(parts[a]), top(parts[b])
+                above[max(x, y)] = min(x, y)
+            return [top(p) for p in parts]
+
+        as_sets = [set(s.tolist()) for s in sets]
+        pairs = [(a, b) for a in range(n) for b in range(a) if not (any(sides) and not all(sides)) or sides[a] != sides[b]]
+        want = joined([(a, b) for a, b in pairs if 100 * len(as_sets[a] & as_sets[b]) >= 75 * len(as_sets[a] | as_sets[b])])
+        got = minhash._block_links(ids, parts, sides, sets, 75)
+        assert joined([(a - 100, b - 100) for a, b in got]) == want
+        assert len(got) == len(set(parts)) - len(set(want))  # no link but those that join something
+
+
+def pairs_at(pick, count, common, own):
+    """Pairs of sets of common + own shingles, ``common`` of them in both."""
+    for _ in range(count):
+        x = pick.integers(0, 1 << 63, common + 2 * own).astype(np.uint64) * np.uint64(2)
+        yield np.unique(x[: common + own]), np.unique(np.concatenate([x[:common], x[common + own :]]))
+
+
+def test_recall_at_the_threshold():
+    """Pairs at a similarity of exactly 0.75 share a band and are not told apart by their sketches."""
+    banding, pick, met, alike = minhash.Banding(), np.random.default_rng(5), 0, 0
+    for a, b in pairs_at(pick, 3000, 150, 25):
+        one, two = minhash.signature(a, banding.coordinates), minhash.signature(b, banding.coordinates)
+        met += bool((minhash.band_keys(one, banding) == minhash.band_keys(two, banding)).any())
+        x, y = (np.array(minhash.sketch(s)).view(np.uint64) for s in (one, two))
+        differ = sum(int(v).bit_count() for v in (x ^ y)[: banding.words] | (x ^ y)[banding.words :])
+        alike += differ <= banding.most_unlike(75)
+        assert differ == int(((one ^ two) & 3 > 0).sum())
+    assert met == alike == 3000
