@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
+from orrery.staging import Stages
 
 
 def truncated_join(left: DataFrame, right: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), scale: int = 1000, on: tuple[str, ...] = ()) -> DataFrame:
@@ -92,22 +95,76 @@ def radius_join(points: DataFrame, key: str, axes: tuple[str, ...], radius: floa
 def knn(queries: DataFrame, targets: DataFrame, query: str, target: str, axes: tuple[str, ...], k: int, on: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
     """The k nearest targets of every query by (distance, target id), within equal ``on``.
 
-    Exact: targets are dealt into blocks, each block meets each query's scope once, gives its own
-    k nearest, and the k nearest of those stay. A task holds one block of targets and streams the
-    queries, so neither side is collected. Returns on..., query, target, distance, rank.
+    Exact. Where no scope has more than ``block`` targets, each query meets those of its scope.
+    Else space is cut into cells, so fine that none holds many more; a query meets the targets of its cell
+    and the cells around, and is done if its k nearest are nearer than any place outside those.
+    Queries that are not go on with cells twice as wide, and those that no width settles meet
+    all blocks of their scope. Returns on..., query, target, distance, rank.
     """
     scope = list(on)
-    t = targets.select(*scope, F.col(target).cast("bigint").alias("__t"), *axes)
-    q = queries.select(*scope, F.col(query).cast("bigint").alias("__q"), *axes)
-    counted = lambda df, name: df.groupBy(*scope).agg(F.ceil(F.count("*") / block).cast("bigint").alias(name))
-    meet = lambda df, sizes: df.join(sizes, scope) if scope else df.crossJoin(F.broadcast(sizes))
-    sizes = counted(t, "__blocks").join(counted(q, "__parts"), scope) if scope else counted(t, "__blocks").crossJoin(counted(q, "__parts"))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col(n), F.lit(1)) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.greatest(F.col(n), F.lit(1)))
-    t = meet(t, sizes).withColumn("__block", own("__t", "__blocks")).withColumn("__part", numbers("__parts")).drop("__blocks", "__parts")
-    q = meet(q, sizes).withColumn("__part", own("__q", "__parts")).withColumn("__block", numbers("__blocks")).drop("__blocks", "__parts")
-    t, q = t.toDF(*t.columns), q.toDF(*q.columns)  # both sides may stem from one table
-    keys = [*scope, "__block", "__part"]
+    t = targets.select(*scope, F.col(target).cast("bigint").alias("__t"), *[F.col(a).cast("double").alias(a) for a in axes])
+    q = queries.select(*scope, F.col(query).cast("bigint").alias("__q"), *[F.col(a).cast("double").alias(a) for a in axes])
+    largest = t.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0
+    if largest <= block:
+        found = _met_in_blocks(q, t, scope, axes, k, block)
+    else:
+        found = _met_in_cells(q, t, scope, axes, k, block)
+    return found.select(*scope, F.col("__q").alias(query), F.col("__t").alias(target), F.col("__d").alias("distance"), "rank")
+
+
+def _best(local: DataFrame, scope: list[str], k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*scope, "__q").orderBy("__d", "__t"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _met_in_cells(q: DataFrame, t: DataFrame, scope: list[str], axes: tuple[str, ...], k: int, block: int) -> DataFrame:
+    stages = Stages(q.sparkSession, "knn")
+    ends = [f(a).alias(f"__{n}_{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))]
+    box = t.groupBy(*scope).agg(F.count("*").alias("__n"), *ends)
+    extent = F.greatest(*[F.col(f"__high_{a}") - F.col(f"__low_{a}") for a in axes], F.lit(1e-300))
+    box = stages.save(box.select(*scope, "__n", extent.alias("__extent"), *[f"__low_{a}" for a in axes]), "boxes")
+    cells = [f"__c{n}" for n in range(len(axes))]
+    with_box = lambda df: (df.join(box, scope) if scope else df.crossJoin(F.broadcast(box))).drop("__n")
+
+    def celled(df: DataFrame, level: int) -> DataFrame:
+        width = F.col("__extent") / float(1 << level)
+        return df.withColumns({c: F.floor((F.col(a) - F.col(f"__low_{a}")) / width) for c, a in zip(cells, axes, strict=True)}).withColumn("__w", width)
+
+    placed = stages.save(with_box(t), "targets")
+    most = box.agg(F.max("__n")).first()[0]
+    level = max(0, int(math.log2(max(1.0, most / max(k, 8))) / len(axes)))
+    while level < 40 and (celled(placed, level).groupBy(*scope, *cells).count().agg(F.max("count")).first()[0] or 0) > block:
+        level += 1
+    open_, done = stages.save(with_box(q), "queries"), []
+    for step in range(level, -1, -1):
+        near = celled(placed, step)
+        for c in cells:
+            near = near.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+        near, own = near.select(*scope, *cells, "__t", *axes), celled(open_, step)
+        # Many queries of a cell are dealt into parts, which each get the cell's targets.
+        parts = own.groupBy(*scope, *cells).agg(F.ceil(F.count("*") / block).cast("bigint").alias("__parts"))
+        own = own.join(parts, [*scope, *cells]).withColumn("__part", F.pmod(F.xxhash64("__q"), F.col("__parts")))
+        near = near.join(parts, [*scope, *cells]).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1))).drop("__parts")
+        found = stages.save(_nearest_of(own.select(*scope, *cells, "__part", "__q", *axes), near, scope, [*scope, *cells, "__part"], axes, k), "found")
+        sides = [F.least(F.col(a) - F.col(f"__low_{a}") - (F.col(c) - 1) * F.col("__w"), (F.col(c) + 2) * F.col("__w") - F.col(a) + F.col(f"__low_{a}")) for c, a in zip(cells, axes, strict=True)]
+        bound = own.select(*scope, "__q", (F.least(*sides) if len(sides) > 1 else sides[0]).alias("__bound"))
+        reach = found.groupBy(*scope, "__q").agg(F.count("*").alias("__n"), F.max("__d").alias("__far"))
+        settled = reach.where(F.col("__n") >= k).join(bound, [*scope, "__q"]).where(F.col("__far") < F.col("__bound") * (1 - 1e-9)).select(*scope, "__q")
+        settled = stages.save(settled, "settled")
+        done.append(found.join(settled, [*scope, "__q"], "left_semi"))
+        open_, left = stages.save_counted(open_.join(settled, [*scope, "__q"], "left_anti"), "queries")
+        if not left:
+            break
+    else:
+        done.append(_met_in_blocks(open_.select(*scope, "__q", *axes), t, scope, axes, k, block).drop("rank"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return _best(out, scope, k)
+
+
+def _nearest_of(q: DataFrame, t: DataFrame, scope: list[str], keys: list[str], axes: tuple[str, ...], k: int) -> DataFrame:
+    """scope..., __q, __t, __d: for each query its k nearest among the targets of its group."""
     kinds = {f.name: f.dataType.simpleString() for f in q.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in scope), "__q bigint", "__t bigint", "__d double"])
 
@@ -119,21 +176,32 @@ def knn(queries: DataFrame, targets: DataFrame, query: str, target: str, axes: t
         order = np.argsort(ids, kind="stable")
         b, ids = b[order], ids[order]
         found = []
-        for at in range(0, len(a), 256):
-            d = np.sqrt(((a[at : at + 256, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+        rows = max(1, (1 << 20) // len(b))
+        for at in range(0, len(a), rows):
+            d = np.sqrt(((a[at : at + rows, None, :] - b[None, :, :]) ** 2).sum(axis=2))
             # A stable sort of distances keeps ties in the order of ids.
             best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            part = left["__q"].to_numpy()[at : at + 256]
+            part = left["__q"].to_numpy()[at : at + rows]
             found.append(pd.DataFrame({"__q": np.repeat(part, best.shape[1]), "__t": ids[best].ravel(), "__d": np.take_along_axis(d, best, axis=1).ravel()}))
         found = pd.concat(found, ignore_index=True)
         for c in scope:
             found[c] = left[c].iloc[0]
         return found[[*scope, "__q", "__t", "__d"]]
 
-    local = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(nearest, schema)
-    rank = F.row_number().over(Window.partitionBy(*scope, "__q").orderBy("__d", "__t"))
-    best = local.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select(*scope, F.col("__q").alias(query), F.col("__t").alias(target), F.col("__d").alias("distance"), "rank")
+    q, t = q.toDF(*q.columns), t.toDF(*t.columns)  # both sides may stem from one table
+    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(nearest, schema)
+
+
+def _met_in_blocks(q: DataFrame, t: DataFrame, scope: list[str], axes: tuple[str, ...], k: int, block: int) -> DataFrame:
+    """Each block of queries meets each block of targets of its scope; the k nearest of all blocks stay."""
+    counted = lambda df, name: df.groupBy(*scope).agg(F.ceil(F.count("*") / block).cast("bigint").alias(name))
+    meet = lambda df, sizes: df.join(sizes, scope) if scope else df.crossJoin(F.broadcast(sizes))
+    sizes = counted(t, "__blocks").join(counted(q, "__parts"), scope) if scope else counted(t, "__blocks").crossJoin(counted(q, "__parts"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col(n), F.lit(1)) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.greatest(F.col(n), F.lit(1)))
+    t = meet(t, sizes).withColumn("__block", own("__t", "__blocks")).withColumn("__part", numbers("__parts")).drop("__blocks", "__parts")
+    q = meet(q, sizes).withColumn("__part", own("__q", "__parts")).withColumn("__block", numbers("__blocks")).drop("__blocks", "__parts")
+    return _best(_nearest_of(q, t, scope, [*scope, "__block", "__part"], axes, k), scope, k)
 
 
 def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r", column: str = "c") -> DataFrame:

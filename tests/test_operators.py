@@ -332,3 +332,25 @@ def test_rays_against_all_triangles(spark, monkeypatch, few):
     assert len(want) > 100 and got == want
     first = rays.cast_rays(beam_rows, mesh_rows, first_only=True).collect()
     assert {(r["building"], r["ray_id"]): r["face_id"] for r in first} == {k[:2]: min((t, f) for (*n, f), t in want.items() if tuple(n) == k[:2])[1] for k in want}
+
+
+@pytest.mark.parametrize("shape", ["spread", "clusters", "line", "far"])
+def test_neighbours_in_cells(spark, shape):
+    """Cells, with few targets in each, against all distances; ties, copies and queries outside the targets' box."""
+    pick = np.random.default_rng(3)
+    spots = pick.uniform(0, 1, (300, 3))
+    if shape == "clusters":
+        spots[:250] = 0.5 + pick.normal(scale=1e-4, size=(250, 3))
+        spots[250:260] = spots[0]
+    elif shape == "line":
+        spots[:, 1:] = 0.0
+    ask = spots[::3] if shape != "far" else spots[:40] * 50 - 25
+    scopes = lambda n: ["a" if k % 4 else "b" for k in range(n)]
+    t = spark.createDataFrame([(s, k, *map(float, p)) for k, (s, p) in enumerate(zip(scopes(300), spots))], "s string, t long, x double, y double, z double")
+    q = spark.createDataFrame([(s, k, *map(float, p)) for k, (s, p) in enumerate(zip(scopes(len(ask)), ask))], "s string, q long, x double, y double, z double")
+    got = sorted(tuple(r) for r in joins.knn(q, t, "q", "t", ("x", "y", "z"), 4, on=("s",), block=16).select("s", "q", "rank", "t").collect())
+    want = []
+    for k, (s, p) in enumerate(zip(scopes(len(ask)), ask)):
+        near = sorted((float(np.sqrt(((p - spots[j]) ** 2).sum())), j) for j, other in enumerate(scopes(300)) if other == s)[:4]
+        want += [(s, k, n + 1, j) for n, (_, j) in enumerate(near)]
+    assert got == sorted(want)
