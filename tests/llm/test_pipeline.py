@@ -72,3 +72,51 @@ def test_row_keys(spark):
 
 def test_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark)
+
+
+def shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def test_filters_against_brute_force(spark, tmp_path):
+    """Awkward documents (null and repeated ids, null texts, clashing columns) through the first three stages, kept rows by plain code."""
+    pick = random.Random(11)
+    words = ["".join(pick.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    text = lambda n: " ".join(pick.choice(words) for _ in range(n))
+    rows = [(k, text(pick.choice([3, 40, 120]))) for k in range(60)]
+    labels = [(k, 1, int(k % 4 == 0)) for k in range(60)]
+    rows = [(k, t + " idiot scum moron" * (k % 4 == 0)) for k, t in rows]
+    rows += [(None, rows[1][1] + "  "), (None, text(50)), (7, text(60)), (7, rows[7][1]), (100, None), (101, ""), (102, rows[2][1] + " x"), (103, rows[3][1] + " \t")]
+    docs = spark.createDataFrame([(k, t, "s", 1, "c", 2) for k, t in rows], "doc_id long, text string, source string, size int, digest string, kept int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: (r[0] is None, r[0] or 0)
+    want = [r for r in rows if not (r[1] or "").endswith("moron")]
+    groups = {}
+    for r in want:
+        groups.setdefault("".join((r[1] or "").split()), []).append(r)
+    want = [min(group, key=lambda r: (-len(r[1] or ""), *key(r))) for group in groups.values()]
+    order = sorted(want, key=key)
+    above = list(range(len(order)))
+    for a in range(len(order)):
+        for b in range(a):
+            x, y = shingles(order[a][1]), shingles(order[b][1])
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                low, high = sorted((above[a], above[b]))
+                above = [low if p == high else p for p in above]
+    near = [r for k, r in enumerate(order) if above[k] == k]
+    found = docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        found = stage(spark, found, str(tmp_path))
+        assert found.columns == docs.columns
+        found.write.parquet(f"{tmp_path}/{name}")
+        found = spark.read.parquet(f"{tmp_path}/{name}")
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == sorted(near, key=str)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

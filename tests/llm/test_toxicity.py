@@ -77,3 +77,45 @@ def test_training_sample_is_bounded(spark):
     docs, table = tables(spark, rows, labels)
     small = toxicity.fit(docs, table, sample=40)
     assert len(small.features) <= toxicity.MAX_FEATURES
+
+
+def test_scores_by_hand_and_held_out(spark):
+    """Severity is recomputed from the weights without the scorer; documents that did not train the model are told apart."""
+    import math
+    import re
+
+    rows, labels = corpus(6)
+    docs, table = tables(spark, rows, labels)
+    model = toxicity.fit(docs, table.where("doc_id < 250"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for key, text in rows:
+        score, counts = 0.0, {}
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        for word in words:
+            for feature in [word, *("^" + word[:n] for n in (3, 4, 5, 6, 7) if len(word) > n)]:
+                if feature in model.features:
+                    counts[feature] = counts.get(feature, 0) + 1
+        score = sum(model.features[f] * math.log(1 + n) for f, n in counts.items()) + model.length * math.log(1 + len(words))
+        above = [1 / (1 + math.exp(-(score - t))) for t in model.thresholds]
+        r = got[key]
+        assert abs(r["p_toxic"] - above[0]) < 1e-9 and abs(r["severity"] - sum(above)) < 1e-9
+        steps = [1 - above[0], above[0] - above[1], above[1]]
+        assert steps[r["grade"]] >= max(steps) - 1e-9
+    assert model.thresholds[0] < model.thresholds[1]
+    held = [(got[k]["toxic"], bool(y)) for k, y in labels if k >= 250]
+    assert sum(a for a, b in held if b) >= 0.9 * sum(b for _, b in held) and sum(a for a, b in held if not b) <= 0.02 * len(held)
+
+
+def test_training_counts_against_plain_ones(spark):
+    rows, labels = corpus(8, 120)
+    docs, table = tables(spark, rows, labels)
+    model, truth = toxicity.fit(docs, table), dict(labels)
+    seen = {}
+    for key, text in rows:
+        for feature in toxicity.feature_counts(text)[0]:
+            cell = seen.setdefault(feature, [0, 0])
+            cell[0] += 1
+            cell[1] += truth[key]
+    share = sum(truth.values()) / len(truth)
+    want = {f for f, (n, bad) in seen.items() if n >= toxicity.MIN_DOCS and (bad - n * share) / (n * share * (1 - share)) ** 0.5 >= toxicity.MIN_Z}
+    assert set(model.features) == want
