@@ -290,11 +290,12 @@ INDOOR = ", ".join(f"({k}, '{n}')" for k, n in enumerate(vocabulary.COCO) if k a
 
 
 @query(f"""WITH known AS (SELECT * FROM (VALUES {INDOOR}) k(class, name)),
-d AS (SELECT l_suppkey AS pano, l_orderkey AS frame, l_partkey * 10 + l_linenumber AS det_no, l_partkey % 81 AS class FROM lineitem WHERE l_quantity >= 2)
+d AS (SELECT l_suppkey AS pano, l_orderkey AS frame, l_partkey * 10 + l_linenumber AS det_no, l_partkey % 81 AS class FROM lineitem GROUP BY l_suppkey, l_orderkey, l_partkey, l_linenumber HAVING max(l_quantity) >= 2)
 SELECT pano, frame, det_no, row_number() OVER (PARTITION BY pano ORDER BY frame, det_no) + 1 AS instance_id, name || '_' || row_number() OVER (PARTITION BY pano, class ORDER BY frame, det_no) AS name FROM d JOIN known USING (class)""")
 def globalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.struct(F.lit(1).alias("r"), F.lit(2).alias("start"), F.lit(3).alias("len"))
-    rows = _read(spark, sf_dir, "lineitem").select(
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    rows = lines.select(
         F.col("l_suppkey").alias("pano"), F.col("l_orderkey").alias("frame"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("det_no"), (F.col("l_partkey") % 81).cast("int").alias("class"), F.lit(0.5).alias("score"),
         F.when(F.col("l_quantity") >= 2, F.array(run)).otherwise(F.array().cast("array<struct<r:int,start:int,len:int>>")).alias("mask"),
     )
