@@ -307,8 +307,9 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 
 def _family_links(docs: DataFrame, state: DataFrame, key: str, text: str, percent: int, stages: Stages) -> DataFrame:
     """Links between components inside the families that ``state`` (bucket, b, size, part) forms."""
-    heads = state.groupBy("bucket").agg(F.min("b").alias("head"))
-    ties = state.join(heads, "bucket").select("head", "b").distinct()
+    # A table of its own: broadcast, or joined by a shuffle whose skewed side Spark can split.
+    heads, n = stages.save_counted(state.groupBy("bucket").agg(F.min("b").alias("head")), "heads")
+    ties = state.join(F.broadcast(heads) if n <= NEAR_ROWS else heads, "bucket").select("head", "b").distinct()
     family = components(ties, "head", "b").select(F.col("node").alias("b"), F.col("component").alias("family"))
     members = stages.save(state.select("b", "size", "part").distinct().join(family, "b"), "members")
     need = F.greatest(F.sum("size") / BLOCK, F.count("*") / BLOCK_DOCS)
@@ -345,11 +346,12 @@ def _family_links(docs: DataFrame, state: DataFrame, key: str, text: str, percen
     return rows.mapInArrow(trimmed(work), "a long, b long")
 
 
-def _torn(shared: DataFrame, label: DataFrame) -> DataFrame:
+def _torn(shared: DataFrame, label: DataFrame, stages: Stages) -> DataFrame:
     """The members (bucket, b, size, crowd, part) of the buckets that hold several components."""
     state = shared.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("part", F.coalesce("component", "b"))
     torn = state.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-    return state.join(torn, "bucket", "left_semi").select("bucket", "b", "size", "crowd", "part")
+    torn, n = stages.save_counted(torn, "torn")
+    return state.join(F.broadcast(torn) if n <= NEAR_ROWS else torn, "bucket", "left_semi").select("bucket", "b", "size", "crowd", "part")
 
 
 def near_duplicates(
@@ -390,7 +392,7 @@ def _near_duplicates(keyed: DataFrame, unique: bool, doc_id: str, text: str, per
     links = stages.save(_confirmed(keyed, likely, n, ROW, text, percent), "links")  # one Python stage in a task at a time
     label = stages.save(components(links, "a", "b"), "labels")
 
-    torn = stages.save(_torn(shared, label), "torn")
+    torn = stages.save(_torn(shared, label, stages), "members")
     state = torn.where(F.col("crowd") <= SMALL)
     other = state.select("bucket", F.col("b").alias("a"), F.col("size").alias("a_size"), F.col("part").alias("a_part"))
     across = state.join(other, "bucket").where("a < b and part <> a_part").where(sized).select("a", "b").distinct()
