@@ -63,3 +63,8 @@ class Stages:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._orrery_stage)
             path.getFileSystem(conf).delete(path, True)
+
+    def drop_all(self) -> None:
+        """Delete every stage table of this call."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
