@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, fingerprints, html_extract, minhash, mixing, packing, revisits, token_rollup, toxicity, urlfilter
+from orrery.llm import exact_dedup, fingerprints, html_extract, minhash, mixing, packing, quality, revisits, token_rollup, toxicity, urlfilter
 from orrery.staging import Stages
 
 
@@ -72,6 +72,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op12_quality_rules": op12_quality_rules,
 }
 #: Results that SQL can state. Tokenizing, parsing, hashing and trained models are tested otherwise.
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_token_rollup_words": token_rollup.WORDS_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op8_minhash": minhash.ORACLE_SQL,
+    "op12_quality_rules": quality.ORACLE_SQL,
 }
