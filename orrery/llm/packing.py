@@ -50,8 +50,9 @@ class Limits:
 
 
 @lru_cache(maxsize=2)
-def load_tokenizer(path: str):
+def load_tokenizer(path: str, plain: bool = False):
     """Encoder for texts: ``encode(text) -> uint32 array``, equal to the ``tokenizers`` ids of ``path``.
+    With ``plain`` the strings of special tokens are ordinary text.
 
     The file's vocabulary is also published as ranks beside it (same stem, ``.tiktoken``).
     Where that file exists, Latin texts go through the rank encoder, which gives the same ids
@@ -63,6 +64,7 @@ def load_tokenizer(path: str):
     slow = Tokenizer.from_file(path)
     slow.no_truncation()
     slow.no_padding()
+    slow.encode_special_tokens = plain
 
     def exact(text: str) -> np.ndarray:
         return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -82,6 +84,8 @@ def load_tokenizer(path: str):
     def encode(text: str) -> np.ndarray:
         if _FOR_EXACT.search(text):
             return exact(text)
+        if plain:
+            return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
         return fast.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
 
     return encode

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, fingerprints, html_extract, minhash, mixing, packing, quality, revisits, token_rollup, toxicity, urlfilter
+from orrery.llm import alignment, exact_dedup, fingerprints, hard_negatives, html_extract, minhash, mixing, packing, quality, revisits, token_rollup, toxicity, urlfilter
 from orrery.staging import Stages
 
 
@@ -72,6 +72,17 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), lambda: alignment.byte_level(first), lambda: alignment.pieces(second))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(_table(spark, sf_dir, "documents"))
 
@@ -88,7 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_quality_rules": op12_quality_rules,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 #: Results that SQL can state. Tokenizing, parsing, hashing and trained models are tested otherwise.
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.ORACLE_SQL,
     "op8_minhash": minhash.ORACLE_SQL,
     "op12_quality_rules": quality.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
