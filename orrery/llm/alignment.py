@@ -41,9 +41,10 @@ ALIGNED_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, gro
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """``encode`` maps texts to id arrays; ``entries[i]`` are the bytes of id i; texts are encoded as ``lead`` + text."""
+    """``encode`` maps texts to id arrays, None for a text that the ids do not give back behind a space; ``entries[i]`` are
+    the bytes of id i."""
 
-    encode: Callable[[list[str]], list[np.ndarray]]
+    encode: Callable[[list[str]], list[np.ndarray | None]]
     entries: list[bytes]
 
     @cached_property
@@ -51,6 +52,64 @@ class Tokenizer:
         return np.array([len(e) for e in self.entries], dtype=np.int64)
 
 
+class ByWords:
+    """Encodes texts by their words, each of which a worker encodes once.
+
+    Neither tokenizer joins what stands before a single space with what follows it: one splits texts there
+    beforehand, the other has no piece in which a space follows another letter (:func:`pieces` makes sure). So the ids of a
+    text are those of its words, each with the space before it. Texts with white space beside white space, with words
+    over ``LONGEST`` letters or with other than Latin letters are encoded whole.
+    """
+
+    LONGEST, HELD = 64, 1 << 18
+
+    def __init__(self, whole: Callable[[list[str]], list[np.ndarray]], entries: list[bytes]):
+        self.whole, self.entries = whole, entries
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int64)
+        self.first = np.zeros(1, np.int64)
+
+    def _given_back(self, text: str, ids: np.ndarray) -> bool:
+        return b"".join(map(self.entries.__getitem__, ids.tolist())) == b" " + text.encode()
+
+    def _simple(self, word: str) -> bool:
+        spaces = sum(map(str.isspace, word))
+        return 0 < len(word) <= self.LONGEST and max(word) <= "\u024f" and (not spaces or len(word.split()) == spaces + 1)
+
+    def _learn(self, words: set[str]) -> None:
+        simple = [w for w in words if self._simple(w)]
+        found = [(w, ids) for w, ids in zip(simple, self.whole(simple), strict=True) if self._given_back(w, ids)]
+        self.place.update(dict.fromkeys(words, -1))  # what is not learnt sends its text to be encoded whole
+        self.place.update((w, len(self.first) - 1 + k) for k, (w, _) in enumerate(found))
+        sizes = np.array([len(ids) for _, ids in found], dtype=np.int64)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, *(ids for _, ids in found)]).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        split = [t.split(" ") for t in texts]
+        every = set().union(*split)
+        new = every.difference(self.place)
+        if len(self.place) + len(new) > self.HELD:
+            self._forget()
+            new = every
+        if new:
+            self._learn(new)
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+            if at.min() < 0:
+                ids = self.whole([text])[0]
+                out.append(ids if self._given_back(text, ids) else None)
+                continue
+            first, size = self.first[at], self.first[at + 1] - self.first[at]
+            begin = np.cumsum(size) - size
+            out.append(self.ids[np.arange(begin[-1] + size[-1]) + np.repeat(first - begin, size)])
+        return out
+
+
 def _byte_of_letter() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,7 +129,7 @@ def byte_level(path: str) -> Tokenizer:
     for token, number in vocabulary.items():
         if all(c in letters for c in token):
             entries[number] = bytes(letters[c] for c in token)
-    return Tokenizer(lambda texts: [encode(" " + t) for t in texts], entries)
+    return Tokenizer(ByWords(lambda texts: [encode(" " + t) for t in texts], entries).encode, entries)
 
 
 @lru_cache(maxsize=2)
@@ -83,33 +142,34 @@ def pieces(path: str) -> Tokenizer:
     for number in range(model.get_piece_size()):
         piece = model.id_to_piece(number)
         entries.append(bytes([int(piece[3:5], 16)]) if model.is_byte(number) else piece.replace("▁", " ").encode())
-    encode = lambda texts: [np.array(ids, dtype=np.int64) for ids in model.encode(texts, num_threads=1)]
-    return Tokenizer(encode, entries)
+    whole = lambda texts: [np.array(ids, dtype=np.int64) for ids in model.encode(texts, num_threads=1)]
+    words = ByWords(whole, entries)
+    if any("▁" in model.id_to_piece(k).lstrip("▁") for k in range(model.get_piece_size())):
+        words.LONGEST = 0  # pieces go across spaces: encode whole texts only
+    return Tokenizer(words.encode, entries)
 
 
 @lru_cache(maxsize=2)
 def _written(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in decimal, with a comma behind and bare."""
-    bare = [str(i) for i in range(count)]
-    return np.array([x + "," for x in bare], dtype=object), np.array(bare, dtype=object)
+    """Ids in decimal, left-aligned in rows of bytes with room for a sign behind, and their lengths."""
+    texts = [str(i) for i in range(count)]
+    width = len(texts[-1]) + 1
+    return np.frombuffer("".join(t.ljust(width) for t in texts).encode(), dtype=np.uint8).reshape(count, width), np.array([len(t) for t in texts])
 
 
-def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> tuple[dict[str, np.ndarray], list[str], np.ndarray, np.ndarray]:
+def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> tuple[dict[str, np.ndarray], list[bytes], np.ndarray, np.ndarray]:
     """Counts of each text, its groups as text, and the links of all texts as A and B ids.
 
     Counts are ``n_a``, ``n_b`` and ``n_groups``; the links of text k are those before ``cumsum(n_groups)[k]``.
     A text that is empty, or that a tokenizer does not give back byte for byte behind a space, has no tokens.
     """
     ids_a, ids_b = a.encode(texts), b.encode(texts)
-    empty, size = np.zeros(0, np.int64), np.zeros(len(texts), dtype=np.int64)
+    empty = np.zeros(0, np.int64)
     for k, text in enumerate(texts):
-        want = b" " + text.encode()
-        whole = text and all(b"".join(map(t.entries.__getitem__, ids[k].tolist())) == want for t, ids in ((a, ids_a), (b, ids_b)))
-        if whole:
-            size[k] = len(want)
-        else:
+        if not text or ids_a[k] is None or ids_b[k] is None:
             ids_a[k] = ids_b[k] = empty
-    first = np.concatenate([[0], np.cumsum(size)])  # document byte offsets in the slice
+    size = [1 + len(t.encode()) if len(x) else 0 for t, x in zip(texts, ids_a, strict=True)]
+    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)  # document byte offsets in the slice
     flat_a, flat_b = np.concatenate([empty, *ids_a]).astype(np.int64), np.concatenate([empty, *ids_b]).astype(np.int64)
     # Texts lie without gaps, so one running sum gives the ends of all tokens of the slice.
     at_a = np.bincount(np.cumsum(a.lengths[flat_a]), minlength=first[-1] + 1).astype(bool)
@@ -120,17 +180,17 @@ def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> tuple[dict[str, np.nd
     counts = {"n_a": np.diff(upto_a[first]), "n_b": np.diff(upto_b[first]), "n_groups": np.diff(upto[first])}
 
     # Written out, group g's A tokens stand behind all B tokens of earlier groups, its B tokens behind its A tokens.
-    group_a = np.repeat(np.arange(len(cuts)), np.diff(last_a, prepend=-1))
-    group_b = np.repeat(np.arange(len(cuts)), np.diff(last_b, prepend=-1))
-    out = np.empty(len(flat_a) + len(flat_b), dtype=object)
-    comma_a, bare_a = _written(len(a.entries))
-    comma_b, bare_b = _written(len(b.entries))
-    text_a, text_b = comma_a[flat_a], comma_b[flat_b]
-    text_a[last_a], text_b[last_b] = bare_a[flat_a[last_a]] + "|", bare_b[flat_b[last_b]] + ";"
-    out[np.arange(len(flat_a)) + (last_b + 1)[group_a - 1] * (group_a > 0)] = text_a
-    out[np.arange(len(flat_b)) + (last_a + 1)[group_b]] = text_b
-    bounds, parts = np.concatenate([[0], np.cumsum(counts["n_a"] + counts["n_b"])]).tolist(), out.tolist()
-    groups = ["".join(parts[i:j])[:-1] for i, j in zip(bounds, bounds[1:], strict=False)]
+    place_a = np.arange(len(flat_a)) + np.repeat(last_b + 1 - np.diff(last_b, prepend=-1), np.diff(last_a, prepend=-1))
+    place_b = np.arange(len(flat_b)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
+    ids, sign = np.empty(len(flat_a) + len(flat_b), dtype=np.int64), np.full(len(flat_a) + len(flat_b), ord(","), dtype=np.uint8)
+    ids[place_a], ids[place_b] = flat_a, flat_b
+    sign[place_a[last_a]], sign[place_b[last_b]] = ord("|"), ord(";")
+    digits, lengths = _written(max(len(a.entries), len(b.entries)))
+    rows, length = digits[ids], lengths[ids]
+    rows[np.arange(len(ids)), length] = sign
+    written = rows[np.arange(rows.shape[1]) <= length[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(length + 1)])[np.concatenate([[0], np.cumsum(counts["n_a"] + counts["n_b"])])].tolist()
+    groups = [written[i : max(i, j - 1)] for i, j in zip(ends, ends[1:], strict=False)]
     return counts, groups, flat_a[last_a], flat_b[last_b]
 
 
@@ -161,7 +221,7 @@ def aligned(docs: DataFrame, a: Callable[[], Tokenizer], b: Callable[[], Tokeniz
                 links = np.stack([link_a, link_b], axis=1).astype("<u4")
                 ends = np.cumsum(counts["n_groups"]).tolist()
                 rows = [links[i:j].tobytes() for i, j in zip([0, *ends], ends, strict=False)]
-                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                digests = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
                 n_a, n_b, n = (pa.array(counts[c], pa.int64()) for c in ("n_a", "n_b", "n_groups"))
                 yield pa.RecordBatch.from_arrays([part.column(0), n_a, n_b, n, n, pa.array(digests, pa.string()), pa.array(rows, pa.binary())], schema=ALIGNED)
 
