@@ -34,61 +34,66 @@ HELD_LINKS = 1 << 20
 
 ALIGNED = pa.schema([
     ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
-    ("groups_sha256", pa.string()), ("links", pa.binary()),
+    ("groups_sha256", pa.string()), ("base", pa.int64()), ("links", pa.binary()),
 ])
-ALIGNED_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
+ALIGNED_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, base long, links binary"
+FIGURES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Tokenizer:
-    """``encode`` maps texts to id arrays, None for a text that the ids do not give back behind a space; ``entries[i]`` are
-    the bytes of id i."""
+    """``encode`` maps texts to id arrays; ``entries[i]`` are the bytes of id i. With ``by_words`` nothing before a single
+    space is joined with what follows it, so that a text's ids are those of its words, each with the space before it."""
 
-    encode: Callable[[list[str]], list[np.ndarray | None]]
+    encode: Callable[[list[str]], list[np.ndarray]]
     entries: list[bytes]
+    by_words: bool = False
 
     @cached_property
     def lengths(self) -> np.ndarray:
         return np.array([len(e) for e in self.entries], dtype=np.int64)
 
+    def gives_back(self, text: str, ids: np.ndarray) -> bool:
+        """Whether the ids are those of a space and the text, byte for byte."""
+        return b"".join(map(self.entries.__getitem__, ids.tolist())) == b" " + text.encode()
+
 
 class ByWords:
-    """Encodes texts by their words, each of which a worker encodes once.
+    """Two tokenizers that encode texts by their words, each of which a worker encodes once.
 
-    Neither tokenizer joins what stands before a single space with what follows it: one splits texts there
-    beforehand, the other has no piece in which a space follows another letter (:func:`pieces` makes sure). So the ids of a
-    text are those of its words, each with the space before it. Texts with white space beside white space, with words
-    over ``LONGEST`` letters or with other than Latin letters are encoded whole.
+    Texts with white space beside white space, with words over ``LONGEST`` letters or with other than Latin letters are
+    encoded whole. At most ``HELD`` words are kept, beside those of one slice of texts.
     """
 
-    LONGEST, HELD = 64, 1 << 18
+    LONGEST, HELD = 64, 1 << 17
 
-    def __init__(self, whole: Callable[[list[str]], list[np.ndarray]], entries: list[bytes]):
-        self.whole, self.entries = whole, entries
+    def __init__(self, *tokenizers: Tokenizer):
+        self.tokenizers = tokenizers
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-
-    def _given_back(self, text: str, ids: np.ndarray) -> bool:
-        return b"".join(map(self.entries.__getitem__, ids.tolist())) == b" " + text.encode()
+        self.ids = [np.zeros(0, np.int32) for _ in self.tokenizers]
+        self.first = [np.zeros(1, np.int64) for _ in self.tokenizers]
 
     def _simple(self, word: str) -> bool:
         spaces = sum(map(str.isspace, word))
         return 0 < len(word) <= self.LONGEST and max(word) <= "\u024f" and (not spaces or len(word.split()) == spaces + 1)
 
     def _learn(self, words: set[str]) -> None:
-        simple = [w for w in words if self._simple(w)]
-        found = [(w, ids) for w, ids in zip(simple, self.whole(simple), strict=True) if self._given_back(w, ids)]
+        simple = [w for w in words if self._simple(w)] if all(t.by_words for t in self.tokenizers) else []
+        encoded = [t.encode(simple) for t in self.tokenizers]
+        good = [k for k, w in enumerate(simple) if all(t.gives_back(w, ids[k]) for t, ids in zip(self.tokenizers, encoded, strict=True))]
+        known = len(self.first[0]) - 1
         self.place.update(dict.fromkeys(words, -1))  # what is not learnt sends its text to be encoded whole
-        self.place.update((w, len(self.first) - 1 + k) for k, (w, _) in enumerate(found))
-        sizes = np.array([len(ids) for _, ids in found], dtype=np.int64)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, *(ids for _, ids in found)]).astype(np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        self.place.update((simple[k], known + n) for n, k in enumerate(good))
+        for n, ids in enumerate(encoded):
+            sizes = np.array([len(ids[k]) for k in good], dtype=np.int64)
+            self.first[n] = np.concatenate([self.first[n], self.first[n][-1] + np.cumsum(sizes)])
+            self.ids[n] = np.concatenate([self.ids[n], *(ids[k] for k in good)]).astype(np.int32)
+
+    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """For each tokenizer the ids of each text; none where the text is empty or one of them does not give it back."""
         split = [t.split(" ") for t in texts]
         every = set().union(*split)
         new = every.difference(self.place)
@@ -97,16 +102,23 @@ class ByWords:
             new = every
         if new:
             self._learn(new)
-        out = []
+        out: list[list[np.ndarray]] = [[] for _ in self.tokenizers]
         for text, words in zip(texts, split, strict=True):
             at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-            if at.min() < 0:
-                ids = self.whole([text])[0]
-                out.append(ids if self._given_back(text, ids) else None)
-                continue
-            first, size = self.first[at], self.first[at + 1] - self.first[at]
-            begin = np.cumsum(size) - size
-            out.append(self.ids[np.arange(begin[-1] + size[-1]) + np.repeat(first - begin, size)])
+            if not text:
+                found = [np.zeros(0, np.int32) for _ in self.tokenizers]
+            elif at.min() < 0:
+                found = [t.encode([text])[0] for t in self.tokenizers]
+                if not all(t.gives_back(text, ids) for t, ids in zip(self.tokenizers, found, strict=True)):
+                    found = [np.zeros(0, np.int32) for _ in self.tokenizers]
+            else:
+                found = []
+                for known, starts in zip(self.ids, self.first, strict=True):
+                    first, size = starts[at], starts[at + 1] - starts[at]
+                    begin = np.cumsum(size) - size
+                    found.append(known[np.arange(begin[-1] + size[-1]) + np.repeat(first - begin, size)])
+            for ids, one in zip(out, found, strict=True):
+                ids.append(one)
         return out
 
 
@@ -129,7 +141,7 @@ def byte_level(path: str) -> Tokenizer:
     for token, number in vocabulary.items():
         if all(c in letters for c in token):
             entries[number] = bytes(letters[c] for c in token)
-    return Tokenizer(ByWords(lambda texts: [encode(" " + t) for t in texts], entries).encode, entries)
+    return Tokenizer(lambda texts: [encode(" " + t) for t in texts], entries, by_words=True)  # it splits texts at spaces beforehand
 
 
 @lru_cache(maxsize=2)
@@ -142,11 +154,9 @@ def pieces(path: str) -> Tokenizer:
     for number in range(model.get_piece_size()):
         piece = model.id_to_piece(number)
         entries.append(bytes([int(piece[3:5], 16)]) if model.is_byte(number) else piece.replace("▁", " ").encode())
-    whole = lambda texts: [np.array(ids, dtype=np.int64) for ids in model.encode(texts, num_threads=1)]
-    words = ByWords(whole, entries)
-    if any("▁" in model.id_to_piece(k).lstrip("▁") for k in range(model.get_piece_size())):
-        words.LONGEST = 0  # pieces go across spaces: encode whole texts only
-    return Tokenizer(words.encode, entries)
+    encode = lambda texts: [np.array(ids, dtype=np.int32) for ids in model.encode(texts, num_threads=1)]
+    across = any("▁" in model.id_to_piece(k).lstrip("▁") for k in range(model.get_piece_size()))
+    return Tokenizer(encode, entries, by_words=not across)
 
 
 @lru_cache(maxsize=2)
@@ -157,17 +167,13 @@ def _written(count: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(t.ljust(width) for t in texts).encode(), dtype=np.uint8).reshape(count, width), np.array([len(t) for t in texts])
 
 
-def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> tuple[dict[str, np.ndarray], list[bytes], np.ndarray, np.ndarray]:
+def align(texts: list[str], pair: ByWords) -> tuple[dict[str, np.ndarray], list[bytes], np.ndarray, np.ndarray]:
     """Counts of each text, its groups as text, and the links of all texts as A and B ids.
 
     Counts are ``n_a``, ``n_b`` and ``n_groups``; the links of text k are those before ``cumsum(n_groups)[k]``.
     A text that is empty, or that a tokenizer does not give back byte for byte behind a space, has no tokens.
     """
-    ids_a, ids_b = a.encode(texts), b.encode(texts)
-    empty = np.zeros(0, np.int64)
-    for k, text in enumerate(texts):
-        if not text or ids_a[k] is None or ids_b[k] is None:
-            ids_a[k] = ids_b[k] = empty
+    (a, b), (ids_a, ids_b), empty = pair.tokenizers, pair.encode(texts), np.zeros(0, np.int64)
     size = [1 + len(t.encode()) if len(x) else 0 for t, x in zip(texts, ids_a, strict=True)]
     first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)  # document byte offsets in the slice
     flat_a, flat_b = np.concatenate([empty, *ids_a]).astype(np.int64), np.concatenate([empty, *ids_b]).astype(np.int64)
@@ -194,6 +200,12 @@ def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> tuple[dict[str, np.nd
     return counts, groups, flat_a[last_a], flat_b[last_b]
 
 
+@lru_cache(maxsize=1)
+def _pair(a: Tokenizer, b: Tokenizer) -> ByWords:
+    """The words of a worker's earlier tasks serve later ones."""
+    return ByWords(a, b)
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of some ``SLICE_BYTES`` of text; a longer text is one of its own."""
     size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
@@ -206,32 +218,36 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def aligned(docs: DataFrame, a: Callable[[], Tokenizer], b: Callable[[], Tokenizer], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the counts, ``groups_sha256`` and ``links``, its A and B ids as little-endian
-    unsigned 32-bit numbers in turn. ``a`` and ``b`` load the tokenizers in the tasks.
+    """One row per row of ``docs``: the counts, ``groups_sha256`` and ``links``, each A id times ``base``, the size of
+    B's vocabulary, plus the B id, as little-endian unsigned numbers of 32 bits, or 64 where both vocabularies'
+    product asks for it. ``a`` and ``b`` load the tokenizers in the tasks.
 
     A null text has no tokens, as an empty one; without tokens the counts are 0 and the digest is
     ''. Ids are passed on, null or repeated; other columns are ignored; an empty table gives no rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = a(), b()
+        pair = _pair(a(), b())
+        base = len(pair.tokenizers[1].entries)
+        kind = "<u4" if len(pair.tokenizers[0].entries) * base <= 2**32 else "<u8"
         for batch in batches:
             for part in _slices(batch):
-                counts, groups, link_a, link_b = align(["" if t is None else t for t in part.column(1).to_pylist()], first, second)
-                links = np.stack([link_a, link_b], axis=1).astype("<u4")
+                counts, groups, link_a, link_b = align(["" if t is None else t for t in part.column(1).to_pylist()], pair)
+                links = (link_a * base + link_b).astype(kind)
                 ends = np.cumsum(counts["n_groups"]).tolist()
                 rows = [links[i:j].tobytes() for i, j in zip([0, *ends], ends, strict=False)]
                 digests = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
                 n_a, n_b, n = (pa.array(counts[c], pa.int64()) for c in ("n_a", "n_b", "n_groups"))
-                yield pa.RecordBatch.from_arrays([part.column(0), n_a, n_b, n, n, pa.array(digests, pa.string()), pa.array(rows, pa.binary())], schema=ALIGNED)
+                yield pa.RecordBatch.from_arrays([part.column(0), n_a, n_b, n, n, pa.array(digests, pa.string()), pa.array([base] * len(rows), pa.int64()), pa.array(rows, pa.binary())], schema=ALIGNED)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(work), ALIGNED_DDL)
 
 
-def _pairs(column: pa.Array) -> np.ndarray:
-    """Links of a column of ``links``, each as one number: A id times 2^32 and B id."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, 2).astype(np.int64)
-    return raw[:, 0] << 32 | raw[:, 1]
+def _numbers(part: pa.RecordBatch) -> np.ndarray:
+    """All links of a batch of (n_links, links)."""
+    raw = b"".join(part.column("links").to_pylist())
+    n = int(pc.sum(part.column("n_links")).as_py() or 0)
+    return np.frombuffer(raw, dtype="<u8" if len(raw) == 8 * n else "<u4").astype(np.int64)
 
 
 def link_counts(rows: DataFrame) -> DataFrame:
@@ -241,14 +257,16 @@ def link_counts(rows: DataFrame) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, counts, base = np.zeros(0, np.int64), np.zeros(0, np.int64), 1
 
         def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], names=["link", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(held % base), pa.array(counts)], names=["link", "b", "n"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                new, n = np.unique(_pairs(batch.column(0).slice(k, 1024)), return_counts=True)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                base = part.column("base")[0].as_py()
+                new, n = np.unique(_numbers(part), return_counts=True)
                 held, place = np.unique(np.concatenate([held, new]), return_inverse=True)
                 counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(held)).astype(np.int64)
                 if len(held) > HELD_LINKS:
@@ -257,10 +275,9 @@ def link_counts(rows: DataFrame) -> DataFrame:
         if len(held):
             yield given()
 
-    total = rows.select("links").mapInArrow(trimmed(work), "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
-    second = F.col("link").bitwiseAND(F.lit(2**32 - 1))
-    most = total.groupBy(second.alias("b")).agg(F.max("n").alias("most"))
-    return total.withColumn("b", second).join(most, "b").select("link", "n", (F.col("n") == F.col("most")).alias("best"))
+    total = rows.select("base", "n_links", "links").mapInArrow(trimmed(work), "link long, b long, n long").groupBy("link", "b").agg(F.sum("n").alias("n"))
+    most = total.groupBy("b").agg(F.max("n").alias("most"))
+    return total.join(most, "b").select("link", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -273,17 +290,16 @@ def with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(
         (table["link"].to_numpy()[order], table["n"].to_numpy()[order], table["best"].to_numpy()[order])
     )
-    names = [f.name for f in ALIGNED if f.name != "links"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, best = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                found = np.searchsorted(known, _pairs(part.column("links")))
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = np.searchsorted(known, _numbers(part))
                 bounds = np.concatenate([[0], np.cumsum(part.column("n_links").to_numpy())])
                 sums = [np.concatenate([[0], np.cumsum(x[found].astype(np.int64))]) for x in (best, n)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(np.diff(s[bounds]), pa.int64()) for s in sums)], names=[*names, "n_best", "count_sum"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in FIGURES), *(pa.array(np.diff(s[bounds]), pa.int64()) for s in sums)], names=[*FIGURES, "n_best", "count_sum"])
 
     ddl = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
     return rows.mapInArrow(trimmed(work), ddl)

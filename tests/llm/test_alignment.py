@@ -104,7 +104,7 @@ def test_random_slices_against_a_walk():
     a, b = plain(b"a"), plain(b"bc")
     for _ in range(60):
         texts = ["".join(rng.choices("abcd", k=rng.randrange(9))) for _ in range(rng.randrange(6))]
-        counts, groups, link_a, link_b = alignment.align(texts, a, b)
+        counts, groups, link_a, link_b = alignment.align(texts, alignment.ByWords(a, b))
         at = 0
         for k, text in enumerate(texts):
             ends = [np.cumsum(t.lengths[t.encode([text])[0]]).tolist() if text else [] for t in (a, b)]
@@ -121,7 +121,7 @@ def test_links_are_tails():
     """The bound of the broadcast: of two linked tokens the shorter is a tail of the longer."""
     a, b = alignment.byte_level(A), alignment.pieces(B)
     texts = [t for _, t in awkward() if t]
-    _, _, link_a, link_b = alignment.align(texts, a, b)
+    _, _, link_a, link_b = alignment.align(texts, alignment.ByWords(a, b))
     for x, y in set(zip(link_a.tolist(), link_b.tolist(), strict=True)):
         assert a.entries[x].endswith(b.entries[y]) or b.entries[y].endswith(a.entries[x])
     assert sum(map(len, a.entries)) + sum(map(len, b.entries)) < 700_000
