@@ -13,23 +13,29 @@ from pyspark.sql import functions as F
 CHUNK = 20_000
 
 
-def hull_2d(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull in counter-clockwise order (monotone chain)."""
-    pts = np.unique(points, axis=0)
+def corners_2d(points: np.ndarray) -> np.ndarray:
+    """Indices of the convex hull's corners in counter-clockwise order (monotone chain); of equal points the first."""
+    pts, first = np.unique(points, axis=0, return_index=True)
     if len(pts) <= 2:
-        return pts
-    chains = []
-    for run in (pts, pts[::-1]):
-        chain: list[np.ndarray] = []
+        return first
+    xs, ys = pts.T.tolist()
+    corners: list[int] = []
+    for run in (range(len(pts)), reversed(range(len(pts)))):
+        chain: list[int] = []
         for p in run:
             while len(chain) > 1:
-                a, b = chain[-1] - chain[-2], p - chain[-2]
-                if a[0] * b[1] - a[1] * b[0] > 0:
+                i, j = chain[-2], chain[-1]
+                if (xs[j] - xs[i]) * (ys[p] - ys[i]) - (ys[j] - ys[i]) * (xs[p] - xs[i]) > 0:
                     break
                 chain.pop()
             chain.append(p)
-        chains.append(chain[:-1])
-    return np.array(chains[0] + chains[1])
+        corners += chain[:-1]
+    return first[corners]
+
+
+def hull_2d(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull in counter-clockwise order."""
+    return points[corners_2d(points)]
 
 
 def area_perimeter(corners: np.ndarray) -> tuple[float, float]:
@@ -41,9 +47,81 @@ def area_perimeter(corners: np.ndarray) -> tuple[float, float]:
     return float(area), float(steps.sum())
 
 
+class _Facets:
+    """Facets of a growing hull: corners, the edges they share, and the points that each is the one to see."""
+
+    def __init__(self, points: np.ndarray, eps: float):
+        self.points, self.eps = points, eps
+        self.corners: dict[int, tuple[int, int, int]] = {}
+        self.plane: dict[int, tuple[np.ndarray, float]] = {}
+        self.outside: dict[int, np.ndarray] = {}
+        self.farthest: dict[int, int] = {}
+        self.across: dict[tuple[int, int], int] = {}
+        self.number = 0
+
+    def add(self, triples: list[tuple[int, int, int]], waiting: np.ndarray) -> list[int]:
+        """New facets; each of the ``waiting`` points goes to the one it is farthest outside of, or, inside of all, is done."""
+        at = np.array(triples)
+        p = self.points
+        normal = np.cross(p[at[:, 1]] - p[at[:, 0]], p[at[:, 2]] - p[at[:, 0]])
+        offset = (normal * p[at[:, 0]]).sum(axis=1)
+        new = list(range(self.number, self.number + len(triples)))
+        self.number += len(triples)
+        for facet, triple, n, o in zip(new, triples, normal, offset.tolist(), strict=True):
+            self.corners[facet], self.plane[facet] = triple, (n, o)
+            for x in range(3):
+                self.across[triple[x], triple[(x + 1) % 3]] = facet
+        if not len(waiting):
+            return []
+        height = p[waiting] @ normal.T - offset
+        best = height.argmax(axis=1)
+        top = height[np.arange(len(waiting)), best]
+        seen = top > self.eps
+        waiting, best, top = waiting[seen], best[seen], top[seen]
+        order = np.argsort(best, kind="stable")
+        waiting, best, top = waiting[order], best[order], top[order]
+        bounds = np.searchsorted(best, np.arange(len(triples) + 1)).tolist()
+        busy = [k for k in range(len(triples)) if bounds[k] < bounds[k + 1]]
+        for k in busy:
+            own = slice(bounds[k], bounds[k + 1])
+            self.outside[new[k]] = waiting[own]
+            self.farthest[new[k]] = int(waiting[own][top[own].argmax()])
+        return [new[k] for k in busy]
+
+    def sees(self, point: int, facet: int) -> bool:
+        normal, offset = self.plane[facet]
+        return float(self.points[point] @ normal) - offset > self.eps
+
+    def grow(self, facet: int) -> list[int]:
+        """Take in the farthest point of a facet: what it sees goes, and its horizon gets new facets."""
+        point = self.farthest[facet]
+        seen, front, horizon = {facet}, [facet], []
+        while front:
+            a, b, c = self.corners[front.pop()]
+            for edge in ((a, b), (b, c), (c, a)):
+                other = self.across[edge[::-1]]
+                if other in seen:
+                    continue
+                if self.sees(point, other):
+                    seen.add(other)
+                    front.append(other)
+                else:
+                    horizon.append(edge)
+        waiting = [self.outside.pop(f) for f in seen if f in self.outside]
+        for f in seen:
+            self.farthest.pop(f, None)
+            del self.corners[f], self.plane[f]
+        rest = np.concatenate(waiting)
+        return self.add([(i, j, point) for i, j in horizon], rest[rest != point])
+
+
 def hull_3d(points: np.ndarray) -> tuple[np.ndarray, float]:
-    """Indices of the corners, and the volume, of a convex hull (incremental). Flat sets have volume 0
-    and all their points as corners."""
+    """Indices of the corners, and the volume, of a convex hull (quickhull). Flat sets have volume 0
+    and all their points as corners.
+
+    Each facet keeps the points that lie outside of it; its farthest one is taken in next, and only points of
+    the facets that go are looked at again, by the new ones.
+    """
     pts, n = points, len(points)
     everyone = np.arange(n)
     if n < 4:
@@ -57,28 +135,18 @@ def hull_3d(points: np.ndarray) -> tuple[np.ndarray, float]:
     d = int(np.abs(height).argmax())
     if abs(height[d]) <= eps:
         return everyone, 0.0
+    if height[d] > 0:
+        b, c = c, b  # so that d lies inside of (a, b, c)
     centre = pts[[a, b, c, d]].mean(axis=0)
-
-    def outward(i: int, j: int, k: int) -> tuple[int, int, int]:
-        side = np.cross(pts[j] - pts[i], pts[k] - pts[i]) @ (centre - pts[i])
-        return (i, k, j) if side > 0 else (i, j, k)
-
-    faces = [outward(*f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
-    planes = [np.cross(pts[j] - pts[i], pts[k] - pts[i]) for i, j, k in faces]
-    for p in range(n):
-        heads = pts[[f[0] for f in faces]]
-        seen = ((pts[p] - heads) * np.array(planes)).sum(axis=1) > eps
-        if not seen.any():
-            continue
-        edges = {(f[x], f[(x + 1) % 3]) for f, s in zip(faces, seen, strict=True) if s for x in range(3)}
-        rim = [e for e in edges if e[::-1] not in edges]
-        keep = [k for k, s in enumerate(seen) if not s]
-        faces, planes = [faces[k] for k in keep], [planes[k] for k in keep]
-        for i, j in rim:
-            faces.append((i, j, p))
-            planes.append(np.cross(pts[j] - pts[i], pts[p] - pts[i]))
-    volume = sum(float(np.cross(pts[j] - centre, pts[k] - centre) @ (pts[i] - centre)) for i, j, k in faces) / 6
-    return np.unique(np.array(faces)), abs(volume)
+    facets = _Facets(pts - centre, eps)
+    front = facets.add([(a, b, c), (a, d, b), (b, d, c), (c, d, a)], everyone)
+    while front:
+        facet = front.pop()
+        if facet in facets.outside:
+            front += facets.grow(facet)
+    at = np.array(list(facets.corners.values()))
+    x, y, z = (facets.points[at[:, k]] for k in range(3))
+    return np.unique(at), abs(float((x * np.cross(y, z)).sum())) / 6
 
 
 def hulls(points: DataFrame, key: str, axes: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
@@ -98,9 +166,7 @@ def hulls(points: DataFrame, key: str, axes: tuple[str, str, str] = ("x", "y", "
                     part = group.iloc[at : at + CHUNK].drop_duplicates()
                     xyz = part[names].to_numpy(float)
                     corners, _ = hull_3d(xyz)
-                    flat = hull_2d(xyz[:, :2])
-                    on_floor = np.flatnonzero((xyz[:, None, :2] == flat[None]).all(axis=2).any(axis=1)) if len(flat) else corners
-                    yield part.iloc[np.union1d(corners, on_floor).astype(int)]
+                    yield part.iloc[np.union1d(corners, corners_2d(xyz[:, :2])).astype(int)]
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         xyz = np.unique(group[names].to_numpy(float), axis=0)

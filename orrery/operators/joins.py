@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -52,6 +53,59 @@ def nearest_group(items: DataFrame, targets: DataFrame, item: str, group: str, d
     return best.select(*on, item, F.col(f"b.{group}").alias(group), F.col("b.d").alias("distance"))
 
 
+#: Targets of a cell that :func:`nearest_group_in_cells` aims at.
+CELL_TARGETS = 64
+
+
+def nearest_group_in_cells(
+    items: DataFrame, targets: DataFrame, item: str, group: str, axes: tuple[str, ...], target_axes: tuple[str, ...], on: tuple[str, ...] = (), last_wins: bool = True
+) -> DataFrame:
+    """J5 for the straight distance, by branch and bound: on..., item, group, distance.
+
+    Targets lie in cells, and of each group in a cell only the box is known at first. An item's nearest target is
+    no farther than the least of its boxes' greatest distances; boxes whose least distance exceeds that are
+    dropped, and only targets of the others are compared. Ties go to the greatest group, as in a scan with <=, or to the
+    least. Items or targets with a null coordinate have no distance and are left out.
+    """
+    placed, boxes, kept = _possible_boxes(items, targets, item, group, axes, target_axes, on)
+    distance = F.sqrt(_square([F.col(f"__t{k}") - F.col(f"__q{k}") for k in range(len(axes))]))
+    met = placed.join(kept, [*on, *[f"__c{k}" for k in range(len(axes))], group]).select(*on, item, group, distance.alias("__d"))
+    nearest = met.groupBy(*on, item, group).agg(F.min("__d").alias("__d"))
+    tie = -F.col(group) if last_wins else F.col(group)
+    best = nearest.groupBy(*on, item).agg(F.min_by(F.struct(group, "__d"), F.struct(F.col("__d"), tie)).alias("__best"))
+    return best.select(*on, item, F.col(f"__best.{group}").alias(group), F.col("__best.__d").alias("distance"))
+
+
+def _square(terms: list[Column]) -> Column:
+    return functools.reduce(lambda x, y: x + y, [d * d for d in terms])
+
+
+def _possible_boxes(
+    items: DataFrame, targets: DataFrame, item: str, group: str, axes: tuple[str, ...], target_axes: tuple[str, ...], on: tuple[str, ...]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Targets with their cells; the box of each group in a cell; and the boxes that may hold an item's nearest target."""
+    spot, at, dims = [f"__t{k}" for k in range(len(axes))], [f"__q{k}" for k in range(len(axes))], range(len(axes))
+    t = targets.select(*on, group, *[F.col(a).cast("double").alias(n) for n, a in zip(spot, target_axes, strict=True)]).na.drop(subset=spot)
+    q = items.select(*on, item, *[F.col(a).cast("double").alias(n) for n, a in zip(at, axes, strict=True)]).na.drop(subset=at)
+    spans = [f(f"__t{k}").alias(f"__{n}{k}") for k in dims for n, f in (("min", F.min), ("max", F.max))]
+    frame = t.groupBy(*on).agg(F.count("*").alias("__n"), *spans)
+    extent = functools.reduce(F.greatest, [F.col(f"__max{k}") - F.col(f"__min{k}") for k in dims])
+    width = extent / F.greatest(F.lit(1.0), F.pow(F.col("__n") / CELL_TARGETS, F.lit(1.0 / len(axes))))
+    frame = frame.select(*on, F.when(width > 0, width).otherwise(1.0).alias("__w"), *[f"__min{k}" for k in dims])
+    framed = t.join(frame, list(on)) if on else t.crossJoin(F.broadcast(frame))  # one row without a scope
+    cells = [F.floor((F.col(f"__t{k}") - F.col(f"__min{k}")) / F.col("__w")).alias(f"__c{k}") for k in dims]
+    placed = framed.select(*on, group, *cells, *spot)
+    box = [*on, *[f"__c{k}" for k in dims], group]
+    boxes = placed.groupBy(*box).agg(*spans)
+    ends = [(F.col(f"__q{k}"), F.col(f"__min{k}"), F.col(f"__max{k}")) for k in dims]
+    least = F.sqrt(_square([F.greatest(low - c, c - high, F.lit(0.0)) for c, low, high in ends]))
+    most = F.sqrt(_square([F.greatest(F.abs(c - low), F.abs(high - c)) for c, low, high in ends]))
+    pairs = _paired(boxes, q, on).select(*box, item, *at, least.alias("__least"), most.alias("__most"))
+    bound = pairs.groupBy(*on, item).agg((F.min("__most") * (1 + 1e-9)).alias("__bound"))
+    kept = pairs.join(bound, [*on, item]).where(F.col("__least") <= F.col("__bound")).select(*box, item, *at)
+    return placed, boxes, kept
+
+
 #: A side of a nested join is broadcast up to this many rows; a larger one is dealt by key blocks.
 BROADCAST_ROWS = 200_000
 
@@ -204,13 +258,41 @@ def _met_in_blocks(q: DataFrame, t: DataFrame, scope: list[str], axes: tuple[str
     return _best(_nearest_of(q, t, scope, [*scope, "__block", "__part"], axes, k), scope, k)
 
 
+def envelope(places: np.ndarray, heights: np.ndarray, keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each whole number x asked, the index of the parabola ``(x - place)^2 + height`` that is least there; ties go to
+    the least key.
+
+    Places ascend without repeats. Two parabolas change order once at most, so the lower envelope is a stack of
+    candidates with the first x at which each is least: linear in their number.
+    """
+    places_, heights_, keys_ = places.tolist(), heights.tolist(), keys.tolist()
+    stack: list[int] = []
+    begins: list[float] = []
+    for j, (q, h) in enumerate(zip(places_, heights_, strict=True)):
+        begin = float("-inf")
+        while stack:
+            i = stack[-1]
+            p = places_[i]
+            # i is ahead of j up to the whole number `upto`: x <= bound / (2 (q - p)), a tie by key
+            bound, width = q * q + h - p * p - heights_[i], 2 * (q - p)
+            upto = bound // width if keys_[i] < keys_[j] else -(-bound // width) - 1
+            if upto >= begins[-1]:
+                begin = upto + 1
+                break
+            stack.pop()
+            begins.pop()
+        stack.append(j)
+        begins.append(begin)
+    return np.array(stack, dtype=np.int64)[np.searchsorted(np.array(begins), asked, side="right") - 1]
+
+
 def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r", column: str = "c") -> DataFrame:
     """Every pixel without a value takes that of the nearest pixel with one; ties go to the
     least (row, column). A raster without any value keeps its nulls.
 
     Exact in two passes, as in separable distance transforms: windows along each column find the
-    nearest value above or below, then each row takes the best of its columns' candidates. Groups
-    are a column or a row of one raster, whose size is fixed.
+    nearest value above or below, then the lower envelope of a row's parabolas, one for each column,
+    gives the nearest of these candidates. Groups are a column or a row of one raster, whose size is fixed.
     """
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(row).alias("row"), F.col(value).alias("value")))
     line = Window.partitionBy(*scope, column).orderBy(row)
@@ -222,17 +304,13 @@ def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r"
     found = found.withColumn("__n", best).select(*scope, row, column, value, F.col("__n.row").cast("bigint").alias("__row"), F.col("__n.value").alias("__value"))
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
-        have = rows[rows["__row"].notna()]
+        have = rows[rows["__row"].notna()].drop_duplicates(column).sort_values(column)
         open_ = rows.index[rows[value].isna()]
         if len(have) and len(open_):
             at_row, at_column = have["__row"].to_numpy(np.int64), have[column].to_numpy(np.int64)
-            here = int(rows[row].iloc[0])
-            down = (at_row - here) ** 2
-            # Candidates in the order of their place, so that the first of the nearest is the least (row, column).
-            order = np.lexsort((at_column, at_row))
-            at_column, down, have = at_column[order], down[order], have.iloc[order]
-            where = rows.loc[open_, column].to_numpy(np.int64)
-            pick = np.concatenate([((where[k : k + 256, None] - at_column[None]) ** 2 + down[None]).argmin(axis=1) for k in range(0, len(where), 256)])
+            key = np.empty(len(have), dtype=np.int64)
+            key[np.lexsort((at_column, at_row))] = np.arange(len(have))
+            pick = envelope(at_column, (at_row - int(rows[row].iloc[0])) ** 2, key, rows.loc[open_, column].to_numpy(np.int64))
             rows.loc[open_, value] = have["__value"].to_numpy()[pick]
         return rows[[*scope, row, column, value]]
 

@@ -2,43 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.joins import nearest_fill
 
 
-def _spread(mask: DataFrame, scope: list[str], size: Column | int, reflect: bool) -> DataFrame:
-    """Each pixel at all places of an s x s structure around it; the origin is at s // 2."""
-    size = F.lit(size) if isinstance(size, int) else size
-    rows = mask.withColumn("__s", size)
-    offsets = F.sequence(-F.floor(F.col("__s") / 2).cast("int"), (F.col("__s") - F.floor(F.col("__s") / 2) - 1).cast("int"))
-    rows = rows.withColumn("__dr", F.explode(offsets)).withColumn("__dc", F.explode(offsets))
-    sign = -1 if reflect else 1
-    return rows.select(*scope, (F.col("r") + F.col("__dr") * sign).alias("r"), (F.col("c") + F.col("__dc") * sign).alias("c"), "__s")
+def _island(keys: list[str], at: str) -> Column:
+    """The same number for neighbours without a gap in the line of ``keys``; places are distinct."""
+    return F.col(at) - F.row_number().over(Window.partitionBy(*keys).orderBy(at))
+
+
+def _kept(mask: DataFrame, keys: list[str], at: str, before: Column, after: Column) -> DataFrame:
+    """Pixels with ``before`` pixels of their run ahead of them and ``after`` behind them."""
+    runs = mask.withColumn("__run", _island(keys, at))
+    run = Window.partitionBy(*keys, "__run")  # dealt out by its keys already
+    ends = runs.withColumn("__first", F.min(at).over(run)).withColumn("__last", F.max(at).over(run))
+    return ends.where((F.col(at) - before >= F.col("__first")) & (F.col(at) + after <= F.col("__last"))).drop("__run", "__first", "__last")
+
+
+def _grown(mask: DataFrame, keys: list[str], at: str, before: Column, after: Column) -> DataFrame:
+    """Runs, each longer by ``before`` and ``after``, pixel by pixel; where two meet, the later one begins."""
+    runs = mask.withColumn("__run", _island(keys, at)).groupBy(*keys, "__run").agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
+    following = F.lead("__first").over(Window.partitionBy(*keys).orderBy("__first"))
+    runs = runs.withColumn("__next", following)
+    upto = F.least(F.col("__last") + after, F.coalesce(F.col("__next") - before - 1, F.col("__last") + after))
+    return runs.withColumn(at, F.explode(F.sequence(F.col("__first") - before, upto))).drop("__run", "__first", "__last", "__next")
+
+
+def _sized(mask: DataFrame, scope: list[str], size: Column | int) -> tuple[DataFrame, list[str], Column, Column]:
+    """Distinct pixels by row, the keys of a mask, and how far a structure reaches before its origin s // 2 and after it."""
+    keys = scope if isinstance(size, int) else [*scope, "__s"]
+    width = F.lit(max(size, 1)) if isinstance(size, int) else F.col("__s")
+    rows = mask.select(*scope, "r", "c") if isinstance(size, int) else mask.select(*scope, "r", "c", F.greatest(size, F.lit(1)).cast("int").alias("__s"))
+    before = F.floor(width / 2).cast("int")
+    # Dealt out by row once: equal pixels and runs lie together.
+    return rows.repartition(*keys, "r").distinct(), keys, before, width - before - 1
 
 
 def erode(mask: DataFrame, scope: list[str], size: Column | int) -> DataFrame:
     """M1/M2: pixels whose whole s x s structure is set; outside the image counts as unset.
 
-    ``size`` may be a column of the mask (by object size); 0 or 1 passes the mask through. A pixel
-    survives if all s * s of its structure's pixels are present, counted by an equi-aggregate.
+    ``size`` may be a column of the mask (by object size); null, 0 or 1 passes the mask through, and pixels of
+    different sizes are masks of their own. A pixel survives if its row's run reaches far enough on both
+    sides, and then its column's run of such pixels does: two exchanges of a row for each pixel, whatever the size.
     """
-    width = F.greatest(F.lit(size) if isinstance(size, int) else size, F.lit(1))
-    votes = _spread(mask.distinct(), scope, width, reflect=True)
-    full = votes.groupBy(*scope, "r", "c", "__s").agg(F.count("*").alias("__n")).where(F.col("__n") == F.col("__s") * F.col("__s"))
-    return full.select(*scope, "r", "c")
+    pixels, keys, before, after = _sized(mask, scope, size)
+    level = _kept(pixels, [*keys, "r"], "c", before, after)
+    return _kept(level, [*keys, "c"], "r", before, after).select(*scope, "r", "c")
 
 
 def dilate(mask: DataFrame, scope: list[str], size: Column | int, height: int | None = None, width: int | None = None) -> DataFrame:
-    """Pixels that the structure reaches from a set pixel, inside the image where its size is given."""
-    grown = _spread(mask, scope, F.greatest(F.lit(size) if isinstance(size, int) else size, F.lit(1)), reflect=False).select(*scope, "r", "c").distinct()
+    """Pixels that the structure reaches from a set pixel, inside the image where its size is given.
+
+    Runs of rows grow, then runs of columns: a pixel is exchanged once before and once after its row has grown.
+    """
+    pixels, keys, before, after = _sized(mask, scope, size)
+    level = _grown(pixels, [*keys, "r"], "c", before, after)
+    if width is not None:
+        level = level.where((F.col("c") >= 0) & (F.col("c") < width))
+    grown = _grown(level, [*keys, "c"], "r", before, after)
     if height is not None:
-        grown = grown.where((F.col("r") >= 0) & (F.col("r") < height) & (F.col("c") >= 0) & (F.col("c") < width))
-    return grown
+        grown = grown.where((F.col("r") >= 0) & (F.col("r") < height))
+    grown = grown.select(*scope, "r", "c")
+    return grown if isinstance(size, int) else grown.distinct()
 
 
 def opened(mask: DataFrame, scope: list[str], size: int, height: int | None = None, width: int | None = None) -> DataFrame:
@@ -106,29 +137,62 @@ def felzenszwalb(image: np.ndarray, scale: float = 0.3, sigma: float = 0.8, min_
         ends.append(np.stack([index[a].ravel(), index[b].ravel()], axis=1))
     ends, costs = np.concatenate(ends), np.concatenate(costs)
     order = np.argsort(costs, kind="stable")
-    parent, size, inner = list(range(h * w)), [1] * (h * w), [0.0] * (h * w)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    def join(a: int, b: int, cost: float) -> None:
-        a, b = min(a, b), max(a, b)
-        parent[b], inner[a] = a, cost
-        size[a] += size[b]
-
-    ordered = [(int(a), int(b), float(c)) for (a, b), c in zip(ends[order], costs[order], strict=True)]
-    for a, b, c in ordered:
-        a, b = root(a), root(b)
-        if a != b and c <= min(inner[a] + scale / size[a], inner[b] + scale / size[b]):
-            join(a, b, c)
-    for a, b, c in ordered:
-        a, b = root(a), root(b)
-        if a != b and min(size[a], size[b]) < min_size:
-            join(a, b, c)
-    roots = np.array([root(k) for k in range(h * w)])
-    return np.unique(roots, return_inverse=True)[1].reshape(h, w)
+    ends, costs = ends[order], costs[order]
+    sets = _Sets(h * w)
+    for at, stop in _growing(len(costs)):
+        sets.join(ends[at:stop], costs[at:stop], lambda c, inner_a, size_a, inner_b, size_b: c <= inner_a + scale / size_a and c <= inner_b + scale / size_b)
+    for at, stop in _growing(len(costs)):
+        sets.join(ends[at:stop], costs[at:stop], lambda c, inner_a, size_a, inner_b, size_b: size_a < min_size or size_b < min_size, min_size)
+    return np.unique(sets.roots(), return_inverse=True)[1].reshape(h, w)
+
+
+def _growing(n: int) -> Iterator[tuple[int, int]]:
+    """Parts of 0 .. n, each an eighth of what is left or a 64th of the whole."""
+    at = 0
+    while at < n:
+        stop = min(n, at + max(1024, n // 64, (n - at) // 8))
+        yield at, stop
+        at = stop
+
+
+class _Sets:
+    """Disjoint sets of pixels in arrays, named by their least member, with size and internal difference."""
+
+    def __init__(self, n: int):
+        self.parent, self.size, self.inner = np.arange(n), np.ones(n, dtype=np.int64), np.zeros(n)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            above = self.parent[self.parent]
+            if (above == self.parent).all():
+                return self.parent
+            self.parent = above
+
+    def join(self, ends: np.ndarray, costs: np.ndarray, fits: Callable[..., bool], small: int | None = None) -> None:
+        """Take edges in turn, joining the sets of their ends where ``fits`` says so.
+
+        Edges inside one set are dropped in bulk beforehand, and with ``small`` those between two sets of that size: sets
+        only grow, so these never join anything. Steps are left for the others alone, over the few sets that they touch.
+        """
+        root = self.roots()
+        a, b = root[ends[:, 0]], root[ends[:, 1]]
+        open_ = a != b
+        if small is not None:
+            open_ &= (self.size[a] < small) | (self.size[b] < small)
+        a, b, costs = a[open_], b[open_], costs[open_]
+        touched, local = np.unique(np.concatenate([a, b]), return_inverse=True)
+        parent, size, inner = list(range(len(touched))), self.size[touched].tolist(), self.inner[touched].tolist()
+        for x, y, c in zip(local[: len(a)].tolist(), local[len(a) :].tolist(), costs.tolist(), strict=True):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            if x != y and fits(c, inner[x], size[x], inner[y], size[y]):
+                x, y = (x, y) if x < y else (y, x)
+                parent[y], inner[x] = x, c
+                size[x] += size[y]
+        self.parent[touched] = touched[parent]
+        self.size[touched], self.inner[touched] = size, inner
 
 
 def superpixels(pixels: DataFrame, scope: str, scale: float = 0.3, sigma: float = 0.8, min_size: int = 50) -> DataFrame:

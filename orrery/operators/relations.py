@@ -16,8 +16,7 @@ def object_room(object_faces: DataFrame, room_faces: DataFrame) -> DataFrame:
 
 def camera_room(cameras: DataFrame, room_voxels: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """R2: the room, of the camera's scope ``on``, with the closest occupied voxel centre (cx, cy, cz) to a camera (x, y, z)."""
-    d = g.norm(g.minus(g.vector("cx", "cy", "cz"), g.vector("x", "y", "z")))
-    return joins.nearest_group(cameras, room_voxels, "camera_id", "room_id", d, on)
+    return joins.nearest_group_in_cells(cameras, room_voxels, "camera_id", "room_id", ("x", "y", "z"), ("cx", "cy", "cz"), on)
 
 
 def same_space(pairs: DataFrame, a: str, b: str, name: str = "same_space") -> DataFrame:

@@ -157,10 +157,11 @@ def ray_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CORNERS}, {BEAMS}, {HIT}, first AS (SELECT ray, face_id FROM hits QUALIFY row_number() OVER (PARTITION BY ray ORDER BY t, face_id) = 1) SELECT ray, face_id FROM first WHERE face_id % 3 = ray % 3")
 def visible_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rays whose first hit is a face that owns their point; here a point is owned by the faces of its remainder."""
+    """Rays whose first hit is a face that owns their point; here a point is owned by the faces of its remainder,
+    of which those that are hit matter."""
     points = _points(spark, sf_dir)
     first = rays.cast_rays(_beams(points), _scene(points), first_only=True)
-    owners = first.select("building", "ray_id").join(_strip(points).select("face_id"), F.col("face_id") % 3 == F.col("ray_id") % 3)
+    owners = first.where("face_id % 3 = ray_id % 3").select("building", "ray_id", "face_id")
     return rays.visible(first, owners).select(F.col("ray_id").alias("ray"), "face_id")
 
 

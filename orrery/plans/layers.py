@@ -77,12 +77,9 @@ def camera_layer(cameras: DataFrame, room_voxels: DataFrame, modality: str = "RG
         angles = g.euler_angles(m)
         out = out.withColumns({c: a for c, a in zip(("rx", "ry", "rz"), angles, strict=True)})
     out = aggregate.numbered(out, ["building"], ["camera"], "id")
-    spot = (F.lit(0.0),) * 3 if compat else g.vector("x", "y", "z")
-    few = F.broadcast(out) if out.count() <= joins.BROADCAST_ROWS else out
-    pairs = room_voxels.join(few.select("building", "id", "x", "y", "z"), "building")
-    d = g.norm(g.minus(g.vector("cx", "cy", "cz"), spot))
-    least = pairs.select("building", "id", "room_id", d.alias("d")).groupBy("building", "id", "room_id").agg(F.min("d").alias("d"))
-    room = least.groupBy("building", "id").agg(F.min_by("room_id", F.struct(F.col("d"), -F.col("room_id"))).alias("parent_room"))
+    spots = out.select("building", "id", *[(F.lit(0.0) if compat else F.col(a)).alias(a) for a in "xyz"])
+    room = joins.nearest_group_in_cells(spots, room_voxels, "id", "room_id", ("x", "y", "z"), ("cx", "cy", "cz"), ("building",))
+    room = room.select("building", "id", F.col("room_id").alias("parent_room"))
     out = out.join(room, ["building", "id"], "left")
     return out.select("building", "id", F.col("camera").alias("name"), F.array("x", "y", "z").alias("location"), F.array("rx", "ry", "rz").alias("rotation"), "fov", F.lit(modality).alias("modality"), "parent_room")
 

@@ -41,25 +41,25 @@ def globalise(detections: DataFrame) -> DataFrame:
     return named.withColumn("instance_id", F.row_number().over(order).cast("bigint") + 1).withColumn("name", F.concat_ws("_", "name", rank.cast("string")))
 
 
-def mask_pixels(detections: DataFrame) -> DataFrame:
-    """The pixels (fr, fc) of run-length masks: an array of (r, start, len)."""
-    runs = detections.withColumn("__run", F.explode("mask"))
-    column = F.explode(F.sequence(F.col("__run.start"), F.col("__run.start") + F.col("__run.len") - 1))
-    return runs.where(F.col("__run.len") > 0).withColumn("fc", column).withColumn("fr", F.col("__run.r")).drop("mask", "__run")
-
-
 def transfer(detections: DataFrame, frames: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cover, hits): the panorama pixels that each used frame (pano, frame) shows, and those each
     instance hits. Of several frame pixels on one panorama pixel the last counts. Where ``used``
-    names panoramas only, all frames, whose names are few, are used of each."""
+    names panoramas only, all frames, whose names are few, are used of each.
+
+    Masks stay runs: a run (r, start, len) meets its frame row's mapped pixels, sorted in one array as long as a frame is
+    wide at most, and only those that lie in it become rows.
+    """
     if "frame" not in used.columns:
         used = used.distinct().crossJoin(F.broadcast(frames.select("frame").distinct()))
     number = F.col("fr") * 1_000_000 + F.col("fc")
     last = frames.groupBy("frame", F.col("pr").alias("r"), F.col("pc").alias("c")).agg(F.max_by(F.struct("fr", "fc"), number).alias("p"))
-    last = last.select("frame", "r", "c", F.col("p.fr").alias("fr"), F.col("p.fc").alias("fc"))
     cover = used.select("pano", "frame").distinct().join(last.select("frame", "r", "c"), "frame")
-    hits = mask_pixels(detections).join(last, ["frame", "fr", "fc"])
-    return cover, hits.select("pano", "frame", "r", "c", "instance_id", "class", "score")
+    lines = last.groupBy("frame", F.col("p.fr").alias("fr")).agg(F.array_sort(F.collect_list(F.struct(F.col("p.fc").alias("fc"), "r", "c"))).alias("line"))
+    runs = detections.select("pano", "frame", "instance_id", "class", "score", F.explode("mask").alias("run")).where("run.len > 0")
+    runs = runs.select("*", F.col("run.r").alias("fr"), F.col("run.start").alias("start"), (F.col("run.start") + F.col("run.len")).alias("stop")).drop("run")
+    inside = F.filter("line", lambda p: (p["fc"] >= F.col("start")) & (p["fc"] < F.col("stop")))
+    hits = runs.join(lines, ["frame", "fr"]).withColumn("p", F.explode(inside))
+    return cover, hits.select("pano", "frame", F.col("p.r").alias("r"), F.col("p.c").alias("c"), "instance_id", "class", "score")
 
 
 def aggregate(detections: DataFrame, frames: DataFrame, options: PanoOptions = PanoOptions()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
@@ -17,27 +17,32 @@ def read_obj(spark: SparkSession, path: str, turn_up: bool = True) -> tuple[Data
     """(vertices, faces) of OBJ files, ids in file order, vertices never merged.
 
     A file's stem names its building. Polygons become fans of triangles; negative indices count from
-    the latest vertex. ``turn_up`` turns y-up into z-up (+90 degrees about x). Lines are numbered
-    with the file as one row, since an id is a place in the file.
+    the latest vertex. ``turn_up`` turns y-up into z-up (+90 degrees about x). Files are read as lines, in as many
+    splits as Spark makes of them: a line's place is its split's first byte and its place in the split, and what lies
+    before a split is a prefix sum over one row of counts for each.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.[^.]*$", 1).alias("building"), "value")
-    lines = files.select("building", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    word = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    rows = lines.select("building", "line", word[0].alias("kind"), F.slice(word, 2, 1_000_000).alias("arg")).where("kind in ('v', 'f')")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("building").orderBy("line")
-    counted = rows.withColumn("n", F.sum((F.col("kind") == "v").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    source = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.[^.]*$", 1).alias("building")
+    word = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    lines = spark.read.text(path).select(*source, stem, F.monotonically_increasing_id().alias("line"), word.alias("word"))
+    rows = lines.select("file", "split", "building", "line", F.col("word")[0].alias("kind"), F.slice("word", 2, 1_000_000).alias("arg")).where("kind in ('v', 'f')")
+    rows = rows.withColumn("nv", (F.col("kind") == "v").cast("bigint"))
+    rows = rows.withColumn("nt", F.when(F.col("kind") == "f", F.greatest(F.size("arg") - 2, F.lit(0))).otherwise(0).cast("bigint"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("file", "split").agg(F.sum("nv").alias("nv"), F.sum("nt").alias("nt"))
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    bases = sizes.select("file", "split", before("nv").alias("v_before"), before("nt").alias("t_before"))
+    upto = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.join(bases, ["file", "split"]).withColumn("n", F.col("v_before") + F.sum("nv").over(upto)).withColumn("t", F.col("t_before") + F.sum("nt").over(upto) - F.col("nt"))
     number = lambda k: F.col("arg")[k].cast("double")
     x, y, z = number(0), number(1), number(2)
     if turn_up:
         y, z = -z, y
     vertices = counted.where("kind = 'v'").select("building", (F.col("n") - 1).alias("vertex_id"), x.alias("x"), y.alias("y"), z.alias("z"))
     corner = F.transform("arg", lambda a: F.split(a, "/")[0].cast("bigint"))
-    polygons = counted.where("kind = 'f'").select("building", "line", F.transform(corner, lambda i: F.when(i < 0, F.col("n") + i).otherwise(i - 1)).alias("c"))
-    fans = polygons.where(F.size("c") >= 3).select("building", "line", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("k"))
-    ids = Window.partitionBy("building").orderBy("line", "k")
-    faces = fans.select("building", (F.row_number().over(ids).cast("bigint") - 1).alias("face_id"), F.col("c")[0].alias("v0"), F.col("c")[F.col("k")].alias("v1"), F.col("c")[F.col("k") + 1].alias("v2"))
+    polygons = counted.where("nt > 0").select("building", "t", F.transform(corner, lambda i: F.when(i < 0, F.col("n") + i).otherwise(i - 1)).alias("c"))
+    fans = polygons.select("building", "t", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("k"))
+    faces = fans.select("building", (F.col("t") + F.col("k") - 1).alias("face_id"), F.col("c")[0].alias("v0"), F.col("c")[F.col("k")].alias("v1"), F.col("c")[F.col("k") + 1].alias("v2"))
     return vertices, faces
 
 

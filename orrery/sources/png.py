@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources import image_sink
+
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
@@ -102,16 +104,9 @@ def images(pixels: DataFrame, image: str, height: int, width: int) -> DataFrame:
     return pixels.groupBy(image).applyInPandas(paint, f"`{image}` {kind}, content binary")
 
 
-def write_images(painted: DataFrame, path: str, image: str, suffix: str = "") -> None:
-    """Write each image to ``path``/<image><suffix>.png through the file system of the path."""
-    spark = painted.sparkSession
-    rows = painted.select(F.concat(F.col(image).cast("string"), F.lit(f"{suffix}.png")).alias("name"), "content")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for row in rows.toLocalIterator(prefetchPartitions=True):
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{row['name']}")
-        out = target.getFileSystem(conf).create(target, True)
-        out.write(row["content"])
-        out.close()
+def write_images(painted: DataFrame, path: str, image: str, suffix: str = "", mode: str = "append") -> None:
+    """Write each image to ``path``/<image><suffix>.png, from the tasks that hold them, in two steps."""
+    image_sink.save(painted.select(F.concat(F.col(image).cast("string"), F.lit(f"{suffix}.png")).alias("name"), "content"), path, mode)
 
 
 def coloured(labels: DataFrame, palette: DataFrame, index: str, blend: DataFrame | None = None, keys: tuple[str, ...] = ("pano", "r", "c")) -> DataFrame:

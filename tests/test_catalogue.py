@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from orrery.plans import catalogue, catalogue_more  # noqa: F401  (registers its queries)
+from orrery.plans import catalogue, catalogue_more, catalogue_scans  # noqa: F401  (registers its queries)
 
 DIR = os.environ.get("ORRERY_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="driver tables are absent")

@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -354,3 +356,178 @@ def test_neighbours_in_cells(spark, shape):
         near = sorted((float(np.sqrt(((p - spots[j]) ** 2).sum())), j) for j, other in enumerate(scopes(300)) if other == s)[:4]
         want += [(s, k, n + 1, j) for n, (_, j) in enumerate(near)]
     assert got == sorted(want)
+
+
+def structure(size):
+    return range(-(size // 2), size - size // 2)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 10])
+def test_morphology_by_runs_against_whole_structures(spark, size):
+    rng = random.Random(size)
+    mask = {(s, r, c) for s in (0, 1) for r in range(24) for c in range(31) if rng.random() < 0.9}
+    frame = spark.createDataFrame([*mask, *list(mask)[:50]], "pano int, r int, c int")
+    want = {(s, r, c) for s, r, c in mask if all((s, r + y, c + x) in mask for y in structure(size) for x in structure(size))}
+    assert set(map(tuple, raster.erode(frame, ["pano"], size).collect())) == want
+    grown = {(s, r + y, c + x) for s, r, c in want for y in structure(size) for x in structure(size)}
+    rows = raster.opened(frame, ["pano"], size).collect()
+    assert len(rows) == len(set(rows)) and set(map(tuple, rows)) == grown <= mask
+    few = spark.createDataFrame(sorted(mask)[::37], "pano int, r int, c int")
+    spread = {(s, r + y, c + x) for s, r, c in sorted(mask)[::37] for y in structure(size) for x in structure(size)}
+    assert set(map(tuple, raster.dilate(few, ["pano"], size).collect())) == spread
+    assert set(map(tuple, raster.dilate(few, ["pano"], size, 24, 31).collect())) == {p for p in spread if 0 <= p[1] < 24 and 0 <= p[2] < 31}
+
+
+def test_morphology_exchanges_do_not_grow_with_the_structure(spark):
+    frame = spark.range(400).select((F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"))
+    plan = raster.opened(frame, [], 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 and plan.count("Generate explode") == 2
+
+
+def test_nearest_fill_on_ties_and_wide_rows(spark):
+    rng = random.Random(7)
+    pixels = [(s, r, c, rng.randrange(9) if rng.random() < (0.04, 0.5, 0.0)[s] else None) for s in range(3) for r in range(14) for c in range(40)]
+    got = {tuple(r)[:3]: r[3] for r in joins.nearest_fill(spark.createDataFrame(pixels, "pano int, r int, c int, v int"), "v", ["pano"]).collect()}
+    for s, r, c, v in pixels:
+        known = [(y, x, k) for t, y, x, k in pixels if t == s and k is not None]
+        want = v if v is not None or not known else min(known, key=lambda k: ((k[0] - r) ** 2 + (k[1] - c) ** 2, k[0], k[1]))[2]
+        assert got[s, r, c] == want
+    began = time.perf_counter()
+    places = np.arange(65_536)
+    joins.envelope(places, np.random.default_rng(0).integers(0, 400, 65_536) ** 2, places, places)
+    assert time.perf_counter() - began < 5
+
+
+def test_hull_3d_against_all_planes():
+    rng = np.random.default_rng(2)
+    for n in (4, 5, 9, 25):
+        for pts in (rng.normal(size=(n, 3)), rng.normal(size=(n, 3)) * [1, 100, 0.01]):
+            corners, volume = hull.hull_3d(pts)
+            outer, tetrahedra = set(), 0.0
+            centre = pts.mean(axis=0)
+            for i, j, k in itertools.combinations(range(n), 3):
+                normal = np.cross(pts[j] - pts[i], pts[k] - pts[i])
+                side = (pts - pts[i]) @ normal
+                if (side <= 1e-12).all() or (side >= -1e-12).all():
+                    outer |= {i, j, k}
+                    tetrahedra += abs(normal @ (centre - pts[i])) / 6
+            assert set(corners.tolist()) == outer and abs(volume - tetrahedra) < 1e-9 * max(1, tetrahedra)
+
+
+def test_hull_3d_of_lattices_and_a_ball():
+    cube = np.array(list(itertools.product(range(6), repeat=3)), dtype=float)
+    corners, volume = hull.hull_3d(cube)
+    assert volume == pytest.approx(125) and {0, 5, 210, 215} <= set(corners.tolist())
+    rng = np.random.default_rng(3)
+    ball = rng.normal(size=(20_000, 3))
+    ball *= (rng.random(20_000) ** (1 / 3) / np.linalg.norm(ball, axis=1))[:, None]
+    began = time.perf_counter()
+    corners, volume = hull.hull_3d(ball)
+    assert time.perf_counter() - began < 10 and 3.9 < volume < 4.19 and len(corners) < 2000
+    assert hull.hull_3d(cube[cube[:, 2] == 0])[1] == 0.0
+
+
+def plain_segments(image, scale, sigma, min_size):
+    """Every edge in turn over the whole image."""
+    h, w = image.shape[:2]
+    smooth = image.astype(float)
+    radius = max(1, int(4 * sigma + 0.5))
+    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+    for axis in (0, 1):
+        padded = np.pad(smooth, [(radius, radius) if a == axis else (0, 0) for a in range(3)], mode="edge")
+        smooth = sum(k * np.take(padded, range(i, i + smooth.shape[axis]), axis=axis) for i, k in enumerate(kernel))
+    edges = []
+    for step, (dr, dc) in enumerate(((0, 1), (1, 0), (1, 1), (1, -1))):
+        for r in range(h - dr):
+            for c in range(w):
+                if 0 <= c + dc < w:
+                    edges.append((math.sqrt(((smooth[r, c] - smooth[r + dr, c + dc]) ** 2).sum()), step, r * w + c, (r + dr) * w + c + dc))
+    edges.sort()
+    group, size, inner = list(range(h * w)), [1] * (h * w), [0.0] * (h * w)
+    for last in (False, True):
+        for cost, _, a, b in edges:
+            a, b = sorted((group[a], group[b]))
+            fits = min(size[a], size[b]) < min_size if last else cost <= min(inner[a] + scale / size[a], inner[b] + scale / size[b])
+            if a != b and fits:
+                group = [a if g == b else g for g in group]
+                size[a], inner[a] = size[a] + size[b], cost
+    return np.unique(group, return_inverse=True)[1].reshape(h, w)
+
+
+def test_superpixels_against_every_edge_in_turn(monkeypatch):
+    monkeypatch.setattr(raster, "_growing", lambda n: zip(range(0, n, 37), [*range(37, n, 37), n]))
+    rng = np.random.default_rng(5)
+    for k in range(6):
+        h, w = rng.integers(4, 14, 2)
+        image = [rng.random((h, w, 3)), np.round(rng.random((h, w, 3)) * 2) / 2, np.kron(rng.random((h // 3 + 1, w // 3 + 1, 3)), np.ones((3, 3, 1)))[:h, :w]][k % 3]
+        for scale, least in ((0.3, 12), (1.0, 3)):
+            assert (raster.felzenszwalb(image, scale, 0.8, least) == plain_segments(image, scale, 0.8, least)).all()
+
+
+def test_growing_parts_cover_everything():
+    for n in (0, 1, 5, 1024, 100_000):
+        parts = list(raster._growing(n))
+        assert [p[0] for p in parts] == [0, *[p[1] for p in parts]][: len(parts)] and (not parts or parts[-1][1] == n)
+
+
+def test_one_panorama_of_superpixels_is_quick():
+    rng = np.random.default_rng(6)
+    image = np.kron(rng.random((32, 64, 3)), np.ones((32, 32, 1))) + rng.normal(0, 0.02, (1024, 2048, 3))
+    began = time.perf_counter()
+    labels = raster.felzenszwalb(image)
+    assert time.perf_counter() - began < 60 and 1000 < labels.max() < 100_000
+
+
+def test_nearest_group_in_cells_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    rooms = [(b, g, *map(float, (rng.integers(0, 5, 3) if b else rng.uniform(0, 1, 3)) + [g % 3 * 4, g // 3 * 4, 0])) for b in (0, 1) for g in range(6) for _ in range(400)]
+    cams = [(b, k, *map(float, p)) for b in (0, 1) for k, p in enumerate([*rng.uniform(-2, 14, (20, 3)), *rng.integers(0, 9, (20, 3))])] + [(2, 0, 0.0, 0.0, 0.0), (0, 99, None, 0.0, 0.0)]
+    items = spark.createDataFrame(cams, "building int, cam long, x double, y double, z double")
+    targets = spark.createDataFrame([*rooms, (0, 3, None, 0.0, 0.0)], "building int, room long, cx double, cy double, cz double")
+    for last in (True, False):
+        got = {(r["building"], r["cam"]): (r["room"], round(r["distance"], 9)) for r in joins.nearest_group_in_cells(items, targets, "cam", "room", ("x", "y", "z"), ("cx", "cy", "cz"), ("building",), last).collect()}
+        want = {}
+        for b, k, *p in cams:
+            far = [(math.dist(p, q), -g if last else g, g) for c, g, *q in rooms if c == b and None not in p]
+            if far:
+                want[b, k] = (min(far)[2], round(min(far)[0], 9))
+        assert got == want
+    one = joins.nearest_group_in_cells(items.where("building = 1"), targets.where("building = 1"), "cam", "room", ("x", "y", "z"), ("cx", "cy", "cz"))
+    assert one.count() == 40
+
+
+def test_nearest_group_compares_few_pairs(spark):
+    """Boxes and the targets of the boxes that are left are under a tenth of all pairs."""
+    side = F.expr("id % 40 / 10.0"), F.expr("id div 40 % 40 / 10.0"), F.expr("id div 1600 / 10.0")
+    voxels = spark.range(40**3).select(F.lit(0).alias("b"), *[c.alias(f"c{a}") for c, a in zip(side, "xyz")], F.expr("cast(id % 40 div 10 as bigint)").alias("room"))
+    rng = np.random.default_rng(1)
+    cams = spark.createDataFrame([(0, k, *map(float, p)) for k, p in enumerate(rng.uniform(0, 4, (30, 3)))], "b int, cam long, x double, y double, z double")
+    axes, spots = ("x", "y", "z"), ("cx", "cy", "cz")
+    placed, boxes, kept = joins._possible_boxes(cams, voxels, "cam", "room", axes, spots, ("b",))
+    compared = 30 * boxes.count() + placed.join(kept, ["b", "__c0", "__c1", "__c2", "room"]).count()
+    assert compared < 0.1 * 30 * 40**3
+    found = joins.nearest_group_in_cells(cams, voxels, "cam", "room", axes, spots, ("b",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30 and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_rays_stop_behind_a_wall(spark, monkeypatch):
+    monkeypatch.setattr(rays, "FEW_TRIANGLES", 0)
+    rng = np.random.default_rng(4)
+    behind = rng.uniform([1, -1, -1], [9, 1, 1], (3000, 3))
+    tri = [("a", k, *map(float, np.concatenate([p, p + [0, 0.1, 0], p + [0, 0, 0.1]]))) for k, p in enumerate(behind)]
+    tri += [("a", 5000, 0.5, -9.0, -9.0, 0.5, 9.0, -9.0, 0.5, 0.0, 9.0)]
+    beams = [("a", k, 0.0, *map(float, o), 1.0, 0.0, 0.0) for k, o in enumerate(rng.uniform(-0.9, 0.9, (200, 2)))]
+    corners, ends = [f"{p}{x}" for p in "abc" for x in "xyz"], [f"{p}{x}" for p in "od" for x in "xyz"]
+    mesh_rows = spark.createDataFrame(tri, "building string, face_id long, " + ", ".join(f"{c} double" for c in corners))
+    beam_rows = spark.createDataFrame(beams, "building string, ray_id long, " + ", ".join(f"{c} double" for c in ends))
+    walked = []
+    kept = rays._Cells.met
+    monkeypatch.setattr(rays._Cells, "met", lambda self, r, part=(0.0, 1.0): walked.append((part, kept(self, r, part))) or walked[-1][1])
+    first = rays.cast_rays(beam_rows, mesh_rows, first_only=True).collect()
+    assert len(first) == 200 and {r["face_id"] for r in first} == {5000}
+    met = sum(frame.count() for _, frame in walked)
+    walked.clear()
+    rays.cast_rays(beam_rows, mesh_rows).count()
+    assert met < 0.4 * sum(frame.count() for _, frame in walked)

@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.plans import fusion, layers, pano
-from orrery.sources import export, mesh, png, readers
+from orrery.sources import dense, export, image_sink, mesh, png, readers
 from orrery.staging import Stages
 
 
@@ -242,3 +244,122 @@ def test_visible_points_and_masks(spark):
     assert {(r["camera_id"], r["point_id"]): r["visible"] for r in seen} == {(1, 10): True, (1, 20): False, (1, 30): False}
     masks = spark.createDataFrame([("k", "viz", 0, 0), ("k", "occ", 1, 1), ("m", "viz", 0, 0)], "obj string, mask string, r int, c int")
     assert {r["name"] for r in png.mask_images(masks, "obj", 4, 4).collect()} == {"k_mask_viz", "k_mask_occ"}
+
+
+def test_obj_in_splits_gives_the_rows_of_the_whole_file(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    lines, n = [], 0
+    for k in range(3000):
+        if n < 4 or rng.random() < 0.6:
+            lines.append("v " + " ".join(f"{x:.3f}" for x in rng.uniform(-9, 9, 3)))
+            n += 1
+        elif rng.random() < 0.1:
+            lines.append(f"# a comment {k}")
+        else:
+            corners = rng.integers(1, n + 1, rng.integers(2, 6))
+            names = [f"{c}/{c}/1" if k % 3 else str(c - n - 1) if k % 2 else str(c) for c in corners]
+            lines.append("f " + "  ".join(names) + ("\r" if k % 7 == 0 else ""))
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.obj").write_text("\n".join(lines))
+    rows = []
+    for size in ("134217728", str(len("\n".join(lines)) // 8)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0" if size != "134217728" else "4194304")
+        try:
+            vertices, faces = mesh.read_obj(spark, str(tmp_path / "*.obj"))
+            splits = spark.read.text(str(tmp_path / "*.obj")).select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+            rows.append((splits, sorted(map(tuple, vertices.collect())), sorted(map(tuple, faces.collect()))))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert rows[0][0] == 2 and rows[1][0] >= 16
+    assert rows[0][1:] == rows[1][1:]
+    vertices, count = [], 0
+    faces = []
+    for line in lines:
+        kind, *arg = line.split()
+        if kind == "v":
+            vertices.append((count, float(arg[0]), -float(arg[2]), float(arg[1])))
+            count += 1
+        elif kind == "f":
+            c = [int(a.split("/")[0]) for a in arg]
+            c = [i - 1 if i > 0 else count + i for i in c]
+            faces += [(len(faces) + k, c[0], c[k + 1], c[k + 2]) for k in range(len(c) - 2)]
+    assert [r[1:] for r in rows[0][1] if r[0] == "one"] == vertices
+    assert [r[1:] for r in rows[0][2] if r[0] == "two"] == faces
+
+
+def _files(path):
+    return {p.name: p.read_bytes() for p in path.iterdir() if p.is_file() and not p.name.startswith(".")}
+
+
+def test_image_sink_writes_from_tasks_in_two_steps(spark, tmp_path):
+    out = tmp_path / "images"
+    rows = spark.createDataFrame([(f"i{k}.png", bytes([k] * k)) for k in range(20)], "name string, content binary").repartition(5)
+    image_sink.save(rows, str(out))
+    assert _files(out) == {f"i{k}.png": bytes([k] * k) for k in range(20)} and not [p for p in out.iterdir() if p.is_dir()]
+    image_sink.save(spark.createDataFrame([("i3.png", b"new"), ("empty.png", None)], "name string, content binary"), f"file://{out}")
+    assert len(_files(out)) == 21 and _files(out)["i3.png"] == b"new" and _files(out)["empty.png"] == b""
+    image_sink.save(rows.limit(2), str(out), mode="overwrite")
+    assert len(_files(out)) == 2
+    image_sink.save(rows.limit(0), str(out))
+    assert len(_files(out)) == 2
+
+
+def test_a_failed_task_leaves_no_image(spark, tmp_path):
+    out = tmp_path / "images"
+    rows = spark.createDataFrame([(k, b"x" * 1000) for k in range(40)], "k long, content binary").repartition(4)
+    name = F.when(F.col("k") == 33, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.concat("k", F.lit(".png")))
+    with pytest.raises(Exception, match="lost"):
+        image_sink.save(rows.select(name.alias("name"), "content"), str(out))
+    assert not out.exists() or _files(out) == {} and not [p for p in out.iterdir() if p.is_dir()]
+    with pytest.raises(Exception, match="not a file name"):
+        image_sink.save(rows.select(F.lit("../x.png").alias("name"), "content"), str(out))
+
+
+def test_an_attempt_that_does_not_count_is_not_seen(tmp_path):
+    writer = image_sink.ImageWriter(str(tmp_path / "o"), False)
+    store, root = image_sink.opened(writer.staged)
+    for attempt in ("0-1", "0-2"):
+        store.create_dir(f"{root}/{attempt}", recursive=True)
+        with store.open_output_stream(f"{root}/{attempt}/a.png") as f:
+            f.write(attempt.encode())
+    writer.commit([image_sink.Written(f"{root}/0-2"), None])
+    assert _files(tmp_path / "o") == {"a.png": b"0-2"} and [p.name for p in (tmp_path / "o").iterdir()] == ["a.png"]
+
+
+def test_label_transfer_on_runs_against_every_pixel(spark):
+    rng = random.Random(2)
+    frames = [(f, r, c, (r * 3 + c + f) % 7, (c * 2 + r) % 9) for f in range(3) for r in range(8) for c in range(12)]
+    found = [(p, f, k, 57 + k % 2, 0.5, [(rng.randrange(9), rng.randrange(12), rng.randrange(0, 9)) for _ in range(3)]) for p in range(2) for f in range(3) for k in range(4)]
+    detections = spark.createDataFrame([(p, f, p * 100 + f * 10 + k, c, s, m) for p, f, k, c, s, m in found], "pano long, frame long, instance_id long, class int, score double, mask array<struct<r:int,start:int,len:int>>")
+    table = spark.createDataFrame(frames, "frame long, fr int, fc int, pr int, pc int")
+    cover, hits = pano.transfer(detections, table, detections.select("pano", "frame"))
+    last = {}
+    for f, r, c, y, x in frames:
+        last[f, y, x] = max(last.get((f, y, x), (-1, -1)), (r, c))
+    want = [(p, f, y, x, p * 100 + f * 10 + k) for p, f, k, _, _, runs in found for r, start, n in runs for c in range(start, start + n) for (g, y, x), at in last.items() if g == f and at == (r, c)]
+    assert sorted(tuple(r) for r in hits.select("pano", "frame", "r", "c", "instance_id").collect()) == sorted(want)
+    assert cover.count() == 2 * len(last)
+
+
+def test_dense_arrays(spark, tmp_path):
+    members = spark.createDataFrame([("a", 0, 5, 1), ("a", 0, 6, 2), ("a", 7, 1, 1), ("a", 9, 2, 1), ("a", -1, 9, 1), ("a", 99, 9, 1), ("b", 3, 8, 1), ("c", 0, 4, 1), ("b", None, 4, 1)], "building string, at long, id long, o int")
+    length = spark.createDataFrame([("a", 10), ("b", 4), ("c", 0), ("d", 3), ("e", None)], "building string, n long")
+    want = {"a": [6, 0, 0, 0, 0, 0, 0, 1, 0, 2], "b": [0, 0, 0, 8], "d": [0, 0, 0]}
+    for step in (1, 3, 4, 100):
+        chunks = dense.chunked(members, length, ["building"], "at", "id", F.col("o"), chunk=step)
+        layer = spark.createDataFrame([("a", 6), ("a", 7), ("b", 8), ("b", 1)], "building string, id long")
+        root = f"{tmp_path}/g{step}"
+        export.write_graph({"object": layer}, root, {"object_faces": chunks})
+        found = export.read_graph(spark, root, views=False)
+        assert sorted(map(tuple, found["object"].collect())) == [("a", 6), ("b", 8)]
+        array = found["object_faces"]
+        rows = sorted(map(tuple, dense.expanded(array, "at", "id").collect()))
+        assert rows == [(b, k, v) for b, vs in sorted(want.items()) for k, v in enumerate(vs)]
+        part = sorted(map(tuple, dense.expanded(array, "at", "id", 2, 8).collect()))
+        assert part == [r for r in rows if 2 <= r[1] < 8]
+        asked = spark.createDataFrame([("a", 9), ("a", 10), ("b", 3), ("z", 0), ("a", -1)], "building string, at long")
+        assert sorted(map(tuple, dense.looked_up(array, asked, "at", "id").collect()), key=str) == sorted([("a", 9, 2), ("a", 10, None), ("b", 3, 8), ("z", 0, None), ("a", -1, None)], key=str)
+    with pytest.raises(ValueError):
+        export.write_graph({}, str(tmp_path), {"other": length})
