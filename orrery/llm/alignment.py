@@ -13,6 +13,7 @@ which tasks count up first and which is broadcast to a second pass over the link
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -29,6 +30,10 @@ from orrery.staging import Stages
 
 #: Bytes of text that one slice holds, beside a longer single text.
 SLICE_BYTES = 1 << 20
+#: Words that are encoded together.
+GROUP = 1000
+#: What makes a word no simple one: other than Latin letters, white space at an end or beside white space.
+_ODD = re.compile(r"[^\x00-\u024f]|^\s|\s$|\s\s")
 #: Different links that a task holds before it gives their counts out.
 HELD_LINKS = 1 << 20
 
@@ -65,7 +70,7 @@ class ByWords:
     encoded whole. At most ``HELD`` words are kept, beside those of one slice of texts.
     """
 
-    LONGEST, HELD = 64, 1 << 17
+    LONGEST, HELD = 64, 1 << 18
 
     def __init__(self, *tokenizers: Tokenizer):
         self.tokenizers = tokenizers
@@ -77,20 +82,29 @@ class ByWords:
         self.first = [np.zeros(1, np.int64) for _ in self.tokenizers]
 
     def _simple(self, word: str) -> bool:
-        spaces = sum(map(str.isspace, word))
-        return 0 < len(word) <= self.LONGEST and max(word) <= "\u024f" and (not spaces or len(word.split()) == spaces + 1)
+        return 0 < len(word) <= self.LONGEST and (word.isascii() and word.isprintable() or not _ODD.search(word))
 
     def _learn(self, words: set[str]) -> None:
-        simple = [w for w in words if self._simple(w)] if all(t.by_words for t in self.tokenizers) else []
-        encoded = [t.encode(simple) for t in self.tokenizers]
-        good = [k for k, w in enumerate(simple) if all(t.gives_back(w, ids[k]) for t, ids in zip(self.tokenizers, encoded, strict=True))]
-        known = len(self.first[0]) - 1
+        """Encode words, many at a time with single spaces between them, and cut the ids where the words end."""
         self.place.update(dict.fromkeys(words, -1))  # what is not learnt sends its text to be encoded whole
-        self.place.update((simple[k], known + n) for n, k in enumerate(good))
-        for n, ids in enumerate(encoded):
-            sizes = np.array([len(ids[k]) for k in good], dtype=np.int64)
-            self.first[n] = np.concatenate([self.first[n], self.first[n][-1] + np.cumsum(sizes)])
-            self.ids[n] = np.concatenate([self.ids[n], *(ids[k] for k in good)]).astype(np.int32)
+        simple = sorted(w for w in words if self._simple(w)) if all(t.by_words for t in self.tokenizers) else []
+        groups = [simple[k : k + GROUP] for k in range(0, len(simple), GROUP)]
+        encoded = [t.encode([" ".join(g) for g in groups]) for t in self.tokenizers]
+        ids, sizes = [[k] for k in self.ids], [[] for _ in self.tokenizers]
+        for group, *found in zip(groups, *encoded, strict=True):
+            bounds = np.cumsum([1 + len(w.encode()) for w in group])
+            ends = [np.cumsum(t.lengths[x]) for t, x in zip(self.tokenizers, found, strict=True)]
+            last = [np.searchsorted(e, bounds) for e in ends]
+            cut = all(k[-1] < len(e) and (e[k] == bounds).all() for e, k in zip(ends, last, strict=True))
+            if not cut or not all(t.gives_back(" ".join(group), x) for t, x in zip(self.tokenizers, found, strict=True)):
+                continue
+            known = len(self.first[0]) - 1 + sum(map(len, sizes[0]))
+            self.place.update(zip(group, range(known, known + len(group)), strict=True))
+            for n, (x, k) in enumerate(zip(found, last, strict=True)):
+                ids[n].append(x)
+                sizes[n].append(np.diff(k, prepend=-1))
+        self.ids = [np.concatenate(x).astype(np.int32) for x in ids]
+        self.first = [np.concatenate([f, f[-1] + np.cumsum(np.concatenate([f[:0], *n]))]) for f, n in zip(self.first, sizes, strict=True)]
 
     def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each tokenizer the ids of each text; none where the text is empty or one of them does not give it back."""

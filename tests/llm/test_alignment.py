@@ -131,3 +131,18 @@ def test_counts_are_given_out_in_parts(docs, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE_BYTES", 64)
     monkeypatch.setattr(alignment, "HELD_LINKS", 8)
     test_against_brute_force(docs, monkeypatch)
+
+
+def test_words_encode_as_in_their_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "GROUP", 3)
+    monkeypatch.setattr(alignment.ByWords, "HELD", 40)
+    a, b = alignment.byte_level(A), alignment.pieces(B)
+    pair = alignment.ByWords(a, b)
+    rng = random.Random(1)
+    texts = [t for _, t in awkward() if t and len(t) < 9000] + ["".join(rng.choices("ab c\n\t1'sé.,! \xa0\u3000日<|>▁", k=rng.randrange(1, 40))) for _ in range(600)]
+    for at in range(0, len(texts), 20):
+        part = texts[at : at + 20]
+        for text, *found in zip(part, *pair.encode(part), strict=True):
+            whole = [t.encode([text])[0] for t in (a, b)]
+            kept = all(t.gives_back(text, ids) for t, ids in zip((a, b), whole, strict=True))
+            assert [x.tolist() for x in found] == [x.tolist() if kept else [] for x in whole]
