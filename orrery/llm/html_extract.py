@@ -5,7 +5,8 @@ A line's ratio of characters to tags, smoothed by a Gaussian along the page, and
 it cluster lines into content and the rest. The regions that hold the content lines are the
 text, their short lines too: the page's outermost articles where no content lies outside them,
 else the innermost element that holds all content lines. Runs of links below the threshold are
-menus and go. Elements that by tag or role are navigation and the like never become lines. A class
+menus and go, inside an article only if they read like labels. A form goes if it asks for something and is not around
+the text itself. Elements that by tag or role are navigation and the like never become lines. A class
 or id is evidence only: outside an article it removes an element if it says nothing else or if
 the ratio rejects the element too, inside one only if both speak against it.
 """
@@ -31,7 +32,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 NEVER = frozenset(
-    "head title script style noscript template nav aside footer form button select option textarea input label datalist iframe object "
+    "head title script style noscript template nav aside footer button select option textarea input datalist iframe object "
     "embed applet svg canvas audio video menu dialog map".split()
 )
 #: A block start closes an open element of these kinds, as in the HTML standard's optional end tags.
@@ -42,6 +43,9 @@ CLOSES = {
 CLOSES_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend", "body", "html"}
 #: Where the search for an element to close by rule ends.
 BARRIER = frozenset("ul ol dl table article section main div body".split())
+#: What a form asks with; hidden fields ask nothing.
+FIELDS = frozenset("input select textarea button".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner banners cookie cookies consent gdpr notice notices "
@@ -55,6 +59,15 @@ PLAIN = frozenset(
     "button buttons panel group holder module region icon icons form area zone message popover js id the and".split()
 )
 HEADERS = frozenset({"header", "masthead"})
+#: Names that inside an article, too, are of nothing that belongs to its text.
+STRANGERS = frozenset(
+    "ad ads adsense advert adverts advertisement sponsor sponsored promo cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
+    "sidebar share sharing social breadcrumb breadcrumbs pagination pager login".split()
+)
+#: Words that a name may end in without a hyphen: ``adbox``, ``navwrap``.
+JOINED = re.compile(r"(box|bar|wrap|wrapper|container|block|slot|unit|panel|banner)$")
+#: The last line of a page that says whose it is.
+COPYRIGHT = re.compile(r"(©|\(c\)|copyright\b|all rights reserved).{0,200}$", re.IGNORECASE | re.DOTALL)
 #: Texts by readers, which no ratio tells from the article's.
 READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
 HOLDERS = frozenset("article main section div td body".split())
@@ -70,6 +83,8 @@ class Line:
     holder: int  # the innermost open holder, -1 for none
     doubt: int = -1  # the innermost open element that a name speaks against
     linked: bool = False  # all of its text is in links
+    form: int = -1  # the open form
+    title: bool = False  # in an h1
 
 
 @dataclass
@@ -98,13 +113,15 @@ class LineParser(HTMLParser):
         self.holders: list[int] = []  # parent of each holder
         self.top: list[int] = []  # the outermost article or main element around each holder, -1 for none
         self.doubts: list[int] = []  # parent of each doubtful element
+        self.forms: list[list] = []  # of each form, whether it asks for something, and whether it holds a heading or an article
+        self.form = -1
 
     def _break(self) -> None:
         text = _SPACE.sub(" ", "".join(self.chunks)).strip()
         if text:
             last = self.stack[-1] if self.stack else None
             linked = self.letters > 0 and self.letters == self.link_letters
-            self.lines.append(Line(text, self.tags, last.holder if last else -1, last.doubt if last else -1, linked))
+            self.lines.append(Line(text, self.tags, last.holder if last else -1, last.doubt if last else -1, linked, self.form, self.open["h1"] > 0))
             self.tags = 0
         self.chunks, self.letters, self.link_letters = [], 0, 0
 
@@ -113,7 +130,7 @@ class LineParser(HTMLParser):
 
     def _unwanted(self, tag: str, attrs: dict[str, str]) -> bool | None:
         """Whether the element goes; None where the ratio has to say."""
-        if tag in NEVER:
+        if tag in NEVER or (tag in ("label", "legend") and self.form >= 0):
             return True
         if tag in ("html", "body", "main"):
             return False
@@ -129,10 +146,10 @@ class LineParser(HTMLParser):
             return bool({"comment", "comments", "ad", "advert", "promo"} & set(names.split()))
         sure = unsure = False
         for token in names.split():
-            words = set(_WORD.findall(token))
+            words = {part for word in _WORD.findall(token) for part in _parts(word)}
             named = words & NAMES - (HEADERS if inside else frozenset())
             if named and words <= NAMES | PLAIN:
-                if not inside or named & READERS:
+                if not self.open["article"] or named & (READERS | STRANGERS):
                     return True
                 sure = True
             unsure = unsure or bool(named)
@@ -146,6 +163,8 @@ class LineParser(HTMLParser):
         for e in self.stack[k:]:
             self.open[e.tag] -= 1
         del self.stack[k:]
+        if not self.open["form"]:
+            self.form = -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -166,10 +185,17 @@ class LineParser(HTMLParser):
                     break
         if tag in BLOCKS:
             self._break()
+        if self.form >= 0 and not self._skipping():
+            if tag in FIELDS and dict(attrs).get("type", "").lower() != "hidden":
+                self.forms[self.form][0] = True
+            self.forms[self.form][1] |= tag in HEADINGS or tag in ("article", "main")
         if tag in VOID:
             return
         unwanted = self._skipping() or self._unwanted(tag, {k: v or "" for k, v in attrs})
         skipped = bool(unwanted)
+        if tag == "form" and not skipped and self.form < 0:
+            self.forms.append([False, False])
+            self.form = len(self.forms) - 1
         holder, doubt = (self.stack[-1].holder, self.stack[-1].doubt) if self.stack else (-1, -1)
         if unwanted is None:
             self.doubts.append(doubt)
@@ -210,10 +236,34 @@ class LineParser(HTMLParser):
             self.link_letters += letters if self.open["a"] else 0
 
     def finish(self) -> None:
+        """End the page. A tag that nothing closes up to there is no text, as browsers have it; it is not looked into
+        again for tags inside, each of which would be sought to the end."""
+        if self.rawdata.startswith("<") and self.rawdata[1:2] in _OPENS:
+            self.rawdata = ""
         self.close()
         self._break()
 
 
+#: What makes of a ``<`` the start of a tag, comment or declaration.
+_OPENS = frozenset("!?/abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _parts(word: str) -> list[str]:
+    """A name's words; ``adbox`` is an ad and a box."""
+    end = JOINED.search(word)
+    return [word[: end.start()], end.group()] if end and word not in NAMES and word[: end.start()] in NAMES else [word]
+
+
+def without_forms(lines: list[Line], forms: list[list]) -> list[Line]:
+    """Without the lines of forms that ask for something, unless such a form holds a heading, an article or most of the page."""
+    size = Counter()
+    for line in lines:
+        size[line.form] += len(line.text)
+    whole = sum(size.values())
+    gone = {k for k, (asks, holds) in enumerate(forms) if asks and not holds and 2 * size[k] <= whole}
+    return [line for line in lines if line.form not in gone]
+
+
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian smoothing, normalised at the ends."""
     radius = max(1, int(np.ceil(2 * sigma)))
@@ -260,14 +310,17 @@ def content_lines(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
     return content if content.any() else np.ones(len(lines), bool), ratios >= threshold
 
 
-def without_menus(lines: list[Line], content: np.ndarray) -> list[bool]:
-    """Which lines are no part of a menu: a run of three or more lines that are links and nothing else, none of them content by itself."""
+def without_menus(lines: list[Line], content: np.ndarray, inside: list[bool]) -> list[bool]:
+    """Which lines are no part of a menu: a run of three or more lines that are links and nothing else, none of them content
+    by itself. ``inside`` an article a list of links may be its sources, and is a menu only if its links are
+    labels of two words at most."""
     keep, at = [True] * len(lines), 0
     while at < len(lines):
         end = at
         while end < len(lines) and lines[end].linked and not content[end]:
             end += 1
-        if end - at >= 3:
+        labels = all(len(line.text.split()) <= 2 for line in lines[at:end])
+        if end - at >= 3 and (labels or not all(inside[at:end])):
             keep[at:end] = [False] * (end - at)
         at = max(end, at + 1)
     return keep
@@ -278,16 +331,22 @@ def main_lines(parser: LineParser) -> list[Line]:
 
     Lines whose smoothed ratio reaches the threshold are content. Where none of them lies outside
     the page's outermost articles and main elements, all of those are the text. Else it is the
-    innermost element that holds all content lines. Menus inside are left out.
+    innermost element that holds all content lines. Menus inside are left out. An ``h1`` before articles that have
+    none is their title; a last line of copyright outside of them is the page's.
     """
-    lines = sure_lines(parser.lines, parser.doubts)
+    lines = sure_lines(without_forms(parser.lines, parser.forms), parser.doubts)
+    while lines and COPYRIGHT.match(lines[-1].text) and (lines[-1].holder < 0 or parser.top[lines[-1].holder] < 0):
+        lines = lines[:-1]
     if not lines:
         return []
     content, alone = content_lines(lines)
     top = [parser.top[line.holder] if line.holder >= 0 else -1 for line in lines]
-    keep = without_menus(lines, alone)
+    keep = without_menus(lines, alone, [t >= 0 for t in top])
     if all(t >= 0 for t, c in zip(top, content, strict=True) if c):
         chosen = [t >= 0 for t in top]
+        titles = [k for k, line in enumerate(lines) if line.title]
+        if len(titles) == 1 and titles[0] < chosen.index(True):
+            chosen[titles[0]] = True
     else:
         around = _common(parser.holders, [line.holder for line, c in zip(lines, content, strict=True) if c])
         within = [k == around for k in range(len(parser.holders))]

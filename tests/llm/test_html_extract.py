@@ -135,3 +135,43 @@ def test_deep_pages_take_time_in_proportion():
 def test_broken_pages_do_not_fail():
     for html in ("<", "<p", "<!-- open", "<a b='", "</div></p>", "&#xffffffff;", "<script>", "<![CDATA[x]]>", "<table><p></td>", "\x00<p>a", "<p>" * 3000 + "deep"):
         assert isinstance(hx.extract(html), str)
+
+
+PROSE = "Readers who came here once may well come again, since prose like this is found on many pages. " * 3
+CONTRACT = {
+    f"<body><form action='/p.aspx'><input type='hidden' name='__VIEWSTATE' value='x'><h1>T</h1><p>{LONG}</p></form></body>": "T " + LONG,
+    f"<body><form method=post><input type=text name=q><button>Go</button><div><p>{LONG * 3}</p></div></form></body>": LONG * 3,
+    f"<body><form><p>{LONG}</p></form></body>": LONG,
+    f"<body><article><h1>T</h1><p>{LONG * 4}</p></article><form><label>Your mail</label><input name=mail><p>Write to us about it.</p></form></body>": "T " + LONG * 4,
+    f"<main><p>{LONG * 4}</p><div class='sidebar'><p>{PROSE}</p></div></main>": LONG * 4,
+    f"<main><p>{LONG * 4}</p><div class='cookie-notice'><p>{PROSE}</p></div><p>End.</p></main>": LONG * 4 + "End.",
+    f"<article><p>{LONG * 4}</p><div class='newsletter'><p>{PROSE}</p></div><p>End.</p></article>": LONG * 4 + "End.",
+    f"<body><div class='adbox'><p>{PROSE}</p></div><article><p>{LONG * 4}</p></article></body>": LONG * 4,
+    f"<body><div><p>{LONG * 4}</p><p>{LONG}</p></div><div>Copyright 2020 by the people of this place, all rights reserved.</div></body>": LONG * 5,
+    f"<article><p>{LONG * 4}</p><ul><li><a>A history of the old town</a><li><a>What the survey of 1901 found</a><li><a>Maps and other sources</a></ul></article>": LONG * 4 + "A history of the old town What the survey of 1901 found Maps and other sources",
+    f"<body><header>Site</header><h1>Of the town</h1><article><p>{LONG * 4}</p></article></body>": "Of the town " + LONG * 4,
+    f"<body><h1>Site</h1><article><h1>Of the town</h1><p>{LONG * 4}</p></article></body>": "Of the town " + LONG * 4,
+    f"<article><p>{LONG * 4}</p><p class='shareholder'>It is held by many.</p><p id='address'>Old Road 1.</p></article>": LONG * 4 + "It is held by many. Old Road 1.",
+    f"<label>Name</label> of it<p>{LONG}</p>": "Name of it " + LONG,
+    f"<article><p>{LONG * 2}</p><p>Copyright was first given in 1710.</p></article>": LONG * 2 + "Copyright was first given in 1710.",
+}
+
+
+@pytest.mark.parametrize("html", CONTRACT)
+def test_what_belongs_to_the_text(html):
+    assert hx.extract(html) == CONTRACT[html].strip()
+
+
+@pytest.mark.parametrize("junk", ["<a ", '<a b="', "<a b='", "<!", "</", "<!--", "<?", "<a b=", "<a\n", "<script>", "&"])
+@pytest.mark.parametrize("tail", ["", ">"])
+def test_a_megabyte_of_broken_tags(junk, tail):
+    began = time.perf_counter()
+    text = hx.extract("<p>text</p>" + junk * (1_000_000 // len(junk)) + tail)
+    assert time.perf_counter() - began < 8 and text.startswith("text")
+
+
+def test_what_is_open_at_the_end():
+    assert hx.extract("<p>one</p><p>a < b &lt") == "one a < b <"
+    assert hx.extract("<p>one</p> two <a href='x") == "one two"
+    assert hx.extract("<p>one</p> two <") == "one two <"
+    assert hx.extract("<p>one</p><!-- two") == "one"
