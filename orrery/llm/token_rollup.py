@@ -3,14 +3,15 @@
 Totals by source, language and tokenizer version are sums of signed deltas: an insert adds a
 document and its tokens, a delete takes them back, a revision does both. Batches of deltas are
 committed once: a batch's rows are reduced to one per key, written to a folder of their own, and
-become visible by a marker that is written last; committing a batch again changes nothing. A
-commit also folds what is new into a compacted total, so reading totals does not depend on how
-many batches there have been.
+become visible by a marker that is written last; committing a batch again changes nothing. Every few
+batches a commit also folds what is new into a compacted total, so that reading totals means reading one of these
+and a bounded number of batches. Nothing that a reader may still name is deleted but by :meth:`RollupStore.vacuum`.
 """
 
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -49,19 +50,24 @@ def reduced(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
+#: Batches that no compacted total has, from which on a commit folds them into a new one.
+FOLD_FROM = 4
+
+
 class RollupStore:
     """Committed batches in one folder of a file system that all executors share.
 
-    ``deltas/<batch>/<attempt>`` hold rows, ``commits/<batch>/<attempt>`` are the markers, and
+    ``deltas/<batch>/<attempt>`` hold rows, ``commits/<batch>~<attempt>`` are the markers, and
     ``totals/<number>-<attempt>`` are compacted totals with the names of the batches in them. No file
     is ever written twice, so writers need no lock: of several attempts at one batch, which all
     have the same deltas, one counts, and of several compacted totals any is right with the
     batches that it does not name. A run that stopped half-way left files without a marker, which
-    nobody reads.
+    nobody reads. A commit or a read lists two folders and reads one list of names, however many
+    batches there have been; the list of markers is as long as what :meth:`vacuum` has left.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, fold_from: int = FOLD_FROM):
+        self.spark, self.path, self.fold_from = spark, path.rstrip("/"), fold_from
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -69,9 +75,11 @@ class RollupStore:
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self._conf), path
 
-    def _names(self, folder: str) -> list[str]:
+    def _names(self, folder: str) -> dict[str, int]:
+        """Names in a folder, in order, with the time of their last change in milliseconds."""
         fs, path = self._at(folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        found = fs.listStatus(path) if fs.exists(path) else []
+        return dict(sorted((s.getPath().getName(), s.getModificationTime()) for s in found))
 
     def _put(self, name: str, text: str = "") -> None:
         fs, path = self._at(name)
@@ -79,20 +87,30 @@ class RollupStore:
         out.write(text.encode())
         out.close()
 
+    def _drop(self, name: str) -> None:
+        fs, path = self._at(name)
+        fs.delete(path, True)
+
+    def _marked(self) -> dict[str, str]:
+        """Batches with a marker, and the attempt of each that counts, the least."""
+        return {batch: attempt for batch, attempt in sorted((tuple(n.split("~")) for n in self._names("commits")), reverse=True)}
+
     def batches(self) -> list[str]:
         """Committed batches, least name first."""
-        return [batch for batch in self._names("commits") if self._names(f"commits/{batch}")]
+        return sorted(self._latest()[1].union(self._marked()))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Apply a batch once. False if it was committed before, in which case nothing is read."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch):
             raise ValueError(f"a batch is named by letters, digits, '.', '_' and '-', not {batch!r}")
-        if self._names(f"commits/{batch}"):
+        marked, (_, inside) = self._marked(), self._latest()  # in this order: what is no longer marked is inside
+        if batch in marked or batch in inside:
             return False
         attempt = uuid.uuid4().hex
         reduced(deltas).write.parquet(f"{self.path}/deltas/{batch}/{attempt}")
-        self._put(f"commits/{batch}/{attempt}")
-        self.compact()
+        self._put(f"commits/{batch}~{attempt}")
+        if len(marked.keys() - inside) + 1 >= self.fold_from:
+            self.compact()
         return True
 
     def _latest(self) -> tuple[str | None, set[str]]:
@@ -109,16 +127,16 @@ class RollupStore:
         return None, set()
 
     def _sums(self) -> tuple[DataFrame, str | None, set[str], list[str]]:
-        name, inside = self._latest()
-        fresh = [batch for batch in self.batches() if batch not in inside]
-        paths = [f"{self.path}/deltas/{batch}/{self._names(f'commits/{batch}')[0]}" for batch in fresh]
+        marked, (name, inside) = self._marked(), self._latest()
+        fresh = sorted(marked.keys() - inside)
+        paths = [f"{self.path}/deltas/{batch}/{marked[batch]}" for batch in fresh]
         paths += [f"{self.path}/totals/{name}/rows"] if name else []
         schema = "source string, lang string, tokenizer string, docs long, tokens long"
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return reduced(rows), name, inside, fresh
 
     def compact(self) -> None:
-        """Fold the batches that no compacted total has into a new one, and drop those before the last two."""
+        """Fold the batches that no compacted total has into a new one. Nothing is deleted: readers may name what is old."""
         sums, name, inside, fresh = self._sums()
         if not fresh:
             return
@@ -127,13 +145,26 @@ class RollupStore:
         sums.where("docs <> 0 or tokens <> 0").write.parquet(f"{self.path}/{folder}/rows")
         self._put(f"{folder}/batches.txt", "\n".join(sorted(inside.union(fresh))))
         self._put(f"{folder}/_DONE")
-        for old in self._names("totals"):
-            if int(old.split("-")[0]) < number - 1:
-                fs, path = self._at(f"totals/{old}")
-                fs.delete(path, True)
+
+    def vacuum(self, older_than_s: float = 7 * 24 * 3600.0) -> int:
+        """Delete what the newest whole total makes needless, if that total is at least so old; the number of things deleted.
+
+        These are totals before it, and markers and rows of batches in it. The age has to exceed the
+        longest time that a reader keeps a result of :meth:`totals`, or a writer takes for a commit.
+        """
+        name, inside = self._latest()
+        totals = self._names("totals")
+        if name is None or totals[name] > (time.time() - older_than_s) * 1000:
+            return 0
+        gone = [f"totals/{old}" for old in totals if old < name]
+        gone += [f"commits/{marker}" for marker in self._names("commits") if marker.split("~")[0] in inside]
+        gone += [f"deltas/{batch}" for batch in self._names("deltas") if batch in inside]
+        for item in gone:
+            self._drop(item)
+        return len(gone)
 
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens over all committed batches.
+        """source, lang, tokenizer, n_docs, n_tokens over all batches committed so far; later commits do not change it.
 
         Null sources and languages are keys of their own. A key whose documents are all gone, with
         no tokens left, has no row.

@@ -98,7 +98,7 @@ def test_commits_fold_into_a_total_and_writers_do_not_disturb_each_other(spark):
     # Two attempts at one batch, and a total that another writer wrote at the same time without it.
     for attempt in ("x", "y"):
         tr.reduced(row(5)).write.parquet(f"{store.path}/deltas/c/{attempt}")
-        store._put(f"commits/c/{attempt}")
+        store._put(f"commits/c~{attempt}")
     assert totals(store) == {("a", "en", "v1"): (5, 1116)} and not store.commit("c", row(5))
     name = store._latest()[0]
     store.compact()
@@ -110,3 +110,58 @@ def test_commits_fold_into_a_total_and_writers_do_not_disturb_each_other(spark):
     # One that is not whole is not read.
     store._put("totals/999999999999-half/batches.txt", "b0")
     assert totals(store) == {("a", "en", "v1"): (5, 1116)}
+
+
+def _row(spark, n):
+    return tr.signed(spark.createDataFrame([("a", "en", "v1", n)], SCHEMA), 1)
+
+
+def test_a_reader_outlives_later_commits(spark):
+    store = tr.RollupStore(spark, store_of(spark).path, fold_from=1)
+    store.commit("b0", _row(spark, 1))
+    held = store.totals()
+    for k in range(1, 4):
+        store.commit(f"b{k}", _row(spark, 10**k))
+    assert [tuple(r) for r in held.collect()] == [("a", "en", "v1", 1, 1)]
+    assert totals(store) == {("a", "en", "v1"): (4, 1111)}
+
+
+def test_vacuum_keeps_totals_and_names(spark):
+    store = tr.RollupStore(spark, store_of(spark).path, fold_from=2)
+    for k in range(5):
+        store.commit(f"b{k}", _row(spark, 10**k))
+    assert store.vacuum() == 0 and len(store._names("totals")) == 2  # nothing is old enough
+    assert store.vacuum(older_than_s=-60) > 0
+    assert list(store._names("commits"))[0].startswith("b4~") and list(store._names("deltas")) == ["b4"] and len(store._names("totals")) == 1
+    assert totals(store) == {("a", "en", "v1"): (5, 11111)} and store.batches() == [f"b{k}" for k in range(5)]
+    assert not store.commit("b1", _row(spark, 7)) and not store.commit("b4", _row(spark, 7))
+    assert store.commit("b5", _row(spark, 100000)) and totals(store) == {("a", "en", "v1"): (6, 111111)}
+
+
+def test_listings_do_not_grow_with_batches(spark, monkeypatch):
+    store = store_of(spark)
+    store.commit("seed", _row(spark, 1))
+    store.compact()
+    name = store._latest()[0]
+    fs, listed = store._at(f"totals/{name}/batches.txt")
+    fs.delete(listed, False)
+    store._put(f"totals/{name}/batches.txt", "\n".join(["seed", *(f"old{k:04d}" for k in range(1000))]))
+    for k in range(1000):
+        store._put(f"commits/old{k:04d}~x")
+    seen = []
+    names = tr.RollupStore._names
+    monkeypatch.setattr(tr.RollupStore, "_names", lambda self, folder: seen.append(folder) or names(self, folder))
+    assert store.commit("new", _row(spark, 2)) and len(seen) <= 2
+    assert totals(store) == {("a", "en", "v1"): (2, 3)} and len(seen) <= 4
+    assert not store.commit("old0500", _row(spark, 2))
+
+
+def test_two_writers_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = store_of(spark).path
+    stores = [tr.RollupStore(spark, path, fold_from=2) for _ in range(2)]
+    jobs = [(stores[k % 2], f"b{k % 6}", 10 ** (k % 6)) for k in range(12)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda job: job[0].commit(job[1], _row(spark, job[2])), jobs))
+    assert totals(stores[0]) == totals(stores[1]) == {("a", "en", "v1"): (6, 111111)}
