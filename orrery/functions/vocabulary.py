@@ -38,14 +38,15 @@ def size_group(name: str) -> str:
     return "very small"
 
 
+def limits() -> list[tuple[int, str, int | None, int | None]]:
+    """class, name, erode, min_faces of the usable classes, background (0) included without limits."""
+    known = [(k, n) for k, n in enumerate(COCO) if n not in NOT_INDOOR]
+    return [(k, n, *(SIZE_GROUPS[size_group(n)] if k else (None, None))) for k, n in known]
+
+
 def classes(spark: SparkSession) -> DataFrame:
-    """class, name, erode, min_faces: the usable classes, background (0) included without limits."""
-    rows = []
-    for class_id, name in enumerate(COCO):
-        if name not in NOT_INDOOR:
-            erode, least = (None, None) if class_id == 0 else SIZE_GROUPS[size_group(name)]
-            rows.append((class_id, name, erode, least))
-    return spark.createDataFrame(rows, "class int, name string, erode int, min_faces int")
+    """:func:`limits` as a table."""
+    return spark.createDataFrame(limits(), "class int, name string, erode int, min_faces int")
 
 
 def indoor(rows: DataFrame, column: str = "class") -> DataFrame:

@@ -49,7 +49,7 @@ def voxel_index(point: g.Vector, low: g.Vector, res: g.Vector, size: float) -> t
 
 def voxel_occupancy(points: DataFrame, grid: DataFrame, grid_keys: list[str], keys: list[str], size: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """The distinct voxels (keys..., idx) that hold a point. ``grid_keys`` name the grid of a point."""
-    rows = points.join(F.broadcast(grid), grid_keys) if grid_keys else points.crossJoin(F.broadcast(grid))
+    rows = points.join(grid, grid_keys) if grid_keys else points.crossJoin(F.broadcast(grid))  # one grid without keys
     idx, inside = voxel_index(g.vector(*axes), tuple(F.col(f"grid_{a}") for a in axes), tuple(F.col(f"res_{a}") for a in axes), size)
     return rows.where(inside).select(*keys, idx.alias("idx")).distinct()
 
@@ -99,7 +99,7 @@ def large_enough(rows: DataFrame, keys: list[str], class_column: str, limits: Da
     """Groups with more rows than the least number of their class (0 where it has none)."""
     counts = rows.groupBy(*keys, class_column).agg(F.count("*").alias("n"))
     least = limits.select(F.col("class").alias(class_column), "min_faces")
-    return counts.join(F.broadcast(least), class_column, "left").where(F.col("n") > F.coalesce("min_faces", F.lit(0))).drop("min_faces")
+    return counts.join(least, class_column, "left").where(F.col("n") > F.coalesce("min_faces", F.lit(0))).drop("min_faces")
 
 
 def children(rows: DataFrame, parent: str, name: str) -> DataFrame:

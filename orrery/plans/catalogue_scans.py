@@ -1,15 +1,16 @@
-"""Queries over files that tasks write and read back, dense arrays, and whole plans."""
+"""Queries over files that tasks write and read back, dense arrays, and whole plans."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.operators import raster
-from orrery.plans import pano
+from orrery.functions import vocabulary
+from orrery.operators import aggregate, raster
+from orrery.plans import fusion, layers, pano
 from orrery.plans.catalogue import P, _points, _raster, _read, _round, query
 from orrery.plans.catalogue_more import DETECTED, _detections, _folder
 from orrery.sources import dense, export, image_sink, mesh, png, readers
@@ -155,3 +156,92 @@ def superpixel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.expr("p_partkey div 50 div 8") * 40 % 256).alias("red"), (F.expr("p_partkey % 50 div 10") * 50).alias("green"), (F.col("p_size") % 3).alias("blue"),
     )
     return raster.superpixels(pixels, "pano", min_size=20)
+
+
+LIMITS = ", ".join(f"({k}, '{n}', {m})" for k, n, _, m in vocabulary.limits() if k)
+#: Two classes whose objects need more than 50 faces, and one whose need more.
+LOW, LOW_TOO, HIGH = (next(k for k, *_, m in vocabulary.limits() if k > least and m == limit) for least, limit in ((0, 50), (70, 50), (0, 400)))
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT p_partkey // 2 AS face_id, p_partkey % 2 AS pano FROM part),
+v AS (SELECT face_id // 60 % 5 AS building, face_id, pano, 1 + (face_id + 6 * pano) // 12 AS inst, [{LOW}, {LOW_TOO}, {HIGH}][1 + face_id // 60 % 3] AS class FROM k WHERE pano = 0 OR face_id % 60 < 50),
+node AS (SELECT DISTINCT building, pano, inst, building || '/' || pano || '/' || inst AS node FROM v), w AS (SELECT v.*, node FROM v JOIN node USING (building, pano, inst)),
+e AS (SELECT DISTINCT a.node AS a, b.node AS b FROM w a JOIN w b USING (building, face_id, class)),
+reach AS (SELECT DISTINCT node AS a, node AS b FROM w UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b), comp AS (SELECT a AS node, min(b) AS comp FROM reach GROUP BY a),
+ext AS (SELECT building, class, comp, node, face_id FROM w JOIN comp USING (node)), n AS (SELECT building, class, comp, count(DISTINCT face_id) AS n, count(DISTINCT node) AS nodes FROM ext GROUP BY ALL),
+lim AS (SELECT * FROM (VALUES {LIMITS}) l(class, name, least)),
+kept AS (SELECT n.building, n.class, comp FROM n JOIN (SELECT building, class, sum(nodes) AS total FROM n GROUP BY ALL) t USING (building, class) LEFT JOIN lim USING (class) WHERE n > coalesce(least, 0) OR total = 1)
+SELECT building, face_id, class, min(face_id) OVER (PARTITION BY building, class, comp) AS first FROM (SELECT DISTINCT building, class, comp, face_id FROM ext) JOIN kept USING (building, class, comp)""")
+def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances of two views of each face that meet become objects; an object is named by its first face."""
+    k = _read(spark, sf_dir, "part").select(F.expr("p_partkey div 2").alias("face_id"), (F.col("p_partkey") % 2).alias("pano")).where("pano = 0 or face_id % 60 < 50")
+    kinds = F.array(*[F.lit(c) for c in (LOW, LOW_TOO, HIGH)])
+    votes = k.select(F.expr("face_id div 60 % 5").alias("building"), "face_id", "pano", (F.expr("(face_id + 6 * pano) div 12") + 1).alias("inst"), F.get(kinds, F.expr("face_id div 60 % 3")).alias("class"))
+    classes = votes.select("building", "face_id", "class").distinct()
+    middles = classes.select("building", "face_id", *[F.col("face_id").cast("double").alias(a) for a in "xyz"])
+    found = fusion.discover(votes, votes, classes, middles)
+    return found.select("building", "face_id", "class", F.min("face_id").over(Window.partitionBy("building", "inst")).alias("first"))
+
+
+@query("""WITH RECURSIVE k AS (SELECT p_partkey % 3 AS kind, p_partkey // 3 AS px, p_partkey % 11 = 0 AS other FROM part),
+h AS (SELECT px // 100 % 4 AS pano, px // 50 AS r, px % 50 AS c, kind * 100000 + (px + 6 * kind) // 18 AS instance_id, 57 + (px // 90 + CASE WHEN other THEN 1 ELSE 0 END) % 2 AS class FROM k WHERE kind = 0 OR px % 90 < 80),
+grid AS (SELECT DISTINCT px // 100 % 4 AS pano, px // 50 AS r, px % 50 AS c, 57 + px // 90 % 2 AS class FROM k), own AS (SELECT DISTINCT pano, class, instance_id, r, c FROM h SEMI JOIN grid USING (pano, class, r, c)),
+node AS (SELECT *, pano || '/' || instance_id AS node FROM own), e AS (SELECT DISTINCT a.node AS a, b.node AS b FROM node a JOIN node b USING (pano, class, r, c)),
+reach AS (SELECT DISTINCT node AS a, node AS b FROM node UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b), comp AS (SELECT a AS node, min(b) AS comp FROM reach GROUP BY a)
+SELECT DISTINCT pano, r, c, class, min(r * 50 + c) OVER (PARTITION BY pano, class, comp) AS first FROM node JOIN comp USING (node)""")
+def pano_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances of each panorama that share pixels of their class become objects, named by their first pixel; hits of a class
+    that the pixel does not have take no part."""
+    k = _read(spark, sf_dir, "part").select((F.col("p_partkey") % 3).alias("kind"), F.expr("p_partkey div 3").alias("px"), (F.col("p_partkey") % 11 == 0).cast("int").alias("other"))
+    place = [F.expr("px div 100 % 4").alias("pano"), F.expr("px div 50").alias("r"), (F.col("px") % 50).alias("c")]
+    hits = k.where("kind = 0 or px % 90 < 80").select(*place, F.expr("kind * 100000 + (px + 6 * kind) div 18").alias("instance_id"), F.expr("57 + (px div 90 + other) % 2").alias("class"))
+    pixels = k.select(*place, F.expr("57 + px div 90 % 2").alias("class")).distinct()
+    found = pano.cluster(hits, pixels, pano.PanoOptions(width=50, stride=1, erosion=False))
+    return found.select("pano", "r", "c", "class", F.min(F.col("r") * 50 + F.col("c")).over(Window.partitionBy("pano", "inst")).alias("first"))
+
+
+LAYERED = f"""{P}, q AS (SELECT CAST(label % 2 AS BIGINT) AS building, vec_id AS face_id, CAST(label // 2 AS BIGINT) AS room, x, y, z FROM p),
+b AS (SELECT building, min(x) AS ax, max(x) - min(x) AS sx, min(y) AS ay, max(y) - min(y) AS sy, min(z) AS az, max(z) - min(z) AS sz FROM q GROUP BY building),
+grid AS (SELECT building, CAST(ceil(sx / 0.1) AS BIGINT) AS rx, CAST(ceil(sy / 0.1) AS BIGINT) AS ry, CAST(ceil(sz / 0.1) AS BIGINT) AS rz,
+  ax + sx / 2 - ceil(sx / 0.1) * 0.1 / 2 AS gx, ay + sy / 2 - ceil(sy / 0.1) * 0.1 / 2 AS gy, az + sz / 2 - ceil(sz / 0.1) * 0.1 / 2 AS gz FROM b),
+c AS (SELECT q.*, floor((x - gx) / 0.1) AS i, floor((y - gy) / 0.1) AS j, floor((z - gz) / 0.1) AS k, rx, ry, rz FROM q JOIN grid USING (building))"""
+
+
+def _faces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A point for each face of two buildings, with the room it lies in; and the buildings' voxel grids."""
+    points = _points(spark, sf_dir).select((F.col("label") % 2).cast("bigint").alias("building"), F.col("vec_id").alias("face_id"), F.expr("cast(label div 2 as bigint)").alias("room"), "x", "y", "z")
+    return points, aggregate.voxel_grid(points, ["building"], 0.1)
+
+
+@query(f"""WITH {LAYERED}, v AS (SELECT building, room, count(DISTINCT (i * ry + j) * rz + k) AS n_voxels FROM c WHERE i >= 0 AND j >= 0 AND k >= 0 AND i < rx AND j < ry AND k < rz GROUP BY ALL)
+SELECT building, room, row_number() OVER (PARTITION BY building ORDER BY room) AS id, building AS parent_building, round(min(x) + (max(x) - min(x)) / 2, 6) + 0.0 AS location_x, round(max(z) - min(z), 6) AS size_z,
+  count(*) AS n_faces, any_value(n_voxels) AS n_voxels, CASE WHEN room % 2 = 0 THEN 'kitchen' END AS scene_category FROM q JOIN v USING (building, room) GROUP BY building, room""")
+def room_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms of two buildings: extents, voxels, faces and the category of those that have a name."""
+    points, grids = _faces(spark, sf_dir)
+    names = points.where("room % 2 = 0").select("building", "room", F.lit("kitchen").alias("scene_category"), F.lit("0").alias("floor_number")).distinct()
+    out = layers.room_layer(points.select("building", "room", "face_id"), names, points.drop("room"), grids)
+    return out.select("building", "room", "id", "parent_building", _round(F.col("location")[0]).alias("location_x"), _round(F.col("size")[2]).alias("size_z"), F.size("face_ids").cast("bigint").alias("n_faces"), F.size("voxel_occupancy").cast("bigint").alias("n_voxels"), "scene_category")
+
+
+@query(f"""WITH {LAYERED}, known AS (SELECT * FROM (VALUES {LIMITS}) l(class, name, least)),
+t AS (SELECT a.building, a.face_id, 1 + a.face_id % 9 AS instance, 57 + a.face_id % 9 % 3 AS class, a.face_id % 4 AS room_id, a.x AS ax, a.y AS ay, a.z AS az, a.x + 0.1 AS bx, a.y AS by_, a.z + 0.2 AS bz, a.x AS cx, a.y + 0.3 AS cy, a.z AS cz FROM q a),
+n AS (SELECT building, instance, any_value(class) AS class, count(*) AS n_faces FROM t GROUP BY ALL),
+s AS (SELECT building, instance, sum(sqrt(power((by_ - ay) * (cz - az) - (bz - az) * (cy - ay), 2) + power((bz - az) * (cx - ax) - (bx - ax) * (cz - az), 2) + power((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax), 2)) / 2) AS area FROM t GROUP BY ALL),
+rm AS (SELECT building, instance, room_id FROM (SELECT building, instance, room_id, count(*) AS k FROM t GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY building, instance ORDER BY k DESC, room_id) = 1),
+v AS (SELECT c.building, 1 + c.face_id % 9 AS instance, count(DISTINCT (i * ry + j) * rz + k) AS n_voxels FROM c WHERE i >= 0 AND j >= 0 AND k >= 0 AND i < rx AND j < ry AND k < rz GROUP BY ALL)
+SELECT building, instance, row_number() OVER (PARTITION BY building ORDER BY class, instance) AS id, name AS class_, round(area, 6) AS surface_coverage, room_id AS parent_room, n_faces, n_voxels,
+  CASE WHEN instance % 2 = 0 THEN 'soft' END AS tactile_texture, CASE WHEN class = 57 THEN 'sit' END AS action FROM n JOIN s USING (building, instance) JOIN rm USING (building, instance) JOIN v USING (building, instance) JOIN known USING (class)""")
+def object_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of two buildings with all that is joined to them: class name, area, room, attributes, actions."""
+    points, grids = _faces(spark, sf_dir)
+    inst = (F.col("face_id") % 9 + 1).alias("inst")
+    faces = points.select("building", "face_id", inst, (F.col("face_id") % 9 % 3 + 57).alias("class"))
+    corner = {"ax": 0.0, "ay": 0.0, "az": 0.0, "bx": 0.1, "by": 0.0, "bz": 0.2, "cx": 0.0, "cy": 0.3, "cz": 0.0}
+    cornered = points.select("building", "face_id", *[(F.col(n[1]) + d).alias(n) if d else F.col(n[1]).alias(n) for n, d in corner.items()])
+    rooms = points.select("building", "face_id", (F.col("face_id") % 4).alias("room_id"))
+    extra = faces.select("building", F.col("inst").alias("instance")).distinct().where("instance % 2 = 0").withColumn("class", F.lit("x")).withColumn("tactile_texture", F.lit("soft"))
+    names = vocabulary.classes(spark)
+    actions = names.where("class = 57").select(F.col("name").alias("class"), F.array(F.lit("sit")).alias("actions"))
+    out, _ = layers.object_layer(faces, points.drop("room"), cornered, grids, rooms, extra, actions, names)
+    return out.select("building", "instance", "id", "class_", _round(F.col("surface_coverage")).alias("surface_coverage"), "parent_room", F.size("face_ids").cast("bigint").alias("n_faces"), F.size("voxel_occupancy").cast("bigint").alias("n_voxels"), "tactile_texture", F.col("action_affordance")[0].alias("action"))

@@ -99,7 +99,7 @@ def object_layer(
     # The room with most common faces, per building.
     shared = members.join(rooms.select("building", "face_id", "room_id"), ["building", "face_id"]).groupBy("building", "instance", "room_id").agg(F.count_distinct("face_id").alias("n"))
     room = shared.groupBy("building", "instance").agg(F.max_by("room_id", F.struct(F.col("n"), -F.col("room_id"))).alias("parent_room"))
-    named = ids.join(F.broadcast(names.select("class", F.col("name").alias("class_"))), "class", "left")
+    named = ids.join(names.select("class", F.col("name").alias("class_")), "class", "left")
     acts = actions.select(F.col("class").alias("class_"), F.col("actions").alias("action_affordance"))
     extra = attributes.drop("class")
     out = named.join(spatial, ["building", "instance"]).join(area, ["building", "instance"], "left").join(room, ["building", "instance"], "left")

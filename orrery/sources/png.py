@@ -113,7 +113,7 @@ def coloured(labels: DataFrame, palette: DataFrame, index: str, blend: DataFrame
     """K6/K7: red, green, blue of labelled pixels by palette row; with ``blend`` (keys, red, green, blue)
     half of the picture shows through."""
     colours = palette.select(F.col("idx").alias(index), "r", "g", "b").withColumnsRenamed({"r": "red", "g": "green", "b": "blue"})
-    painted = labels.join(F.broadcast(colours), index)
+    painted = labels.join(colours, index)
     if blend is None:
         return painted
     under = blend.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("red", "green", "blue")])
