@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import geometry as g
 from orrery.functions import vocabulary
 from orrery.operators import aggregate, raster
 from orrery.plans import fusion, layers, pano
@@ -139,12 +140,12 @@ won AS (SELECT pano, r, c, class AS won FROM sc QUALIFY row_number() OVER (PARTI
 kept AS (SELECT pano, instance_id FROM hits LEFT JOIN won USING (pano, r, c) GROUP BY pano, instance_id HAVING avg(CASE WHEN won = class THEN 1.0 ELSE 0.0 END) >= 0.5),
 best AS (SELECT pano, r, c, arg_max(class, instance_id) AS class FROM hits SEMI JOIN kept USING (pano, instance_id) GROUP BY ALL),
 px AS (SELECT won.pano, won.r, won.c, coalesce(best.class, 0) AS class FROM won LEFT JOIN best USING (pano, r, c))
-SELECT px.pano, px.r, px.c, CAST(px.class AS INTEGER) AS class, round(coalesce(sc.score, 0.0), 6) + 0.0 AS score FROM px LEFT JOIN sc ON sc.pano = px.pano AND sc.r = px.r AND sc.c = px.c AND sc.class = px.class""")
+SELECT px.pano, px.r, px.c, CAST(px.class AS INTEGER) AS class, round(coalesce(sc.score, 0.0), 9) + 0.0 AS score FROM px LEFT JOIN sc ON sc.pano = px.pano AND sc.r = px.r AND sc.c = px.c AND sc.class = px.class""")
 def pano_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of every panorama voted into labelled pixels; scores are whole numbers, so that ties are ties."""
     found, frames = _detections(spark, sf_dir)
     pixels = pano.aggregate(found.withColumn("score", F.round(F.col("score") * 50)), frames)
-    return pixels.select("pano", "r", "c", F.col("class").cast("int").alias("class"), _round(F.col("score")).alias("score"))
+    return pixels.select("pano", "r", "c", F.col("class").cast("int").alias("class"), _round(F.col("score"), 9).alias("score"))
 
 
 @query(None)
@@ -245,3 +246,46 @@ def object_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions = names.where("class = 57").select(F.col("name").alias("class"), F.array(F.lit("sit")).alias("actions"))
     out, _ = layers.object_layer(faces, points.drop("room"), cornered, grids, rooms, extra, actions, names)
     return out.select("building", "instance", "id", "class_", _round(F.col("surface_coverage")).alias("surface_coverage"), "parent_room", F.size("face_ids").cast("bigint").alias("n_faces"), F.size("voxel_occupancy").cast("bigint").alias("n_voxels"), "tactile_texture", F.col("action_affordance")[0].alias("action"))
+
+
+# --- frames ------------------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT s_suppkey, s_nationkey * 15 - 180 AS theta, (s_suppkey % 3 - 1) * 15 AS phi, 60 + s_suppkey % 4 * 15 AS fov FROM supplier),
+f AS (SELECT s_suppkey, fr, fc, radians(theta) AS t, radians(-phi) AS p, 1.0 AS x, (fc / 5.0 * 2 - 1) * tan(radians(fov / 2.0)) AS y, -(fr / 5.0 * 2 - 1) * tan(radians(fov / 2.0)) AS z FROM v, (SELECT unnest(range(6)) AS fr), (SELECT unnest(range(6)) AS fc)),
+a AS (SELECT *, cos(t) * x - sin(t) * y AS x1, sin(t) * x + cos(t) * y AS y1 FROM f), d AS (SELECT *, -sin(t) * x1 + cos(t) * y1 AS k, cos(t) * z AS cx, sin(t) * z AS cy, -sin(t) * y1 - cos(t) * x1 AS cz FROM a),
+r AS (SELECT s_suppkey, fr, fc, x1 * cos(p) + cx * sin(p) - sin(t) * k * (1 - cos(p)) AS x2, y1 * cos(p) + cy * sin(p) + cos(t) * k * (1 - cos(p)) AS y2, z * cos(p) + cz * sin(p) AS z2 FROM d)
+SELECT s_suppkey, CAST(fr AS INTEGER) AS fr, CAST(fc AS INTEGER) AS fc, round(cos(atan2(y2, x2)), 6) + 0.0 AS east, round(degrees(asin(z2 / sqrt(x2 * x2 + y2 * y2 + z2 * z2))), 4) + 0.0 AS latitude FROM r""")
+def view_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rays of a view of its own for each supplier."""
+    views = _read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") * 15 - 180).alias("theta"), ((F.col("s_suppkey") % 3 - 1) * 15).alias("phi"), (F.col("s_suppkey") % 4 * 15 + 60).alias("fov"), F.lit(6).alias("size"))
+    rays = g.frame_rays(views)
+    return rays.select("s_suppkey", "fr", "fc", _round(F.cos(F.radians("longitude"))).alias("east"), _round(F.col("latitude"), 4).alias("latitude"))
+
+
+@query("""SELECT s_suppkey AS pano, CAST(fov AS INTEGER) AS fov, CAST(theta AS INTEGER) AS theta, CAST(phi AS INTEGER) AS phi FROM (SELECT s_suppkey, s_nationkey FROM supplier), (SELECT unnest([75, 90, 105]) AS fov), (SELECT unnest(range(-180, 181, 15)) AS theta), (SELECT unnest([-15, 0, 15]) AS phi) WHERE abs(theta) <= 15 * s_nationkey""")
+def pano_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views that each panorama is cut into, as far round as it reaches."""
+    panos = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pano"), (F.col("s_nationkey") * 15).alias("reach"))
+    return panos.join(F.broadcast(g.view_parameters(spark)), F.abs("theta") <= F.col("reach")).select("pano", "fov", "theta", "phi")
+
+
+@query("""WITH l AS (SELECT p_size % 4 AS pano, p_partkey // 50 AS r, p_partkey % 50 AS c, p_size % 7 AS label FROM part)
+SELECT pano, r, c, CAST(floor((label * 30 + CASE WHEN c % 2 = 0 THEN 100 + label ELSE 0 END) / 2) AS INTEGER) AS red, CAST(floor((200 - label + CASE WHEN c % 2 = 0 THEN r % 256 ELSE 0 END) / 2) AS INTEGER) AS green FROM l""")
+def blended_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in their palette's colours over a picture that covers every other column."""
+    pixels = _raster(spark, sf_dir).select((F.col("size") % 4).alias("pano"), "r", "c", (F.col("size") % 7).alias("label"))
+    palette = spark.range(7).select(F.col("id").alias("idx"), (F.col("id") * 30).alias("r"), (200 - F.col("id")).alias("g"), F.col("id").alias("b"))
+    under = pixels.where("c % 2 = 0").select("pano", "r", "c", (F.col("label") + 100).alias("red"), (F.col("r") % 256).alias("green"), F.lit(0).alias("blue"))
+    return png.coloured(pixels, palette, "label", under).select("pano", "r", "c", "red", "green")
+
+
+@query(None)
+def frame_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of panoramas of parts, painted by bicubic samples, written by the tasks and read back."""
+    pixels = _raster(spark, sf_dir).select(F.concat(F.lit("p"), F.floor(F.col("r") / 25)).alias("pano"), (F.col("r") % 25).alias("r"), "c", *[(F.col("size") * k).cast("int").alias(n) for k, n in ((5, "red"), (3, "green"), (1, "blue"))])
+    panoramas = png.images(pixels, "pano", 25, 50)
+    views = g.view_parameters(spark, fovs=(90,), yaw_step=90, pitches=(0,), sizes=(8,), dedupe_yaw=True)
+    path = f"{_folder(spark, 'frames')}/png"
+    png.write_images(pano.frame_images(panoramas, views).withColumn("name", F.concat_ws("_", "pano", "frame")), path, "name")
+    return png.read_images(spark, f"{path}/*.png")
