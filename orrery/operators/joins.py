@@ -40,19 +40,6 @@ def overlap_argmax(left: DataFrame, right: DataFrame, item: str, group: str, ele
     return left.select(item).distinct().join(best, item, "left").select(item, F.col(f"best.{group}").alias(group), F.col("best.overlap").alias("overlap"))
 
 
-def nearest_group(items: DataFrame, targets: DataFrame, item: str, group: str, distance: Column, on: tuple[str, ...] = (), last_wins: bool = True) -> DataFrame:
-    """For each item (few rows, such as cameras) the group of its scope ``on`` that has the nearest target.
-
-    Only (item, group) minima leave a task. Ties go to the greatest group, as in a scan with <=.
-    Returns on..., item, group, distance.
-    """
-    pairs = _paired(targets, items, on).select(*on, item, group, distance.alias("d"))
-    least = pairs.groupBy(*on, item, group).agg(F.min("d").alias("d"))
-    tie = -F.col(group) if last_wins else F.col(group)
-    best = least.groupBy(*on, item).agg(F.min_by(F.struct(group, "d"), F.struct(F.col("d"), tie)).alias("b"))
-    return best.select(*on, item, F.col(f"b.{group}").alias(group), F.col("b.d").alias("distance"))
-
-
 #: Targets of a cell that :func:`nearest_group_in_cells` aims at.
 CELL_TARGETS = 64
 

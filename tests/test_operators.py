@@ -500,7 +500,7 @@ def test_nearest_group_in_cells_against_all_pairs(spark):
 def test_nearest_group_compares_few_pairs(spark):
     """Boxes and the targets of the boxes that are left are under a tenth of all pairs."""
     side = F.expr("id % 40 / 10.0"), F.expr("id div 40 % 40 / 10.0"), F.expr("id div 1600 / 10.0")
-    voxels = spark.range(40**3).select(F.lit(0).alias("b"), *[c.alias(f"c{a}") for c, a in zip(side, "xyz")], F.expr("cast(id % 40 div 10 as bigint)").alias("room"))
+    voxels = spark.range(40**3).select(F.expr("cast(id % 1 as int)").alias("b"), *[c.alias(f"c{a}") for c, a in zip(side, "xyz")], F.expr("cast(id % 40 div 10 as bigint)").alias("room"))
     rng = np.random.default_rng(1)
     cams = spark.createDataFrame([(0, k, *map(float, p)) for k, p in enumerate(rng.uniform(0, 4, (30, 3)))], "b int, cam long, x double, y double, z double")
     axes, spots = ("x", "y", "z"), ("cx", "cy", "cz")
