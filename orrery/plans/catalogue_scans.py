@@ -12,7 +12,7 @@ from orrery.functions import geometry as g
 from orrery.functions import vocabulary
 from orrery.operators import aggregate, raster
 from orrery.plans import fusion, layers, pano
-from orrery.plans.catalogue import P, _points, _raster, _read, _round, query
+from orrery.plans.catalogue import P, _points, _raster, _read, _round, _strip, query
 from orrery.plans.catalogue_more import DETECTED, _detections, _folder
 from orrery.sources import dense, export, image_sink, mesh, png, readers
 
@@ -79,6 +79,21 @@ def npz_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.read_npz(spark, f"{path}/*.npz", ["ids", "xs"]).select(stem, "name", "position", _round(F.col("value")).alias("value"))
 
 
+@query(f"""WITH {P}, m AS (SELECT max(vec_id) AS m FROM p), f AS (SELECT vec_id AS id FROM p, m WHERE vec_id + 2 <= m),
+n AS (SELECT id, 'chair_' || (id % 5) AS mat FROM f WHERE id % 4 <> 0 UNION ALL SELECT id, 'table_' || (id % 7) FROM f WHERE id % 8 = 1 UNION ALL SELECT id, 'background' FROM f WHERE id % 4 = 0)
+SELECT 'v' AS kind, printf('v %.8f %.8f %.8f', x, y, z) AS text, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 'u', 'usemtl ' || mat, 1 FROM n GROUP BY mat
+UNION ALL SELECT 'f', 'f ' || (id + 1) || ' ' || (id + 2) || ' ' || (id + 3), count(*) FROM n GROUP BY id""")
+def instance_obj(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mesh coloured by instances, some of which share faces, written as a mesh file and read back."""
+    points = _points(spark, sf_dir)
+    faces = _strip(points)
+    one = faces.where("face_id % 4 <> 0").select("face_id", F.concat(F.lit("chair_"), F.col("face_id") % 5).alias("material"))
+    other = faces.where("face_id % 8 = 1").select("face_id", F.concat(F.lit("table_"), F.col("face_id") % 7).alias("material"))
+    path = f"{_folder(spark, 'instances')}/obj"
+    export.write_obj(export.obj_lines(points.withColumnRenamed("vec_id", "vertex_id"), faces, one.unionByName(other)), path)
+    return spark.read.text(path).groupBy(F.substring("value", 1, 1).alias("kind"), F.col("value").alias("text")).agg(F.count("*").alias("n"))
+
+
 # --- dense arrays ------------------------------------------------------------------------------
 
 
@@ -184,6 +199,20 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("building", "face_id", "class", F.min("face_id").over(Window.partitionBy("building", "inst")).alias("first"))
 
 
+@query(f"""SELECT s_nationkey AS building, s_suppkey AS face_id, {HIGH} AS class, CAST(1 AS BIGINT) AS inst FROM supplier WHERE s_nationkey % 2 = 0""")
+def single_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A building's only instance of a class stays, however few its faces; one of two does not."""
+    votes = _read(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("building"), F.col("s_suppkey").alias("face_id"), F.lit(1).alias("pano"), F.lit(HIGH).alias("class"),
+        F.when(F.col("s_nationkey") % 2 == 0, 1).otherwise(F.col("s_suppkey") + 1).alias("inst"),
+    )
+    pairs = votes.where("building % 2 = 1").groupBy("building").agg(F.count("*").alias("n")).where("n > 1").select("building")
+    votes = votes.where("building % 2 = 0").unionByName(votes.join(pairs, "building", "left_semi").select(votes.columns))
+    classes = votes.select("building", "face_id", "class").distinct()
+    middles = classes.select("building", "face_id", *[F.col("face_id").cast("double").alias(a) for a in "xyz"])
+    return fusion.discover(votes, votes, classes, middles).select("building", "face_id", "class", "inst")
+
+
 @query("""WITH RECURSIVE k AS (SELECT p_partkey % 3 AS kind, p_partkey // 3 AS px, p_partkey % 11 = 0 AS other FROM part),
 h AS (SELECT px // 100 % 4 AS pano, px // 50 AS r, px % 50 AS c, kind * 100000 + (px + 6 * kind) // 18 AS instance_id, 57 + (px // 90 + CASE WHEN other THEN 1 ELSE 0 END) % 2 AS class FROM k WHERE kind = 0 OR px % 90 < 80),
 grid AS (SELECT DISTINCT px // 100 % 4 AS pano, px // 50 AS r, px % 50 AS c, 57 + px // 90 % 2 AS class FROM k), own AS (SELECT DISTINCT pano, class, instance_id, r, c FROM h SEMI JOIN grid USING (pano, class, r, c)),
