@@ -41,7 +41,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The rules of the registered query; each a verdict, a host and the start of a path.
-URL_RULES = ("block com/en/", "allow example.com/en/7", "block net/de/", "allow example.net/de/8", "block org/es/")
+URL_RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,10 @@ def test_score_by_hand():
                     word += c
         score = model.bias + sum(model.weights[b] for b in {zlib.crc32(g.encode()) % len(model.weights) for g in grams})
         assert abs(model.probability(host, path) - 1 / (1 + math.exp(-score))) < 1e-9
+
+
+def test_rules_of_the_contract(spark, tmp_path):
+    urls = ["http://a.example.com/en/1", "http://example.com/en/7", "http://x.net/de/8", "http://casino-win.example.net/de/1", "http://sub.example.net/de/81", "http://a.org/es/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert [found[k] for k in range(6)] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
