@@ -363,3 +363,24 @@ def test_dense_arrays(spark, tmp_path):
         assert sorted(map(tuple, dense.looked_up(array, asked, "at", "id").collect()), key=str) == sorted([("a", 9, 2), ("a", 10, None), ("b", 3, 8), ("z", 0, None), ("a", -1, None)], key=str)
     with pytest.raises(ValueError):
         export.write_graph({}, str(tmp_path), {"other": length})
+
+
+def test_numbers_are_printed_as_by_c(spark, tmp_path):
+    from orrery.plans import catalogue, catalogue_more, catalogue_scans
+
+    numbers = [1 / 512, 3 / 512, -1 / 512, 0.173828125, 0.1, -0.0, 5e-9, 2.5]
+    rows = [(k, k % 3, [x, -x, x + 1]) for k, x in enumerate(numbers)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = ["v {:.8f} {:.8f} {:.8f}".format(*row[2]) for row in rows]
+    assert want[0] == "v 0.00195312 -0.00195312 1.00195312"
+    lines = [r["text"] for r in sorted(catalogue_more.obj_lines_in_order(spark, str(tmp_path)).collect(), key=lambda r: r["line_no"])]
+    assert lines[: len(rows)] == want
+    for rows_of in (catalogue.obj_export, catalogue_scans.instance_obj):
+        assert {r["text"] for r in rows_of(spark, str(tmp_path)).collect() if r["text"].startswith("v")} == set(want)
+    assert export.printed("%.1f", F.lit(None)) is not None and spark.range(1).select(export.printed("%.1f", F.lit(None))).first()[0] is None
+
+
+def test_lines_of_many_parts_are_numbered_through(spark, tmp_path):
+    lines = [(0, f"{k:05d}", f"line {k}") for k in range(1000)]
+    spark.createDataFrame(lines, "section int, key string, text string").repartitionByRange(7, "key").sortWithinPartitions("key").select("text").write.text(str(tmp_path / "parts"))
+    assert sorted((r["line_no"], r["text"]) for r in export.read_lines(spark, str(tmp_path / "parts")).collect()) == sorted((k, t) for k, (_, _, t) in enumerate(lines))
