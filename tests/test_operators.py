@@ -531,3 +531,42 @@ def test_rays_stop_behind_a_wall(spark, monkeypatch):
     walked.clear()
     rays.cast_rays(beam_rows, mesh_rows).count()
     assert met < 0.4 * sum(frame.count() for _, frame in walked)
+
+
+@pytest.mark.parametrize("few, coarse, broadcast", [(0, 3, 10**6), (0, 3, 0), (0, -1, 10**6), (0, 1, 10**6), (64, 3, 10**6)])
+def test_rays_in_blocks_and_cells(spark, monkeypatch, few, coarse, broadcast):
+    """Whatever goes in blocks and what in cells, hits are those of every pair; also at a long distance and with numbers that are not finite."""
+    whole = {}
+    pick = np.random.default_rng(11)
+    tri, beams = [], []
+    for building, shift in (("a", 0.0), ("b", 1e6)):
+        centre, size = pick.uniform(-5, 5, (700, 1, 3)), pick.choice([0.02, 0.4, 6.0], (700, 1, 1))
+        tri += [(building, k, *map(float, c.ravel() + shift)) for k, c in enumerate(centre + size * pick.normal(size=(700, 3, 3)))]
+        tri += [(building, 1000 + k, *row[2:]) for k, row in enumerate(tri[-700:][:5])]  # equal distances
+        beams += [(building, k, *map(float, r)) for k, r in enumerate(np.hstack([pick.uniform(-9, 9, (300, 3)) + shift, pick.normal(size=(300, 3)) * 10.0 ** pick.integers(-3, 4, (300, 1))]))]
+    tri.append(("a", 2000, float("nan"), *[0.0] * 8))
+    beams += [("none", 1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), ("a", 999, float("nan"), 0.0, 0.0, 1.0, 0.0, 0.0)]
+    mesh_rows = spark.createDataFrame(tri, "building string, face_id long, " + ", ".join(f"{p}{x} double" for p in "abc" for x in "xyz"))
+    beam_rows = spark.createDataFrame(beams, "building string, ray_id long, " + ", ".join(f"{p}{x} double" for p in "od" for x in "xyz"))
+    for name in "ab":
+        t, r = (np.array([row[1:] for row in rows if row[0] == name]) for rows in (tri, beams))
+        at = rays._crossing(*(r[:, 1 + 3 * k : 4 + 3 * k].T[:, :, None] for k in range(2)), *(t[:, 1 + 3 * k : 4 + 3 * k].T[:, None] for k in range(3)))
+        whole |= {(name, int(r[i, 0]), int(t[j, 0])): at[i, j] for i, j in zip(*np.nonzero(np.isfinite(at)), strict=True)}
+    monkeypatch.setattr(rays, "FEW_TRIANGLES", few)
+    monkeypatch.setattr(rays, "COARSE", coarse)
+    monkeypatch.setattr(rays, "BROADCAST_TRIANGLES", broadcast)
+    assert len(whole) > 3000 and {tuple(r)[:3]: r["t"] for r in rays.cast_rays(beam_rows, mesh_rows).collect()} == whole
+    first = {}
+    for (name, ray, face), t in whole.items():
+        first[name, ray] = min(first.get((name, ray), (np.inf, 0)), (t, face))
+    assert {tuple(r)[:2]: (r["t"], r["face_id"]) for r in rays.cast_rays(beam_rows, mesh_rows, first_only=True).collect()} == first
+
+
+def test_rays_do_not_walk_cells_for_large_triangles(spark, monkeypatch):
+    """Triangles as wide as the scope are met in blocks; in cells every ray met them as a row."""
+    monkeypatch.setattr(rays, "FEW_TRIANGLES", 0)
+    monkeypatch.setattr(rays, "_Cells", None)
+    pick = np.random.default_rng(3)
+    mesh_rows = spark.createDataFrame([("a", k, *map(float, row)) for k, row in enumerate(pick.normal(size=(300, 9)))], "building string, face_id long, " + ", ".join(f"{p}{x} double" for p in "abc" for x in "xyz"))
+    beam_rows = spark.createDataFrame([("a", k, *map(float, row)) for k, row in enumerate(pick.normal(size=(50, 6)))], "building string, ray_id long, " + ", ".join(f"{p}{x} double" for p in "od" for x in "xyz"))
+    assert rays.cast_rays(beam_rows, mesh_rows).count() > 0
