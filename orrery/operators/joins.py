@@ -14,12 +14,31 @@ from orrery.functions import geometry as g
 from orrery.staging import Stages
 
 
+#: Rows of a key that meet in one task with all rows of the key on the other side.
+PAIR_BLOCK = 1024
+
+
+def _dealt_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``a.join(b, keys)`` for keys that may be hot. A key with n rows of ``b`` is dealt into n / ``PAIR_BLOCK`` parts of ``a``, each of
+    which gets all of the key's ``b``, so that no key is one task's; other keys are not copied."""
+    hot = b.groupBy(*keys).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("__parts")).where("__parts > 1")
+    hot = hot.na.drop(subset=keys)  # null keys meet nothing
+    if hot.isEmpty():
+        return a.join(b, keys)
+    # Hot keys are at most a row for PAIR_BLOCK rows. A number of partitions that is named is not coalesced by their few bytes.
+    parts, n = F.coalesce("__parts", F.lit(1)), int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.pmod(F.xxhash64(*a.columns), parts).cast("int")
+    left = a.join(_near(hot), keys, "left").withColumn("__deal", own).drop("__parts")
+    right = b.join(_near(hot), keys, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.repartition(n, *keys, "__deal").join(right.repartition(n, *keys, "__deal"), [*keys, "__deal"]).drop("__deal")
+
+
 def truncated_join(left: DataFrame, right: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), scale: int = 1000, on: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose coordinates agree after truncation; all duplicates match."""
     keys = [f"__{a}" for a in axes]
     a = left.withColumns({k: g.truncated(F.col(c), scale) for k, c in zip(keys, axes, strict=True)})
     b = right.withColumns({k: g.truncated(F.col(c), scale) for k, c in zip(keys, axes, strict=True)}).drop(*axes)
-    return a.join(b, [*on, *keys]).drop(*keys)
+    return _dealt_pairs(a, b, [*on, *keys]).drop(*keys)
 
 
 def complete_faces(faces: DataFrame, vertices: DataFrame, face: str = "face_id", corners: tuple[str, ...] = ("v0", "v1", "v2"), vertex: str = "vertex_id", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -328,7 +347,7 @@ def ordered_pairs(items: DataFrame, item: str, scope: list[str], keep: list[str]
         items, scope = items.withColumn("__all", F.lit(0)), ["__all"]
     a = items.select(*scope, *[F.col(c).alias(f"a_{c}") for c in [item, *keep]])
     b = items.select(*scope, *[F.col(c).alias(f"b_{c}") for c in [item, *keep]])
-    return a.join(b, scope).where(F.col(f"a_{item}") != F.col(f"b_{item}")).drop("__all")
+    return _dealt_pairs(a, b, scope).where(F.col(f"a_{item}") != F.col(f"b_{item}")).drop("__all")
 
 
 def with_defaults(rows: DataFrame, attributes: DataFrame, on: list[str]) -> DataFrame:

@@ -570,3 +570,19 @@ def test_rays_do_not_walk_cells_for_large_triangles(spark, monkeypatch):
     mesh_rows = spark.createDataFrame([("a", k, *map(float, row)) for k, row in enumerate(pick.normal(size=(300, 9)))], "building string, face_id long, " + ", ".join(f"{p}{x} double" for p in "abc" for x in "xyz"))
     beam_rows = spark.createDataFrame([("a", k, *map(float, row)) for k, row in enumerate(pick.normal(size=(50, 6)))], "building string, ray_id long, " + ", ".join(f"{p}{x} double" for p in "od" for x in "xyz"))
     assert rays.cast_rays(beam_rows, mesh_rows).count() > 0
+
+
+def test_pairs_of_one_key_are_dealt_to_tasks(spark, monkeypatch):
+    """One building or one cell of truncated coordinates is not one task's."""
+    monkeypatch.setattr(joins, "PAIR_BLOCK", 30, raising=False)
+    items = spark.range(300).select(F.lit(1).alias("b"), F.col("id").alias("k"), (F.col("id") / 1e6).alias("x"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for pairs, n in ((joins.ordered_pairs(items, "k", ["b"], []), 300 * 299), (joins.truncated_join(items.select("k", "x"), items.select(F.col("k").alias("o"), "x"), axes=("x",)), 300 * 300)):
+            by_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(by_task) == n and pairs.distinct().count() == n and max(by_task) < 0.8 * n
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
