@@ -94,18 +94,27 @@ def enlarge(pixels: DataFrame, factor: int = 4) -> DataFrame:
 
 def enlarge_smooth(pixels: DataFrame, scope: list[str], value: str, factor: int, height: int, width: int) -> DataFrame:
     """M4, bilinear: the four known neighbours of each new pixel, weighted; the edge is repeated."""
-    fine = enlarge(pixels.select(*scope, "r", "c"), factor)
+    step = lambda: F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    spread = pixels.select(*scope, "r", "c", F.col(value).alias("__v")).withColumn("__dr", step()).withColumn("__dc", step())
+    spread = spread.select(*scope, (F.col("r") + F.col("__dr")).alias("__r"), (F.col("c") + F.col("__dc")).alias("__c"), (4 - F.col("__dr") * 3 - F.col("__dc")).alias("__at"), "__v")
+    # The nine values around each pixel, by place, and which of them there are: nine narrow rows for a pixel, whatever the factor.
+    around = [f(F.when(F.col("__at") == k, x)).alias(f"__{n}{k}") for n, f, x in (("v", F.max, F.col("__v")), ("n", F.count, F.lit(1))) for k in range(9)]
+    near = spread.groupBy(*scope, "__r", "__c").agg(*around)
+    inside = lambda c, size: F.greatest(F.lit(0), F.least(F.lit(size - 1), c))
+    rows = pixels.select(*scope, "r", "c").distinct().withColumns({"__r": inside(F.col("r"), height), "__c": inside(F.col("c"), width)}).join(near, [*scope, "__r", "__c"])
+    rows = rows.withColumn("__vs", F.array(*[f"__v{k}" for k in range(9)])).withColumn("__ns", F.array(*[F.col(f"__n{k}") > 0 for k in range(9)]))
+    fine = enlarge(rows.select(*scope, "r", "c", "__r", "__c", "__vs", "__ns"), factor)
     at = lambda c: (F.col(c) + 0.5) / factor - 0.5
     fine = fine.withColumn("__fr", F.floor(at("r")).cast("int")).withColumn("__fc", F.floor(at("c")).cast("int"))
     fine = fine.withColumn("__wr", at("r") - F.col("__fr")).withColumn("__wc", at("c") - F.col("__fc"))
-    corner = lambda dr, dc: F.struct(
-        F.greatest(F.lit(0), F.least(F.lit(height - 1), F.col("__fr") + dr)).alias("sr"), F.greatest(F.lit(0), F.least(F.lit(width - 1), F.col("__fc") + dc)).alias("sc"),
-        ((F.col("__wr") if dr else 1 - F.col("__wr")) * (F.col("__wc") if dc else 1 - F.col("__wc"))).alias("w"),
-    )
-    spread = fine.select(*scope, "r", "c", F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))).alias("k"))
-    spread = spread.select(*scope, "r", "c", F.col("k.sr").alias("sr"), F.col("k.sc").alias("sc"), F.col("k.w").alias("w"))
-    known = pixels.select(*scope, F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).alias("__v"))
-    return spread.join(known, [*scope, "sr", "sc"]).groupBy(*scope, "r", "c").agg((F.sum(F.col("w") * F.col("__v")) / F.sum("w")).alias(value))
+    total, weight, some = F.lit(0.0), F.lit(0.0), F.lit(False)
+    for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        place = ((inside(F.col("__fr") + dr, height) - F.col("__r") + 1) * 3 + inside(F.col("__fc") + dc, width) - F.col("__c") + 1).cast("int")
+        w = (F.col("__wr") if dr else 1 - F.col("__wr")) * (F.col("__wc") if dc else 1 - F.col("__wc"))
+        total = total + F.coalesce(w * F.get("__vs", place), F.lit(0.0))
+        weight = weight + F.when(F.get("__ns", place), w).otherwise(0.0)
+        some = some | F.get("__vs", place).isNotNull()
+    return fine.select(*scope, "r", "c", F.when(some, F.try_divide(total, weight)).alias(value))
 
 
 def mirror(pixels: DataFrame, width: int) -> DataFrame:

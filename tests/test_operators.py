@@ -586,3 +586,26 @@ def test_pairs_of_one_key_are_dealt_to_tasks(spark, monkeypatch):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_smooth_enlarging_moves_pixels_and_not_their_copies(spark):
+    """Holes and nulls against every new pixel in turn; nothing is grouped or exchanged after pixels have been multiplied."""
+    pick = np.random.default_rng(2)
+    values = {(r, c): None if pick.random() < 0.2 else float(pick.integers(0, 99)) for r in range(7) for c in range(6) if pick.random() < 0.8}
+    rows = spark.createDataFrame([("a", r, c, v) for (r, c), v in values.items()], "k string, r int, c int, v double")
+    found = raster.enlarge_smooth(rows, ["k"], "v", 4, 7, 6)
+    got = {(r["r"], r["c"]): r["v"] for r in found.collect()}
+    want = {}
+    for y, x in ((r * 4 + i, c * 4 + j) for r, c in values for i in range(4) for j in range(4)):
+        at, left = ((y + 0.5) / 4 - 0.5, (x + 0.5) / 4 - 0.5), []
+        base = [int(np.floor(a)) for a in at]
+        for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            w = abs(1 - dr - (at[0] - base[0])) * abs(1 - dc - (at[1] - base[1]))
+            spot = min(max(base[0] + dr, 0), 6), min(max(base[1] + dc, 0), 5)
+            if spot in values:
+                left.append((w, values[spot]))
+        held = [w * v for w, v in left if v is not None]
+        want[y, x] = sum(held) / sum(w for w, _ in left) if held else None
+    assert got.keys() == want.keys() and all((got[k] is None) == (w is None) and (w is None or abs(got[k] - w) < 1e-9) for k, w in want.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
