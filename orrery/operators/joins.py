@@ -292,6 +292,10 @@ def envelope(places: np.ndarray, heights: np.ndarray, keys: np.ndarray, asked: n
     return np.array(stack, dtype=np.int64)[np.searchsorted(np.array(begins), asked, side="right") - 1]
 
 
+#: Rows of a raster that are one group of the second pass of :func:`nearest_fill`: a group costs more than a short row.
+ROW_BLOCK = 64
+
+
 def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r", column: str = "c") -> DataFrame:
     """Every pixel without a value takes that of the nearest pixel with one; ties go to the
     least (row, column). A raster without any value keeps its nulls.
@@ -310,19 +314,24 @@ def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r"
     found = found.withColumn("__n", best).select(*scope, row, column, value, F.col("__n.row").cast("bigint").alias("__row"), F.col("__n.value").alias("__value"))
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
-        have = rows[rows["__row"].notna()].drop_duplicates(column).sort_values(column)
-        open_ = rows.index[rows[value].isna()]
-        if len(have) and len(open_):
-            at_row, at_column = have["__row"].to_numpy(np.int64), have[column].to_numpy(np.int64)
-            key = np.empty(len(have), dtype=np.int64)
-            key[np.lexsort((at_column, at_row))] = np.arange(len(have))
-            pick = envelope(at_column, (at_row - int(rows[row].iloc[0])) ** 2, key, rows.loc[open_, column].to_numpy(np.int64))
-            rows.loc[open_, value] = have["__value"].to_numpy()[pick]
-        return rows[[*scope, row, column, value]]
+        rows = rows.sort_values([row, column], kind="stable")
+        at, columns, values, nearest = (rows[c].to_numpy() for c in (row, column, value, "__value"))
+        values, known, open_ = values.copy(), rows["__row"].notna().to_numpy(), rows[value].isna().to_numpy()
+        from_row = rows["__row"].fillna(0).to_numpy(np.int64)
+        ends = np.flatnonzero(np.diff(at)) + 1
+        for begin, end in zip([0, *ends], [*ends, len(at)], strict=True):
+            have, gaps = begin + np.flatnonzero(known[begin:end]), begin + np.flatnonzero(open_[begin:end])
+            if len(have) and len(gaps):
+                have = have[np.unique(columns[have], return_index=True)[1]]
+                at_row, at_column = from_row[have], columns[have].astype(np.int64)
+                key = np.empty(len(have), dtype=np.int64)
+                key[np.lexsort((at_column, at_row))] = np.arange(len(have))
+                values[gaps] = nearest[have[envelope(at_column, (at_row - int(at[begin])) ** 2, key, columns[gaps].astype(np.int64))]]
+        return rows.assign(**{value: values})[[*scope, row, column, value]]
 
     kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*scope, row, column, value])
-    return found.groupBy(*scope, row).applyInPandas(take, schema)
+    return found.groupBy(*scope, F.floor(F.col(row) / ROW_BLOCK)).applyInPandas(take, schema)
 
 
 def cooccurrence(members: DataFrame, instance: str, element: list[str]) -> DataFrame:

@@ -609,3 +609,14 @@ def test_smooth_enlarging_moves_pixels_and_not_their_copies(spark):
     assert got.keys() == want.keys() and all((got[k] is None) == (w is None) and (w is None or abs(got[k] - w) < 1e-9) for k, w in want.items())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_nearest_fill_groups_many_rows(spark):
+    """Rows of a raster are filled in blocks, with words as values, as each pixel alone would be."""
+    pick = np.random.default_rng(6)
+    pixels = [(r, c, f"w{pick.integers(9)}" if pick.random() < 0.15 else None) for r in range(-70, 70) for c in range(5)]
+    known = [p for p in pixels if p[2]]
+    filled = joins.nearest_fill(spark.createDataFrame(pixels, "r int, c int, v string"), "v", [])
+    assert "FLOOR" in filled._jdf.queryExecution().optimizedPlan().toString().upper()
+    got = {(r["r"], r["c"]): r["v"] for r in filled.collect()}
+    assert got == {(r, c): v or min(((r - y) ** 2 + (c - x) ** 2, y, x, w) for y, x, w in known)[3] for r, c, v in pixels}
