@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,39 @@ def test_images(spark, tmp_path):
     assert len(back) == 6 and back[0, 0] == [10, 20, 30] and back[0, 1] == [0, 0, 0]
 
 
+def test_large_images_are_painted_and_read_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(png, "BLOCK", 12)  # four rows of three pixels
+    rng = np.random.default_rng(5)
+    image = np.zeros((30, 3, 3), np.uint8)
+    at = [(int(r), int(c)) for r, c in zip(rng.integers(0, 30, 40), rng.integers(0, 3, 40), strict=True) if not 8 <= r < 16]
+    rows = {(r, c): [int(v) for v in rng.integers(0, 256, 3)] for r, c in at}
+    for (r, c), colour in rows.items():
+        image[r, c] = colour
+    pixels = spark.createDataFrame([(p, r, c, *v) for (r, c), v in rows.items() for p in ("p", "q") if p == "p" or r < 3], "pano string, r long, c int, red int, green int, blue int")
+    found = {r["pano"]: bytes(r["content"]) for r in png.images(pixels, "pano", 30, 3).collect()}
+    assert sorted(found) == ["p", "q"] and found["p"].count(b"IDAT") == 2 + 8
+    assert (png.decode(found["p"]) == image).all()
+    image[3:] = 0
+    assert (png.decode(found["q"]) == image).all()
+    with pytest.raises(Exception, match="IndexError"):
+        png.images(pixels.withColumn("r", F.col("r") + 30), "pano", 30, 3).collect()
+    parts = list(png.unpacked([pa.RecordBatch.from_pydict({"image": list(found), "content": list(found.values())})]))
+    assert max(p.num_rows for p in parts) == 12
+    whole = pa.Table.from_batches(parts).to_pylist()
+    assert len(whole) == 180 and all(w["value"] == (rows.get((w["r"], w["c"]), [0, 0, 0]) if w["image"] == "p" or w["r"] < 3 else [0, 0, 0]) for w in whole)
+
+
+def test_png_that_is_cut_off_or_too_long():
+    image = np.random.default_rng(1).integers(0, 256, (9, 5, 3)).astype(np.uint8)
+    content = png.encode(image)
+    body = zlib.compress(np.hstack([np.full((9, 1), 2, np.uint8), np.diff(image, axis=0, prepend=np.zeros_like(image[:1])).reshape(9, -1)]).tobytes())
+    up = content[:33] + png._chunk(b"IDAT", body[:7]) + png._chunk(b"IDAT", body[7:])  # each row less the row above
+    assert (np.concatenate(list(png.blocks(up, 10))) == image).all() and [len(b) for b in png.blocks(up, 10)] == [2, 2, 2, 2, 1]
+    for wrong in (zlib.compress(b"\0" * 16 * 8), zlib.compress(b"\0" * 16 * 10), body[:-3], body[:20]):
+        with pytest.raises((ValueError, zlib.error)):
+            png.decode(content[:33] + png._chunk(b"IDAT", wrong))
+
+
 def test_exports(spark, tmp_path):
     table = spark.createDataFrame([("b", 1, [4, 5]), ("b", 2, [])], "building string, id int, face_ids array<int>")
     export.write_graph({"object": table, "room": table}, str(tmp_path / "g"))
