@@ -11,6 +11,7 @@ from orrery.functions import geometry as g
 from orrery.functions import vocabulary
 from orrery.operators import aggregate as table
 from orrery.operators import graph, joins, raster, vote
+from orrery.staging import Stages
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,12 @@ def globalise(detections: DataFrame) -> DataFrame:
     return named.withColumn("instance_id", F.row_number().over(order).cast("bigint") + 1).withColumn("name", F.concat_ws("_", "name", rank.cast("string")))
 
 
+def shown(frames: DataFrame) -> DataFrame:
+    """frame, r, c, p: the panorama pixels that a frame shows, and the frame pixel (fr, fc) that is the last on each."""
+    number = F.col("fr") * 1_000_000 + F.col("fc")
+    return frames.groupBy("frame", F.col("pr").alias("r"), F.col("pc").alias("c")).agg(F.max_by(F.struct("fr", "fc"), number).alias("p"))
+
+
 def transfer(detections: DataFrame, frames: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cover, hits): the panorama pixels that each used frame (pano, frame) shows, and those each
     instance hits. Of several frame pixels on one panorama pixel the last counts. Where ``used``
@@ -51,8 +58,7 @@ def transfer(detections: DataFrame, frames: DataFrame, used: DataFrame) -> tuple
     """
     if "frame" not in used.columns:
         used = used.distinct().crossJoin(F.broadcast(frames.select("frame").distinct()))
-    number = F.col("fr") * 1_000_000 + F.col("fc")
-    last = frames.groupBy("frame", F.col("pr").alias("r"), F.col("pc").alias("c")).agg(F.max_by(F.struct("fr", "fc"), number).alias("p"))
+    last = shown(frames)
     cover = used.select("pano", "frame").distinct().join(last.select("frame", "r", "c"), "frame")
     lines = last.groupBy("frame", F.col("p.fr").alias("fr")).agg(F.array_sort(F.collect_list(F.struct(F.col("p.fc").alias("fc"), "r", "c"))).alias("line"))
     runs = detections.select("pano", "frame", "instance_id", "class", "score", F.explode("mask").alias("run")).where("run.len > 0")
@@ -67,19 +73,25 @@ def aggregate(detections: DataFrame, frames: DataFrame, options: PanoOptions = P
 
     Scores are sums of detection scores and of the background prior; instances whose pixels agree
     with the winners often enough survive; a pixel has the class of the surviving instance of the
-    greatest id, or background.
+    greatest id, or background. The hits are written once, and so are the pixels with the scores of
+    their classes, whose number the vocabulary bounds.
     """
-    instances = globalise(detections)
-    used = detections.select("pano", "frame").distinct()
-    cover, hits = transfer(instances, frames, used)
-    background = vote.background_scores(cover, hits, detections, options.ratio).withColumn("class", F.lit(0))
-    scores = vote.scores(hits, ["pano", "r", "c"], "class", F.col("score"))
-    scores = scores.unionByName(background.select(*scores.columns))
-    winners = vote.winner(scores, ["pano", "r", "c"], "class", "score")
-    kept = vote.survivors(hits, winners, ["pano", "r", "c"], ["pano", "instance_id"], "class", options.share)
-    top = hits.join(kept, ["pano", "instance_id"], "left_semi").groupBy("pano", "r", "c").agg(F.max_by("class", "instance_id").alias("class"))
-    pixels = winners.select("pano", "r", "c").join(top, ["pano", "r", "c"], "left").withColumn("class", F.coalesce("class", F.lit(0)))
-    return pixels.join(scores, ["pano", "r", "c", "class"], "left").select("pano", "r", "c", "class", F.coalesce("score", F.lit(0.0)).alias("score"))
+    keys, stages = ["pano", "r", "c"], Stages(detections.sparkSession, "panos")
+    used = detections.groupBy("pano", "frame").agg(F.count("*").alias("n"))
+    hits = stages.save(transfer(globalise(detections), frames, used)[1], "hits")
+    # Covered pixels, which alone have an n, and hits meet in one grouping; both sides lie by pixel from then on.
+    cover = used.where("pano is not null").join(shown(frames), "frame").select(*keys, "frame", "n")
+    seen = cover.unionByName(hits.select(*keys, "frame", F.lit(None).cast("bigint").alias("n"))).repartition(*keys)
+    seen = seen.groupBy(*keys, "frame").agg(F.max("n").alias("n"), F.count(F.when(F.col("n").isNull(), 1)).alias("hits"))
+    background = seen.groupBy(*keys).agg(F.sum((F.col("n") - F.col("hits")) * options.ratio / F.col("n")).alias("score"))
+    scores = vote.scores(hits.repartition(*keys), keys, "class", F.col("score"))
+    scores = scores.unionByName(background.select(*keys, F.lit(0).alias("class"), "score"))
+    known = F.map_from_entries(F.collect_list(F.struct("class", "score"))).alias("scores")
+    winners = stages.save(scores.groupBy(*keys).agg(F.max_by("class", F.struct(F.col("score"), -F.col("class"))).alias("class"), known), "pixels")
+    kept = vote.survivors(hits, winners, keys, ["pano", "instance_id"], "class", options.share)
+    top = hits.join(kept, ["pano", "instance_id"], "left_semi").groupBy(*keys).agg(F.max_by("class", "instance_id").alias("class"))
+    pixels = winners.select(*keys, "scores").join(top, keys, "left").withColumn("class", F.coalesce("class", F.lit(0)))
+    return pixels.select(*keys, "class", F.coalesce(F.try_element_at("scores", F.col("class")), F.lit(0.0)).alias("score"))
 
 
 def cluster(hits: DataFrame, pixels: DataFrame, options: PanoOptions = PanoOptions(), neighbours: int = 200) -> DataFrame:

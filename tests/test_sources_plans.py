@@ -257,6 +257,20 @@ def test_panorama_end_to_end(spark):
     assert pano.frame_map(spark, pano.PanoOptions(height=64, width=128), sizes=(20,), fovs=(90,), yaw_step=90).count() > 0
 
 
+def test_panorama_votes_transfer_labels_once(spark):
+    frames = spark.createDataFrame([(f, r, c, r, c + (f == "g")) for f in "fg" for r in range(2) for c in range(2)], "frame string, fr int, fc int, pr int, pc int")
+    rows = [("p", "f", 1, 57, 4.0, [(0, 0, 2)]), ("p", "f", 2, 58, 3.0, [(0, 0, 1), (1, 0, 1)]), ("p", "g", 1, 57, 2.0, [(0, 0, 1)]), ("q", "g", 1, 58, 1.0, [(1, 1, 1)])]
+    found = spark.createDataFrame(rows, "pano string, frame string, det_no int, class int, score double, mask array<struct<r:int,start:int,len:int>>")
+    pixels = pano.aggregate(found, frames, pano.PanoOptions(height=2, width=3, stride=1))
+    got = {(r["pano"], r["r"], r["c"]): (r["class"], round(r["score"], 9)) for r in pixels.collect()}
+    # (0, 0) goes to 57; instance 3 (58) wins one of its two pixels and so stays, and has the greater id
+    assert got == {
+        ("p", 0, 0): (58, 3.0), ("p", 0, 1): (57, 6.0), ("p", 0, 2): (0, 0.65), ("p", 1, 0): (58, 3.0), ("p", 1, 1): (0, 1.3), ("p", 1, 2): (0, 0.65),
+        ("q", 0, 1): (0, 0.65), ("q", 0, 2): (0, 0.65), ("q", 1, 1): (0, 0.65), ("q", 1, 2): (58, 1.0),
+    }
+    assert "Window" not in pixels._jdf.queryExecution().executedPlan().toString()  # numbering and transfer are not repeated for each use
+
+
 def test_frames_of_a_panorama(spark):
     image = np.zeros((32, 64, 3), dtype=np.uint8)
     image[:, 32:] = 200
