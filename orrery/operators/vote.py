@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +65,20 @@ def three_rounds(votes: DataFrame, face: str, instance: str, value: str, weight:
     weight = F.col(weight) if isinstance(weight, str) else weight
     weighed = votes.withColumn("__w", weight).withColumn("__i", F.when(F.col(value) == 0, F.lit(0)).otherwise(F.col(instance)))
     first = weighted(weighed, [face], value, F.col("__w"))
+    # The background is one instance with votes for any number of faces: its class and verdict are a row that goes to all
+    # tasks, so that its votes stay where they are.
+    last = _third_round(weighed.where("__i <> 0"), first, face, value, share, lambda rows: rows)
+    last = last.unionByName(_third_round(weighed.where("__i = 0"), first, face, value, share, F.broadcast))
+    return weighted(last, [face], value, F.col("__w"))
+
+
+def _third_round(votes: DataFrame, first: DataFrame, face: str, value: str, share: float, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The votes of instances that agree with the winners of the first round."""
     # An instance's class is the vote of its first face.
-    label = weighed.groupBy("__i").agg(F.min_by(value, F.struct(F.col(face), F.col(value))).alias("__class"))
-    members = weighed.join(label, "__i").select("__i", face, F.col("__class").alias(value)).distinct()
+    label = votes.groupBy("__i").agg(F.min_by(value, F.struct(F.col(face), F.col(value))).alias(value))
+    members = votes.select("__i", face).distinct().join(sent(label), "__i")
     kept = survivors(members, first, [face], ["__i"], value, share).select("__i")
-    return weighted(weighed.join(kept, "__i", "left_semi"), [face], value, F.col("__w"))
+    return votes.join(sent(kept), "__i", "left_semi")
 
 
 def face_instance(votes: DataFrame, winners: DataFrame, keys: list[str], instance: str, value: str) -> DataFrame:

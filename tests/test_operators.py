@@ -620,3 +620,31 @@ def test_nearest_fill_groups_many_rows(spark):
     assert "FLOOR" in filled._jdf.queryExecution().optimizedPlan().toString().upper()
     got = {(r["r"], r["c"]): r["v"] for r in filled.collect()}
     assert got == {(r, c): v or min(((r - y) ** 2 + (c - x) ** 2, y, x, w) for y, x, w in known)[3] for r, c, v in pixels}
+
+
+def test_background_of_three_rounds_is_no_key_of_a_shuffle(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), rng.randrange(9), rng.randrange(4), float(rng.randrange(1, 9))) for _ in range(150)]
+    votes = spark.createDataFrame(rows, "face long, inst long, class long, w double")
+
+    def winners(rows):
+        sums = {}
+        for face, _, c, w in rows:
+            sums[face, c] = sums.get((face, c), 0.0) + w
+        return {f: min((-s, c) for (g, c), s in sums.items() if g == f)[1] for f in {f for f, _ in sums}}
+
+    for share in (0.0, 0.2, 0.3, 0.9):
+        named = [(f, 0 if c == 0 else i, c, w) for f, i, c, w in rows]
+        first, kept = winners(named), set()
+        for i in {r[1] for r in named}:
+            own = [(f, c) for f, j, c, _ in named if j == i]
+            faces, label = {f for f, _ in own}, min(own)[1]
+            kept |= {i} if sum(first[f] == label for f in faces) / len(faces) >= share else set()
+        found = vote.three_rounds(votes, "face", "inst", "class", "w", share)
+        assert dict(map(tuple, found.collect())) == winners([r for r in named if r[1] in kept])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = vote.three_rounds(votes, "face", "inst", "class", "w", 0.3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 2  # only those of the background's class and verdict
