@@ -16,6 +16,8 @@ from orrery.staging import Stages
 
 #: Rows of a key that meet in one task with all rows of the key on the other side.
 PAIR_BLOCK = 1024
+#: Rows, or pairs that they make, of the elements of one task in :func:`cooccurrence`.
+TASK_ROWS = 1 << 20
 
 
 def _dealt_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -335,9 +337,20 @@ def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r"
 
 
 def cooccurrence(members: DataFrame, instance: str, element: list[str]) -> DataFrame:
-    """Pairs a < b of instances that share an element, and on how many they meet."""
-    rows = members.select(*element, instance).distinct()
-    pairs = rows.withColumnRenamed(instance, "a").join(rows.withColumnRenamed(instance, "b"), element).where("a < b")
+    """Pairs a < b of instances that share an element, and on how many they meet.
+
+    Elements are dealt to as many tasks as their rows and pairs need, which are counted before: the pairs that a task adds up are
+    mostly different ones.
+    """
+    spark = members.sparkSession
+    members = members.select(*element, instance).na.drop()  # nulls meet nothing
+    dealt = lambda n: members.repartition(max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *element).distinct()
+    n = members.count()
+    size = F.col("n")
+    met, most = dealt(n).groupBy(*element).agg(F.count("*").alias("n")).agg(F.sum(size * (size - 1) / 2), F.max(size)).first()
+    rows = dealt(max(n, int(met or 0)))
+    a, b = rows.withColumnRenamed(instance, "a"), rows.withColumnRenamed(instance, "b")
+    pairs = (_dealt_pairs(a, b, element) if (most or 0) > PAIR_BLOCK else a.join(b, element)).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 

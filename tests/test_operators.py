@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -648,3 +649,26 @@ def test_background_of_three_rounds_is_no_key_of_a_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("BroadcastHashJoin") == 2  # only those of the background's class and verdict
+
+
+def test_cooccurrence_deals_its_pairs_by_their_number(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), rng.randrange(30)) for _ in range(400)] + [(None, 1), (None, 2), (3, None)] + [(99, i) for i in range(30)]
+    members = spark.createDataFrame(rows, "element long, inst long")
+    held = {}
+    for e, i in {r for r in rows if None not in r}:
+        held.setdefault(e, set()).add(i)
+    wanted = {}
+    for found in held.values():
+        for a in found:
+            for b in found:
+                if a < b:
+                    wanted[a, b] = wanted.get((a, b), 0) + 1
+    monkeypatch.setattr(joins, "TASK_ROWS", 50)
+    for block in (1024, 4):  # with no hot element, and with hot ones
+        monkeypatch.setattr(joins, "PAIR_BLOCK", block)
+        edges = joins.cooccurrence(members, "inst", ["element"])
+        assert {(r["a"], r["b"]): r["shared"] for r in edges.collect()} == wanted
+    parts = [int(n) for n in re.findall(r"hashpartitioning\(element#\d+L?, (\d+)\)", joins.cooccurrence(members, "inst", ["element"])._jdf.queryExecution().executedPlan().toString())]
+    assert max(parts) >= sum(wanted.values()) // 50
+    assert joins.cooccurrence(members.limit(0), "inst", ["element"]).count() == 0
