@@ -19,14 +19,23 @@ def majority(votes: DataFrame, keys: list[str], value: str) -> DataFrame:
     return winner(counts, keys, value, "__n")
 
 
-def scores(votes: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
+def scores(votes: DataFrame, keys: list[str], value: str, weight: Column, add: Callable[[Column], Column] = F.sum) -> DataFrame:
     """A2: keys, value, score: the sum of weights."""
-    return votes.groupBy(*keys, value).agg(F.sum(weight).alias("score"))
+    return votes.groupBy(*keys, value).agg(add(weight).alias("score"))
 
 
-def weighted(votes: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
+def weighted(votes: DataFrame, keys: list[str], value: str, weight: Column, add: Callable[[Column], Column] = F.sum) -> DataFrame:
     """A2: the value of the greatest weight per key."""
-    return winner(scores(votes, keys, value, weight), keys, value, "score")
+    return winner(scores(votes, keys, value, weight, add), keys, value, "score")
+
+
+def ordered_sum(weight: Column) -> Column:
+    """The sum of weights from the greatest down, so that it does not depend on the order of rows as that of fractions does.
+
+    It gathers the weights of a group, which must be few, as those of a face are: one for each panorama at most.
+    """
+    held = F.sort_array(F.collect_list(weight), asc=False)
+    return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda total, w: total + w))
 
 
 def background_scores(cover: DataFrame, hits: DataFrame, detections: DataFrame, ratio: float = 0.65) -> DataFrame:
@@ -56,7 +65,7 @@ def survivors(members: DataFrame, winners: DataFrame, keys: list[str], instance:
     return rates.where(F.col("agreement") >= share)
 
 
-def three_rounds(votes: DataFrame, face: str, instance: str, value: str, weight: Column | str, share: float = 0.65) -> DataFrame:
+def three_rounds(votes: DataFrame, face: str, instance: str, value: str, weight: Column | str, share: float = 0.65, add: Callable[[Column], Column] = F.sum) -> DataFrame:
     """Winners of all votes; instances that agree with them; winners of those instances' votes.
 
     ``value`` 0 is background and belongs to instance 0 of its face table; background votes count
@@ -64,12 +73,12 @@ def three_rounds(votes: DataFrame, face: str, instance: str, value: str, weight:
     """
     weight = F.col(weight) if isinstance(weight, str) else weight
     weighed = votes.withColumn("__w", weight).withColumn("__i", F.when(F.col(value) == 0, F.lit(0)).otherwise(F.col(instance)))
-    first = weighted(weighed, [face], value, F.col("__w"))
+    first = weighted(weighed, [face], value, F.col("__w"), add)
     # The background is one instance with votes for any number of faces: its class and verdict are a row that goes to all
     # tasks, so that its votes stay where they are.
     last = _third_round(weighed.where("__i <> 0"), first, face, value, share, lambda rows: rows)
     last = last.unionByName(_third_round(weighed.where("__i = 0"), first, face, value, share, F.broadcast))
-    return weighted(last, [face], value, F.col("__w"))
+    return weighted(last, [face], value, F.col("__w"), add)
 
 
 def _third_round(votes: DataFrame, first: DataFrame, face: str, value: str, share: float, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:

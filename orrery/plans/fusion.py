@@ -49,13 +49,16 @@ def register(points: DataFrame, poses: DataFrame, pixels: DataFrame, mist: DataF
 
 
 def face_classes(face_votes: DataFrame, distances: DataFrame, share: float = 0.65) -> DataFrame:
-    """Building, face_id, class by the three-round vote with inverse-distance weights."""
+    """Building, face_id, class by the three-round vote with inverse-distance weights.
+
+    Weights are fractions whose sums depend on the order of addition, and equal ones decide: they are added in one order.
+    """
     keys = ["building", "face_id"]
     weighed = distances.withColumn("w", vote.inverse_distance(distances, keys, "distance"))
     faces = aggregate.identified(face_votes, keys, "face")
     instances = aggregate.identified(face_votes, ["building", "pano", "inst"], "i")
     rows = face_votes.join(weighed, [*keys, "pano"]).join(faces, keys).join(instances, ["building", "pano", "inst"])
-    final = vote.three_rounds(rows.select("face", "i", "class", "w"), "face", "i", "class", "w", share)
+    final = vote.three_rounds(rows.select("face", "i", "class", "w"), "face", "i", "class", "w", share, vote.ordered_sum)
     return faces.join(final, "face").select(*keys, "class")
 
 

@@ -433,3 +433,33 @@ def test_lines_of_many_parts_are_numbered_through(spark, tmp_path):
     lines = [(0, f"{k:05d}", f"line {k}") for k in range(1000)]
     spark.createDataFrame(lines, "section int, key string, text string").repartitionByRange(7, "key").sortWithinPartitions("key").select("text").write.text(str(tmp_path / "parts"))
     assert sorted((r["line_no"], r["text"]) for r in export.read_lines(spark, str(tmp_path / "parts")).collect()) == sorted((k, t) for k, (_, _, t) in enumerate(lines))
+
+
+def test_votes_of_a_face_are_added_in_one_order(spark):
+    import itertools
+    import random
+
+    def sums(weights):
+        return {(weights[i] + weights[j]) + weights[k] for i, j, k in itertools.permutations(range(3))}
+
+    views = []  # three panoramas against one of the same weight in all, where the order of addition decides
+    for lone in range(1, 13):
+        for a, b, c in itertools.product(range(lone + 1, 51), repeat=3):
+            total = lone + a + b + c
+            if lone * (a * b + b * c + a * c) == a * b * c and len({s > total / lone for s in sums([total / x for x in (a, b, c)])}) > 1:
+                views.append((a, b, c, lone))
+    random.Random(6).shuffle(views)
+    assert len(views) >= 20
+    rows, want = [], {}
+    for face, view in enumerate(views):
+        total, few = sum(view), face % 2  # the class of the lone panorama is the greater one or the lesser one
+        rows += [("b", face, p, 1 + (1 - few if p < 3 else few), p + 1, float(d)) for p, d in enumerate(view)]
+        a, b, c = sorted((total / d for d in view[:3]), reverse=True)
+        score = {2 - few: 0.0 + a + b + c, 1 + few: total / view[3]}
+        want[face] = min(score, key=lambda k: (-score[k], k))
+    votes = spark.createDataFrame(rows, "building string, face_id long, pano long, class long, inst long, distance double")
+    for partitions in (1, 7):
+        dealt = votes.repartition(partitions).cache()
+        got = fusion.face_classes(dealt.drop("distance"), dealt.select("building", "face_id", "pano", "distance"), 0.0)
+        assert {r["face_id"]: r["class"] for r in got.collect()} == want
+        dealt.unpersist()
