@@ -463,3 +463,20 @@ def test_votes_of_a_face_are_added_in_one_order(spark):
         got = fusion.face_classes(dealt.drop("distance"), dealt.select("building", "face_id", "pano", "distance"), 0.0)
         assert {r["face_id"]: r["class"] for r in got.collect()} == want
         dealt.unpersist()
+
+
+def test_mesh_file_has_its_library_and_group(spark, tmp_path):
+    vertices = spark.createDataFrame([(k, float(k), 0.0, 1.0) for k in range(4)], "vertex_id long, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 2, 3)], "face_id long, v0 long, v1 long, v2 long")
+    labels = spark.createDataFrame([(0, "chair_1"), (1, "chair_1")], "face_id long, material string")
+    export.write_obj(export.obj_lines(vertices, faces, labels, library="house.mtl"), str(tmp_path / "house.obj"))
+    text = [r["text"] for r in sorted(export.read_lines(spark, str(tmp_path / "house.obj")).collect(), key=lambda r: r["line_no"])]
+    assert text[0] == "mtllib house.mtl" and [t[0] for t in text[1:5]] == ["v"] * 4
+    assert text[5:] == ["g Mesh", "usemtl background", "usemtl chair_1", "f 1 2 3", "f 2 3 4"]
+    back = mesh.read_obj(spark, str(tmp_path / "house.obj" / "*.txt"))
+    assert [df.count() for df in back] == [4, 2]
+    from orrery.plans import catalogue
+
+    spark.createDataFrame([(k, k % 3, [0.5, 0.25, 1.0 * k]) for k in range(5)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = {r["text"]: r["n"] for r in catalogue.obj_export(spark, str(tmp_path)).collect()}
+    assert rows["mtllib mesh.mtl"] == rows["g Mesh"] == rows["usemtl background"] == 1
