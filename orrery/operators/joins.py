@@ -307,9 +307,9 @@ def nearest_fill(pixels: DataFrame, value: str, scope: list[str], row: str = "r"
     gives the nearest of these candidates. Groups are a column or a row of one raster, whose size is fixed.
     """
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(row).alias("row"), F.col(value).alias("value")))
-    line = Window.partitionBy(*scope, column).orderBy(row)
-    above = F.last(known, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(known, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    line = Window.partitionBy(*scope, column)
+    # Both run from the start of a line: a frame that reaches to its end is gone through again for every row.
+    above, below = (F.last(known, ignorenulls=True).over(line.orderBy(way).rangeBetween(Window.unboundedPreceding, Window.currentRow)) for way in (F.asc(row), F.desc(row)))
     found = pixels.select(*scope, row, column, value, above.alias("__a"), below.alias("__b"))
     nearer_below = F.col("__a").isNull() | (F.col("__b.row") - F.col(row) < F.col(row) - F.col("__a.row"))
     best = F.when(F.col("__b").isNotNull() & nearer_below, F.col("__b")).otherwise(F.col("__a"))

@@ -672,3 +672,16 @@ def test_cooccurrence_deals_its_pairs_by_their_number(spark, monkeypatch):
     parts = [int(n) for n in re.findall(r"hashpartitioning\(element#\d+L?, (\d+)\)", joins.cooccurrence(members, "inst", ["element"])._jdf.queryExecution().executedPlan().toString())]
     assert max(parts) >= sum(wanted.values()) // 50
     assert joins.cooccurrence(members.limit(0), "inst", ["element"]).count() == 0
+
+
+def test_nearest_fill_runs_through_a_tall_column_once(spark):
+    known = {k: k % 7 for k in (3, 900, 901, 4000, 19_990)}
+    rows = [(r, 0, known.get(r)) for r in range(20_000)] + [(50, 0, 9), (4000, 1, None)]  # one place twice, and a column without a value
+    filled = joins.nearest_fill(spark.createDataFrame(rows, "r int, c int, v int"), "v", [])
+    # A frame up to the end of its partition is gone through for each row: quadratic in a column's length.
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {(r["r"], r["c"]): r["v"] for r in filled.where("r % 1000 = 0 or r between 40 and 60 or r between 2449 and 2453").collect() if r["r"] != 50}
+    places = sorted([*known.items(), (50, 9)])
+    want = {(r, c): min((abs(r - k), k, v) for k, v in places)[2] for r, c, _ in rows if r != 50 and (r % 1000 == 0 or 40 <= r <= 60 or 2449 <= r <= 2453)}
+    assert got == want
+    assert {r["v"] for r in filled.where("r = 50").collect()} == {9}
