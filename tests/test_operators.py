@@ -685,3 +685,33 @@ def test_nearest_fill_runs_through_a_tall_column_once(spark):
     want = {(r, c): min((abs(r - k), k, v) for k, v in places)[2] for r, c, _ in rows if r != 50 and (r % 1000 == 0 or 40 <= r <= 60 or 2449 <= r <= 2453)}
     assert got == want
     assert {r["v"] for r in filled.where("r = 50").collect()} == {9}
+
+
+def test_first_hits_leave_out_triangles_behind_others(spark, monkeypatch):
+    """Rays that know a hit meet the triangles before it alone, block by block; none of these is lost."""
+    pick = np.random.default_rng(17)
+    corners = pick.uniform(-1, 1, (3, 3, 900))  # corner, axis, triangle
+    corners[:, :, 890:] = corners[:, :, :10]  # equal distances
+    origin = np.where(np.arange(400) < 250, np.array([[3.0], [2.0], [-2.5]]), pick.uniform(-1, 1, (3, 400)))  # a camera's rays, and others
+    d = np.where(np.arange(400) < 250, pick.uniform(-0.6, 0.6, (3, 400)) - origin, pick.normal(size=(3, 400))) * 10.0 ** pick.integers(-2, 3, 400)
+    at = rays._crossing(*(x[:, :, None] for x in (origin, d)), *(c[:, None] for c in corners))
+    first = {(1, k): (at[k].min(), int(at[k].argmin())) for k in range(400) if np.isfinite(at[k]).any()}
+    assert len(first) > 300
+    # A narrow bundle of rays up to a little behind their first hits.
+    by_way = np.argsort(np.abs(d[:, :250] / np.abs(d[:, :250]).max(axis=0) - (d[:, :1] / np.abs(d[:, :1]).max())).sum(axis=0))[:16]
+    near = at[by_way].min(axis=1)
+    by_way, near = by_way[np.isfinite(near)], near[np.isfinite(near)]
+    centre, sides = rays._sides(*corners)
+    left = set(rays._touched(origin[:, by_way], d[:, by_way], near, centre, sides).tolist())
+    assert len(left) < 450 and {j for k, t in zip(by_way, near, strict=True) for j in np.flatnonzero(at[k] <= t).tolist()} <= left
+    monkeypatch.setattr(rays, "FEW_TRIANGLES", 0)
+    for name, value in (("MANY_TRIANGLES", 0), ("TRIANGLE_BLOCK", 128), ("RAY_BLOCK", 32)):
+        monkeypatch.setattr(rays, name, value)
+    mesh_rows = spark.createDataFrame([(1, k, *map(float, corners[:, :, k].ravel())) for k in range(900)], "building int, face_id long, " + ", ".join(f"{p}{x} double" for p in "abc" for x in "xyz"))
+    beam_rows = spark.createDataFrame([(1, k, *map(float, np.concatenate([origin[:, k], d[:, k]]))) for k in range(400)], "building int, ray_id long, " + ", ".join(f"{p}{x} double" for p in "od" for x in "xyz"))
+    for broadcast in (10**6, 0):
+        monkeypatch.setattr(rays, "BROADCAST_TRIANGLES", broadcast)
+        assert {tuple(r)[:2]: (r["t"], r["face_id"]) for r in rays.cast_rays(beam_rows, mesh_rows, first_only=True).collect()} == first
+    # In many buildings, some of which have no triangle in the first blocks, and with rays and triangles that are not finite.
+    monkeypatch.setattr(rays, "TRIANGLE_BLOCK", 8)
+    test_rays_in_blocks_and_cells(spark, monkeypatch, 0, 3, 10**6)
