@@ -190,9 +190,20 @@ class Mix:
         each = each.select("rank", "shard", F.col("i").alias("position"), F.expr("number div blocks").alias("lap"), F.expr("number % blocks").alias("at"), "blocks", "key")
         return with_permuted(each, "block", "at", "blocks", "key + lap * 31337").select("rank", "shard", "position", "lap", "block")
 
+    def by_block(self, *aggregates: Column) -> DataFrame:
+        """A row for each block that is taken, to be joined by shuffle: the few rows that slots are made of look like a table to broadcast."""
+        return self.slots().groupBy("rank", "block").agg(*aggregates).hint("merge")
+
+    def plan(self) -> DataFrame:
+        """(__mix_row, __mix_lead, __mix_parts): for every document, the slots of each of its parts, in the order of the parts."""
+        slots = self.by_block(F.collect_list(F.struct("shard", "position")).alias("slots"))  # MAX_REPEATS at most
+        parts = self.pieces().join(slots, ["rank", "block"], "left").withColumn("lead", F.when(F.col("start") == 0, F.col("at") % BLOCK_WORDS).cast("int"))
+        plan = parts.groupBy(F.col("row").alias("__mix_row")).agg(F.max("lead").alias("__mix_lead"), F.array_sort(F.collect_list(F.struct("block", "slots"))).alias("__mix_parts"))
+        return plan.where(F.exists("__mix_parts", lambda p: p["slots"].isNotNull()))
+
     def taken(self) -> DataFrame:
         """One row per document: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken``."""
-        draws = self.slots().groupBy("rank", "block").agg(F.count("*").alias("times"))
+        draws = self.by_block(F.count("*").alias("times"))
         used = self.pieces().join(draws, ["rank", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         rows = self._with_source(self.rows).join(used, "row", "left")
         return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -217,13 +228,10 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     A document that one block holds is given with its whole text.
     """
     mix = Mix(docs)
-    # For every document, the slots of each of its parts, in the order of the parts.
-    slots = mix.slots().groupBy("rank", "block").agg(F.collect_list(F.struct("shard", "position")).alias("slots"))  # MAX_REPEATS at most
-    parts = mix.pieces().join(slots, ["rank", "block"], "left").withColumn("lead", F.when(F.col("start") == 0, F.col("at") % BLOCK_WORDS).cast("int"))
-    plan = parts.groupBy(F.col("row").alias("__mix_row")).agg(F.max("lead").alias("__mix_lead"), F.array_sort(F.collect_list(F.struct("block", "slots"))).alias("__mix_parts"))
-    plan = mix.stages.save(plan.where(F.exists("__mix_parts", lambda p: p["slots"].isNotNull())), "plan")
+    plan = mix.stages.save(mix.plan(), "plan")
     # Filler words before a text let one pattern cut it at its blocks' bounds; they are taken off again.
-    rows = mix.docs.join(plan, F.col(ROW) == F.col("__mix_row")).withColumn("__mix_text", F.concat(F.expr("repeat('x ', __mix_lead)"), "text"))
+    # By shuffle, too: the plan is many times as large as its file.
+    rows = mix.docs.join(plan.hint("merge"), F.col(ROW) == F.col("__mix_row")).withColumn("__mix_text", F.concat(F.expr("repeat('x ', __mix_lead)"), "text"))
     chunks = F.regexp_extract_all("__mix_text", F.lit(r"(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){1,%d}" % BLOCK_WORDS), F.lit(0))
     rows = rows.select("*", F.posexplode(F.arrays_zip(chunks.alias("chunk"), F.col("__mix_parts.slots").alias("slots"))).alias("__mix_at", "__mix_cut"))
     rows = rows.where(F.col("__mix_cut.slots").isNotNull()).withColumn("__mix_slot", F.explode("__mix_cut.slots"))

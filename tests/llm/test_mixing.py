@@ -141,3 +141,14 @@ def test_empty_table(spark):
     assert mixing.mixed_texts(empty).count() == 0
     nothing = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert [r["taken"] for r in mixing.mix_documents(nothing).collect()] == [0, 0]
+
+
+def test_slots_are_not_broadcast(spark):
+    """Many slots are made of a few counts, whose small file says nothing of them; a plan is many times as large as its own."""
+    docs = spark.createDataFrame([(k, "word " * (k % 40), f"s{k % 3}") for k in range(200)], "doc_id long, text string, source string")
+    mix = mixing.Mix(docs)
+    for df in (mix.taken(), mix.plan()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"(\w+Join) \[rank#\d+L?, block#\d+L?\]", plan) == ["SortMergeJoin"]
+    plan = mixing.mixed_texts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+Join) \[\w+#\d+L?\], \[__mix_row#\d+L?\]", plan) == ["SortMergeJoin"]
